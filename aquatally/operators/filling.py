@@ -170,6 +170,31 @@ def apply_empty_day_policy(
     raise ValueError(f"unknown empty-day policy {policy!r}")
 
 
+def _ordered_parts(df: DataFrame, order_by: Sequence[str], partitions: int | None) -> DataFrame:
+    """Range-partition a table without meters by its row order and number the parts.
+
+    Settled once, so that a part keeps its number and rows whatever reads it.
+    """
+    if not order_by:
+        raise ValueError("a table without meters needs an explicit row order")
+    spread = df.repartitionByRange(*([partitions] if partitions else []), *order_by)
+    return settle(spread.withColumn("_part", F.spark_partition_id()))
+
+
+def with_previous_row(
+    df: DataFrame, order_by: Sequence[str], into: str, vec: str = VEC, partitions: int | None = None
+) -> DataFrame:
+    """Add the array of the preceding row of the whole table, null on its first row."""
+    rows = _ordered_parts(df, order_by, partitions)
+    ends = rows.groupBy("_part").agg(F.max_by(vec, F.struct(*order_by)).alias("_end"))
+    # at most one row per range partition, so a single ordered pass over it is bounded
+    ends = ends.withColumn("_end", F.lag("_end").over(Window.partitionBy(F.lit(0)).orderBy("_part")))
+    inside = Window.partitionBy("_part").orderBy(*order_by)
+    first = F.row_number().over(inside) == 1
+    before = F.when(first, F.col("_end")).otherwise(F.lag(vec).over(inside))
+    return rows.join(ends, "_part").withColumn(into, before).drop("_part", "_end")
+
+
 def carry_rows(
     df: DataFrame, order_by: Sequence[str], vec: str = VEC, hours: int = HOURS, partitions: int | None = None
 ) -> DataFrame:
@@ -179,10 +204,7 @@ def carry_rows(
     settled once, so that a partition keeps its number; the last and first known
     reading of each partition, one row per partition, carry between partitions.
     """
-    if not order_by:
-        raise ValueError("a table without meters needs an explicit row order")
-    spread = df.repartitionByRange(*([partitions] if partitions else []), *order_by)
-    rows = settle(spread.withColumn("_part", F.spark_partition_id()))
+    rows = _ordered_parts(df, order_by, partitions)
     by_order = F.struct(*order_by)
     ends = []
     for h in range(hours):
