@@ -7,14 +7,14 @@ from pyspark.sql import functions as F
 
 from aquatally.functions import dayvec
 from aquatally.operators.pairing import attach_original, meters_in_both, pair_days, rows_of_meters
-from aquatally.operators.reshape import hour_ts, to_long
+from aquatally.operators.reshape import explode_hours, hour_ts, to_long
 from aquatally.operators.select import imputed_cells
 from aquatally.schema import DAY, METER, VEC
 
 
 def _cells(df: DataFrame, vec: str) -> DataFrame:
     """Readings of a meter, one per row: an explode feeds partial aggregates, no shuffle."""
-    return df.select(METER, F.explode(vec).alias("x"))
+    return explode_hours(df, vec, ("hour", "x"), METER)
 
 
 def series_stats(df: DataFrame, vec: str = VEC) -> DataFrame:
@@ -124,7 +124,7 @@ def smoothing_difference(
 ) -> DataFrame:
     """How far smoothing moved the readings, and whether it did anything at all."""
     pairs = pair_days(imputed, smoothed, ("_a", "_b"))
-    moved = pairs.select(F.explode(F.zip_with("_a", "_b", lambda a, b: F.abs(a - b))).alias("d"))
+    moved = explode_hours(pairs, F.zip_with("_a", "_b", lambda a, b: F.abs(a - b)), ("hour", "d"))
     figures = moved.agg(
         F.avg("d").alias("mean_abs_diff"),
         F.max("d").alias("max_abs_diff"),

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from aquatally.functions import dayvec
 from aquatally.operators.pairing import KEYS, pair_series
-from aquatally.operators.reshape import hour_ts, to_long
+from aquatally.operators.reshape import explode_hours, hour_ts, to_long
 from aquatally.operators.timeline import with_previous_day
 from aquatally.schema import DAY, HOURS, METER, VEC
 
@@ -128,7 +128,7 @@ def consumption_pair(imputed: DataFrame, original: DataFrame) -> DataFrame:
     ours = meter_consumption(imputed.select(*KEYS, VEC)).select(*KEYS, F.col("used").alias("used_imp"))
     theirs = meter_consumption(original.select(*KEYS, VEC)).select(*KEYS, F.col("used").alias("used_orig"))
     pairs = ours.join(theirs, KEYS, "left")
-    cells = pairs.select(*KEYS, F.posexplode("used_imp").alias("hour", "used_imp"), "used_orig")
+    cells = explode_hours(pairs, "used_imp", ("hour", "used_imp"), *KEYS, "used_orig")
     return cells.select(
         *KEYS,
         "hour",

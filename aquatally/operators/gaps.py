@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from aquatally.functions import dayvec
-from aquatally.operators.reshape import hour_ts
+from aquatally.operators.reshape import explode_hours, hour_ts
 from aquatally.operators.timeline import (
     BLOCK_KEYS,
     Carry,
@@ -42,7 +42,7 @@ def global_stats(df: DataFrame, vec: str = VEC) -> DataFrame:
 
 def day_gaps(df: DataFrame, vec: str = VEC) -> DataFrame:
     """One row per run of missing hours inside a day, the run at its end included."""
-    runs = df.select(METER, DAY, F.explode(dayvec.gap_runs(F.col(vec))).alias("g"))
+    runs = explode_hours(df, dayvec.gap_runs(F.col(vec)), ("_n", "g"), METER, DAY)
     return runs.select(
         METER,
         DAY,
@@ -88,8 +88,9 @@ def timeline_gaps(df: DataFrame, vec: str = VEC) -> DataFrame:
         DAY,
         (before.isNotNull() & F.get(before, F.size(before) - 1).isNull()).alias("_open_start"),
         behind.isNull().alias("_last_row"),
-        F.explode(dayvec.gap_runs(F.col(vec))).alias("g"),
+        dayvec.gap_runs(F.col(vec)).alias("_runs"),
     )
+    rows = explode_hours(rows, "_runs", ("_n", "g"), METER, DAY, "_open_start", "_last_row")
     continues = F.col("_open_start") & (F.col("g.start") == 0)
     pieces = rows.select(
         METER,
@@ -204,7 +205,7 @@ def heatmap(df: DataFrame, sample_size: int = 500, vec: str = VEC, hours: int =
     step = max(1, hours // 200)
     mark = F.md5(F.concat(F.col(METER), F.col(DAY).cast("string")))
     sample = df.select(METER, DAY, vec, mark.alias("_mark")).orderBy("_mark").limit(sample_size)
-    cells = sample.select(METER, DAY, F.posexplode(vec).alias("hour", "_x"))
+    cells = explode_hours(sample, vec, ("hour", "_x"), METER, DAY)
     return cells.filter(F.col("hour") % step == 0).select(
         METER, DAY, "hour", F.col("_x").isNull().cast("int").alias("is_missing")
     )

@@ -33,11 +33,21 @@ def hour_ts(day: Column, hour: Column) -> Column:
     return day.cast("timestamp_ntz") + F.make_dt_interval(F.lit(0), hour)
 
 
+def explode_hours(df: DataFrame, vec: Column | str, names: tuple[str, str], *keep: str) -> DataFrame:
+    """One row per element of an array, with its position.
+
+    The outer form and a filter, since for the plain form Spark infers a filter on the
+    array's size and thereby computes the array twice.
+    """
+    long = df.select(*keep, F.posexplode_outer(vec).alias(*names))
+    return long.filter(F.col(names[0]).isNotNull())
+
+
 def to_long(df: DataFrame, vec: str = VEC, value: str = "reading") -> DataFrame:
     """One row per meter, day and hour; filters on the keys still reach the scan."""
     require(df, DAY, vec)
     rest = [c for c in df.columns if c != vec]
-    long = df.select(*rest, F.posexplode(vec).alias("hour", value))
+    long = explode_hours(df, vec, ("hour", value), *rest)
     return long.withColumn("ts", hour_ts(F.col(DAY), F.col("hour")))
 
 

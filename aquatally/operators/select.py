@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from aquatally.operators.reshape import to_long
+from aquatally.operators.reshape import explode_hours, to_long
 from aquatally.operators.timeline import with_ordinal
 from aquatally.schema import DAY, HOURS, METER, VEC
 from aquatally.sources.scratch import settle
@@ -40,9 +40,8 @@ def preview(df: DataFrame, n: int = 50) -> DataFrame:
 
 def imputed_cells(pairs: DataFrame, original: str, imputed: str) -> DataFrame:
     """One row per hour with ``is_imputed``: no original reading, but an imputed one."""
-    long = pairs.select(
-        METER, DAY, F.posexplode(F.arrays_zip(F.col(original), F.col(imputed))).alias("hour", "_pair")
-    )
+    zipped = F.arrays_zip(F.col(original), F.col(imputed))
+    long = explode_hours(pairs, zipped, ("hour", "_pair"), METER, DAY)
     cells = long.select(
         METER,
         DAY,

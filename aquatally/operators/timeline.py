@@ -51,9 +51,22 @@ def block_window() -> "Window":
     return Window.partitionBy(*BLOCK_KEYS).orderBy(DAY)
 
 
+def _whole_row(rows: DataFrame) -> Column:
+    """A value that needs every column of the row.
+
+    A summary and the rows it goes back to come from one blocked table.  If the summary
+    read fewer columns, Spark would prune the others below its shuffle and then run the
+    two as separate shuffles, each from the source.  Reading the whole row keeps them one.
+    """
+    return F.xxhash64(*rows.columns)
+
+
 def with_carry(rows: DataFrame, carries: Mapping[str, Carry]) -> DataFrame:
     """Add, to each row of a blocked table, what the other blocks of its meter carry."""
-    summary = rows.groupBy(*BLOCK_KEYS).agg(*[c.per_block.alias(n) for n, c in carries.items()])
+    summary = rows.groupBy(*BLOCK_KEYS).agg(
+        *[c.per_block.alias(n) for n, c in carries.items()], F.max(_whole_row(rows)).alias("_row")
+    )
+    summary = summary.filter(F.col("_row").isNotNull())  # true of every group
     order = Window.partitionBy(METER).orderBy(BLOCK)
     sides = {
         "before": order.rowsBetween(Window.unboundedPreceding, -1),
@@ -83,6 +96,7 @@ def with_neighbours(df: DataFrame, reach: int = 1, after: bool = True, vec: str
     """
     inside = block_window()
     rows = by_block(df)
+    whole_row = _whole_row(rows).alias("_row")
     rows = rows.withColumn("_rn", F.row_number().over(inside))
     rows = rows.withColumn("_size", F.count(F.lit(1)).over(Window.partitionBy(*BLOCK_KEYS)))
     rows = rows.withColumn("_back", F.col("_size") - F.col("_rn") + 1)
@@ -90,18 +104,23 @@ def with_neighbours(df: DataFrame, reach: int = 1, after: bool = True, vec: str
     near = range(1, reach + 1)
     along = Window.partitionBy(METER).orderBy(DAY)
     rim = rows.filter((F.col("_rn") <= reach) | (F.col("_back") <= reach)).select(
-        *BLOCK_KEYS, "_rn", "_back", "_size", DAY, vec
+        *BLOCK_KEYS, "_rn", "_back", "_size", DAY, vec, whole_row
     )
     first, last = F.col("_rn") == 1, F.col("_back") == 1
     beside = rim.select(
         *BLOCK_KEYS,
+        "_row",
         F.when(first, F.array(*[F.lag(vec, k).over(along) for k in near])).alias("_left"),
         F.when(last, F.array(*[F.lead(vec, k).over(along) for k in near])).alias("_right"),
         F.sum(F.when(first, F.col("_size"))).over(Window.partitionBy(METER)).alias("_days"),
     )
     halo = beside.groupBy(*BLOCK_KEYS).agg(
-        F.max("_left").alias("_left"), F.max("_right").alias("_right"), F.max("_days").alias("_days")
+        F.max("_left").alias("_left"),
+        F.max("_right").alias("_right"),
+        F.max("_days").alias("_days"),
+        F.max("_row").alias("_row"),
     )
+    halo = halo.filter(F.col("_row").isNotNull()).drop("_row")
     joined = rows.join(halo, list(BLOCK_KEYS), "left")
 
     def before(k: int) -> Column:

@@ -63,22 +63,23 @@ def wide(df: DataFrame) -> DataFrame:
     return shown(df, *[c for c in df.columns if c.startswith("index_")])
 
 
+def core(df: DataFrame) -> DataFrame:
+    """The readings without the columns that are only carried along."""
+    return df.select(METER, DAY, VEC)
+
+
 def days(spark, sf):
-    return derived.days(spark, sf)
+    return core(derived.days(spark, sf))
 
 
 def dirty(spark, sf):
-    return derived.dirty_days(spark, sf)
+    return core(derived.dirty_days(spark, sf))
 
 
 def filled(spark, sf):
     return fast.impute_fast(days(spark, sf))
 
 
-def core(df: DataFrame) -> DataFrame:
-    return df.select(METER, DAY, VEC)
-
-
 def with_original(spark, sf) -> DataFrame:
     """Filled readings beside their originals."""
     return with_filled(days(spark, sf))
@@ -100,7 +101,7 @@ def mask(pairs: DataFrame) -> DataFrame:
 def valued(pairs: DataFrame, names: dict[str, str]) -> DataFrame:
     """Cells of several arrays of a row, one column each."""
     zipped = F.arrays_zip(*[F.col(c) for c in names])
-    long = pairs.select(METER, DAY, F.posexplode(zipped).alias("hour", "_z"))
+    long = reshape.explode_hours(pairs, zipped, ("hour", "_z"), METER, DAY)
     out = long.select(METER, DAY, "hour", *[F.col(f"_z.{c}").alias(n) for c, n in names.items()])
     return shown(out, *names.values())
 
@@ -110,7 +111,7 @@ def valued(pairs: DataFrame, names: dict[str, str]) -> DataFrame:
 
 def scan_csv(spark, sf):
     path = scratch.new_path(spark, "readings-csv")
-    sinks.write_readings(days(spark, sf), path, "csv")
+    sinks.write_readings(derived.days(spark, sf), path, "csv")
     return wide(readings.read_readings(spark, path))
 
 
@@ -151,21 +152,21 @@ def write_gap_report(spark, sf):
 
 
 def wide_to_long(spark, sf):
-    long = reshape.to_long(core(days(spark, sf)))
+    long = reshape.to_long(days(spark, sf))
     return shown(long.select(METER, DAY, "hour", "ts", "reading"), "reading")
 
 
 def long_to_wide(spark, sf):
-    return wide(reshape.to_wide(reshape.to_long(core(days(spark, sf)))))
+    return wide(reshape.to_wide(reshape.to_long(days(spark, sf))))
 
 
 def day_vectors(spark, sf):
-    unpacked = reshape.unpack(core(days(spark, sf)))
+    unpacked = reshape.unpack(days(spark, sf))
     return wide(reshape.unpack(reshape.pack(unpacked)))
 
 
 def row_positions(spark, sf):
-    rows = days(spark, sf).select(METER, "calibre", DAY)
+    rows = derived.days(spark, sf).select(METER, "calibre", DAY)
     return shown(select.with_position(rows, [DAY])).withColumn("position", F.col("position").cast("bigint"))
 
 
@@ -173,7 +174,7 @@ def row_positions(spark, sf):
 
 
 def sample_above(spark, sf):
-    return shown(select.sample_above(core(days(spark, sf)), 10000).select(METER, DAY, "hour", "reading"), "reading")
+    return shown(select.sample_above(days(spark, sf), 10000).select(METER, DAY, "hour", "reading"), "reading")
 
 
 def parse_dates(spark, sf):
@@ -203,7 +204,7 @@ def points(series: DataFrame) -> DataFrame:
 
 def attach_original(spark, sf):
     original = pairing.first_load(derived.loaded_twice(spark, sf), "load_seq")
-    pairs = pairing.attach_original(core(filled(spark, sf)), original)
+    pairs = pairing.attach_original(filled(spark, sf), original)
     return valued(pairs, {VEC: "val_imp", "v_orig": "val_orig"})
 
 
@@ -225,7 +226,7 @@ def observed(spark, sf):
 
 def low_rank(spark, sf) -> DataFrame:
     """Refined readings beside the cleaned ones."""
-    clean = cleaning.clean(core(dirty(spark, sf))).withColumn("known", F.col(VEC))
+    clean = cleaning.clean(dirty(spark, sf)).withColumn("known", F.col(VEC))
     start = filling.carry_whole_days(filling.interpolate_day(clean))
     return lowrank.refine_by_meter(start, "known")
 
@@ -242,18 +243,18 @@ def refine_low_rank_facts(spark, sf):
 
 
 def refine_whole_table(spark, sf):
-    clean = cleaning.clean(core(dirty(spark, sf))).withColumn("known", F.col(VEC))
+    clean = cleaning.clean(dirty(spark, sf)).withColumn("known", F.col(VEC))
     start = filling.zero_fill(filling.carry_whole_days(filling.interpolate_day(clean)))
     return cells(lowrank.refine_whole_table(start, "known"))
 
 
 def impute_scientific(spark, sf):
-    return cells(scientific.impute_scientific(dirty(spark, sf)))
+    return cells(scientific.impute_scientific(derived.dirty_days(spark, sf)))
 
 
 def scientific_facts(spark, sf):
-    result = scientific.impute_scientific(core(dirty(spark, sf)))
-    known = cleaning.clean(core(dirty(spark, sf))).withColumnRenamed(VEC, "known")
+    result = scientific.impute_scientific(dirty(spark, sf))
+    known = cleaning.clean(dirty(spark, sf)).withColumnRenamed(VEC, "known")
     rows = with_previous_day(result, "_previous").join(known, [METER, DAY])
     last = F.get("_previous", F.lit(HOURS - 1))
     line = F.concat(F.array(last), F.col(VEC))
@@ -272,7 +273,7 @@ def hybrid_routing(spark, sf):
     rows = days(spark, sf)
     large = gaps.gap_classes_by_meter(rows).filter(F.col("large_gaps") > 0)
     large = large.select(METER, F.lit(True).alias("hard"))
-    result = scientific.impute_hybrid(core(rows), force_lowrank=False)
+    result = scientific.impute_hybrid(rows, force_lowrank=False)
     means = comparison.series_stats(result).select(METER, "mean").join(large, METER, "left")
     hard = F.coalesce("hard", F.lit(False))
     return means.select(METER, hard.alias("hard"), F.when(~hard, r6("mean")).alias("easy_mean"))
@@ -284,17 +285,17 @@ def clip_negative(spark, sf):
 
 
 def restore_known(spark, sf):
-    known = cleaning.clean(core(dirty(spark, sf))).withColumnRenamed(VEC, "known")
+    known = cleaning.clean(dirty(spark, sf)).withColumnRenamed(VEC, "known")
     refilled = core(fast.impute_fast(dirty(spark, sf)))
     return cells(filling.restore_known(refilled.join(known, [METER, DAY]), "known"))
 
 
 def impute_fast_rows(spark, sf):
-    return cells(fast.impute_fast_rows(core(days(spark, sf)), [DAY, METER]))
+    return cells(fast.impute_fast_rows(days(spark, sf), [DAY, METER]))
 
 
 def impute_scientific_rows(spark, sf):
-    return cells(scientific.impute_scientific_rows(core(dirty(spark, sf)), [DAY, METER]))
+    return cells(scientific.impute_scientific_rows(dirty(spark, sf), [DAY, METER]))
 
 
 # smoothing
@@ -306,12 +307,12 @@ def write_back(spark, sf):
 
 
 def clamp_gap_days(spark, sf):
-    paired = pairing.attach_original(core(dirty(spark, sf)), days(spark, sf))
+    paired = pairing.attach_original(dirty(spark, sf), days(spark, sf))
     return cells(smoothing.clamp_gap_days(paired, "v_orig"))
 
 
 def align_and_smooth(spark, sf):
-    return cells(scientific.align_and_smooth(core(filled(spark, sf)), derived.loaded_twice(spark, sf), "load_seq"))
+    return cells(scientific.align_and_smooth(filled(spark, sf), derived.loaded_twice(spark, sf), "load_seq"))
 
 
 # gaps
@@ -367,6 +368,11 @@ def comparison_points(spark, sf):
     return compared(comparison.comparison_points(days(spark, sf), filled(spark, sf), chosen(spark, sf)))
 
 
+def dashboard(table: DataFrame) -> DataFrame:
+    wide_columns = reshape.unpack(table).columns
+    return comparison.dashboard(table, len(wide_columns))
+
+
 def smoothing_difference(spark, sf):
     # one pass keeps both: the filled readings travel beside the smoothed ones
     both = smoothed(spark, sf)
@@ -403,7 +409,7 @@ def queries() -> dict[str, Query]:
         "parse_dates": parse_dates,
         "every_nth_point": lambda s, d: points(select.every_nth_point(network_pair(s, d), 6, ["ts"])),
         "every_nth_hour": lambda s, d: shown(
-            select.every_nth_hour(core(days(s, d)), 72).select(METER, DAY, "hour", "reading"), "reading"
+            select.every_nth_hour(days(s, d), 72).select(METER, DAY, "hour", "reading"), "reading"
         ),
         "first_points": lambda s, d: points(select.first_points(network_pair(s, d), 45 * 24, ["ts"])),
         "attach_original": attach_original,
@@ -426,7 +432,7 @@ def queries() -> dict[str, Query]:
         "zero_fill": lambda s, d: cells(filling.zero_fill(days(s, d))),
         "clamp_day": lambda s, d: cells(filling.clamp_day(dirty(s, d))),
         "impute_fast": lambda s, d: cells(filled(s, d)),
-        "impute_fast_clamped": lambda s, d: cells(fast.impute_fast(core(days(s, d)), clamp_timeline=True)),
+        "impute_fast_clamped": lambda s, d: cells(fast.impute_fast(days(s, d), clamp_timeline=True)),
         "impute_fast_rows": impute_fast_rows,
         "clamp_timeline": lambda s, d: cells(filling.clamp_timeline(dirty(s, d))),
         "refine_low_rank": lambda s, d: cells(low_rank(s, d)),
@@ -436,20 +442,20 @@ def queries() -> dict[str, Query]:
         "clip_negative": clip_negative,
         "impute_scientific": impute_scientific,
         "impute_scientific_smoothed": lambda s, d: cells(
-            scientific.impute_scientific(core(dirty(s, d)), apply_smoothing=True)
+            scientific.impute_scientific(dirty(s, d), apply_smoothing=True)
         ),
         "impute_scientific_rows": impute_scientific_rows,
         "scientific_facts": scientific_facts,
-        "impute_hybrid": lambda s, d: cells(scientific.impute_hybrid(core(days(s, d)), force_lowrank=False)),
+        "impute_hybrid": lambda s, d: cells(scientific.impute_hybrid(days(s, d), force_lowrank=False)),
         "hybrid_routing": hybrid_routing,
         "empty_days_null": lambda s, d: cells(fast.impute_fast(days(s, d), empty_days="null")),
         "empty_days_dropped": lambda s, d: cells(fast.impute_fast(days(s, d), empty_days="drop")),
         "empty_days_interpolated": lambda s, d: cells(
-            filling.apply_empty_day_policy(core(days(s, d)), "interpolate")
+            filling.apply_empty_day_policy(days(s, d), "interpolate")
         ),
         "average_day": lambda s, d: cells(smoothing.average_day(filled(s, d), 11)),
         "fit_day": lambda s, d: cells(smoothing.fit_day(filled(s, d), 11)),
-        "spline_day": lambda s, d: cells(smoothing.spline_day(core(filled(s, d)))),
+        "spline_day": lambda s, d: cells(smoothing.spline_day(filled(s, d))),
         "write_back": write_back,
         "clamp_gap_days": clamp_gap_days,
         "smooth_imputed_average": lambda s, d: cells(
@@ -459,7 +465,7 @@ def queries() -> dict[str, Query]:
         "smooth_imputed_spline": lambda s, d: cells(
             smoothing.smooth_imputed(with_original(s, d), "orig", "spline")
         ),
-        "smooth_timeline": lambda s, d: cells(smoothing.smooth_timeline(core(filled(s, d)))),
+        "smooth_timeline": lambda s, d: cells(smoothing.smooth_timeline(filled(s, d))),
         "smooth_day_keep_observed": lambda s, d: cells(
             smoothing.smooth_day_keep_observed(with_original(s, d), "orig")
         ),
@@ -510,7 +516,7 @@ def queries() -> dict[str, Query]:
         "comparison_meters": chosen,
         "comparison_points": comparison_points,
         "comparison_totals": lambda s, d: comparison.comparison_totals(days(s, d), chosen(s, d)),
-        "dashboard": lambda s, d: comparison.dashboard(days(s, d), len(days(s, d).columns) - 1 + HOURS),
+        "dashboard": lambda s, d: dashboard(derived.days(s, d)),
         "smoothing_difference": smoothing_difference,
         "value_ranges": lambda s, d: shown(comparison.value_ranges(days(s, d)), "min", "max", "mean"),
         "workload": lambda s, d: shown(comparison.workload(days(s, d)), "rows_per_meter"),
