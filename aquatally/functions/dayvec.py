@@ -97,18 +97,29 @@ def fill_forward_back(v: Column) -> Column:
     return _with_neighbours(v, lambda hour, before, after: F.coalesce(before[1], after[1]))
 
 
+def _no_cells(n: Column | int) -> Column:
+    return F.array_repeat(F.lit(None).cast("double"), n)
+
+
 def running_max(v: Column) -> Column:
     """Non-decreasing day: each cell raised to the largest cell so far; nulls stay.
 
-    Most days already rise, which one native sort shows; only the others are scanned.
+    Most days already rise, which one native sort shows.  The others take six passes:
+    after a pass over distance d every cell knows the 2d cells that end in it, which
+    covers the 62 cells a day may have.  Cells are fetched by position throughout,
+    because ``slice`` copies the whole array each time.
     """
 
     def over_cells(cells: Column) -> Column:
-        def raised(x: Column, hour: Column) -> Column:
-            return F.when(x.isNotNull(), F.array_max(F.slice(cells, F.lit(1), hour + 1)))
+        def widen(level: Column, distance: int) -> Column:
+            wider = F.transform(level, lambda x, i: F.greatest(x, F.get(level, i - distance)))
+            return wider if distance == 32 else bind(wider, lambda w: widen(w, 2 * distance))
 
-        rises = bind(F.array_compact(cells), lambda known: F.array_sort(known) == known)
-        return F.when(rises, cells).otherwise(F.transform(cells, raised))
+        def known_only(top: Column, x: Column) -> Column:
+            return F.when(x.isNotNull(), top)
+
+        rises = bind(F.array_compact(cells), lambda known: F.sort_array(known) == known)
+        return F.when(rises, cells).otherwise(F.zip_with(widen(cells, 1), cells, known_only))
 
     return bind(v, over_cells)
 
@@ -118,42 +129,68 @@ def frame(width: int) -> tuple[int, int]:
     return width // 2, (width - 1) // 2
 
 
-def mean_of_known(cells: Column) -> Column:
-    """Mean of the non-null cells, null when there are none."""
+def _window_sums(cells: Column, width: int, n: Column) -> Column:
+    """Sums of ``width`` neighbouring cells, for the first ``n`` starting cells.
 
-    def over(known: Column) -> Column:
-        total = F.aggregate(known, F.lit(0.0), lambda a, x: a + x)
-        return F.when(F.size(known) > 0, total / F.size(known))
+    Sums over 2, 4, 8 ... cells come from the ones before; those in the binary form of
+    the width make up the window, so no cell is added once per window.
+    """
 
-    return bind(F.array_compact(cells), over)
+    def step(level: Column, span: int, parts: list[tuple[Column, int]], taken: int) -> Column:
+        if width & span:
+            parts, taken = [*parts, (level, taken)], taken + span
+        if 2 * span > width:
 
+            def total(i: Column) -> Column:
+                terms = [F.get(part, i + at) for part, at in parts]
+                out = terms[0]
+                for term in terms[1:]:
+                    out = out + term
+                return out
 
-def window_cells(cells: Column, position: Column, width: int) -> Column:
-    """The cells of a centred window around a 0-based position, cut at both ends."""
-    before, after = frame(width)
-    first = F.greatest(position - before, F.lit(0))
-    last = F.least(position + after, F.size(cells) - 1)
-    return F.slice(cells, first + 1, last - first + 1)
+            return F.transform(F.sequence(F.lit(0), n - 1), total)
+        doubled = F.transform(level, lambda a, i: a + F.coalesce(F.get(level, i + span), F.lit(0.0)))
+        return bind(doubled, lambda wider: step(wider, 2 * span, parts, taken))
+
+    return bind(cells, lambda bound: step(bound, 1, [], 0))
+
+
+def window_means(padded: Column, width: int) -> Column:
+    """Mean of the known cells in each window of ``width`` cells, null where there are none.
+
+    The array carries its margins: one window starts at each cell but the last
+    ``width - 1``, and a null cell counts for nothing.
+    """
+
+    def over_cells(cells: Column) -> Column:
+        n = F.size(cells) - (width - 1)
+        sums = _window_sums(F.transform(cells, lambda x: F.coalesce(x, F.lit(0.0))), width, n)
+        marks = F.transform(cells, lambda x: F.when(x.isNull(), F.lit(0.0)).otherwise(F.lit(1.0)))
+        counts = _window_sums(marks, width, n)
+        full = F.size(F.array_compact(cells)) == F.size(cells)
+        by_width = F.transform(sums, lambda s: s / width)
+        by_count = F.zip_with(sums, counts, lambda s, c: F.when(c > 0, s / c))
+        return F.when(full, by_width).otherwise(by_count)
+
+    return bind(padded, over_cells)
 
 
 def moving_average(v: Column, width: int) -> Column:
     """Centred mean over ``width`` hours of the day, one known cell being enough."""
-    return bind(
-        v,
-        lambda cells: F.transform(
-            cells, lambda x, hour: mean_of_known(window_cells(cells, hour, width))
-        ),
-    )
+    before, after = frame(width)
+    return window_means(F.concat(_no_cells(before), v, _no_cells(after)), width)
+
 
+def median_of(values: Column) -> Column:
+    """Median of the non-null elements of an array, null when there are none."""
 
-def _median(cells: Column) -> Column:
     def over(known: Column) -> Column:
         n = F.size(known)
         low = F.get(known, F.floor((n - 1) / 2).cast("int"))
         high = F.get(known, F.floor(n / 2).cast("int"))
         return (low + high) / 2
 
-    return bind(F.array_sort(F.array_compact(cells)), over)
+    return bind(F.sort_array(F.array_compact(values)), over)
 
 
 def zero_to_null(v: Column) -> Column:
@@ -165,16 +202,19 @@ def drop_spikes(
 ) -> Column:
     """Null a cell that exceeds ``factor`` times the centred median, when that exceeds ``floor``."""
 
+    before, after = frame(width)
+
     def over_cells(cells: Column) -> Column:
         def judge(x: Column, hour: Column) -> Column:
+            around = [F.get(cells, hour + k) for k in range(-before, after + 1)]
+
             def against(median: Column) -> Column:
                 spike = (x > median * factor) & (median > floor)
                 return F.when(~F.coalesce(spike, F.lit(False)), x)
 
-            # a cell that no other cell of the window can undercut by the factor is no spike
+            # no median is below the smallest cell, so most cells need no median at all
             return F.when(
-                x > F.array_min(window_cells(cells, hour, width)) * factor,
-                bind(_median(window_cells(cells, hour, width)), against),
+                x > F.least(*around) * factor, bind(median_of(F.array(*around)), against)
             ).otherwise(x)
 
         return F.transform(cells, judge)
@@ -217,8 +257,7 @@ def steps(v: Column) -> Column:
     return bind(
         v,
         lambda cells: F.transform(
-            F.slice(cells, F.lit(1), F.size(cells) - 1),
-            lambda x, hour: F.get(cells, hour + 1) - x,
+            F.sequence(F.lit(0), F.size(cells) - 2), lambda i: F.get(cells, i + 1) - F.get(cells, i)
         ),
     )
 
@@ -246,24 +285,18 @@ def gap_runs(v: Column) -> Column:
     return bind(v, over_cells)
 
 
-def median_of(values: Column) -> Column:
-    """Median of an array, null when it is empty."""
-    return _median(values)
-
-
 def banded_map(v: Column, starts: Sequence[int], rows: Sequence[Sequence[float]]) -> Column:
     """Fixed linear map given by a band: cell i = rows[i] . v[starts[i] : starts[i]+len(rows[i])]."""
     band = F.array(
         *[
-            F.struct(F.lit(int(s) + 1).alias("s"), F.array(*[F.lit(float(w)) for w in r]).alias("w"))
+            F.struct(F.lit(int(s)).alias("s"), F.array(*[F.lit(float(w)) for w in r]).alias("w"))
             for s, r in zip(starts, rows)
         ]
     )
 
     def over_cells(cells: Column) -> Column:
         def dot(line: Column) -> Column:
-            part = F.slice(cells, line["s"], F.size(line["w"]))
-            products = F.zip_with(part, line["w"], lambda x, w: x * w)
+            products = F.transform(line["w"], lambda w, j: w * F.get(cells, line["s"] + j))
             return F.aggregate(products, F.lit(0.0), lambda a, x: a + x)
 
         return F.transform(band, dot)

@@ -81,8 +81,8 @@ def _project(v: Column, projection: Column, hours: int) -> Column:
     """Row vector times a symmetric matrix stored row by row."""
 
     def cell(hour: Column) -> Column:
-        line = F.slice(projection, hour * hours + 1, F.lit(hours))
-        return F.aggregate(F.zip_with(v, line, lambda x, w: x * w), F.lit(0.0), lambda a, x: a + x)
+        products = F.transform(v, lambda x, j: x * F.get(projection, hour * hours + j))
+        return F.aggregate(products, F.lit(0.0), lambda a, x: a + x)
 
     return F.transform(F.sequence(F.lit(0), F.lit(hours - 1)), cell)
 

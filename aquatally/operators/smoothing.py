@@ -109,24 +109,19 @@ def _average_along(df: DataFrame, width: int, vec: str, hours: int, into: str) -
     before, after = dayvec.frame(width)
     reach = max(1, math.ceil(before / hours))
     rows = with_neighbours(df, reach, vec=vec)
-    left = F.flatten(F.reverse(_beside("_before")))
-    rows = rows.withColumn("_left", left).withColumn("_right", F.flatten(_beside("_after")))
-    n = F.least(F.size("_left"), F.lit(before))
-    rows = rows.withColumn("_left", F.slice("_left", F.size("_left") - n + 1, n))
-    rows = rows.withColumn("_right", F.slice("_right", F.lit(1), F.lit(max(after, 1))))
-    rows = rows.withColumn("_context", F.concat("_left", vec, "_right"))
-
-    def cell(_: Column, hour: Column) -> Column:
-        return dayvec.mean_of_known(
-            dayvec.window_cells(F.col("_context"), F.size("_left") + hour, width)
-        )
-
-    short = F.col("_days") * hours < width
-    return (
-        rows.withColumn("_short", short)
-        .withColumn(into, F.when(F.col("_short"), F.col(vec)).otherwise(F.transform(vec, cell)))
-        .drop("_before", "_after", "_left", "_right", "_context", "_days")
+    nothing = F.lit(None).cast("double")
+    left = F.concat(F.array_repeat(nothing, before), F.flatten(F.reverse(_beside("_before"))))
+    right = F.concat(F.flatten(_beside("_after")), F.array_repeat(nothing, after))
+    rows = rows.withColumn("_left", left).withColumn("_right", right)
+    # exactly the cells the windows of this day reach, null beyond the ends of the series
+    context = F.concat(
+        F.slice("_left", F.size("_left") - before + 1, F.lit(before)),
+        vec,
+        F.slice("_right", F.lit(1), F.lit(after)),
     )
+    rows = rows.withColumn("_short", F.col("_days") * hours < width)
+    mean = F.when(F.col("_short"), F.col(vec)).otherwise(dayvec.window_means(context, width))
+    return rows.withColumn(into, mean).drop("_before", "_after", "_left", "_right", "_days")
 
 
 def smooth_timeline(

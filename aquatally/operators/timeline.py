@@ -42,9 +42,15 @@ def earliest(c: Column) -> Column:
 
 
 def by_block(df: DataFrame, period: str = "month") -> DataFrame:
-    """Spread rows by meter and calendar block."""
+    """Spread rows by meter and calendar block.
+
+    A row without meter or day belongs to no timeline and is left out.  Saying so here
+    also gives every reader of the blocks the same filter, hence the same shuffle.
+    """
     require(df, METER, DAY)
-    return df.withColumn(BLOCK, F.trunc(DAY, period)).repartition(METER, BLOCK)
+    rows = df.withColumn(BLOCK, F.trunc(DAY, period))
+    placed = F.col(METER).isNotNull() & F.col(DAY).isNotNull() & F.col(BLOCK).isNotNull()
+    return rows.filter(placed).repartition(METER, BLOCK)
 
 
 def block_window() -> "Window":
@@ -76,7 +82,8 @@ def with_carry(rows: DataFrame, carries: Mapping[str, Carry]) -> DataFrame:
     moved = summary.select(
         *BLOCK_KEYS, *[c.combine(F.col(n)).over(sides[c.side]).alias(n) for n, c in carries.items()]
     )
-    return rows.join(moved, list(BLOCK_KEYS), "left")
+    # every block has its summary; an inner join puts the same conditions on both sides
+    return rows.join(moved, list(BLOCK_KEYS))
 
 
 def with_ordinal(df: DataFrame, into: str = "_ordinal") -> DataFrame:
@@ -121,7 +128,7 @@ def with_neighbours(df: DataFrame, reach: int = 1, after: bool = True, vec: str
         F.max("_row").alias("_row"),
     )
     halo = halo.filter(F.col("_row").isNotNull()).drop("_row")
-    joined = rows.join(halo, list(BLOCK_KEYS), "left")
+    joined = rows.join(halo, list(BLOCK_KEYS))
 
     def before(k: int) -> Column:
         outside = F.get("_left", F.lit(k) - F.col("_rn"))

@@ -38,8 +38,8 @@ def _running() -> Column:
     """Running total at each hour, null before the meter's first event."""
     return F.expr(
         """transform(used, (u, hour) -> if(
-               before is not null or exists(slice(used, 1, hour + 1), x -> x is not null),
-               aggregate(slice(used, 1, hour + 1), coalesce(before, 0L), (a, x) -> a + coalesce(x, 0L)),
+               before is not null or exists(sequence(0, hour), i -> get(used, i) is not null),
+               aggregate(sequence(0, hour), coalesce(before, 0L), (a, i) -> a + coalesce(get(used, i), 0L)),
                null))"""
     )
 
