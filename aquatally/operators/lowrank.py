@@ -30,14 +30,16 @@ def refine_by_meter(
     vec: str = VEC,
     hours: int = HOURS,
     days_per_task: int = DAYS_PER_TASK,
+    counted: DataFrame | None = None,
 ) -> DataFrame:
     """Refine the cells that are null in ``known``, starting from the filled ``vec``,
     which has the known cells as they are.
 
     Meters are independent.  Whether any is too long for a task is asked of the data
-    first, by a count over the meter column alone.
+    first, by a count over the meter column alone; ``counted`` may name a table with as
+    many rows per meter that is cheaper to read, such as the input of the whole chain.
     """
-    sizes = df.groupBy(METER).agg(F.count(F.lit(1)).alias("_n"))
+    sizes = (df if counted is None else counted).groupBy(METER).agg(F.count(F.lit(1)).alias("_n"))
     long_meters = sizes.filter(F.col("_n") > days_per_task).select(METER)
     args = (known, n_components, max_iterations, tolerance, vec, hours)
     if long_meters.isEmpty():

@@ -13,6 +13,7 @@ from aquatally.operators.gaps import gap_classes_by_meter
 from aquatally.operators.pairing import KEYS, attach_original, first_load
 from aquatally.plans.fast import impute_fast
 from aquatally.schema import DAY, HOURS, METER, VEC, require
+from aquatally.sources.scratch import settle
 
 
 def on_readings(df: DataFrame, step: Callable[[DataFrame], DataFrame], vec: str = VEC) -> DataFrame:
@@ -56,7 +57,7 @@ def impute_scientific(
         rows = filling.interpolate_day(rows.withColumn(vec, F.col("_clean")), vec)
         rows = filling.carry_whole_days(rows, vec)
         rows = lowrank.refine_by_meter(
-            rows, "_clean", n_components, max_iterations, tolerance, vec, hours
+            rows, "_clean", n_components, max_iterations, tolerance, vec, hours, counted=df
         )
         rows = filling.restore_known(rows, "_clean", vec)
         if enforce_monotonicity:
@@ -131,7 +132,9 @@ def impute_hybrid(
 
     if force_lowrank:
         return scientific(df)
-    large = gap_classes_by_meter(df, gap_threshold_hours, vec).filter(F.col("large_gaps") > 0).select(METER)
+    # settled, since both halves ask it: one row per meter instead of the gap search twice
+    classes = gap_classes_by_meter(df, gap_threshold_hours, vec)
+    large = settle(classes.filter(F.col("large_gaps") > 0).select(METER))
     easy = impute_fast(df.join(large, METER, "left_anti"), vec=vec).select(*df.columns)
     hard = scientific(df.join(large, METER, "left_semi")).select(*df.columns)
     return easy.unionByName(hard)
