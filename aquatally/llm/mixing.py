@@ -56,55 +56,58 @@ def source_targets(sizes: DataFrame, weights: Sequence[int], most: int) -> DataF
     return table.select("source", "source_size", target.alias("target"))
 
 
-def flight(chances: np.ndarray, sizes: np.ndarray, draws: np.random.Generator) -> np.ndarray:
-    """Cube method: chances moved to 0 or 1, but for two at most, keeping both their sum and
-    the sum of chance times size.
+SPARE = 10
+
+
+def flight(chances: np.ndarray, sizes: np.ndarray, draws: np.random.Generator, spare: int = SPARE) -> np.ndarray:
+    """Cube method: chances moved to 0 or 1, keeping both their sum and the sum of chance times size.
 
     Three undecided units at a time span a direction that changes neither sum; a fair step
-    along it decides one of them at least, and the next unit takes its place.
+    along it decides one of them at least, and the next unit takes its place.  The last
+    ``spare`` units and two more at most stay undecided.
     """
     out = chances.astype(float).copy()
-    waiting = [i for i in range(len(out)) if 1e-9 < out[i] < 1 - 1e-9]
+    undecided = np.flatnonzero((out > 1e-9) & (out < 1 - 1e-9)).tolist()
     out[out <= 1e-9], out[out >= 1 - 1e-9] = 0.0, 1.0
-    coins = draws.random(len(waiting) + 1)
+    flying = undecided[: max(0, len(undecided) - spare)]
+    coins = draws.random(len(flying) + 1)
     hand: list[tuple[int, float, float]] = []
-    turn = 0
-    for i in waiting:
+    for turn, i in enumerate(flying):
         hand.append((i, out[i], float(sizes[i])))
         if len(hand) < 3:
             continue
-        (a, pa_, sa), (b, pb, sb), (c, pc, sc) = hand
-        ua, ub, uc = sb - sc, sc - sa, sa - sb
-        if ua == ub == uc == 0.0:
-            ua, ub, uc = 1.0, -1.0, 0.0
+        (_, _, s0), (_, _, s1), (_, _, s2) = hand
+        along = (s1 - s2, s2 - s0, s0 - s1) if not s0 == s1 == s2 else (1.0, -1.0, 0.0)
         up = down = float("inf")
-        for p, u in ((pa_, ua), (pb, ub), (pc, uc)):
+        for (_, p, _), u in zip(hand, along):
             if u > 0:
                 up, down = min(up, (1 - p) / u), min(down, p / u)
             elif u < 0:
                 up, down = min(up, p / -u), min(down, (1 - p) / -u)
         step = up if coins[turn] * (up + down) < down else -down
-        turn += 1
-        hand = []
-        for j, p, u, s in ((a, pa_, ua, sa), (b, pb, ub, sb), (c, pc, uc, sc)):
+        left = []
+        for (j, p, s), u in zip(hand, along):
             p += step * u
-            if p <= 1e-9 or p >= 1 - 1e-9:
-                out[j] = 0.0 if p <= 1e-9 else 1.0
+            if 1e-9 < p < 1 - 1e-9:
+                left.append((j, p, s))
             else:
-                hand.append((j, p, s))
+                out[j] = 0.0 if p <= 1e-9 else 1.0
+        hand = left
     for j, p, _ in hand:
         out[j] = p
     return out
 
 
 def land(chances: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """Decides the few units a last flight leaves, largest first, so that words stay near their sum."""
+    """Decides what a flight left: of all choices the one nearest to the sums that were owed,
+    words first and documents second."""
     out = chances.copy()
-    open_units = np.flatnonzero((out > 0) & (out < 1))
-    owed = float((out[open_units] * sizes[open_units]).sum())
-    for i in sorted(open_units.tolist(), key=lambda j: (-sizes[j], j)):
-        out[i] = 1.0 if owed >= sizes[i] / 2 else 0.0
-        owed -= out[i] * sizes[i]
+    units = np.flatnonzero((out > 0) & (out < 1))
+    choices = (np.arange(1 << len(units))[:, None] >> np.arange(len(units))) & 1
+    words = np.abs(choices @ sizes[units] - out[units] @ sizes[units])
+    number = np.abs(choices.sum(axis=1) - out[units].sum())
+    scale = max(1.0, float(sizes[units].mean())) if len(units) else 1.0
+    out[units] = choices[np.argmin(words / scale + number / 100)]
     return out
 
 
@@ -155,7 +158,7 @@ def mix(
     units = written(units.groupBy("source", "place").applyInPandas(_flights(seed), schema), "mix-flight-0")
     decided = [units.where("chance = 0 or chance = 1")]
     rest, level = units.where("chance > 0 and chance < 1"), 0
-    # two rows at most are left of each group; 4096 groups' leftovers meet, then all of a source's
+    # a dozen rows at most are left of each group; 4096 groups' leftovers meet, then a source's
     for together in (4096, None):
         level += 1
         place = F.floor(F.col("place") / together) if together else F.lit(0).cast("long")
@@ -202,10 +205,8 @@ def mixed_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def _flights(seed: int, last: bool = False):
     def fly(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        # the order is the rows' own, so that a task run again decides alike; long documents
-        # go first, so that short ones are left for the landing
-        rows = rows.sort_values(["size", "code", "chance"], ascending=[False, True, True])
-        rows = rows.reset_index(drop=True)
+        # the order is the rows' own, so that a task run again decides alike
+        rows = rows.sort_values(["code", "size", "chance"], kind="stable").reset_index(drop=True)
         draws = np.random.default_rng(xxhash.xxh3_64_intdigest(f"{seed}/{key[0]}/{key[1]}"))
         sizes = rows["size"].to_numpy(float)
         chances = flight(rows["chance"].to_numpy(float), sizes, draws)
