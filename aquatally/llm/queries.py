@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from aquatally.llm import line_dedup, mixing, packing
+from aquatally.llm import line_dedup, mixing, near_dedup, packing
 from aquatally.llm.util import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -35,5 +35,9 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), tokenizer_path())
 
 
+def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(documents(spark, sf_dir))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op5_line_dedup, op6_mixing, op7_packing)}
+    return {f.__name__: f for f in (op5_line_dedup, op6_mixing, op7_packing, op9_minhash_near_dedup)}
