@@ -23,5 +23,55 @@ FROM marked GROUP BY doc_id
 """
 
 
+QUALITY_RULES = """
+WITH docs AS (
+  SELECT row_number() OVER () AS r, doc_id, source, coalesce(text, '') AS text FROM documents),
+words AS (
+  SELECT r, unnest(regexp_extract_all(text, '[^ \\t\\n\\x0b\\f\\r]+')) AS word,
+    generate_subscripts(regexp_extract_all(text, '[^ \\t\\n\\x0b\\f\\r]+'), 1) AS pos FROM docs),
+windows AS (
+  SELECT r, pos, word, CASE WHEN lead(pos, 4) OVER w IS NOT NULL THEN
+    [word, lead(word, 1) OVER w, lead(word, 2) OVER w, lead(word, 3) OVER w, lead(word, 4) OVER w] END AS five
+  FROM words WINDOW w AS (PARTITION BY r ORDER BY pos)),
+twice AS (
+  SELECT r, pos, word, five IS NOT NULL AND count(*) OVER (PARTITION BY r, five) >= 2 AS again FROM windows),
+marked AS (
+  SELECT r, word, bool_or(again) OVER (PARTITION BY r ORDER BY pos ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) AS again
+  FROM twice),
+by_word AS (
+  SELECT r, count(*) AS n_words, sum(length(word)) AS word_chars, count(*) FILTER (WHERE again) AS n_repeat_words
+  FROM marked GROUP BY r),
+lines AS (SELECT r, unnest(string_split(text, chr(10))) AS line FROM docs),
+by_line AS (
+  SELECT r, count(*) - count(DISTINCT line) AS n_dup_lines FROM lines
+  WHERE regexp_matches(line, '[^ \\t\\n\\x0b\\f\\r]') GROUP BY r),
+measured AS (
+  SELECT d.r, doc_id, source, coalesce(n_words, 0) AS n_words, coalesce(word_chars, 0)::BIGINT AS word_chars,
+    length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS n_symbols,
+    coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words
+  FROM docs d LEFT JOIN by_word USING (r) LEFT JOIN by_line USING (r)),
+ruled AS (SELECT *, n_words < 10 AS short, 100 * n_repeat_words > 20 * n_words AS repetitive FROM measured),
+failures AS (
+  SELECT source, rule, count(*)::DOUBLE AS n, sum(failed::INT)::DOUBLE AS k FROM (
+    SELECT source, 'short' AS rule, short AS failed FROM ruled WHERE source IS NOT NULL UNION ALL
+    SELECT source, 'repetitive', repetitive FROM ruled WHERE source IS NOT NULL)
+  GROUP BY ALL),
+prior AS (
+  SELECT rule, count(*) AS hosts, sum(n) AS docs, sum(k) / sum(n) AS mean, sum(k * (k / n)) / sum(n) AS square
+  FROM failures GROUP BY rule),
+weighed AS (
+  SELECT rule, mean, CASE
+    WHEN square - mean * mean - mean * (1 - mean) * hosts / docs <= 0 OR hosts < 2 THEN docs / hosts
+    WHEN mean * (1 - mean) <= square - mean * mean - mean * (1 - mean) * hosts / docs THEN 0
+    ELSE mean * (1 - mean) / (square - mean * mean - mean * (1 - mean) * hosts / docs) - 1 END AS weight
+  FROM prior),
+failed_hosts AS (
+  SELECT DISTINCT source FROM failures JOIN weighed USING (rule) WHERE (k + mean * weight) / (n + weight) >= 0.9)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, short OR repetitive AS base_failed,
+  NOT (short OR repetitive) AND source IS DISTINCT FROM f AS kept
+FROM ruled LEFT JOIN (SELECT source AS f FROM failed_hosts) ON source = f
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op5_line_dedup": LINE_DEDUP}
+    return {"op1_quality_rules": QUALITY_RULES, "op5_line_dedup": LINE_DEDUP}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from aquatally.llm import line_dedup, mixing, near_dedup, packing
+from aquatally.llm import line_dedup, mixing, near_dedup, packing, quality_rules
 from aquatally.llm.util import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -19,6 +19,13 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ruled = quality_rules.apply_rules(documents(spark, sf_dir).select("doc_id", "text", "source"))
+    return ruled.select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
+    )
+
+
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = line_dedup.dedup_lines(documents(spark, sf_dir).select("doc_id", "text"))
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
@@ -40,4 +47,4 @@ def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op5_line_dedup, op6_mixing, op7_packing, op9_minhash_near_dedup)}
+    return {f.__name__: f for f in (op1_quality_rules, op5_line_dedup, op6_mixing, op7_packing, op9_minhash_near_dedup)}
