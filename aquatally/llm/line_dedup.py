@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from aquatally.llm.util import add_columns, as_bytes, quoted, written
+from aquatally.llm.util import add_columns, as_bytes, quoted, small_batches, written
 
 UPPER_TO_LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 SPACES = b" \t\n\x0b\x0c\r"
@@ -45,6 +45,7 @@ def line_keys(docs: DataFrame, id_col: str, text_col: str, min_chars: int) -> Da
                 [ids, pa.array(halves[:, 0]), pa.array(halves[:, 1])], names=["doc", *KEY]
             )
 
+    small_batches(docs.sparkSession)
     source = docs.select(quoted(id_col).cast("long").alias("doc"), quoted(text_col).alias("text"))
     return source.mapInArrow(run, "doc long, h1 long, h2 long")
 

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from aquatally.llm.graph import components
-from aquatally.llm.util import as_bytes, quoted, written
+from aquatally.llm.util import as_bytes, quoted, small_batches, written
 
 UPPER_TO_LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 BRANCHES = 2
@@ -91,6 +91,7 @@ class NearJoin:
 
     def __init__(self, docs: DataFrame, id_col: str, text_col: str, words: int, percent: int, recall: float, small: int):
         self.spark = docs.sparkSession
+        small_batches(self.spark)
         self.docs = docs.select(quoted(id_col).cast("long").alias("doc"), quoted(text_col).alias("text"))
         self.words, self.percent, self.small = words, percent, small
         self.trees = trees_for(recall, percent / 100)

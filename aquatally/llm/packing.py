@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from aquatally.llm.util import as_bytes, quoted, written
+from aquatally.llm.util import as_bytes, quoted, small_batches, written
 
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
@@ -169,6 +169,7 @@ def pack(
             yield table(done, False)
         yield table([p for pieces in held.values() for p in pieces], True)
 
+    small_batches(spark)
     source = docs.select(quoted(id_col).cast("long"), quoted(text_col))
     pieces = written(source.mapInArrow(run, fields), "pieces")
     moved = _merged_leftovers(pieces, window, open_windows)

@@ -29,6 +29,7 @@ def add_columns(
 
     Other columns pass unchanged; one whose name clashes with a new column is replaced.
     """
+    small_batches(df.sparkSession)
     new = T.StructType.fromDDL(fields)
     kept = without(df, new.names)
     source = df.select(
@@ -50,6 +51,14 @@ def add_columns(
     return source.mapInArrow(run, schema)
 
 
+def small_batches(spark: SparkSession, rows: int = 256) -> None:
+    """Texts go to Python few at a time: a batch counts rows, and a row may be a long document."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(key))
+    if now <= 0 or now > rows:
+        spark.conf.set(key, str(rows))
+
+
 def arrow_type(kind: T.DataType) -> pa.DataType:
     from pyspark.sql.pandas.types import to_arrow_type
 
