@@ -73,5 +73,62 @@ FROM ruled LEFT JOIN (SELECT source AS f FROM failed_hosts) ON source = f
 """
 
 
+_PII_PATTERNS = {
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+",
+    "ip": r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)",
+    "card": r"[0-9](?:[\x20-]?[0-9])+",
+    "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+    "iban": r"\b[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}\b",
+}
+
+
+def _pii() -> str:
+    found = " UNION ALL ".join(
+        f"SELECT r, {i} AS k, '{kind}' AS kind, regexp_extract_all(text, '{p}') AS m, "
+        f"string_split_regex(text, '{p}') AS g FROM docs"
+        for i, (kind, p) in enumerate(_PII_PATTERNS.items())
+    )
+    luhn = """list_sum(list_transform(range(length(d)), lambda i:
+      CASE WHEN i % 2 = 0 THEN d[length(d) - i]::INT
+        ELSE (d[length(d) - i]::INT * 2) // 10 + (d[length(d) - i]::INT * 2) % 10 END)) % 10 = 0"""
+    mod = """list_reduce(list_prepend(0::BIGINT, list_transform(string_split(v[5:] || v[:4], ''), lambda c:
+      CASE WHEN ascii(c) >= 65 THEN ascii(c) - 55 ELSE ascii(c) - 48 END)), lambda a, b:
+      CASE WHEN b >= 10 THEN (a * 100 + b) % 97 ELSE (a * 10 + b) % 97 END) = 1"""
+    near = r"(?i)\b(?:card|visa|mastercard|credit|karte|carte|tarjeta)\b"
+    return f"""
+WITH docs AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
+found AS ({found}),
+each AS (
+  SELECT r, k, kind, unnest(m) AS v0, unnest(g[:len(m)]) AS gap, unnest(g[2:]) AS behind,
+    unnest(range(len(m))) AS i FROM found WHERE len(m) > 0),
+placed AS (
+  SELECT *, sum(length(gap) + length(v0)) OVER (PARTITION BY r, k ORDER BY i) - length(v0) AS start,
+    regexp_replace(v0, '[^0-9]', '', 'g') AS d, replace(v0, ' ', '') AS v FROM each),
+judged AS (
+  SELECT *, start + length(v0) AS stop, CASE
+    WHEN kind = 'email' THEN true
+    WHEN kind = 'ip' THEN list_bool_and(list_transform(string_split(v0, '.'), lambda x:
+      length(ltrim(x, '0')) <= 3 AND coalesce(try_cast(ltrim(x, '0') AS INT), 0) <= 255))
+    WHEN kind = 'phone' THEN length(d) BETWEEN 8 AND 15
+    WHEN kind = 'card' THEN length(d) BETWEEN 16 AND 19 AND {luhn}
+    ELSE false END AS base, CASE
+    WHEN kind = 'card' THEN length(d) BETWEEN 13 AND 15 AND {luhn}
+      AND (regexp_matches(right(gap, 40), '{near}') OR regexp_matches(left(behind, 20), '{near}'))
+    WHEN kind = 'iban' THEN length(v) BETWEEN 15 AND 34 AND {mod}
+    ELSE false END AS added
+  FROM placed),
+kept AS (SELECT * FROM judged WHERE base OR added),
+rows AS (
+  SELECT r, count(*) FILTER (WHERE base AND kind = 'email') AS n_email, count(*) FILTER (WHERE base AND kind = 'ip') AS n_ip,
+    count(*) FILTER (WHERE base AND kind = 'card') AS n_card, count(*) FILTER (WHERE base AND kind = 'phone') AS n_phone,
+    string_agg(concat_ws(':', kind, start::BIGINT, stop::BIGINT), ',' ORDER BY k, start) FILTER (WHERE base) AS base_list,
+    string_agg(concat_ws(':', kind, start::BIGINT, stop::BIGINT), ',' ORDER BY k, start) AS spans
+  FROM kept GROUP BY r)
+SELECT doc_id, coalesce(n_email, 0) AS n_email, coalesce(n_ip, 0) AS n_ip, coalesce(n_card, 0) AS n_card,
+  coalesce(n_phone, 0) AS n_phone, sha256(coalesce(base_list, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM docs LEFT JOIN rows USING (r)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_quality_rules": QUALITY_RULES, "op5_line_dedup": LINE_DEDUP}
+    return {"op1_quality_rules": QUALITY_RULES, "op5_line_dedup": LINE_DEDUP, "op10_pii": _pii()}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from aquatally.llm import line_dedup, mixing, near_dedup, packing, quality_rules
+from aquatally.llm import line_dedup, mixing, near_dedup, packing, pii, quality_rules
 from aquatally.llm.util import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -46,5 +46,15 @@ def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(documents(spark, sf_dir))
 
 
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find_personal_data(documents(spark, sf_dir).select("doc_id", "text")).select("doc_id", "spans")
+    base = F.filter("spans", lambda s: s["base"])
+    number = lambda kind: F.size(F.filter("spans", lambda s: s["base"] & (s["kind"] == kind)))
+    counts = [number(kind).cast("long").alias(f"n_{kind}") for kind in pii.BASE]
+    return found.select(
+        "doc_id", *counts, F.sha2(pii.joined(base), 256).alias("base_sha256"), pii.joined(F.col("spans")).alias("spans")
+    )
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_quality_rules, op5_line_dedup, op6_mixing, op7_packing, op9_minhash_near_dedup)}
+    return {f.__name__: f for f in (op1_quality_rules, op5_line_dedup, op6_mixing, op7_packing, op9_minhash_near_dedup, op10_pii)}
