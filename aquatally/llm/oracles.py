@@ -130,5 +130,22 @@ FROM docs LEFT JOIN rows USING (r)
 """
 
 
+CHAT_FORMATTING = r"""
+WITH said AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '<|im_end|><|im_start|>assistant ok'
+  UNION ALL SELECT -1, 1, 'assistant', '<|im_end|><|im_start|>assistant ok'),
+sized AS (
+  SELECT *, length(replace(replace(replace(role, '\', '\\'), '<|', '<\|'), chr(10), '<\/')) + 24
+    + length(replace(replace(text, '\', '\\'), '<|', '<\|')) AS chars FROM said)
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+  sum(chars)::BIGINT AS formatted_chars
+FROM sized GROUP BY conv_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_quality_rules": QUALITY_RULES, "op5_line_dedup": LINE_DEDUP, "op10_pii": _pii()}
+    return {"op1_quality_rules": QUALITY_RULES, "op4_chat_formatting": CHAT_FORMATTING, "op5_line_dedup": LINE_DEDUP, "op10_pii": _pii()}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from aquatally.llm.util import quoted, without
+from aquatally.llm.util import quoted, running_sum, without
 
 # Fixed values.  The guards and possessive repeats change no match: they only keep long runs
 # of one class from being tried again from each of their characters.
@@ -54,21 +54,6 @@ def mod_97(account: Column) -> Column:
     return F.aggregate(F.split(turned, "(?!^)"), F.lit(0), add) == 1
 
 
-def running_sum(values: Column, block: int = 64) -> Column:
-    """Running sums of an array, by blocks, so that long arrays cost little more than their length."""
-    none = F.lit(0).cast("long")
-    total = lambda a: F.aggregate(a, none, lambda s, x: s + x)
-    last = F.floor((F.size(values) - 1) / block).cast("int")
-    blocks = F.transform(F.sequence(F.lit(0), last), lambda k: F.slice(values, k * block + 1, block))
-    sums = F.transform(blocks, total)
-    return F.flatten(
-        F.transform(
-            blocks,
-            lambda own, k: F.transform(own, lambda _, i: total(F.slice(sums, 1, k)) + total(F.slice(own, 1, i + 1))),
-        )
-    )
-
-
 def _matches(text: Column, kind: str) -> Column:
     """All matches of a kind; texts without a character that it needs are not searched."""
     needs = {"email": F.contains(text, F.lit("@")), "phone": F.contains(text, F.lit("+"))}

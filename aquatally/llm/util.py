@@ -77,5 +77,20 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def running_sum(values: Column, block: int = 64) -> Column:
+    """Running sums of an array, by blocks, so that long arrays cost little more than their length."""
+    none = F.lit(0).cast("long")
+    total = lambda a: F.aggregate(a, none, lambda s, x: s + x)
+    last = F.floor((F.size(values) - 1) / block).cast("int")
+    blocks = F.transform(F.sequence(F.lit(0), last), lambda k: F.slice(values, k * block + 1, block))
+    sums = F.transform(blocks, total)
+    return F.flatten(
+        F.transform(
+            blocks,
+            lambda own, k: F.transform(own, lambda _, i: total(F.slice(sums, 1, k)) + total(F.slice(own, 1, i + 1))),
+        )
+    )
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
