@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from aquatally.llm import chat, line_dedup, mixing, near_dedup, packing, pii, quality_rules, secret_scan
+from aquatally.llm import ann, chat, line_dedup, mixing, near_dedup, packing, pii, quality_rules, secret_scan
 from aquatally.llm.util import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -90,6 +90,11 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), tokenizer_path())
 
 
+def op8_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    return ann.nearest_by_product(vectors, vectors.where(F.col("vec_id") % 20 == 0))
+
+
 def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(documents(spark, sf_dir))
 
@@ -105,4 +110,4 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_quality_rules, op3_secret_scans, op4_chat_formatting, op5_line_dedup, op6_mixing, op7_packing, op9_minhash_near_dedup, op10_pii)}
+    return {f.__name__: f for f in (op1_quality_rules, op3_secret_scans, op4_chat_formatting, op5_line_dedup, op6_mixing, op7_packing, op8_nearest_neighbours, op9_minhash_near_dedup, op10_pii)}
