@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-import re
+import struct
 import zlib
 from bisect import bisect_left, insort
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -19,68 +20,67 @@ from aquatally.llm.util import as_bytes, quoted, small_batches, written
 
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
-# an ASCII word and the punctuation behind it are always separate tokens
-_CORE = re.compile(rb"([A-Za-z]+)([^A-Za-z0-9'\x80-\xff]*)")
+# A run of letters and the marks behind it are always separate tokens; an apostrophe may
+# begin a token of marks and letters.
+_MARKS = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum() and c != "'")
 _KNOWN: dict[str, tuple] = {}
 
 
-def word_ids(tokenizer_path: str, most: int = 500_000) -> Callable[[bytes], bytes]:
-    """A function from UTF-8 text to its token ids as little-endian unsigned 32-bit bytes.
+def _byte_names() -> dict[int, str]:
+    """How byte-level vocabularies write a byte: printable Latin-1 as itself, others from 256 on."""
+    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in own]
+    return {b: chr(b) for b in own} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
+def word_ids(tokenizer_path: str, most: int = 500_000) -> Callable[[Sequence[bytes]], list[bytes]]:
+    """A function from UTF-8 texts to their token ids as little-endian unsigned 32-bit bytes.
 
     The tokenizer drops white space and never joins across it, so ids are looked up word by
-    word, and the tokenizer sees a word once per worker.  At ``most`` words the store
-    starts anew, which bounds its memory and changes no result.
+    word, and the tokenizer sees a word once per worker; a word of plain Latin letters goes
+    to its merges directly.  At ``most`` words the store starts anew, which bounds its memory
+    and changes no result.
     """
     if tokenizer_path not in _KNOWN:
         tokenizer = Tokenizer.from_file(tokenizer_path)
-        vocabulary = tokenizer.get_vocab()
-        ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
-        for token, i in vocabulary.items():
-            ends[i] = token.endswith("</w>")
-        _KNOWN[tokenizer_path] = tokenizer, ends, {}
-    tokenizer, ends, known = _KNOWN[tokenizer_path]
-    model = tokenizer.model
+        last = max(tokenizer.get_vocab().values())
+        _KNOWN[tokenizer_path] = tokenizer, [struct.pack("<I", i) for i in range(last + 1)], {}
+    tokenizer, packed, known = _KNOWN[tokenizer_path]
+    merge, names = tokenizer.model.tokenize, _byte_names()
 
     def learn(words: set[bytes]) -> None:
-        letters, other = [], []
+        whole: list[bytes] = []
+        split: list[tuple[bytes, bytes, bytes]] = []
         for word in words:
-            if m := _CORE.fullmatch(word):
-                core, tail = m[1].lower(), m[2]
-                if core not in known:
-                    known[core] = np.array([t.id for t in model.tokenize(core.decode())], "<u4").tobytes()
-                if tail and tail not in known:
-                    learn_any([tail])
-                known[word] = known[core] + known[tail] if tail else known[core]
-            else:
-                (letters if word.decode("utf-8", "replace").isalpha() else other).append(word)
-        for at in range(0, len(letters), 4096):
-            learn_letters(letters[at : at + 4096])
-        learn_any(other)
-
-    def learn_letters(words: list[bytes]) -> None:
-        ids = np.array(tokenizer.encode(b" ".join(words).decode(), add_special_tokens=False).ids, "<u4")
-        stops = np.flatnonzero(ends[ids]) + 1
-        if len(stops) != len(words):
-            return learn_any(words)
-        packed, begin = ids.tobytes(), 0
-        for word, stop in zip(words, stops.tolist()):
-            known[word] = packed[4 * begin : 4 * stop]
-            begin = stop
-
-    def learn_any(words: list[bytes]) -> None:
-        texts = [w.decode("utf-8", "replace") for w in words]
-        for word, e in zip(words, tokenizer.encode_batch(texts, add_special_tokens=False)):
-            known[word] = np.array(e.ids, "<u4").tobytes()
-
-    def ids_of(text: bytes) -> bytes:
-        words = text.split()
-        new = set(words).difference(known)
+            text = word.decode("utf-8", "replace")
+            core = text.rstrip(_MARKS)
+            # up to Latin Extended-B a letter has one small letter, but for a dotted capital I
+            if not core.isalpha() or not (core.isascii() or (max(core) < "\u0250" and "\u0130" not in core)):
+                whole.append(word)
+                continue
+            key, tail = core.lower().encode(), text[len(core) :].encode()
+            if key not in known:
+                name = key.decode("latin-1")
+                known[key] = b"".join([packed[t.id] for t in merge(name if name.isascii() else name.translate(names))])
+            if tail and tail not in known:
+                whole.append(tail)
+            if key != word:
+                split.append((word, key, tail))
+        texts = [w.decode("utf-8", "replace") for w in whole]
+        for word, e in zip(whole, tokenizer.encode_batch(texts, add_special_tokens=False)):
+            known[word] = b"".join([packed[i] for i in e.ids])
+        for word, key, tail in split:
+            known[word] = known[key] + known[tail] if tail else known[key]
+
+    def ids_of(texts: Sequence[bytes]) -> list[bytes]:
+        words = [t.split() for t in texts]
+        new = set(chain.from_iterable(words)).difference(known)
         if new:
             if len(known) > most:
                 known.clear()
-                new = set(words)
+                new = set(chain.from_iterable(words))
             learn(new)
-        return b"".join(map(known.__getitem__, words))
+        return [b"".join(map(known.__getitem__, w)) for w in words]
 
     return ids_of
 
@@ -151,8 +151,9 @@ def pack(
 
         for batch in batches:
             done: list[tuple] = []
-            for doc, text in zip(batch.column(0).to_pylist(), as_bytes(batch.column(1))):
-                ids = ids_of(text or b"") + end
+            texts = [t or b"" for t in as_bytes(batch.column(1))]
+            for doc, ids in zip(batch.column(0).to_pylist(), ids_of(texts)):
+                ids += end
                 total = len(ids) // 4
                 for start in range(0, total, window):
                     part = ids[4 * start : 4 * (start + window)]
