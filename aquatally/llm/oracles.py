@@ -130,6 +130,30 @@ FROM docs LEFT JOIN rows USING (r)
 """
 
 
+SUFFIX_DEDUP = """
+WITH docs AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+windows AS (
+  SELECT doc_id, i, substr(h, 2 * i + 1, 100) AS s
+  FROM (SELECT doc_id, h, unnest(range(0, length(h) // 2 - 49)) AS i FROM docs)),
+firsts AS (SELECT s, min(doc_id) AS first FROM windows GROUP BY s),
+hits AS (SELECT doc_id, i FROM windows JOIN firsts USING (s) WHERE first < doc_id),
+breaks AS (
+  SELECT doc_id, i, (i - lag(i, 1, -1000) OVER (PARTITION BY doc_id ORDER BY i) > 50)::INT AS fresh FROM hits),
+numbered AS (SELECT doc_id, i, sum(fresh) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM breaks),
+runs AS (SELECT doc_id, run, min(i) AS a, max(i) + 50 AS b FROM numbered GROUP BY doc_id, run),
+gaps AS (
+  SELECT doc_id, a, substr(h, 2 * before + 1, 2 * (a - before)) AS piece FROM (
+    SELECT r.doc_id, h, a, lag(b, 1, 0) OVER (PARTITION BY r.doc_id ORDER BY a) AS before
+    FROM (SELECT doc_id, a, b FROM runs UNION ALL
+          SELECT doc_id, length(h) // 2, length(h) // 2 FROM docs WHERE doc_id IN (SELECT doc_id FROM runs)) r
+    JOIN docs USING (doc_id))),
+kept AS (SELECT doc_id, string_agg(piece, '' ORDER BY a) AS k FROM gaps GROUP BY doc_id),
+counts AS (SELECT doc_id, sum(b - a) AS n_removed, count(*) AS n_spans FROM runs GROUP BY doc_id)
+SELECT doc_id, length(h) // 2 AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0) AS n_spans,
+  sha256(unhex(coalesce(k, h))) AS kept_sha256
+FROM docs LEFT JOIN kept USING (doc_id) LEFT JOIN counts USING (doc_id)
+"""
+
 CHAT_FORMATTING = r"""
 WITH said AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
@@ -148,4 +172,4 @@ FROM sized GROUP BY conv_id
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_quality_rules": QUALITY_RULES, "op4_chat_formatting": CHAT_FORMATTING, "op5_line_dedup": LINE_DEDUP, "op10_pii": _pii()}
+    return {"op1_quality_rules": QUALITY_RULES, "op2_suffix_array_dedup": SUFFIX_DEDUP, "op4_chat_formatting": CHAT_FORMATTING, "op5_line_dedup": LINE_DEDUP, "op10_pii": _pii()}

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from aquatally.llm import ann, chat, line_dedup, mixing, near_dedup, packing, pii, quality_rules, secret_scan
+from aquatally.llm import ann, chat, line_dedup, mixing, near_dedup, packing, pii, quality_rules, secret_scan, suffix_dedup
 from aquatally.llm.util import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -27,6 +27,11 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left = suffix_dedup.remove_repeats(documents(spark, sf_dir))
+    return left.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), "kept_sha256")
+
+
 def op3_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secret_scan.find_secrets(documents(spark, sf_dir).select("doc_id", "text")).select("doc_id", "secrets")
     base = F.filter("secrets", lambda s: s["kind"] != "model")
@@ -110,4 +115,4 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_quality_rules, op3_secret_scans, op4_chat_formatting, op5_line_dedup, op6_mixing, op7_packing, op8_nearest_neighbours, op9_minhash_near_dedup, op10_pii)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_suffix_array_dedup, op3_secret_scans, op4_chat_formatting, op5_line_dedup, op6_mixing, op7_packing, op8_nearest_neighbours, op9_minhash_near_dedup, op10_pii)}
