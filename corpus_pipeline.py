@@ -7,18 +7,27 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from aquatally.llm import line_dedup, mixing, packing
+from aquatally.llm import line_dedup, mixing, near_dedup, packing, quality_rules
 from aquatally.llm.queries import tokenizer_path
 from aquatally.llm.util import documents, quoted, written
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that pass the rules, on hosts that pass them."""
+    return quality_rules.passing(docs)
+
+
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the lines that three of them or more share; the largest id keeps its lines."""
-    columns = docs.columns
     out = line_dedup.dedup_lines(docs)
-    return out.withColumn("n_chars", F.char_length("text").cast("long")).select(*[quoted(c) for c in columns])
+    return out.withColumn("n_chars", F.char_length("text").cast("long")).select(*[quoted(c) for c in docs.columns])
+
+
+def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies, that with the smallest id."""
+    return near_dedup.without_near_duplicates(docs)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,7 +41,9 @@ def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 STAGES: list[tuple[str, Stage]] = [
+    ("quality rules", quality_stage),
     ("line dedup", line_stage),
+    ("minhash near-dedup", near_stage),
     ("mixing", mixing_stage),
     ("packing", packing_stage),
 ]
