@@ -137,5 +137,11 @@ def apply_rules(
     )
 
 
+def passing(docs: DataFrame, text_col: str = "text", host_col: str = "source", **options) -> DataFrame:
+    """The rows of ``docs`` that are kept, with their own columns."""
+    slim = docs.select(F.struct(*[quoted(c) for c in docs.columns]).alias("row"), quoted(text_col).alias("text"), quoted(host_col).alias("host"))
+    return apply_rules(slim, "text", "host", **options).where("kept").select("row.*")
+
+
 def _failed_by_rule(broken: dict[str, Column]) -> Column:
     return F.create_map(*[x for name, rule in broken.items() for x in (F.lit(name), rule)])
