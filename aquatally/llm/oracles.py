@@ -60,10 +60,10 @@ prior AS (
   SELECT rule, count(*) AS hosts, sum(n) AS docs, sum(k) / sum(n) AS mean, sum(k * (k / n)) / sum(n) AS square
   FROM failures GROUP BY rule),
 weighed AS (
-  SELECT rule, mean, CASE
+  SELECT rule, mean, greatest(20, CASE
     WHEN square - mean * mean - mean * (1 - mean) * hosts / docs <= 0 OR hosts < 2 THEN docs / hosts
     WHEN mean * (1 - mean) <= square - mean * mean - mean * (1 - mean) * hosts / docs THEN 0
-    ELSE mean * (1 - mean) / (square - mean * mean - mean * (1 - mean) * hosts / docs) - 1 END AS weight
+    ELSE mean * (1 - mean) / (square - mean * mean - mean * (1 - mean) * hosts / docs) - 1 END) AS weight
   FROM prior),
 failed_hosts AS (
   SELECT DISTINCT source FROM failures JOIN weighed USING (rule) WHERE (k + mean * weight) / (n + weight) >= 0.9)

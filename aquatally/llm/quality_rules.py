@@ -62,7 +62,7 @@ def rules() -> dict[str, Column]:
 
 
 def host_verdicts(
-    failures: DataFrame, worst_rate: float = 0.9, min_hosts: int = 2
+    failures: DataFrame, worst_rate: float = 0.9, min_hosts: int = 2, least_weight: float = 20.0
 ) -> DataFrame:
     """(host, rule, n_docs, n_failed, shrunk_rate, host_failed) from (host, rule, n_docs, n_failed).
 
@@ -71,7 +71,8 @@ def host_verdicts(
     with few documents stays near the mean of all.  Sampling alone spreads rates by
     m (1 - m) / n; only the spread beyond that is the hosts' own.  A host fails if the
     shrunken rate reaches ``worst_rate``.  If hosts differ no more than chance has it, or there are fewer than
-    ``min_hosts``, the prior is the mean with the weight of an average host.
+    ``min_hosts``, the prior is the mean with the weight of an average host; it weighs as much as
+    ``least_weight`` documents at least, so that no host fails on a handful.
     """
     rate = F.col("n_failed") / F.col("n_docs")
     prior = failures.groupBy(F.col("rule").alias("__rule")).agg(
@@ -88,7 +89,7 @@ def host_verdicts(
         .when(spread <= own, F.lit(0.0))
         .otherwise(spread / own - 1)
     )
-    prior = prior.withColumn("weight", weight).select("__rule", "mean", "weight")
+    prior = prior.withColumn("weight", F.greatest(weight, F.lit(least_weight))).select("__rule", "mean", "weight")
     shrunk = (F.col("n_failed") + F.col("mean") * F.col("weight")) / (F.col("n_docs") + F.col("weight"))
     return (
         failures.join(prior, F.col("rule") == F.col("__rule"))
@@ -139,8 +140,9 @@ def apply_rules(
 
 def passing(docs: DataFrame, text_col: str = "text", host_col: str = "source", **options) -> DataFrame:
     """The rows of ``docs`` that are kept, with their own columns."""
-    slim = docs.select(F.struct(*[quoted(c) for c in docs.columns]).alias("row"), quoted(text_col).alias("text"), quoted(host_col).alias("host"))
-    return apply_rules(slim, "text", "host", **options).where("kept").select("row.*")
+    names = {c: f"__c{i}" for i, c in enumerate(docs.columns)}  # so that none clashes with a measure
+    ruled = apply_rules(docs.select(*[quoted(c).alias(n) for c, n in names.items()]), names[text_col], names[host_col], **options)
+    return ruled.where("kept").select(*[F.col(n).alias(c) for c, n in names.items()])
 
 
 def _failed_by_rule(broken: dict[str, Column]) -> Column:
