@@ -51,7 +51,7 @@ def mod_97(account: Column) -> Column:
         code = F.ascii(c)
         return F.when(code >= 65, (rest * 100 + code - 55) % 97).otherwise((rest * 10 + code - 48) % 97)
 
-    return F.aggregate(F.split(turned, "(?!^)"), F.lit(0), add) == 1
+    return F.aggregate(F.split(turned, ""), F.lit(0), add) == 1
 
 
 def _matches(text: Column, kind: str) -> Column:
@@ -69,7 +69,8 @@ def find_personal_data(docs: DataFrame, text_col: str = "text") -> DataFrame:
     always stay: emails, addresses with parts up to 255, 16 to 19 digits passing Luhn, 8 to 15
     digits after a plus sign.  Others stay if their score reaches the threshold: account numbers
     that pass mod 97, and 13 to 15 digits passing Luhn beside a word on cards.  A score grows with
-    the check and with context words within 40 characters before or 20 after.  Null or empty
+    the check and with context words within 40 characters before or 20 after, as far as the
+    neighbouring matches of its kind.  Null or empty
     text has no spans; a column called ``spans`` is replaced.
     """
     kept = without(docs, ["spans"])
