@@ -16,19 +16,17 @@ def components(links: DataFrame) -> DataFrame:
     the logarithm of the table.  Sums and minima combine before they move, so a node with
     very many links is no task of its own.
     """
-    edges = written(
-        links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges"
-    )
+    edges = links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     before = None
     while True:
+        edges = written(_hang(_hang(edges, larger=True), larger=False), "edges")
         state = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
         if state == before or state[0] == 0:
             break
         before = state
-        edges = written(_hang(_hang(edges, larger=True), larger=False), "edges")
-    return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(
-        edges.select(F.col("b").alias("node"), F.col("b").alias("root"))
-    ).distinct()
+    # every node hangs on its root by now, the roots on themselves
+    ends = F.explode(F.array("a", "b")).alias("node")
+    return edges.select(ends, F.col("b").alias("root")).distinct()
 
 
 def _hang(edges: DataFrame, larger: bool) -> DataFrame:
@@ -37,10 +35,9 @@ def _hang(edges: DataFrame, larger: bool) -> DataFrame:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("least"))
         moved = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("least").alias("b"))
-    else:
-        least = edges.groupBy("a").agg(F.min("b").alias("least"))
-        met = edges.join(least, "a")
-        moved = met.select(F.col("b").alias("a"), F.col("least").alias("b")).unionByName(
-            least.select("a", F.col("least").alias("b"))
-        )
-    return moved.where("a <> b").distinct()
+        return moved.where("a <> b")
+    least = edges.groupBy("a").agg(F.min("b").alias("least"))
+    met = edges.join(least, "a")
+    up = F.struct(F.col("b").alias("a"), F.col("least").alias("b"))
+    own = F.struct(F.col("a").alias("a"), F.col("least").alias("b"))
+    return met.select(F.explode(F.array(up, own)).alias("e")).select("e.*").where("a <> b").distinct()

@@ -176,42 +176,61 @@ class NearJoin:
         met = pairs.join(one, "b").join(other, "a").select("a", "b", "sa", "sb")
         return met.mapInArrow(run, "a long, b long")
 
-    def nodes_compared(self, rows: DataFrame, own_links: bool) -> DataFrame:
-        """Pairs (a, b) within nodes whose sketches agree; ``rows`` has node, rec, comp, sketch.
+    def _gathered(self, rows: DataFrame, sketches: DataFrame) -> DataFrame:
+        """Blocks of at most about ``small`` members (rec, comp, sketch) of each node."""
+        blocks = F.ceil(F.col("n") / self.small).cast("long")
+        member = F.struct("rec", "comp", "sketch")
+        return (
+            rows.join(sketches, "rec")
+            .withColumn("block", F.pmod(F.xxhash64("rec"), blocks))
+            .groupBy("node", "block")
+            .agg(F.sort_array(F.collect_list(member)).alias("members"))
+        )
 
-        Records of one component need no pair between them, unless ``own_links``.  Nodes are
-        cut into blocks of ``small`` records, and each pair of blocks is compared in one go.
+    def with_partners(self, rows: DataFrame, sketches: DataFrame) -> DataFrame:
+        """The records (rec) of small nodes that are similar to another one there, by their sketches."""
+        agree = self.agree
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                found = [np.zeros(0, np.int64)]
+                for members in batch.column(0):
+                    rec, _, sketch = _members(members)
+                    same = _agreements(sketch, sketch) >= agree
+                    np.fill_diagonal(same, False)
+                    found.append(rec[same.any(axis=1)])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found))], names=["rec"])
+
+        return self._gathered(rows, sketches).select("members").mapInArrow(run, "rec long")
+
+    def crossing(self, rows: DataFrame, sketches: DataFrame, whole: bool) -> DataFrame:
+        """Pairs (a, b) of one node and two components whose sketches agree.
+
+        Small nodes are one block each and compared on the spot.  With ``whole``, nodes of any
+        size are compared, each pair of their blocks in one go.
         """
         agree = self.agree
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                a, b = [], []
-                left, right = batch.column(0), batch.column(1)
-                for i in range(len(batch)):
-                    x, y = left[i].values, right[i].values
-                    rx, ry = x.field("rec").to_numpy(), y.field("rec").to_numpy()
-                    same = (matrix(x.field("sketch"), "u1")[:, None, :] == matrix(y.field("sketch"), "u1")[None]).sum(axis=2)
-                    hit = same >= agree
-                    hit &= rx[:, None] < ry[None] if np.array_equal(rx, ry) else rx[:, None] != ry[None]
-                    if not own_links:
-                        hit &= x.field("comp").to_numpy()[:, None] != y.field("comp").to_numpy()[None]
+                a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+                for left, right in zip(batch.column(0), batch.column(batch.num_columns - 1)):
+                    (rx, cx, sx), (ry, cy, sy) = _members(left), _members(right)
+                    hit = (_agreements(sx, sy) >= agree) & (cx[:, None] != cy[None])
+                    if np.array_equal(rx, ry):
+                        hit &= rx[:, None] < ry[None]
                     p, q = np.nonzero(hit)
                     a.append(np.minimum(rx[p], ry[q]))
                     b.append(np.maximum(rx[p], ry[q]))
-                if a:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["a", "b"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["a", "b"])
 
-        blocks = F.ceil(F.col("n") / self.small).cast("long")
-        grouped = (
-            rows.withColumn("block", F.pmod(F.xxhash64("rec"), blocks))
-            .groupBy("node", "block")
-            .agg(F.sort_array(F.collect_list(F.struct("rec", "comp", "sketch"))).alias("members"))
-        )
-        single = grouped.withColumn("blocks", F.lit(1))
-        other = grouped.select("node", F.col("block").alias("block2"), F.col("members").alias("members2"))
-        met = single.join(other, "node").where("block <= block2")
-        return met.select("members", "members2").mapInArrow(run, "a long, b long").distinct()
+        blocks = self._gathered(rows, sketches)
+        if whole:
+            other = blocks.select("node", F.col("block").alias("block2"), F.col("members").alias("members2"))
+            blocks = blocks.join(other, "node").where("block <= block2").select("members", "members2")
+        else:
+            blocks = blocks.select("members")
+        return blocks.mapInArrow(run, "a long, b long").distinct()
 
     def set_table(self, wanted: DataFrame) -> DataFrame:
         """(rec, hashes) of the wanted records (rec, doc), from whole texts read again."""
@@ -263,7 +282,7 @@ def near_duplicates(
     words: int = 5,
     percent: int = 75,
     recall: float = 0.9999,
-    small: int = 64,
+    small: int = 512,
 ) -> DataFrame:
     """(id, n_shingles, component_id, kept) per document row.
 
@@ -287,45 +306,40 @@ def near_duplicates(
         .agg(F.min("doc").alias("doc"), F.max("coords").alias("coords"), F.max("sketch").alias("sketch")),
         "near-records",
     )
-    sketches = records.select("rec", "sketch")
-    links, sets, roots = [], None, None
-    rows = join.branch(records.select("rec", "coords"), 0)
+    sketches, values = records.select("rec", "sketch"), records.select("rec", "coords")
+    sets = roots = None
+    rows = join.branch(values, 0)
     for depth in range(DEPTH):
-        # nodes that still hold two records of different components
-        rows = rows.distinct() if depth else rows
-        rows = written(rows, "near-rows")
-        live = rows.groupBy("node").agg(F.count(F.lit(1)).alias("n")).where("n >= 2")
-        rows = written(_with_roots(rows.join(live, "node"), roots), "near-live")
-        if roots is not None:
-            rows = written(_mixed(rows), "near-live")
+        rows = written(_with_roots(rows if depth == 0 else rows.distinct(), roots), "near-rows")
+        rows = written(_mixed(rows), "near-live")
         if rows.isEmpty():
             break
-        pivots = rows.groupBy("node").agg(F.min("rec").alias("a"))
-        star = rows.join(pivots, "node").where("rec <> a").select("a", F.col("rec").alias("b")).distinct()
+        # every record of a node against the smallest one of it
+        star = rows.where("rec <> pivot").select(F.col("pivot").alias("a"), F.col("rec").alias("b")).distinct()
         star = written(join.similar(star, sketches), "near-star")
-        fitting = rows.where(F.col("n") <= small).join(sketches, "rec")
         if sets is None:
-            close = join.nodes_compared(fitting, own_links=True)
             wanted = (
                 star.select(F.explode(F.array("a", "b")).alias("rec"))
-                .unionByName(close.select(F.explode(F.array("a", "b")).alias("rec")))
+                .unionByName(join.with_partners(rows.where(F.col("n") <= small), sketches))
                 .unionByName(rows.where(F.col("n") > small).select("rec"))
                 .distinct()
             )
             sets = written(join.set_table(wanted.join(records.select("rec", "doc"), "rec")), "near-sets")
-        links.append(written(join.confirmed(star, sets), "near-links"))
-        roots = _roots(links)
-        rows = written(_mixed(_with_roots(rows.drop("comp"), roots)), "near-mixed")
-        if rows.isEmpty():
-            break
-        fitting = rows.where(F.col("n") <= small)
-        if depth == DEPTH - 1:
-            fitting = rows
-        crossing = join.nodes_compared(fitting.join(sketches, "rec"), own_links=False)
-        links.append(written(join.confirmed(crossing, sets), "near-links"))
-        roots = _roots(links)
+        links = written(join.confirmed(star, sets), "near-links")
+        if not links.isEmpty():
+            roots = _roots(roots, links)
+            rows = written(_mixed(_with_roots(rows.drop("comp", "n", "pivot"), roots)), "near-mixed")
+        # pairs between the components that are left of small nodes; larger ones branch on
+        last = depth == DEPTH - 1
+        crossing = join.crossing(rows if last else rows.where(F.col("n") <= small), sketches, whole=last)
+        links = written(join.confirmed(crossing, sets), "near-links")
         rows = rows.where(F.col("n") > small)
-        rows = join.branch(rows.select("node", "tree", "rec").join(records.select("rec", "coords"), "rec").select("node", "tree", "rec", "coords"), depth + 1) if depth + 1 < DEPTH else rows
+        more = not last and not rows.isEmpty()
+        if not links.isEmpty():
+            roots = _roots(roots, links)
+        if not more:
+            break
+        rows = join.branch(rows.select("node", "tree", "rec").join(values, "rec").select("node", "tree", "rec", "coords"), depth + 1)
     groups = _with_roots(records.select("rec", "doc"), roots)
     least = groups.groupBy("comp").agg(F.min("doc").alias("component_id"))
     classes = groups.join(least, "comp").select(F.col("rec").alias("r"), "component_id")
@@ -339,25 +353,39 @@ def near_duplicates(
     )
 
 
-def _roots(links: list[DataFrame]) -> DataFrame:
-    """Components of the links so far.  Few links remain of earlier rounds: each is a star."""
-    every = links[0]
-    for part in links[1:]:
-        every = every.unionByName(part)
-    return written(components(every), "near-roots")
+def _members(block: pa.ListScalar) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    fields = block.values
+    return fields.field("rec").to_numpy(), fields.field("comp").to_numpy(), matrix(fields.field("sketch"), "u1")
+
+
+def _agreements(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """In how many places each sketch of one block agrees with each one of another."""
+    out = np.zeros((len(x), len(y)), np.uint8)
+    for a, b in zip(x.T, y.T):
+        out += a[:, None] == b[None]
+    return out
+
+
+def _roots(roots: DataFrame | None, links: DataFrame) -> DataFrame:
+    """Components of what was known, each a star by now, and the new links."""
+    if roots is not None:
+        links = links.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b")))
+    return written(components(links), "near-roots")
 
 
 def _with_roots(rows: DataFrame, roots: DataFrame | None) -> DataFrame:
     if roots is None:
         return rows.withColumn("comp", F.col("rec"))
-    met = rows.drop("comp").join(roots.withColumnRenamed("node", "__node"), F.col("rec") == F.col("__node"), "left")
+    met = rows.join(roots.withColumnRenamed("node", "__node"), F.col("rec") == F.col("__node"), "left")
     return met.withColumn("comp", F.coalesce("root", "rec")).drop("__node", "root")
 
 
 def _mixed(rows: DataFrame) -> DataFrame:
-    """Rows of nodes that hold two components or more."""
-    live = rows.groupBy("node").agg(F.min("comp").alias("least"), F.max("comp").alias("most")).where("least <> most")
-    return rows.join(live.select("node"), "node")
+    """Rows of nodes that hold two components or more, with the node's size and smallest record."""
+    nodes = rows.groupBy("node").agg(
+        F.count(F.lit(1)).alias("n"), F.min("rec").alias("pivot"), F.min("comp").alias("least"), F.max("comp").alias("most")
+    )
+    return rows.join(nodes.where("least <> most").drop("least", "most"), "node")
 
 
 def without_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
