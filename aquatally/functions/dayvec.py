@@ -11,7 +11,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_NO_CELLS = "array<double>"
+_WORD = 62  # positions in one bit mask
 
 
 def bind(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -47,18 +47,25 @@ def _with_neighbours(
     """Replace each null by ``fill(hour, before, after)``.
 
     ``before`` and ``after`` are (position, value) of the nearest known cells, or
-    ``left`` and ``right`` beyond the day.  The known positions are packed into a bit
-    mask; the number of known cells ahead of an hour is then one ``bit_count`` (so a
-    day may have up to 62 cells).
+    ``left`` and ``right`` beyond the day.  The known positions are packed into bit masks
+    of 62 cells each; the number of known cells ahead of an hour is then one ``bit_count``
+    and what the masks before hold.
     """
 
     def over_cells(cells: Column) -> Column:
         def over_known(known: Column) -> Column:
-            mask = F.aggregate(known, F.lit(0).cast("bigint"), lambda m, p: m.bitwiseOR(_bit(p)))
+            def mask(word: Column) -> Column:
+                own = F.filter(known, lambda p: F.floor(p / _WORD) == word)
+                bits = F.aggregate(own, F.lit(0).cast("bigint"), lambda m, p: m.bitwiseOR(_bit(p % _WORD)))
+                return F.struct(bits.alias("bits"), F.size(F.filter(known, lambda p: p < word * _WORD)).alias("ahead"))
 
-            def over_mask(mask: Column) -> Column:
+            masks = F.transform(F.sequence(F.lit(0), F.floor(F.size(cells) / _WORD).cast("int")), mask)
+
+            def over_masks(masks: Column) -> Column:
                 def cell(x: Column, hour: Column) -> Column:
-                    ahead = F.bit_count(mask.bitwiseAND(_bit(hour) - F.lit(1).cast("bigint")))
+                    word = F.get(masks, F.floor(hour / _WORD).cast("int"))
+                    lower = _bit(hour % _WORD) - F.lit(1).cast("bigint")
+                    ahead = word["ahead"] + F.bit_count(word["bits"].bitwiseAND(lower))
                     h0, h1 = F.get(known, ahead - 1), F.get(known, ahead)
                     before, after = (h0, F.get(cells, h0)), (h1, F.get(cells, h1))
                     if left is not None:
@@ -70,7 +77,7 @@ def _with_neighbours(
                 return F.transform(cells, cell)
 
             full = F.size(known) == F.size(cells)
-            return F.when(full, cells).otherwise(bind(mask, over_mask))
+            return F.when(full, cells).otherwise(bind(masks, over_masks))
 
         return bind(_known_hours(cells), over_known)
 
@@ -104,22 +111,24 @@ def _no_cells(n: Column | int) -> Column:
 def running_max(v: Column) -> Column:
     """Non-decreasing day: each cell raised to the largest cell so far; nulls stay.
 
-    Most days already rise, which one native sort shows.  The others take six passes:
-    after a pass over distance d every cell knows the 2d cells that end in it, which
-    covers the 62 cells a day may have.  Cells are fetched by position throughout,
-    because ``slice`` copies the whole array each time.
+    Most days already rise, which one native sort shows.  In the others every pass
+    doubles the cells that a cell knows of, so there are as many passes as the width has
+    binary digits.  Cells are fetched by position throughout, because ``slice`` copies
+    the whole array each time.
     """
 
     def over_cells(cells: Column) -> Column:
-        def widen(level: Column, distance: int) -> Column:
-            wider = F.transform(level, lambda x, i: F.greatest(x, F.get(level, i - distance)))
-            return wider if distance == 32 else bind(wider, lambda w: widen(w, 2 * distance))
+        def widen(level: Column, turn: Column) -> Column:
+            distance = F.call_function("shiftleft", F.lit(1), turn)
+            return F.transform(level, lambda x, i: F.greatest(x, F.get(level, i - distance)))
+
+        turns = F.sequence(F.lit(0), F.length(F.bin(F.size(cells).cast("bigint"))).cast("int") - 1)
 
         def known_only(top: Column, x: Column) -> Column:
             return F.when(x.isNotNull(), top)
 
         rises = bind(F.array_compact(cells), lambda known: F.sort_array(known) == known)
-        return F.when(rises, cells).otherwise(F.zip_with(widen(cells, 1), cells, known_only))
+        return F.when(rises, cells).otherwise(F.zip_with(F.aggregate(turns, cells, widen), cells, known_only))
 
     return bind(v, over_cells)
 

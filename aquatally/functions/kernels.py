@@ -61,13 +61,15 @@ def refine_low_rank(
     return current
 
 
-def leading_projection(gram: np.ndarray, rank: int) -> np.ndarray:
-    """Projection on the leading eigenvectors of each Gram matrix of a stack.
+def leading_projection(gram: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """Projection on the leading eigenvectors of each Gram matrix of a stack, ``rank`` for each.
 
     ``A @ projection`` is the truncated SVD of A when gram is ``A.T @ A``.
     """
     _, vectors = np.linalg.eigh(gram)
-    leading = vectors[..., :, -rank:]
+    width = gram.shape[-1]
+    kept = np.arange(width) >= width - np.asarray(rank)[:, None]
+    leading = vectors * kept[:, None, :]
     return leading @ np.swapaxes(leading, -1, -2)
 
 

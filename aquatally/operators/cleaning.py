@@ -6,20 +6,20 @@ from pyspark.sql import DataFrame
 
 from aquatally.functions import dayvec
 from aquatally.operators.timeline import with_previous_day
-from aquatally.schema import VEC
+from aquatally.schema import VEC, with_day
 from pyspark.sql import functions as F
 
 
 def null_zeros(df: DataFrame, vec: str = VEC) -> DataFrame:
     """A zero in a cumulative series is a sensor error."""
-    return df.withColumn(vec, dayvec.zero_to_null(F.col(vec)))
+    return with_day(df, vec, dayvec.zero_to_null(F.col(vec)))
 
 
 def null_spikes(
     df: DataFrame, width: int = 5, factor: float = 1.25, floor: float = 10.0, vec: str = VEC
 ) -> DataFrame:
     """Null readings far above the median of the hours around them, in one pass."""
-    return df.withColumn(vec, dayvec.drop_spikes(F.col(vec), width, factor, floor))
+    return with_day(df, vec, dayvec.drop_spikes(F.col(vec), width, factor, floor))
 
 
 def null_drops(df: DataFrame, reset_ratio: float = 0.1, vec: str = VEC) -> DataFrame:

@@ -57,7 +57,7 @@ def imputation_stats(original: DataFrame, vec: str = VEC) -> DataFrame:
     missing = F.sum(dayvec.missing_count(F.col(vec)))
     total = F.sum(F.size(vec))
     return original.groupBy(METER).agg(
-        missing.alias("points_imputed"), (F.lit(100.0) * missing / total).alias("pct_imputed"), total.alias("total_points")
+        missing.alias("points_imputed"), F.try_divide(F.lit(100.0) * missing, total).alias("pct_imputed"), total.alias("total_points")
     )
 
 
@@ -111,11 +111,11 @@ def dashboard(df: DataFrame, columns: int) -> DataFrame:
 
 
 def workload(df: DataFrame) -> DataFrame:
-    """Rows, meters and rows per meter."""
+    """Rows, meters and rows per meter, null in an empty table."""
     return df.agg(
         F.count(F.lit(1)).alias("rows"),
         F.countDistinct(METER).alias("meters"),
-        (F.count(F.lit(1)) / F.countDistinct(METER)).alias("rows_per_meter"),
+        F.try_divide(F.count(F.lit(1)), F.countDistinct(METER)).alias("rows_per_meter"),
     )
 
 

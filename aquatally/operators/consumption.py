@@ -9,7 +9,7 @@ from aquatally.functions import dayvec
 from aquatally.operators.pairing import KEYS, pair_series
 from aquatally.operators.reshape import explode_hours, hour_ts, to_long
 from aquatally.operators.timeline import with_previous_day
-from aquatally.schema import DAY, HOURS, METER, VEC
+from aquatally.schema import DAY, METER, VEC, day_width, fitting, with_day
 
 
 def day_consumption(df: DataFrame, into: str = "used", vec: str = VEC) -> DataFrame:
@@ -23,13 +23,16 @@ def valid_consumption(df: DataFrame, used: str = "used") -> DataFrame:
     return cells.filter(F.col("used") >= 0)
 
 
-def network_mean(df: DataFrame, into: str = "mean_m3h", vec: str = VEC, hours: int = HOURS) -> DataFrame:
+def network_mean(df: DataFrame, into: str = "mean_m3h", vec: str = VEC, hours: int | None = None) -> DataFrame:
     """Mean consumption over all meters per day and hour; 0 when no meter has a valid one.
 
-    Each day row feeds 23 averages that combine before the shuffle by date, so the
+    Each day row feeds an average per step that combine before the shuffle by date, so the
     readings are never exploded and a crowded date is no hot group.
     """
 
+    hours = day_width(df, vec, hours)
+    df = with_day(df, vec, fitting(vec, hours))
+
     def mean(h: int) -> str:
         step = f"get({vec}, {h + 1}) - get({vec}, {h})"
         return f"coalesce(avg(if({step} >= 0, {step}, null)), 0D)"
@@ -85,7 +88,10 @@ def histogram(series: DataFrame, column: str, low: float, high: float, bins: int
 
 
 def density(series: DataFrame, columns: list[str], bins: int = 30) -> DataFrame:
-    """Density histogram of each column between its own smallest and largest value."""
+    """Density histogram of each column between its own smallest and largest value.
+
+    A constant series has all points in the first bin, and no density.
+    """
     values = series.select(
         F.explode(F.array(*[F.struct(F.lit(c).alias("series"), F.col(c).alias("x")) for c in columns])).alias("p")
     ).select("p.series", "p.x")
@@ -94,14 +100,15 @@ def density(series: DataFrame, columns: list[str], bins: int = 30) -> DataFrame:
     )
     placed = values.join(ends, "series")
     width = (F.col("hi") - F.col("lo")) / bins
-    slot = F.least(F.floor((F.col("x") - F.col("lo")) / (F.col("hi") - F.col("lo")) * bins), F.lit(bins - 1))
+    part = F.coalesce(F.try_divide(F.col("x") - F.col("lo"), F.col("hi") - F.col("lo")), F.lit(0.0))
+    slot = F.least(F.floor(part * bins), F.lit(bins - 1))
     counts = placed.groupBy("series", slot.cast("int").alias("bin")).agg(F.count(F.lit(1)).alias("c"))
     every = ends.withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))))
     return every.join(counts, ["series", "bin"], "left").select(
         "series",
         "bin",
         (F.col("lo") + F.col("bin") * width).alias("low"),
-        (F.coalesce("c", F.lit(0)) / (F.col("n") * width)).alias("density"),
+        F.try_divide(F.coalesce("c", F.lit(0)), F.col("n") * width).alias("density"),
     )
 
 

@@ -18,36 +18,36 @@ from aquatally.operators.timeline import (
     with_carry,
     with_ordinal,
 )
-from aquatally.schema import DAY, HOURS, VEC
+from aquatally.schema import DAY, VEC, day_width, fitting, with_day
 from aquatally.sources.scratch import settle
 
 
 def interpolate_day(df: DataFrame, vec: str = VEC) -> DataFrame:
     """Linear interpolation inside each day; an empty day stays empty."""
-    return df.withColumn(vec, dayvec.interpolate(F.col(vec)))
+    return with_day(df, vec, dayvec.interpolate(F.col(vec)))
 
 
 def fill_day(df: DataFrame, vec: str = VEC) -> DataFrame:
     """Forward, then backward fill inside each day."""
-    return df.withColumn(vec, dayvec.fill_forward_back(F.col(vec)))
+    return with_day(df, vec, dayvec.fill_forward_back(F.col(vec)))
 
 
 def zero_fill(df: DataFrame, vec: str = VEC) -> DataFrame:
-    return df.withColumn(vec, dayvec.nulls_to_zero(F.col(vec)))
+    return with_day(df, vec, dayvec.nulls_to_zero(F.col(vec)))
 
 
 def clamp_day(df: DataFrame, vec: str = VEC) -> DataFrame:
     """No reading below an earlier one of the same day."""
-    return df.withColumn(vec, dayvec.running_max(F.col(vec)))
+    return with_day(df, vec, dayvec.running_max(F.col(vec)))
 
 
 def clip_negative(df: DataFrame, vec: str = VEC) -> DataFrame:
-    return df.withColumn(vec, dayvec.clip_negative(F.col(vec)))
+    return with_day(df, vec, dayvec.clip_negative(F.col(vec)))
 
 
 def restore_known(df: DataFrame, known: str, vec: str = VEC) -> DataFrame:
     """Put the known readings back over refined ones."""
-    return df.withColumn(vec, dayvec.overlay(F.col(known), F.col(vec)))
+    return with_day(df, vec, dayvec.overlay(F.col(known), F.col(vec)))
 
 
 def _cell(vec: str, hour: int) -> Column:
@@ -58,12 +58,14 @@ def _when_known(vec: str, hour: int) -> Column:
     return F.when(_cell(vec, hour).isNotNull(), F.col(DAY))
 
 
-def carry_days(df: DataFrame, vec: str = VEC, hours: int = HOURS) -> DataFrame:
+def carry_days(df: DataFrame, vec: str = VEC, hours: int | None = None) -> DataFrame:
     """Fill each hour from the meter's last earlier day that has it, else its first later one.
 
     Only the first known reading of a meter can ever be needed backwards, so the
     backward fill is a carry too and no second pass over the rows is made.
     """
+    hours = day_width(df, vec, hours)
+    df = with_day(df, vec, fitting(vec, hours))
     carries = {}
     for h in range(hours):
         cell, day = _cell(vec, h), _when_known(vec, h)
@@ -75,7 +77,7 @@ def carry_days(df: DataFrame, vec: str = VEC, hours: int = HOURS) -> DataFrame:
         F.coalesce(latest(_cell(vec, h)).over(so_far), F.col(f"_last{h}"), F.col(f"_first{h}"))
         for h in range(hours)
     ]
-    return rows.withColumn(vec, F.array(*filled)).drop(BLOCK, *carries)
+    return with_day(rows, vec, F.array(*filled)).drop(BLOCK, *carries)
 
 
 def carry_whole_days(df: DataFrame, vec: str = VEC) -> DataFrame:
@@ -93,7 +95,7 @@ def carry_whole_days(df: DataFrame, vec: str = VEC) -> DataFrame:
     so_far = block_window().rowsBetween(Window.unboundedPreceding, Window.currentRow)
     here = latest(F.when(known, F.col(vec))).over(so_far)
     # a meter without any reading keeps its empty days
-    return rows.withColumn(vec, F.coalesce(here, "_last", "_first", vec)).drop(BLOCK, "_last", "_first")
+    return with_day(rows, vec, F.coalesce(here, "_last", "_first", vec)).drop(BLOCK, "_last", "_first")
 
 
 def clamp_timeline(df: DataFrame, vec: str = VEC) -> DataFrame:
@@ -106,15 +108,16 @@ def clamp_timeline(df: DataFrame, vec: str = VEC) -> DataFrame:
     earlier = block_window().rowsBetween(Window.unboundedPreceding, -1)
     floor = F.greatest(F.max("_top").over(earlier), F.col("_carried"))
     raised = dayvec.raise_to(dayvec.running_max(F.col(vec)), F.col("_floor"))
-    return rows.withColumn("_floor", floor).withColumn(vec, raised).drop(BLOCK, "_top", "_carried", "_floor")
+    return with_day(rows.withColumn("_floor", floor), vec, raised).drop(BLOCK, "_top", "_carried", "_floor")
 
 
-def interpolate_timeline(df: DataFrame, vec: str = VEC, hours: int = HOURS) -> DataFrame:
+def interpolate_timeline(df: DataFrame, vec: str = VEC, hours: int | None = None) -> DataFrame:
     """Linear interpolation along the meter's whole timeline, across days.
 
     Inside a day the known cells beside a gap are in the row.  At its ends they are
     the last known cell of the earlier days and the first one of the later days.
     """
+    hours = day_width(df, vec, hours)
     rows = with_ordinal(df)
 
     def point(hour: Column, x: Column) -> Column:
@@ -148,11 +151,11 @@ def interpolate_timeline(df: DataFrame, vec: str = VEC, hours: int = HOURS) -> D
         (F.col("_right.at") - start, F.col("_right.x")),
     )
     scratch = [BLOCK, "_head", "_tail", "_left", "_right", "_tail_before", "_head_after", "_ordinal"]
-    return rows.withColumn(vec, filled).drop(*scratch)
+    return with_day(rows, vec, filled).drop(*scratch)
 
 
 def apply_empty_day_policy(
-    df: DataFrame, policy: str = "carry", vec: str = VEC, hours: int = HOURS
+    df: DataFrame, policy: str = "carry", vec: str = VEC, hours: int | None = None
 ) -> DataFrame:
     """What becomes of a day without any reading, before the in-day steps.
 
@@ -196,7 +199,7 @@ def with_previous_row(
 
 
 def carry_rows(
-    df: DataFrame, order_by: Sequence[str], vec: str = VEC, hours: int = HOURS, partitions: int | None = None
+    df: DataFrame, order_by: Sequence[str], vec: str = VEC, hours: int | None = None, partitions: int | None = None
 ) -> DataFrame:
     """The carry fill without a meter column: the whole table is one series.
 
@@ -204,7 +207,8 @@ def carry_rows(
     settled once, so that a partition keeps its number; the last and first known
     reading of each partition, one row per partition, carry between partitions.
     """
-    rows = _ordered_parts(df, order_by, partitions)
+    hours = day_width(df, vec, hours)
+    rows = _ordered_parts(with_day(df, vec, fitting(vec, hours)), order_by, partitions)
     by_order = F.struct(*order_by)
     ends = []
     for h in range(hours):
@@ -230,4 +234,4 @@ def carry_rows(
         for h in range(hours)
     ]
     names = [f"{end}{h}" for h in range(hours) for end in ("_last", "_first")]
-    return rows.join(moved, "_part").withColumn(vec, F.array(*filled)).drop("_part", *names)
+    return with_day(rows.join(moved, "_part"), vec, F.array(*filled)).drop("_part", *names)

@@ -16,7 +16,7 @@ from aquatally.operators.timeline import (
     with_ordinal,
 )
 from aquatally.operators.pairing import pair_days
-from aquatally.schema import DAY, HOURS, METER, VEC
+from aquatally.schema import DAY, METER, VEC, day_width
 
 
 def _pct(part: Column, whole: Column) -> Column:
@@ -196,13 +196,13 @@ def recommendation(df: DataFrame, stats: DataFrame, vec: str = VEC) -> DataFrame
     )
 
 
-def heatmap(df: DataFrame, sample_size: int = 500, vec: str = VEC, hours: int = HOURS) -> DataFrame:
+def heatmap(df: DataFrame, sample_size: int = 500, vec: str = VEC, hours: int | None = None) -> DataFrame:
     """Availability map of a sample of rows: 1 where the hour is missing.
 
     The sample is the rows with the smallest hashes, the same at every run; long
     rows are thinned to about 200 columns.
     """
-    step = max(1, hours // 200)
+    step = max(1, day_width(df, vec, hours) // 200)
     mark = F.md5(F.concat(F.col(METER), F.col(DAY).cast("string")))
     sample = df.select(METER, DAY, vec, mark.alias("_mark")).orderBy("_mark").limit(sample_size)
     cells = explode_hours(sample, vec, ("hour", "_x"), METER, DAY)

@@ -1,11 +1,16 @@
 """Low-rank refinement of filled readings.
 
 The days of a meter form a matrix (days x hours).  Its unknown cells are replaced,
-again and again, by those of its best low-rank approximation.
+again and again, by those of its best low-rank approximation.  The truncated SVD of a
+matrix is its projection on the leading eigenvectors of its hours x hours Gram matrix,
+which is a sum over rows: it combines before the shuffle, and only one small row per
+meter meets Python.  So a meter of any length is spread over many tasks.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -13,13 +18,9 @@ from pyspark.sql import functions as F
 
 from aquatally.functions import dayvec, kernels
 from aquatally.operators.timeline import BLOCK, BLOCK_KEYS
-from aquatally.schema import DAY, HOURS, METER, VEC
+from aquatally.schema import DAY, METER, VEC, day_width, fitting, with_day
 from aquatally.sources.scratch import settle
 
-# A meter's matrix up to this many days is refined by one task (about 4 MB of cells);
-# a longer one by joins and aggregates over all its rows.
-DAYS_PER_TASK = 20_000
-
 
 def refine_by_meter(
     df: DataFrame,
@@ -28,49 +29,88 @@ def refine_by_meter(
     max_iterations: int = 3,
     tolerance: float = 1e-4,
     vec: str = VEC,
-    hours: int = HOURS,
-    days_per_task: int = DAYS_PER_TASK,
-    counted: DataFrame | None = None,
+    hours: int | None = None,
 ) -> DataFrame:
     """Refine the cells that are null in ``known``, starting from the filled ``vec``,
     which has the known cells as they are.
 
-    Meters are independent.  Whether any is too long for a task is asked of the data
-    first, by a count over the meter column alone; ``counted`` may name a table with as
-    many rows per meter that is cheaper to read, such as the input of the whole chain.
+    Meters are independent.  The rows are settled once; a round reads them, applies all
+    projections found so far and leaves the sums for the next one, per meter.  A meter stops
+    when its relative change falls below the tolerance.  A meter of one day, or with
+    a cell that nothing could fill, stays as it is.
     """
-    sizes = (df if counted is None else counted).groupBy(METER).agg(F.count(F.lit(1)).alias("_n"))
-    long_meters = sizes.filter(F.col("_n") > days_per_task).select(METER)
-    args = (known, n_components, max_iterations, tolerance, vec, hours)
-    if long_meters.isEmpty():
-        return _refine_in_tasks(df, *args)
-    # settled, so that both parts and every later step read the same rows once
-    rows = settle(df)
-    short = _refine_in_tasks(rows.join(long_meters, METER, "left_anti"), *args)
-    long = _refine_over_rows(rows.join(long_meters, METER, "left_semi"), *args)
-    return short.unionByName(long)
-
-
-def _refine_in_tasks(
-    df: DataFrame, known: str, n_components: int, max_iterations: int, tolerance: float, vec: str, hours: int
-) -> DataFrame:
-    columns = df.columns
+    hours = day_width(df, vec, hours)
+    none = F.array().cast("array<array<double>>")
+    start = settle(with_day(df, vec, fitting(vec, hours)).withColumn(BLOCK, F.trunc(DAY, "month")))
+    found: DataFrame | None = None  # per meter: its projections, and whether it still moves
+    for turn in range(max_iterations):
+        if found is None:
+            active = start.withColumn("_found", none)
+        else:
+            active = _joined(start, found.filter("_moving"), "inner")
+        rows = active.withColumn("_before", _applied(known, vec, F.slice("_found", 1, F.greatest(F.size("_found") - 1, F.lit(0))), hours))
+        rows = rows.withColumn("_new", _applied(known, "_before", F.slice("_found", F.greatest(F.size("_found"), F.lit(1)), 1), hours))
+        sums = rows.groupBy(METER).agg(
+            *_figures("_before", "_new"),
+            F.count(F.lit(1)).alias("_days"),
+            F.max(F.size(F.array_compact("_new")) < hours).alias("_holes"),
+            *_gram("_new", hours),
+        )
+        moves = F.lit(True) if turn < 2 else F.sqrt("_change") >= tolerance * F.sqrt("_size")
+        sums = sums.withColumn("_moving", moves & ~F.col("_holes") & (F.col("_days") > 1))
+        if found is None:
+            sums = sums.withColumn("_found", none)
+        else:
+            sums = sums.join(found.select(METER, "_found"), METER)
+        now = settle(sums.mapInArrow(_next(hours, n_components), f"{METER} string, _found array<array<double>>, _moving boolean"))
+        if found is not None:
+            now = now.unionByName(found.filter(~F.col("_moving")))
+        found = settle(now) if found is not None else now
+        if found.filter("_moving").isEmpty():
+            break
+    if found is None:
+        return df
+    done = _joined(start, found, "left").withColumn("_found", F.coalesce("_found", none))
+    return with_day(done, vec, _applied(known, vec, F.col("_found"), hours)).select(*df.columns)
 
-    def refine(table: pa.Table) -> pa.Table:
-        def matrix(name: str) -> np.ndarray:
-            cells = table.column(name).combine_chunks().flatten()
-            return cells.to_numpy(zero_copy_only=False).astype(float).reshape(-1, hours)
 
-        start = matrix(vec)
-        out = kernels.refine_low_rank(
-            start, ~np.isnan(matrix(known)), n_components, max_iterations, tolerance
-        )
-        offsets = pa.array(np.arange(len(out) + 1, dtype=np.int32) * hours)
-        cells = pa.array(out.ravel(), from_pandas=True)
-        at = table.schema.get_field_index(vec)
-        return table.set_column(at, vec, pa.ListArray.from_arrays(offsets, cells))
+def _joined(rows: DataFrame, found: DataFrame, how: str) -> DataFrame:
+    """Each block of rows with what was found for its meter, without a task per meter."""
+    blocks = rows.select(*BLOCK_KEYS).distinct().join(found, METER)
+    return rows.join(blocks, list(BLOCK_KEYS), how)
+
+
+def _applied(known: str, vec: str, projections: Column, hours: int) -> Column:
+    """The day after the given rounds, the known cells put back after each."""
+    return F.aggregate(
+        projections, F.col(vec), lambda day, p: dayvec.overlay(F.col(known), _project(day, p, hours))
+    )
 
-    return df.groupBy(METER).applyInArrow(refine, df.schema).select(*columns)
+
+def _next(hours: int, n_components: int):
+    """Appends the projection of each meter that still moves, from the sums of its last round."""
+    n_pairs = hours * (hours + 1) // 2
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            names = batch.schema.names
+            moving = batch.column(names.index("_moving")).to_numpy(zero_copy_only=False).astype(bool)
+            days = batch.column(names.index("_days")).to_numpy(zero_copy_only=False)
+            at = names.index("g0_0")
+            flat = np.column_stack([batch.column(at + k).to_numpy(zero_copy_only=False) for k in range(n_pairs)])
+            found = batch.column(names.index("_found")).to_pylist()
+            rank = np.minimum(np.minimum(n_components, hours - 1), days - 1)
+            if moving.any():
+                grams = kernels.square(flat[moving].astype(float), hours)
+                new = kernels.leading_projection(grams, rank[moving]).reshape(-1, hours * hours)
+                for row, p in zip(np.flatnonzero(moving).tolist(), new):
+                    found[row].append(p.tolist())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(found, pa.list_(pa.list_(pa.float64()))), pa.array(moving)],
+                names=[METER, "_found", "_moving"],
+            )
+
+    return run
 
 
 def _gram(vec: str, hours: int) -> list[Column]:
@@ -89,69 +129,13 @@ def _project(v: Column, projection: Column, hours: int) -> Column:
     return F.transform(F.sequence(F.lit(0), F.lit(hours - 1)), cell)
 
 
-def _moved(vec: str, new: str) -> tuple[Column, Column]:
-    """Squared change and squared size of a row."""
+def _figures(vec: str, new: str) -> list[Column]:
+    """Squared change and squared size of all rows."""
     steps = F.zip_with(new, vec, lambda a, b: (a - b) * (a - b))
     sizes = F.transform(new, lambda a: a * a)
     zero = F.lit(0.0)
-    return F.aggregate(steps, zero, lambda s, x: s + x), F.aggregate(sizes, zero, lambda s, x: s + x)
-
-
-def _refine_over_rows(
-    df: DataFrame, known: str, n_components: int, max_iterations: int, tolerance: float, vec: str, hours: int
-) -> DataFrame:
-    """The same refinement with a meter's rows spread over many tasks.
-
-    The truncated SVD is a projection on the leading eigenvectors of the hours x hours
-    Gram matrix, which is a sum over rows: it combines before the shuffle, leaves one
-    row per meter, and comes back to each calendar block of the meter's rows.  Only
-    these small rows meet Python.
-    """
-    rank = min(n_components, hours - 1)
-    n_pairs = hours * (hours + 1) // 2
-    names = [f"g{i}_{j}" for i in range(hours) for j in range(i, hours)]
-
-    def projections(batches):
-        for batch in batches:
-            keys = batch.column(0)
-            flat = np.column_stack([batch.column(k + 1).to_numpy(zero_copy_only=False) for k in range(n_pairs)])
-            matrices = kernels.leading_projection(kernels.square(flat, hours), rank)
-            cells = pa.array(matrices.reshape(-1))
-            offsets = pa.array(np.arange(len(flat) + 1, dtype=np.int32) * hours * hours)
-            yield pa.RecordBatch.from_arrays(
-                [keys, pa.ListArray.from_arrays(offsets, cells)], names=[METER, "_projection"]
-            )
-
-    work = settle(df.withColumn(BLOCK, F.trunc(DAY, "month")).withColumn("_done", F.lit(False)))
-    for iteration in range(max_iterations):
-        active = work.filter(~F.col("_done"))
-        if active.isEmpty():
-            break
-        blocks = active.select(*BLOCK_KEYS).distinct()
-        grams = active.groupBy(METER).agg(*_gram(vec, hours)).select(METER, *names).na.drop()
-        projection = grams.mapInArrow(projections, f"{METER} string, _projection array<double>")
-        spread = blocks.join(projection, METER)
-        moved = work.join(spread, list(BLOCK_KEYS), "left").withColumn(
-            "_new",
-            F.when(F.col("_projection").isNull(), F.col(vec)).otherwise(
-                dayvec.overlay(F.col(known), _project(F.col(vec), F.col("_projection"), hours))
-            ),
-        )
-        change, size = _moved(vec, "_new")
-        moved = settle(moved.withColumn("_change", change).withColumn("_size", size).drop("_projection"))
-        if iteration > 0:
-            still = moved.groupBy(METER).agg(
-                (F.sqrt(F.sum("_change")) >= tolerance * F.sqrt(F.sum("_size"))).alias("_moving")
-            )
-            stopped = still.filter(~F.coalesce("_moving", F.lit(False))).select(METER)
-            stopped_blocks = (
-                moved.select(*BLOCK_KEYS).distinct().join(stopped, METER).withColumn("_stopped", F.lit(True))
-            )
-            moved = moved.join(stopped_blocks, list(BLOCK_KEYS), "left").withColumn(
-                "_done", F.col("_done") | F.coalesce("_stopped", F.lit(False))
-            ).drop("_stopped")
-        work = moved.withColumn(vec, F.col("_new")).drop("_new", "_change", "_size")
-    return work.select(*df.columns)
+    total = lambda cells: F.sum(F.aggregate(cells, zero, lambda s, x: s + x))
+    return [total(steps).alias("_change"), total(sizes).alias("_size")]
 
 
 def refine_whole_table(
@@ -161,27 +145,32 @@ def refine_whole_table(
     max_iterations: int = 10,
     tolerance: float = 1e-4,
     vec: str = VEC,
-    hours: int = HOURS,
+    hours: int | None = None,
 ) -> DataFrame:
     """Refine all rows as one matrix, for a table without meters.
 
     Each round brings one row of sums to the driver, the Gram matrix, and sends its
-    projection back as constants; the rows stay where they are.
+    projection back as constants; the rows are settled once and stay where they are.
     """
-    work = settle(df)
-    count = work.count()
+    hours = day_width(df, vec, hours)
+    start = settle(with_day(df, vec, fitting(vec, hours)))
+    count = start.count()
     rank = min(n_components, min(count, hours) - 1)
-    if rank < 1 or not work.filter(F.size(F.array_compact(vec)) < hours).isEmpty():
-        return work
-    for iteration in range(max_iterations):
-        sums = np.array([work.agg(*_gram(vec, hours)).first()], dtype=float)
-        projection = kernels.leading_projection(kernels.square(sums, hours), rank)[0]
-        constants = F.array(*[F.lit(float(w)) for w in projection.reshape(-1)])
-        moved = work.withColumn("_new", dayvec.overlay(F.col(known), _project(F.col(vec), constants, hours)))
-        change, size = _moved(vec, "_new")
-        moved = settle(moved.withColumn("_change", change).withColumn("_size", size))
-        total = moved.agg(F.sum("_change").alias("c"), F.sum("_size").alias("s")).first()
-        work = moved.withColumn(vec, F.col("_new")).drop("_new", "_change", "_size")
-        if iteration > 0 and total["c"] ** 0.5 < tolerance * total["s"] ** 0.5:
+    if rank < 1 or not start.filter(F.size(F.array_compact(vec)) < hours).isEmpty():
+        return start
+    found: list[Column] = []
+    for turn in range(max_iterations):
+        before = _applied(known, vec, _listed(found[:-1]), hours)
+        rows = start.withColumn("_before", before)
+        rows = rows.withColumn("_new", _applied(known, "_before", _listed(found[-1:]), hours))
+        row = rows.agg(*_figures("_before", "_new"), *_gram("_new", hours)).first()
+        if turn > 1 and row[0] ** 0.5 < tolerance * row[1] ** 0.5:
             break
-    return work
+        gram = kernels.square(np.array([row[2:]], dtype=float), hours)
+        projection = kernels.leading_projection(gram, np.array([rank]))[0]
+        found.append(F.array(*[F.lit(float(w)) for w in projection.reshape(-1)]))
+    return with_day(start, vec, _applied(known, vec, _listed(found), hours))
+
+
+def _listed(projections: list[Column]) -> Column:
+    return F.array(*projections) if projections else F.array().cast("array<array<double>>")

@@ -36,12 +36,12 @@ def rows_of_meters(df: DataFrame, meters: DataFrame) -> DataFrame:
 
 def meters_in_both(df: DataFrame, other: DataFrame) -> DataFrame:
     """Meters of one table that the other has as well."""
-    return df.select(METER).distinct().join(other.select(METER), METER, "left_semi")
+    return df.select(METER).distinct().join(other.select(METER).distinct(), METER, "left_semi")
 
 
 def meters_missing_from(df: DataFrame, other: DataFrame) -> DataFrame:
     """Meters of one table that the other lacks."""
-    return df.select(METER).distinct().join(other.select(METER), METER, "left_anti")
+    return df.select(METER).distinct().join(other.select(METER).distinct(), METER, "left_anti")
 
 
 def union_all(*parts: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from aquatally.schema import DAY, HOURS, METER, PREFIX, VEC, require, value_columns
+from aquatally.schema import DAY, METER, PREFIX, VEC, WIDTH, day_width, fitting, require, value_columns
 
 
 def not_nan(c: Column) -> Column:
@@ -19,13 +19,14 @@ def pack(df: DataFrame, columns: Sequence[str] | None = None, into: str = VEC) -
     """Gather the hour columns of each row into one array; other columns stay."""
     columns = list(columns or value_columns(df.columns))
     rest = [c for c in df.columns if c not in columns]
-    return df.select(*rest, F.array(*[not_nan(F.col(c).cast("double")) for c in columns]).alias(into))
+    return df.select(*rest, F.array(*[not_nan(F.col(c).cast("double")) for c in columns]).alias(into, metadata={WIDTH: len(columns)}))
 
 
-def unpack(df: DataFrame, vec: str = VEC, hours: int = HOURS, prefix: str = PREFIX) -> DataFrame:
+def unpack(df: DataFrame, vec: str = VEC, hours: int | None = None, prefix: str = PREFIX) -> DataFrame:
     """Spread the array back into one column per hour."""
     rest = [c for c in df.columns if c != vec]
-    return df.select(*rest, *[F.get(F.col(vec), F.lit(h)).alias(f"{prefix}{h}") for h in range(hours)])
+    hours = day_width(df, vec, hours)
+    return df.select(*rest, *[F.get(fitting(vec, hours), F.lit(h)).alias(f"{prefix}{h}") for h in range(hours)])
 
 
 def hour_ts(day: Column, hour: Column) -> Column:
@@ -52,9 +53,11 @@ def to_long(df: DataFrame, vec: str = VEC, value: str = "reading") -> DataFrame:
 
 
 def to_wide(
-    long: DataFrame, value: str = "reading", hours: int = HOURS, prefix: str = PREFIX
+    long: DataFrame, value: str = "reading", hours: int | None = None, prefix: str = PREFIX
 ) -> DataFrame:
-    """One row per meter and day; the hours are listed, so no extra job looks for them."""
+    """One row per meter and day; without ``hours`` a job looks for the last one."""
     require(long, METER, DAY, "hour", value)
+    if hours is None:
+        hours = (long.agg(F.max("hour")).first()[0] or 0) + 1
     cells = [F.max(F.when(F.col("hour") == h, F.col(value))).alias(f"{prefix}{h}") for h in range(hours)]
     return long.groupBy(METER, DAY).agg(*cells)

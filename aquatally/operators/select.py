@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from aquatally.operators.reshape import explode_hours, to_long
 from aquatally.operators.timeline import with_ordinal
-from aquatally.schema import DAY, HOURS, METER, VEC
+from aquatally.schema import DAY, METER, VEC, day_width
 from aquatally.sources.scratch import settle
 
 
@@ -67,11 +67,11 @@ def sample_above(df: DataFrame, threshold: float, n: int = 20, vec: str = VEC) -
     return cells.orderBy(METER, DAY, "hour").limit(n)
 
 
-def every_nth_hour(df: DataFrame, n: int, vec: str = VEC, hours: int = HOURS) -> DataFrame:
+def every_nth_hour(df: DataFrame, n: int, vec: str = VEC, hours: int | None = None) -> DataFrame:
     """Every n-th cell of each meter's timeline, starting with its first."""
     numbered = with_ordinal(df)
     cells = to_long(numbered, vec)
-    position = F.col("_ordinal").cast("bigint") * hours + F.col("hour")
+    position = F.col("_ordinal").cast("bigint") * day_width(df, vec, hours) + F.col("hour")
     return cells.filter(position % n == 0).drop("_ordinal")
 
 

@@ -14,38 +14,42 @@ from pyspark.sql import types as T
 from aquatally.functions import dayvec, kernels
 from aquatally.operators.filling import clamp_timeline
 from aquatally.operators.timeline import with_neighbours
-from aquatally.schema import DAY, HOURS, METER, VEC, require
+from aquatally.schema import DAY, METER, VEC, day_width, fitting, require, with_day
 
 
 def average_day(df: DataFrame, width: int = 11, vec: str = VEC) -> DataFrame:
     """Centred moving average inside each day."""
-    return df.withColumn(vec, dayvec.moving_average(F.col(vec), width))
+    return with_day(df, vec, dayvec.moving_average(F.col(vec), width))
 
 
-def fit_day(df: DataFrame, width: int = 11, vec: str = VEC, hours: int = HOURS) -> DataFrame:
+def fit_day(df: DataFrame, width: int = 11, vec: str = VEC, hours: int | None = None) -> DataFrame:
     """Moving cubic fit inside each day.
 
     For a given width the fit is a fixed linear map, so its weights are computed
     once, while planning.  An even width grows by one, a width beyond the day shrinks
     to it, and below five hours there is nothing to fit.
     """
+    hours = day_width(df, vec, hours)
     width = min(width + 1 - width % 2, hours)
     width -= 1 - width % 2
     if width < 5:
         return df
-    filled = dayvec.interpolate(F.col(vec))
-    return df.withColumn(vec, dayvec.banded_map(filled, *kernels.polynomial_band(hours, width)))
+    filled = dayvec.interpolate(fitting(vec, hours))
+    return with_day(df, vec, dayvec.banded_map(filled, *kernels.polynomial_band(hours, width)))
 
 
-def spline_day(df: DataFrame, vec: str = VEC, hours: int = HOURS, slack: float = 0.1) -> DataFrame:
+def spline_day(df: DataFrame, vec: str = VEC, hours: int | None = None, slack: float = 0.1) -> DataFrame:
     """Smoothing cubic spline inside each day: the least curvature whose squared
     residual stays within ``slack`` per hour.  Needs more than three known cells."""
+    hours = day_width(df, vec, hours)
     allowed = slack * hours
     schema = T.StructType([f for f in df.schema if f.name != vec] + [df.schema[vec]])
 
     def smooth(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at = batch.schema.get_field_index(vec)
+            if batch.column(at).null_count or not (batch.column(at).value_lengths().to_numpy() == hours).all():
+                raise ValueError(f"every day must be an array of {hours} cells")
             days = batch.column(at).flatten().to_numpy(zero_copy_only=False).reshape(-1, hours)
             complete = ~np.isnan(days).any(axis=1)
             out = days.copy()
@@ -67,13 +71,13 @@ def write_back(df: DataFrame, original: str, smoothed: str, vec: str = VEC) -> D
     """Take smoothed cells only where the original is null; complete days are untouched."""
     merged = dayvec.overlay(F.col(original), F.col(smoothed))
     has_gap = dayvec.missing_count(F.col(original)) > 0
-    return df.withColumn(vec, F.when(has_gap, merged).otherwise(F.col(vec)))
+    return with_day(df, vec, F.when(has_gap, merged).otherwise(F.col(vec)))
 
 
 def clamp_gap_days(df: DataFrame, original: str, vec: str = VEC) -> DataFrame:
     """Clamp the days that had gaps."""
     has_gap = dayvec.missing_count(F.col(original)) > 0
-    return df.withColumn(vec, F.when(has_gap, dayvec.running_max(F.col(vec))).otherwise(F.col(vec)))
+    return with_day(df, vec, F.when(has_gap, dayvec.running_max(F.col(vec))).otherwise(F.col(vec)))
 
 
 def smooth_imputed(
@@ -83,9 +87,10 @@ def smooth_imputed(
     width: int = 11,
     preserve_monotonicity: bool = True,
     vec: str = VEC,
-    hours: int = HOURS,
+    hours: int | None = None,
 ) -> DataFrame:
     """Smooth only the imputed cells of each day by ``savgol``, ``moving_avg`` or ``spline``."""
+    hours = day_width(df, vec, hours)
     work = df.withColumn("_smooth", F.col(vec))
     if method == "savgol":
         work = fit_day(work, width, "_smooth", hours)
@@ -107,7 +112,7 @@ def _average_along(df: DataFrame, width: int, vec: str, hours: int, into: str) -
     """Centred mean over the hours of the timeline, with ``_short`` marking meters
     that have fewer cells than the window."""
     before, after = dayvec.frame(width)
-    reach = max(1, math.ceil(before / hours))
+    reach = max(1, math.ceil(before / max(1, hours)))
     rows = with_neighbours(df, reach, vec=vec)
     nothing = F.lit(None).cast("double")
     left = F.concat(F.array_repeat(nothing, before), F.flatten(F.reverse(_beside("_before"))))
@@ -129,33 +134,34 @@ def smooth_timeline(
     width: int = 25,
     preserve_monotonicity: bool = True,
     vec: str = VEC,
-    hours: int = HOURS,
+    hours: int | None = None,
 ) -> DataFrame:
     """Moving average along each meter's timeline; observed cells are averaged too.
 
     A meter with fewer cells than the window stays as it is.
     """
     require(df, METER, DAY, vec)
+    hours = day_width(df, vec, hours)
     rows = _average_along(df, width, vec, hours, "_mean")
     if preserve_monotonicity:
         rows = clamp_timeline(rows, "_mean")
     smoothed = F.when(F.col("_short"), F.col(vec)).otherwise(F.col("_mean"))
-    return rows.withColumn(vec, smoothed).drop("_mean", "_short")
+    return with_day(rows, vec, smoothed).drop("_mean", "_short")
 
 
-def smooth_day_keep_observed(df: DataFrame, original: str, width: int = 25, vec: str = VEC, hours: int = HOURS) -> DataFrame:
+def smooth_day_keep_observed(df: DataFrame, original: str, width: int = 25, vec: str = VEC, hours: int | None = None) -> DataFrame:
     """Moving average inside each day, observed cells put back, then every day clamped."""
-    rows = average_day(df, min(width, hours), vec)
-    rows = rows.withColumn(vec, dayvec.overlay(F.col(original), F.col(vec)))
-    return rows.withColumn(vec, dayvec.running_max(F.col(vec)))
+    rows = average_day(df, min(width, day_width(df, vec, hours)), vec)
+    rows = with_day(rows, vec, dayvec.overlay(F.col(original), F.col(vec)))
+    return with_day(rows, vec, dayvec.running_max(F.col(vec)))
 
 
 def smooth_timeline_keep_observed(
-    df: DataFrame, original: str, width: int = 25, vec: str = VEC, hours: int = HOURS
+    df: DataFrame, original: str, width: int = 25, vec: str = VEC, hours: int | None = None
 ) -> DataFrame:
     """Moving average along the timeline, raised to be monotone, observed cells put back.
 
     The cells put back are not clamped again, so a smoothed cell may lie above them.
     """
     rows = smooth_timeline(df.withColumn("_kept", F.col(original)), width, True, vec, hours)
-    return rows.withColumn(vec, dayvec.overlay(F.col("_kept"), F.col(vec))).drop("_kept")
+    return with_day(rows, vec, dayvec.overlay(F.col("_kept"), F.col(vec))).drop("_kept")

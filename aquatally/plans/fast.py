@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from aquatally.functions import dayvec
 from aquatally.operators import filling
-from aquatally.schema import DAY, HOURS, METER, VEC, require
+from aquatally.schema import DAY, METER, VEC, day_width, require, with_day
 
 
 def impute_fast(
@@ -18,15 +18,19 @@ def impute_fast(
     clamp_timeline: bool = False,
     empty_days: str = "carry",
     vec: str = VEC,
-    hours: int = HOURS,
+    hours: int | None = None,
 ) -> DataFrame:
     """Fill every gap of every meter; other columns stay.
 
     The in-day steps are one projection, and one spread by (meter, month) serves the
-    fill across days.  Rows without a meter belong to no timeline and are left out.
+    fill across days.  Rows without a meter or a day belong to no timeline: the in-day
+    steps alone apply to them.
     """
     require(df, METER, DAY, vec)
-    rows = df.filter(F.col(METER).isNotNull())
+    hours = day_width(df, vec, hours)
+    placed = F.col(METER).isNotNull() & F.col(DAY).isNotNull()
+    rest = impute_days(df.filter(~placed), enforce_monotonicity, empty_days, vec)
+    rows = df.filter(placed)
     if empty_days in ("drop", "interpolate"):
         rows = filling.apply_empty_day_policy(rows, empty_days, vec, hours)
     rows = filling.interpolate_day(rows, vec)
@@ -38,7 +42,19 @@ def impute_fast(
         rows = filling.clamp_day(rows, vec)
     if clamp_timeline:
         rows = filling.clamp_timeline(rows, vec)
-    return rows
+    return rows.unionByName(rest.select(*rows.columns))
+
+
+def impute_days(
+    df: DataFrame, enforce_monotonicity: bool = True, empty_days: str = "carry", vec: str = VEC
+) -> DataFrame:
+    """The in-day steps of ``impute_fast`` alone, for rows that belong to no timeline."""
+    if empty_days == "drop":
+        df = filling.apply_empty_day_policy(df, empty_days, vec)
+    df = filling.interpolate_day(df, vec)
+    if empty_days != "null":
+        df = filling.zero_fill(df, vec)
+    return filling.clamp_day(df, vec) if enforce_monotonicity else df
 
 
 def impute_fast_rows(
@@ -46,10 +62,11 @@ def impute_fast_rows(
     order_by: Sequence[str],
     enforce_monotonicity: bool = True,
     vec: str = VEC,
-    hours: int = HOURS,
+    hours: int | None = None,
 ) -> DataFrame:
     """The same for a table without meters: all rows, in the given order, are one series."""
     require(df, vec, *order_by)
+    hours = day_width(df, vec, hours)
     rows = filling.carry_rows(filling.interpolate_day(df, vec), order_by, vec, hours)
-    rows = rows.withColumn(vec, dayvec.nulls_to_zero(F.col(vec)))
+    rows = with_day(rows, vec, dayvec.nulls_to_zero(F.col(vec)))
     return filling.clamp_day(rows, vec) if enforce_monotonicity else rows

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from aquatally.operators import gaps
 from aquatally.schema import DAY, METER, VEC
+from aquatally.sources import sinks
 
 
 def gap_report(df: DataFrame, top: int = 10, vec: str = VEC) -> DataFrame:
@@ -61,14 +62,16 @@ def gap_metrics(df: DataFrame, vec: str = VEC) -> DataFrame:
     return gaps.stats_by_day(df, vec)
 
 
-def meter_metrics_json(df: DataFrame, vec: str = VEC) -> DataFrame:
-    """The global figures as one JSON document."""
-    return gaps.global_stats(df, vec).select(
-        F.to_json(
-            F.struct(
-                F.struct(
-                    "total_meters", "total_timestamps", "total_values", "missing_count", "missing_pct"
-                ).alias("global")
-            )
-        ).alias("value")
+def write_gap_document(df: DataFrame, path: str, vec: str = VEC) -> None:
+    """Gap metrics as JSON: under ``global`` one document with the figures of the whole table and
+    its shape, under ``rows`` one object per meter and day.
+
+    The rows stay apart from the document, so that no task has to write them all.
+    """
+    figures = ["total_meters", "total_timestamps", "total_values", "missing_count", "missing_pct"]
+    document = gaps.global_stats(df, vec).select(
+        F.struct(*figures).alias("global"),
+        F.array(F.col("total_meters"), F.col("total_timestamps").cast("bigint")).alias("shape"),
     )
+    sinks.write_json(document, f"{path}/global")
+    sinks.write_json(gap_metrics(df, vec), f"{path}/rows")

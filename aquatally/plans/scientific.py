@@ -12,21 +12,20 @@ from aquatally.operators import cleaning, filling, lowrank, smoothing
 from aquatally.operators.gaps import gap_classes_by_meter
 from aquatally.operators.pairing import KEYS, attach_original, first_load
 from aquatally.plans.fast import impute_fast
-from aquatally.schema import DAY, HOURS, METER, VEC, require
+from aquatally.schema import DAY, METER, VEC, day_width, require, with_day
 from aquatally.sources.scratch import settle
 
 
 def on_readings(df: DataFrame, step: Callable[[DataFrame], DataFrame], vec: str = VEC) -> DataFrame:
-    """Run a chain of timeline steps on the readings alone, other columns joined back.
+    """Run a chain of timeline steps on rows whose other columns travel as one.
 
-    Every such step reads its rows twice, for the summary and for the result.  With
-    nothing but readings in the row both read one and the same shuffle.
+    So nothing is joined back, and a day that is there twice stays there twice.
     """
     rest = [c for c in df.columns if c not in (*KEYS, vec)]
-    done = step(df.select(*KEYS, vec))
     if not rest:
-        return done
-    return df.select(*KEYS, *rest).join(done, KEYS).select(*df.columns)
+        return step(df.select(*KEYS, vec))
+    done = step(df.select(*KEYS, vec, F.struct(*rest).alias("_rest")))
+    return done.select(*[F.col(c) if c in (*KEYS, vec) else F.col(f"_rest.{c}").alias(c) for c in df.columns])
 
 
 def impute_scientific(
@@ -41,24 +40,24 @@ def impute_scientific(
     clamp_timeline: bool = True,
     restore_from: str = "raw",
     vec: str = VEC,
-    hours: int = HOURS,
+    hours: int | None = None,
 ) -> DataFrame:
     """Clean, fill and refine every meter, one row per meter and day.
 
     ``restore_from`` names the originals that smoothing puts back: the ``raw`` readings
-    or the ``clean`` ones.  A meter without any reading stays empty.
+    or the ``clean`` ones.  A meter without any reading stays empty.  Rows without a meter or
+    a day belong to no timeline: the in-day steps alone apply to them.
     """
     require(df, METER, DAY, vec)
+    hours = day_width(df, vec, hours)
 
     def readings(rows: DataFrame) -> DataFrame:
         rows = rows.withColumn("_raw", F.col(vec)).withColumn("_clean", F.col(vec))
         rows = cleaning.null_spikes(cleaning.null_zeros(rows, "_clean"), vec="_clean")
         rows = cleaning.null_drops(rows, vec="_clean")
-        rows = filling.interpolate_day(rows.withColumn(vec, F.col("_clean")), vec)
+        rows = filling.interpolate_day(with_day(rows, vec, F.col("_clean")), vec)
         rows = filling.carry_whole_days(rows, vec)
-        rows = lowrank.refine_by_meter(
-            rows, "_clean", n_components, max_iterations, tolerance, vec, hours, counted=df
-        )
+        rows = lowrank.refine_by_meter(rows, "_clean", n_components, max_iterations, tolerance, vec, hours)
         rows = filling.restore_known(rows, "_clean", vec)
         if enforce_monotonicity:
             rows = filling.clamp_day(rows, vec)
@@ -70,7 +69,16 @@ def impute_scientific(
         rows = filling.clip_negative(rows.drop("_raw", "_clean"), vec)
         return filling.clamp_timeline(rows, vec) if clamp_timeline else rows
 
-    return on_readings(df.filter(F.col(METER).isNotNull()), readings, vec)
+    def unplaced(rows: DataFrame) -> DataFrame:
+        rows = cleaning.null_spikes(cleaning.null_zeros(rows, vec), vec=vec)
+        rows = filling.interpolate_day(rows, vec)
+        if enforce_monotonicity:
+            rows = filling.clamp_day(rows, vec)
+        return filling.clip_negative(rows, vec)
+
+    placed = F.col(METER).isNotNull() & F.col(DAY).isNotNull()
+    done = on_readings(df.filter(placed), readings, vec)
+    return done.unionByName(unplaced(df.filter(~placed)).select(*done.columns))
 
 
 def impute_scientific_rows(
@@ -81,7 +89,7 @@ def impute_scientific_rows(
     tolerance: float = 1e-4,
     enforce_monotonicity: bool = True,
     vec: str = VEC,
-    hours: int = HOURS,
+    hours: int | None = None,
 ) -> DataFrame:
     """The same for a table without meters: all rows are one matrix, in the given order.
 
@@ -89,11 +97,12 @@ def impute_scientific_rows(
     also needs the last row of the one before it.
     """
     require(df, vec, *order_by)
+    hours = day_width(df, vec, hours)
     rows = df.withColumn("_clean", F.col(vec))
     rows = cleaning.null_spikes(cleaning.null_zeros(rows, "_clean"), vec="_clean")
     rows = filling.with_previous_row(rows, order_by, "_previous", "_clean")
     rows = rows.withColumn("_clean", dayvec.drop_decreases(F.col("_clean"), F.col("_previous"))).drop("_previous")
-    rows = rows.withColumn(vec, dayvec.interpolate(F.col("_clean")))
+    rows = with_day(rows, vec, dayvec.interpolate(F.col("_clean")))
     rows = filling.carry_rows(rows, order_by, vec, hours)
     rows = lowrank.refine_whole_table(rows, "_clean", n_components, max_iterations, tolerance, vec, hours)
     rows = filling.restore_known(rows, "_clean", vec).drop("_clean")

@@ -10,11 +10,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from aquatally.schema import DAY, HOURS, METER, VEC
+from aquatally.schema import DAY, METER, VEC, WIDTH
 
 # The calendar of the events and the gap, error and duplicate rules.
 FIRST_DAY = "2024-01-01"
 DAYS = 30
+HOURS = 24
 CALIBRES = (15, 20, 30, 40, 80)
 
 
@@ -93,7 +94,7 @@ def _as_days(numbered: DataFrame, *more: str) -> DataFrame:
         F.concat(F.lit("C"), F.col("mno").cast("string")).alias("contact_id"),
         F.get(F.array(*[F.lit(c) for c in CALIBRES]), (F.col("mno") % 5).cast("int")).alias("calibre"),
         *more,
-        VEC,
+        F.col(VEC).alias(VEC, metadata={WIDTH: HOURS}),
     )
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from aquatally.operators.reshape import not_nan, pack
-from aquatally.schema import DAY, HOURS, METER, PREFIX, VEC, readings_schema, require, value_columns
+from aquatally.schema import DAY, METER, PREFIX, VEC, readings_schema, require, value_columns
 
 
 def read_readings(
@@ -16,10 +16,14 @@ def read_readings(
     """Scan a wide readings table; missing readings are null whatever the file wrote.
 
     CSV is read by an explicit schema, never by inference, and in input splits, so a
-    file larger than memory needs nothing special.
+    file larger than memory needs nothing special.  Without a ``schema`` the header line
+    alone tells how many hours a day has.
     """
     if fmt == "csv":
-        df = spark.read.csv(path, header=True, schema=schema or readings_schema(), enforceSchema=False)
+        if schema is None:
+            header = spark.read.csv(path, header=True, inferSchema=False).columns
+            schema = readings_schema(len(value_columns(header)))
+        df = spark.read.csv(path, header=True, schema=schema, enforceSchema=False)
     else:
         df = spark.read.format(fmt).load(path)
     require(df, METER, DAY)
@@ -49,7 +53,7 @@ def read_pair(
 
 
 def synthetic_readings(
-    spark: SparkSession, meters: int, days: int, null_share: float = 0.2, seed: int = 42, hours: int = HOURS
+    spark: SparkSession, meters: int, days: int, null_share: float = 0.2, seed: int = 42, hours: int = 24
 ) -> DataFrame:
     """Rising readings of made-up meters, a share of them missing; a day is one array."""
     grid = spark.range(meters * days).select(

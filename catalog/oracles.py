@@ -181,6 +181,51 @@ def cells(source: str, name: str = "reading") -> str:
     )
 
 
+def rank_one(start: str, known: str, by_meter: bool = True, rounds: int = 2) -> str:
+    """Rank-one refinement.  A Gram matrix squared again and again and divided by its trace
+    becomes the projection on its leading vector."""
+    meter = "id" if by_meter else "''"
+    source = start
+    for _ in range(rounds):
+        squares = "".join(
+            f""", t{k} AS MATERIALIZED (SELECT m, sum(g) AS t FROM g{k} WHERE i = j GROUP BY m),
+            g{k + 1} AS MATERIALIZED (SELECT a.m, a.i, b.j, sum(a.g / t * b.g / t) AS g FROM g{k} a
+              JOIN g{k} b ON a.m = b.m AND a.j = b.i JOIN t{k} ON a.m = t{k}.m GROUP BY a.m, a.i, b.j)"""
+            for k in range(6)
+        )
+        inner = f"""WITH s AS MATERIALIZED (SELECT *, {meter} AS m FROM {_src(source)}),
+          holes AS MATERIALIZED (SELECT DISTINCT m FROM s WHERE x IS NULL),
+          g0 AS MATERIALIZED (SELECT a.m, a.hour AS i, b.hour AS j, sum(a.x * b.x) AS g
+            FROM s a JOIN s b ON a.id = b.id AND a.data = b.data
+            WHERE a.m NOT IN (SELECT m FROM holes) GROUP BY a.m, a.hour, b.hour){squares},
+          t6 AS MATERIALIZED (SELECT m, sum(g) AS t FROM g6 WHERE i = j GROUP BY m),
+          n AS (SELECT s.id, s.data, j AS hour, sum(s.x * g / t) AS x FROM s
+            JOIN g6 ON g6.m = s.m AND g6.i = s.hour JOIN t6 ON t6.m = s.m GROUP BY s.id, s.data, j)
+          SELECT s.id, s.data, s.hour, s.x, n.x AS nx
+          FROM s LEFT JOIN n ON s.id = n.id AND s.data = n.data AND s.hour = n.hour"""
+        source = f"""SELECT s.id, s.data, s.hour, coalesce(k.x, s.nx, s.x) AS x FROM ({inner}) s
+          LEFT JOIN {_src(known)} k ON s.id = k.id AND s.data = k.data AND s.hour = k.hour"""
+    return source
+
+
+def scientific(source: str, smooth: str = "") -> str:
+    """The scientific imputation at rank one; ``smooth`` is ``clean`` for a moving average that puts
+    clean readings back, without the clamp along the timeline."""
+    known = clean(source)
+    out = clamp(rank_one(carry(interpolate(known)), known))
+    if smooth == "clean":
+        out = clamp_gap_days(write_back(out, known, average(out, 11)), known)
+    out = map_x(out, "CASE WHEN x < 0 THEN 0 ELSE x END")
+    return out if smooth else clamp(out, _LINE)
+
+
+def r4_cells(source: str) -> str:
+    return _with(
+        "SELECT id, CAST(data AS VARCHAR) AS data, CAST(hour AS INTEGER) AS hour, round(x + 1e-9, 4) AS reading "
+        f"FROM {_src(source)}"
+    )
+
+
 FAST = fast("days")
 CLEAN = clean("dirty")
 FIRST_LOADS = "SELECT * FROM loads WHERE load_seq = 0"
@@ -282,6 +327,8 @@ _REPORT = f"""SELECT 1 AS seq, 'rows: ' || count(*) // 24 AS line FROM days
     FROM (SELECT 100.0 * count(*) FILTER (WHERE x IS NULL) / count(*) AS pct FROM days),
          (SELECT max(max_gap_size) AS longest FROM ({_DAY_STATS}))"""
 
+_LARGE = f"SELECT id FROM ({_LINE_RUNS}) WHERE NOT is_trailing AND gap_len > 72"
+
 _LOW_RANK_FACTS = """SELECT id, count(*) AS cells, CASE WHEN count(x) = 0 THEN count(*) ELSE 0 END AS nulls_left,
     0 AS known_changed FROM {src} GROUP BY id"""
 
@@ -307,6 +354,11 @@ def oracle_sql() -> dict[str, str]:
         "write_imputed": cells(FAST),
         "write_smoothed": cells(M8),
         "write_gap_metrics": _with(f"SELECT {_stats_columns(_KEY)} FROM ({_DAY_STATS})"),
+        "write_gap_document": _with(
+            f"""SELECT count(*) // 24 AS total_meters, 24 AS total_timestamps, count(*) AS total_values,
+              count(*) - count(x) AS missing_count, {r6('100.0 * (count(*) - count(x)) / count(*)')} AS missing_pct,
+              [count(*) // 24, 24] AS shape FROM days"""
+        ),
         "write_gap_report": _with(f"SELECT line FROM ({_REPORT})"),
         # reshape
         "wide_to_long": long,
@@ -384,6 +436,15 @@ def oracle_sql() -> dict[str, str]:
         "clamp_timeline": cells(clamp("dirty", _LINE)),
         "restore_known": cells(overlay(CLEAN, fast("dirty"))),
         "clip_negative": cells("SELECT id, data, hour, CASE WHEN x - 500 < 0 THEN 0 ELSE x - 500 END AS x FROM days"),
+        "refine_rank_one": r4_cells(rank_one(carry(interpolate(CLEAN)), CLEAN)),
+        "refine_whole_rank_one": r4_cells(rank_one(zero(carry(interpolate(CLEAN))), CLEAN, by_meter=False)),
+        "impute_scientific_rank_one": r4_cells(scientific("dirty")),
+        "impute_scientific_averaged": r4_cells(scientific("dirty", "clean")),
+        "impute_hybrid_default": r4_cells(scientific("days")),
+        "impute_hybrid_by_gaps": r4_cells(
+            f"""SELECT * FROM ({scientific('days')}) WHERE id IN ({_LARGE})
+              UNION ALL SELECT id, data, hour, x FROM ({FAST}) WHERE id NOT IN ({_LARGE})"""
+        ),
         "refine_low_rank_facts": _with(_LOW_RANK_FACTS.format(src=_src(CLEAN))),
         "scientific_facts": _with(
             f"""SELECT id, count(*) AS cells, CASE WHEN count(x) = 0 THEN count(*) ELSE 0 END AS nulls_left,
@@ -441,6 +502,9 @@ def oracle_sql() -> dict[str, str]:
         "worst_days": _with(
             f"SELECT {_stats_columns(_KEY)} FROM (SELECT * FROM ({_DAY_STATS}) ORDER BY missing_pct DESC, id, data LIMIT 10)"
         ),
+        "worst_forty_days": _with(
+            f"SELECT {_stats_columns(_KEY)} FROM (SELECT * FROM ({_DAY_STATS}) ORDER BY missing_pct DESC, id, data LIMIT 40)"
+        ),
         "worst_thousand_days": _with(
             f"SELECT {_stats_columns(_KEY)} "
             f"FROM (SELECT * FROM ({_DAY_STATS}) ORDER BY missing_pct DESC, id, data LIMIT 1000)"
@@ -456,6 +520,11 @@ def oracle_sql() -> dict[str, str]:
               WHERE (id, days.data) IN (SELECT (id, data) FROM (SELECT DISTINCT id, data FROM days)
                                    ORDER BY md5(id || CAST(data AS VARCHAR)) LIMIT 500)"""
         ),
+        "gap_heatmap_sample": _with(
+            f"""SELECT {_KEY}, hour, CAST(x IS NULL AS INTEGER) AS is_missing FROM days
+              WHERE (id, days.data) IN (SELECT (id, data) FROM (SELECT DISTINCT id, data FROM days)
+                                   ORDER BY md5(id || CAST(data AS VARCHAR)) LIMIT 25)"""
+        ),
         "day_completeness": _with(
             """SELECT id, count(*) AS days, count(*) FILTER (WHERE n = 0) AS empty_days,
               count(*) FILTER (WHERE n BETWEEN 1 AND 23) AS partial_days, count(*) FILTER (WHERE n = 24) AS complete_days
@@ -540,6 +609,7 @@ def oracle_sql() -> dict[str, str]:
         ),
         "rows_per_meter": _with("SELECT id, count(DISTINCT data) AS n_rows FROM days GROUP BY id HAVING n_rows >= 10"),
         "comparison_meters": _with(_CHOSEN),
+        "comparison_meters_few": _with(_CHOSEN.replace("LIMIT 150", "LIMIT 3").replace("LIMIT 4", "LIMIT 2")),
         "comparison_points": _with(
             f"SELECT {_KEY}, hour, {_TS}, {r6('o')} AS val_orig, {r6('x')} AS val_imp, o IS NULL AS is_imputed "
             f"FROM ({beside(FAST, 'days')}) WHERE id IN (SELECT id FROM ({_CHOSEN}))"
@@ -557,6 +627,12 @@ def oracle_sql() -> dict[str, str]:
               CASE WHEN max(d) < 0.001 THEN 'not applied' ELSE 'applied' END AS verdict
               FROM (SELECT abs(x - o) AS d FROM ({beside(FAST, M8)}))"""
         ),
+        "smoothing_difference_strict": _with(
+            f"""SELECT {r6('avg(d)')} AS mean_abs_diff, {r6('max(d)')} AS max_abs_diff,
+              count(*) FILTER (WHERE d > 0.1) AS changed, count(*) AS cells,
+              CASE WHEN max(d) < 0.01 THEN 'not applied' ELSE 'applied' END AS verdict
+              FROM (SELECT abs(x - o) AS d FROM ({beside(FAST, M8)}))"""
+        ),
         "value_ranges": _with(
             f"""SELECT id, {r6('min(x)')} AS min, {r6('max(x)')} AS max, {r6('avg(x)')} AS mean,
               count(*) - count(x) AS nulls FROM days GROUP BY id"""

@@ -26,7 +26,7 @@ from aquatally.operators import (
 )
 from aquatally.operators.timeline import with_previous_day
 from aquatally.plans import fast, reports, scientific
-from aquatally.schema import DAY, HOURS, METER, VEC
+from aquatally.schema import DAY, METER, VEC
 from aquatally.sources import derived, readings, scratch, sinks
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -142,6 +142,13 @@ def write_gap_metrics(spark, sf):
     return gap_rows(spark.read.schema(metrics.schema).json(path))
 
 
+def write_gap_document(spark, sf):
+    path = scratch.new_path(spark, "gap-document")
+    reports.write_gap_document(days(spark, sf), path)
+    back = spark.read.json(f"{path}/global")
+    return shown(back.select("global.*", "shape"), "missing_pct")
+
+
 def write_gap_report(spark, sf):
     path = scratch.new_path(spark, "gap-report")
     sinks.write_lines(reports.gap_report(days(spark, sf)), path)
@@ -231,6 +238,41 @@ def low_rank(spark, sf) -> DataFrame:
     return lowrank.refine_by_meter(start, "known")
 
 
+def r4_cells(df: DataFrame) -> DataFrame:
+    """Four digits: the two engines reach an eigenvector on different ways."""
+    long = reshape.to_long(df.select(METER, DAY, VEC))
+    return shown(long.select(METER, DAY, "hour", F.round(F.col("reading") + 1e-9, 4).alias("reading")))
+
+
+#: Two rounds at rank one, which SQL can state as well.
+RANK_ONE = {"n_components": 1, "max_iterations": 2}
+
+
+def refine_rank_one(spark, sf):
+    clean = cleaning.clean(dirty(spark, sf)).withColumn("known", F.col(VEC))
+    start = filling.carry_whole_days(filling.interpolate_day(clean))
+    return r4_cells(lowrank.refine_by_meter(start, "known", tolerance=0.0, **RANK_ONE))
+
+
+def refine_whole_rank_one(spark, sf):
+    clean = cleaning.clean(dirty(spark, sf)).withColumn("known", F.col(VEC))
+    start = filling.zero_fill(filling.carry_whole_days(filling.interpolate_day(clean)))
+    return r4_cells(lowrank.refine_whole_table(start, "known", tolerance=0.0, **RANK_ONE))
+
+
+def impute_scientific_averaged(spark, sf):
+    return r4_cells(
+        scientific.impute_scientific(
+            dirty(spark, sf),
+            apply_smoothing=True,
+            smoothing_method="moving_avg",
+            restore_from="clean",
+            clamp_timeline=False,
+            **RANK_ONE,
+        )
+    )
+
+
 def refine_low_rank_facts(spark, sf):
     changed = F.size(
         F.filter(F.arrays_zip("known", VEC), lambda p: p["known"].isNotNull() & (p["known"] != p[VEC]))
@@ -256,9 +298,9 @@ def scientific_facts(spark, sf):
     result = scientific.impute_scientific(dirty(spark, sf))
     known = cleaning.clean(dirty(spark, sf)).withColumnRenamed(VEC, "known")
     rows = with_previous_day(result, "_previous").join(known, [METER, DAY])
-    last = F.get("_previous", F.lit(HOURS - 1))
+    last = F.get("_previous", F.lit(24 - 1))
     line = F.concat(F.array(last), F.col(VEC))
-    falls = F.size(F.filter(F.zip_with(F.slice(line, 1, HOURS), VEC, lambda a, b: b < a), lambda f: f))
+    falls = F.size(F.filter(F.zip_with(F.slice(line, 1, 24), VEC, lambda a, b: b < a), lambda f: f))
     below = F.size(F.filter(F.zip_with("known", VEC, lambda k, x: x < k), lambda f: f))
     return rows.groupBy(METER).agg(
         F.sum(F.size(VEC)).alias("cells"),
@@ -373,12 +415,9 @@ def dashboard(table: DataFrame) -> DataFrame:
     return comparison.dashboard(table, len(wide_columns))
 
 
-def smoothing_difference(spark, sf):
-    # one pass keeps both: the filled readings travel beside the smoothed ones
-    both = smoothed(spark, sf)
-    return shown(
-        comparison.smoothing_difference(filled(spark, sf), both), "mean_abs_diff", "max_abs_diff"
-    )
+def smoothing_difference(spark, sf, changed_above=0.01, idle_below=0.001):
+    figures = comparison.smoothing_difference(filled(spark, sf), smoothed(spark, sf), changed_above, idle_below)
+    return shown(figures, "mean_abs_diff", "max_abs_diff")
 
 
 def queries() -> dict[str, Query]:
@@ -388,6 +427,7 @@ def queries() -> dict[str, Query]:
         "write_imputed": write_imputed,
         "write_smoothed": write_smoothed,
         "write_gap_metrics": write_gap_metrics,
+        "write_gap_document": write_gap_document,
         "write_gap_report": write_gap_report,
         "wide_to_long": wide_to_long,
         "long_to_wide": long_to_wide,
@@ -437,6 +477,14 @@ def queries() -> dict[str, Query]:
         "clamp_timeline": lambda s, d: cells(filling.clamp_timeline(dirty(s, d))),
         "refine_low_rank": lambda s, d: cells(low_rank(s, d)),
         "refine_low_rank_facts": refine_low_rank_facts,
+        "refine_rank_one": refine_rank_one,
+        "refine_whole_rank_one": refine_whole_rank_one,
+        "impute_scientific_rank_one": lambda s, d: r4_cells(scientific.impute_scientific(dirty(s, d), **RANK_ONE)),
+        "impute_scientific_averaged": impute_scientific_averaged,
+        "impute_hybrid_default": lambda s, d: r4_cells(scientific.impute_hybrid(days(s, d), **RANK_ONE)),
+        "impute_hybrid_by_gaps": lambda s, d: r4_cells(
+            scientific.impute_hybrid(days(s, d), force_lowrank=False, **RANK_ONE)
+        ),
         "refine_whole_table": refine_whole_table,
         "restore_known": restore_known,
         "clip_negative": clip_negative,
@@ -479,11 +527,13 @@ def queries() -> dict[str, Query]:
         "gap_distribution": lambda s, d: gaps.distribution(day_stats(s, d)),
         "gap_summary": lambda s, d: shown(gaps.summary(day_stats(s, d)), "mean_avg_gap"),
         "worst_days": lambda s, d: gap_rows(gaps.worst(day_stats(s, d), 10)),
+        "worst_forty_days": lambda s, d: gap_rows(gaps.worst(day_stats(s, d), 40)),
         "worst_thousand_days": lambda s, d: gap_rows(gaps.worst(day_stats(s, d), 1000)),
         "mean_missing_pct": lambda s, d: shown(gaps.mean_missing_pct(day_stats(s, d)), "avg_missing_pct"),
         "recommendation_by_day": lambda s, d: advice(s, d, day_stats(s, d)),
         "recommendation_by_meter": lambda s, d: advice(s, d, gaps.stats_by_meter(days(s, d))),
         "gap_report": lambda s, d: reports.gap_report(days(s, d)),
+        "gap_heatmap_sample": lambda s, d: shown(gaps.heatmap(days(s, d), sample_size=25)),
         "gap_heatmap": lambda s, d: shown(gaps.heatmap(days(s, d))),
         "day_completeness": lambda s, d: gaps.day_completeness(days(s, d)),
         "first_days_check": lambda s, d: shown(gaps.first_days_check(days(s, d), filled(s, d))),
@@ -514,10 +564,12 @@ def queries() -> dict[str, Query]:
         "imputation_stats": lambda s, d: shown(comparison.imputation_stats(days(s, d)), "pct_imputed"),
         "rows_per_meter": lambda s, d: comparison.rows_per_meter(days(s, d)),
         "comparison_meters": chosen,
+        "comparison_meters_few": lambda s, d: comparison.comparison_meters(days(s, d), first=3, n=2),
         "comparison_points": comparison_points,
         "comparison_totals": lambda s, d: comparison.comparison_totals(days(s, d), chosen(s, d)),
         "dashboard": lambda s, d: dashboard(derived.days(s, d)),
         "smoothing_difference": smoothing_difference,
+        "smoothing_difference_strict": lambda s, d: smoothing_difference(s, d, 0.1, 0.01),
         "value_ranges": lambda s, d: shown(comparison.value_ranges(days(s, d)), "min", "max", "mean"),
         "workload": lambda s, d: shown(comparison.workload(days(s, d)), "rows_per_meter"),
         "quality_violations": lambda s, d: comparison.quality_violations(filled(s, d), days(s, d)),

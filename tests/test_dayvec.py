@@ -27,7 +27,7 @@ def apply(spark, matrix, expression):
     return np.array([[np.nan if x is None else x for x in row["r"]] for row in out], dtype=float)
 
 
-@pytest.mark.parametrize("hours", [24, 10, 48])
+@pytest.mark.parametrize("hours", [24, 10, 62, 63, 96, 288])
 def test_against_pandas(spark, hours):
     m = days(hours, hours)
     frame = pd.DataFrame(m)

@@ -1,5 +1,6 @@
 """Scans, sinks, schema rules and the derived tables."""
 
+import json
 import os
 
 import pytest
@@ -22,7 +23,10 @@ COUNTS = {
 
 
 def test_value_columns_in_hour_order():
-    assert schema.value_columns(["id", "index_10", "index_2", "index_x"]) == ["index_2", "index_10"]
+    assert schema.value_columns(["id", "index_10", "index_9", "index_8"]) == ["index_8", "index_9", "index_10"]
+    for wrong in (["index_0", "index_x"], ["index_2", "index_10"], ["index_1", "index_01"]):
+        with pytest.raises(ValueError):
+            schema.value_columns(["id", *wrong])
     with pytest.raises(ValueError):
         schema.value_columns(["id", "data"])
 
@@ -44,7 +48,7 @@ def test_derived_counts(spark, sf):
 
 
 def test_csv_blank_and_nan(spark, tmp_path):
-    names = [f.name for f in schema.readings_schema().fields]
+    names = [f.name for f in schema.readings_schema(24).fields]
     values = ["NaN", "", "3.5"] + ["1"] * 21
     (tmp_path / "r.csv").write_text(",".join(names) + "\nA,2024-01-01,c,15," + ",".join(values) + "\n")
     row = readings.read_days(spark, str(tmp_path / "r.csv")).first()
@@ -80,8 +84,11 @@ def test_round_trip(spark):
 
 def test_json_and_text(spark, tmp_path):
     days = derived.days(spark, f"{ROOT}/sf0.001")
-    sinks.write_json(reports.meter_metrics_json(days), str(tmp_path / "j"))
-    assert '\\"total_meters\\":60' in spark.read.text(str(tmp_path / "j")).first()[0]
+    reports.write_gap_document(days, str(tmp_path / "j"))
+    document = json.loads(spark.read.text(str(tmp_path / "j/global")).first()[0])
+    assert document["global"]["total_meters"] == 60 and document["shape"] == [60, 24]
+    rows = [json.loads(r[0]) for r in spark.read.text(str(tmp_path / "j/rows")).collect()]
+    assert len(rows) == 60 and sum(r["missing_count"] for r in rows) == document["global"]["missing_count"]
     sinks.write_lines(reports.gap_report(days), str(tmp_path / "t"))
     lines = [r[0] for r in spark.read.text(str(tmp_path / "t")).collect()]
     assert lines[0] == "rows: 60" and lines[-1].startswith("quality: moderate")
