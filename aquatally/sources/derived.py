@@ -7,26 +7,32 @@ the meter number, the day and the hour.
 
 from __future__ import annotations
 
+import datetime
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from aquatally.schema import DAY, METER, VEC, WIDTH
 
-# The calendar of the events and the gap, error and duplicate rules.
-FIRST_DAY = "2024-01-01"
-DAYS = 30
+# The hours of a day, and the gap, error and duplicate rules.
 HOURS = 24
 CALIBRES = (15, 20, 30, 40, 80)
 
 
-def _day_totals(events: DataFrame) -> DataFrame:
+def _calendar(events: DataFrame) -> tuple[datetime.date, int]:
+    """First day and number of days of the events."""
+    first, last = events.agg(F.min("ts").cast("date"), F.max("ts").cast("date")).first()
+    return (first, (last - first).days + 1) if first else (datetime.date(1970, 1, 1), 0)
+
+
+def _day_totals(events: DataFrame, first: datetime.date) -> DataFrame:
     """Consumption in cents per meter, day and hour; null in an hour without events.
 
     A sum combines before the shuffle, so a meter with most of the events is no
     hot group: at most one row per task, meter and day leaves the map side.
     """
     cents = F.round(F.col("value") * 100).cast("bigint")
-    day = F.datediff(F.col("ts").cast("date"), F.lit(FIRST_DAY).cast("date"))
+    day = F.datediff(F.col("ts").cast("date"), F.lit(first))
     hourly = events.select(
         F.expr("user_id div 10").alias("mno"), day.alias("d"), F.hour("ts").alias("h"), cents.alias("cents")
     )
@@ -59,9 +65,10 @@ def _numbered_days(spark: SparkSession, sf_dir: str) -> DataFrame:
     one at its end.
     """
     events = spark.read.parquet(f"{sf_dir}/events.parquet").select("user_id", "ts", "value")
+    first, n_days = _calendar(events)
     used = F.array_compact("used")
-    seen = _day_totals(events).withColumn("sum", F.aggregate(used, F.lit(0).cast("bigint"), lambda a, x: a + x))
-    along = Window.partitionBy("mno").orderBy("d")  # a meter has at most DAYS rows here
+    seen = _day_totals(events, first).withColumn("sum", F.aggregate(used, F.lit(0).cast("bigint"), lambda a, x: a + x))
+    along = Window.partitionBy("mno").orderBy("d")  # a meter has one row per day here
     seen = seen.select(
         "mno",
         F.col("d").alias("seen"),
@@ -69,7 +76,7 @@ def _numbered_days(spark: SparkSession, sf_dir: str) -> DataFrame:
         "sum",
         F.sum("sum").over(along.rowsBetween(Window.unboundedPreceding, -1)).alias("before"),
         F.when(F.row_number().over(along) == 1, F.lit(0)).otherwise(F.col("d")).alias("from"),
-        (F.coalesce(F.lead("d").over(along), F.lit(DAYS)) - 1).alias("to"),
+        (F.coalesce(F.lead("d").over(along), F.lit(n_days)) - 1).alias("to"),
     )
     # a day without events follows the last one that had some
     days = seen.withColumn("d", F.explode(F.sequence("from", "to")))
@@ -78,6 +85,7 @@ def _numbered_days(spark: SparkSession, sf_dir: str) -> DataFrame:
     days = days.select(
         "mno",
         "d",
+        F.date_add(F.lit(first), F.col("d")).alias(DAY),
         F.when(F.col("d") == F.col("seen"), F.col("used")).otherwise(nothing).alias("used"),
         F.when(F.col("d") <= F.col("seen"), F.col("before")).otherwise(after).alias("before"),
     )
@@ -90,7 +98,7 @@ def _numbered_days(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _as_days(numbered: DataFrame, *more: str) -> DataFrame:
     return numbered.select(
         F.concat(F.lit("M"), F.lpad(F.col("mno").cast("string"), 5, "0")).alias(METER),
-        F.date_add(F.lit(FIRST_DAY).cast("date"), F.col("d")).alias(DAY),
+        DAY,
         F.concat(F.lit("C"), F.col("mno").cast("string")).alias("contact_id"),
         F.get(F.array(*[F.lit(c) for c in CALIBRES]), (F.col("mno") % 5).cast("int")).alias("calibre"),
         *more,

@@ -9,15 +9,17 @@ from __future__ import annotations
 import numpy as np
 
 _BASE = """
+calendar AS (SELECT min(CAST(ts AS DATE)) AS first, max(CAST(ts AS DATE)) AS last FROM events),
 ev AS (
-  SELECT user_id // 10 AS mno, date_diff('day', DATE '2024-01-01', CAST(ts AS DATE)) AS d,
+  SELECT user_id // 10 AS mno, date_diff('day', first, CAST(ts AS DATE)) AS d,
          hour(ts) AS hour, ts, event_id, CAST(round(value * 100) AS BIGINT) AS cents
-  FROM events),
+  FROM events, calendar),
 running AS (
   SELECT mno, d, hour, sum(cents) OVER (PARTITION BY mno ORDER BY ts, event_id) AS total FROM ev),
 hourly AS (SELECT mno, d, hour, max(total) AS total FROM running GROUP BY ALL),
 grid AS (
-  SELECT mno, d, h AS hour FROM (SELECT DISTINCT mno FROM ev), range(30) a(d), range(24) b(h)),
+  SELECT mno, d, h AS hour FROM (SELECT DISTINCT mno FROM ev),
+    (SELECT unnest(range(date_diff('day', first, last) + 1)) AS d FROM calendar), range(24) b(h)),
 raw AS (
   SELECT g.mno, g.d, g.hour, total,
          last_value(total IGNORE NULLS) OVER (PARTITION BY g.mno ORDER BY g.d, g.hour
@@ -26,7 +28,7 @@ raw AS (
 days AS (
   SELECT mno, d, 'M' || lpad(CAST(mno AS VARCHAR), 5, '0') AS id, 'C' || mno AS contact_id,
          [15, 20, 30, 40, 80][mno % 5 + 1] AS calibre,
-         CAST(DATE '2024-01-01' + CAST(d AS INTEGER) AS DATE) AS data, CAST(hour AS INTEGER) AS hour,
+         CAST((SELECT first FROM calendar) + CAST(d AS INTEGER) AS DATE) AS data, CAST(hour AS INTEGER) AS hour,
          CASE WHEN mno % 15 = 14 OR (mno % 7 = 3 AND d BETWEEN 12 AND 16)
                 OR (mno % 13 = 5 AND d BETWEEN 3 AND 11) OR (mno * 7 + d) % 11 = 0 THEN NULL
               WHEN (mno + d) % 5 = 0 THEN latest ELSE total END / 100.0 AS x
@@ -246,7 +248,7 @@ _DAY_STATS = f"""SELECT t.id, t.data, t.missing_count, 100.0 * t.missing_count /
     ON t.id = g.id AND t.data = g.data"""
 
 _LINE_RUNS = """SELECT id, min(CAST(data AS TIMESTAMP) + to_hours(hour)) AS gap_start, count(*) AS gap_len,
-    max(pos) = 720 AS is_trailing
+    max(pos) = (SELECT 24 * count(DISTINCT d) FROM days) AS is_trailing
   FROM (SELECT *, pos - row_number() OVER (PARTITION BY id ORDER BY pos) AS island
         FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY data, hour) AS pos FROM days)
         WHERE x IS NULL) GROUP BY id, island"""

@@ -47,6 +47,16 @@ def test_derived_counts(spark, sf):
     assert abs(row[1] / (rows * 24) - missing / (rows * 24)) < 5e-4
 
 
+def test_calendar_comes_from_the_events(spark, tmp_path):
+    rows = [(u, f"2023-11-{1 + u % 3:02d} 05:00:00", 1.0) for u in range(20)] + [(3, "2024-01-09 23:00:00", 2.0), (15, "2023-12-25 00:00:00", 3.0)]
+    events = spark.createDataFrame(rows, "user_id long, ts string, value double").withColumn("ts", F.col("ts").cast("timestamp"))
+    events.write.parquet(str(tmp_path / "events.parquet"))
+    days = derived.days(spark, str(tmp_path))
+    keys = [(r["id"], str(r["data"])) for r in days.collect()]
+    assert len(keys) == len(set(keys)) == 2 * 70
+    assert min(k[1] for k in keys) == "2023-11-01" and max(k[1] for k in keys) == "2024-01-09"
+
+
 def test_csv_blank_and_nan(spark, tmp_path):
     names = [f.name for f in schema.readings_schema(24).fields]
     values = ["NaN", "", "3.5"] + ["1"] * 21
