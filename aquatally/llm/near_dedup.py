@@ -17,7 +17,10 @@ from aquatally.llm.util import as_bytes, quoted, small_batches, written
 UPPER_TO_LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 BRANCHES = 2
 DEPTH = 6
-SKETCH = 64
+SKETCH = 128
+STAR_TREES = 2  # trees whose nodes are held against their smallest record
+BLOCK = 512  # records of a node that one block holds
+OUTSIDE = 256  # records outside a node's largest component that meet all of them at once
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 SPREAD = np.uint64(0xD6E8FEB86659FD93)
 
@@ -99,8 +102,8 @@ class NearJoin:
         draws = np.random.default_rng(20)
         self.factors = draws.integers(1, 2**63, functions, np.uint64) * np.uint64(2) + np.uint64(1)
         self.shifts = draws.integers(0, 2**63, functions, np.uint64) * np.uint64(2)
-        # 64 agreements of which a true link has 3/4 on average: half is 4.6 deviations off
-        self.agree = SKETCH * max(0.0, percent / 100 - 0.25)
+        # of 128 agreements a link at the threshold of 3/4 has 4.2 deviations less once in 75,000
+        self.agree = SKETCH * max(0.0, percent / 100 - 0.16)
 
     def signatures(self) -> DataFrame:
         """(doc, n_shingles, rec, coords, sketch); rec, the set's fingerprint, is null without words."""
@@ -176,61 +179,57 @@ class NearJoin:
         met = pairs.join(one, "b").join(other, "a").select("a", "b", "sa", "sb")
         return met.mapInArrow(run, "a long, b long")
 
-    def _gathered(self, rows: DataFrame, sketches: DataFrame) -> DataFrame:
-        """Blocks of at most about ``small`` members (rec, comp, sketch) of each node."""
-        blocks = F.ceil(F.col("n") / self.small).cast("long")
-        member = F.struct("rec", "comp", "sketch")
+    def _blocks(self, rows: DataFrame, sketches: DataFrame) -> DataFrame:
+        """Blocks of about BLOCK members (rec, comp, sketch) of each node; ``rows`` has node, rec, comp, n, alone."""
+        blocks = F.ceil(F.col("n") / BLOCK).cast("long")
         return (
             rows.join(sketches, "rec")
             .withColumn("block", F.pmod(F.xxhash64("rec"), blocks))
             .groupBy("node", "block")
-            .agg(F.sort_array(F.collect_list(member)).alias("members"))
+            .agg(F.sort_array(F.collect_list(F.struct("rec", "comp", "sketch"))).alias("members"), F.max("alone").alias("alone"))
         )
 
     def with_partners(self, rows: DataFrame, sketches: DataFrame) -> DataFrame:
-        """The records (rec) of small nodes that are similar to another one there, by their sketches."""
-        agree = self.agree
+        """The records (rec) that are similar to another one of their node, by their sketches."""
 
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                found = [np.zeros(0, np.int64)]
-                for members in batch.column(0):
-                    rec, _, sketch = _members(members)
-                    same = _agreements(sketch, sketch) >= agree
-                    np.fill_diagonal(same, False)
-                    found.append(rec[same.any(axis=1)])
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found))], names=["rec"])
+        def pick(rx: np.ndarray, ry: np.ndarray, hit: np.ndarray) -> tuple[np.ndarray]:
+            return (np.concatenate([rx[hit.any(axis=1)], ry[hit.any(axis=0)]]),)
 
-        return self._gathered(rows, sketches).select("members").mapInArrow(run, "rec long")
+        blocks = self._blocks(rows.withColumn("comp", F.col("rec")).withColumn("alone", F.lit(False)), sketches)
+        return self._compared(blocks, blocks, pick, ["rec"])
 
-    def crossing(self, rows: DataFrame, sketches: DataFrame, whole: bool) -> DataFrame:
+    def crossing(self, rows: DataFrame, sketches: DataFrame) -> DataFrame:
         """Pairs (a, b) of one node and two components whose sketches agree.
 
-        Small nodes are one block each and compared on the spot.  With ``whole``, nodes of any
-        size are compared, each pair of their blocks in one go.
+        With ``alone`` set, a node's rows are compared with those outside its largest component only.
         """
+
+        def pick(rx: np.ndarray, ry: np.ndarray, hit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            p, q = np.nonzero(hit)
+            return np.minimum(rx[p], ry[q]), np.maximum(rx[p], ry[q])
+
+        every = self._blocks(rows, sketches)
+        fewer = self._blocks(rows.where("not alone or comp <> top"), sketches)
+        return self._compared(every, fewer, pick, ["a", "b"]).distinct()
+
+    def _compared(self, blocks: DataFrame, others: DataFrame, pick, names: list[str]) -> DataFrame:
+        """What ``pick`` makes of each pair of blocks of a node, and of the pairs in it that agree."""
         agree = self.agree
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-                for left, right in zip(batch.column(0), batch.column(batch.num_columns - 1)):
+                found = [tuple(np.zeros(0, np.int64) for _ in names)]
+                for left, right in zip(batch.column(0), batch.column(1)):
                     (rx, cx, sx), (ry, cy, sy) = _members(left), _members(right)
                     hit = (_agreements(sx, sy) >= agree) & (cx[:, None] != cy[None])
-                    if np.array_equal(rx, ry):
-                        hit &= rx[:, None] < ry[None]
-                    p, q = np.nonzero(hit)
-                    a.append(np.minimum(rx[p], ry[q]))
-                    b.append(np.maximum(rx[p], ry[q]))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["a", "b"])
-
-        blocks = self._gathered(rows, sketches)
-        if whole:
-            other = blocks.select("node", F.col("block").alias("block2"), F.col("members").alias("members2"))
-            blocks = blocks.join(other, "node").where("block <= block2").select("members", "members2")
-        else:
-            blocks = blocks.select("members")
-        return blocks.mapInArrow(run, "a long, b long").distinct()
+                    if hit.any():
+                        found.append(pick(rx, ry, hit))
+                arrays = [pa.array(np.concatenate(x)) for x in zip(*found)]
+                yield pa.RecordBatch.from_arrays(arrays, names=names)
+
+        others = others.select("node", F.col("block").alias("block2"), F.col("members").alias("members2"))
+        met = blocks.join(others, "node").where("alone or block <= block2")
+        return met.select("members", "members2").mapInArrow(run, ", ".join(f"{n} long" for n in names))
 
     def set_table(self, wanted: DataFrame) -> DataFrame:
         """(rec, hashes) of the wanted records (rec, doc), from whole texts read again."""
@@ -282,7 +281,7 @@ def near_duplicates(
     words: int = 5,
     percent: int = 75,
     recall: float = 0.9999,
-    small: int = 512,
+    small: int = 2048,
 ) -> DataFrame:
     """(id, n_shingles, component_id, kept) per document row.
 
@@ -290,9 +289,10 @@ def near_duplicates(
     shared; a component's id is its smallest document id.  Documents with the same set are
     one record.  Records branch along paths of minwise tokens, in independent trees; nodes
     of ``small`` records or fewer are compared exhaustively, larger ones branch on, and what is left
-    after the last level is compared in blocks.  Within a node all records are first held
-    against its smallest one: records already connected need no pair of their own, so a large
-    group of near copies costs a star and not its square.  Every link is confirmed on full sets.
+    after the last level is compared in blocks.  Before that, records are held against the
+    smallest one of their node: those already connected need no pair of their own, so a large
+    group of near copies costs a star and not its square, and a large node with few records
+    outside one component is done when these have met all.  Full sets confirm every link.
 
     Rows without words have n_shingles 0 and stay alone.  Rows that share an id count as one
     document that stays or goes as a whole; rows without an id are kept.  Fewer words than
@@ -307,15 +307,15 @@ def near_duplicates(
         "near-records",
     )
     sketches, values = records.select("rec", "sketch"), records.select("rec", "coords")
-    sets = roots = None
+    sets = roots = links = None
     rows = join.branch(values, 0)
     for depth in range(DEPTH):
         rows = written(_with_roots(rows if depth == 0 else rows.distinct(), roots), "near-rows")
         rows = written(_mixed(rows), "near-live")
         if rows.isEmpty():
             break
-        # every record of a node against the smallest one of it
-        star = rows.where("rec <> pivot").select(F.col("pivot").alias("a"), F.col("rec").alias("b")).distinct()
+        # records against the smallest one of their node: what this connects needs no pairs
+        star = rows.where((F.col("rec") != F.col("pivot")) & (F.col("tree") < STAR_TREES)).select(F.col("pivot").alias("a"), F.col("rec").alias("b")).distinct()
         star = written(join.similar(star, sketches), "near-star")
         if sets is None:
             wanted = (
@@ -325,21 +325,19 @@ def near_duplicates(
                 .distinct()
             )
             sets = written(join.set_table(wanted.join(records.select("rec", "doc"), "rec")), "near-sets")
-        links = written(join.confirmed(star, sets), "near-links")
-        if not links.isEmpty():
-            roots = _roots(roots, links)
-            rows = written(_mixed(_with_roots(rows.drop("comp", "n", "pivot"), roots)), "near-mixed")
+        found = join.confirmed(star, sets)
+        links = written(found if links is None else found.unionByName(links), "near-links")
+        roots = _roots(roots, links)
+        rows = written(_ranked(_with_roots(rows.select("node", "tree", "rec"), roots), small), "near-mixed")
         # pairs between the components that are left of small nodes; larger ones branch on
         last = depth == DEPTH - 1
-        crossing = join.crossing(rows if last else rows.where(F.col("n") <= small), sketches, whole=last)
-        links = written(join.confirmed(crossing, sets), "near-links")
-        rows = rows.where(F.col("n") > small)
-        more = not last and not rows.isEmpty()
-        if not links.isEmpty():
-            roots = _roots(roots, links)
-        if not more:
+        links = written(join.confirmed(join.crossing(rows if last else rows.where("done"), sketches), sets), "near-links")
+        rows = rows.where("not done")
+        if last or rows.isEmpty():
             break
-        rows = join.branch(rows.select("node", "tree", "rec").join(values, "rec").select("node", "tree", "rec", "coords"), depth + 1)
+        rows = join.branch(rows.join(values, "rec").select("node", "tree", "rec", "coords"), depth + 1)
+    if links is not None:
+        roots = _roots(roots, links)
     groups = _with_roots(records.select("rec", "doc"), roots)
     least = groups.groupBy("comp").agg(F.min("doc").alias("component_id"))
     classes = groups.join(least, "comp").select(F.col("rec").alias("r"), "component_id")
@@ -380,6 +378,20 @@ def _with_roots(rows: DataFrame, roots: DataFrame | None) -> DataFrame:
     return met.withColumn("comp", F.coalesce("root", "rec")).drop("__node", "root")
 
 
+def _ranked(rows: DataFrame, small: int) -> DataFrame:
+    """As ``_mixed``, with the node's largest component ``top``; ``alone`` if few records are outside
+    it in a large node, ``done`` if the node can be compared now."""
+    parts = rows.groupBy("node", "comp").agg(F.count(F.lit(1)).alias("c"))
+    nodes = parts.groupBy("node").agg(
+        F.sum("c").alias("n"), F.max(F.struct("c", "comp")).alias("top"), F.count(F.lit(1)).alias("parts")
+    )
+    alone = (F.col("n") > small) & (F.col("n") - F.col("top.c") <= OUTSIDE)
+    nodes = nodes.where("parts > 1").select(
+        "node", "n", F.col("top.comp").alias("top"), alone.alias("alone"), ((F.col("n") <= small) | alone).alias("done")
+    )
+    return rows.join(nodes, "node")
+
+
 def _mixed(rows: DataFrame) -> DataFrame:
     """Rows of nodes that hold two components or more, with the node's size and smallest record."""
     nodes = rows.groupBy("node").agg(
