@@ -180,15 +180,13 @@ class SuffixDedup:
             order = np.lexsort((doc[one], key[one] >> np.uint64(40)))
             one_key, one_doc = key[one][order], doc[one][order]
             many = key[start[count > 1]]
-            edges = np.searchsorted(one_key >> np.uint64(40), np.arange(self.slices + 1).astype(np.uint64))
-            many_edges = np.searchsorted(many >> np.uint64(40), np.arange(self.slices + 1).astype(np.uint64))
-            for s in range(self.slices):
-                a, b = edges[s], edges[s + 1]
-                c, d = many_edges[s], many_edges[s + 1]
-                if a < b or c < d:
-                    out_keys.append(s)
-                    steps = np.diff(one_doc[a:b], prepend=0)
-                    out_data.append(_pack(steps, _five(one_key[a:b]), _five(many[c:d])))
+            one_slice, many_slice = one_key >> np.uint64(40), many >> np.uint64(40)
+            present = np.unique(np.concatenate([one_slice, many_slice]))
+            one_edges = [np.searchsorted(one_slice, present, side).tolist() for side in ("left", "right")]
+            many_edges = [np.searchsorted(many_slice, present, side).tolist() for side in ("left", "right")]
+            for s, a, b, c, d in zip(present.tolist(), *one_edges, *many_edges):
+                out_keys.append(s)
+                out_data.append(_pack(np.diff(one_doc[a:b], prepend=0), _five(one_key[a:b]), _five(many[c:d])))
             return self._rows(out_keys, out_data).combine_chunks().to_batches()
 
         for batch in batches:
@@ -283,36 +281,51 @@ class SuffixDedup:
         doc, begin, size, own, body = _all(blobs, np.int64, np.int64, np.int64, np.uint64, np.uint8)
         at = np.concatenate([[0], np.cumsum(size)])
         raw = body.tobytes()
-        number: dict[bytes, int] = {}
-        content = np.array([number.setdefault(raw[a:b], len(number)) for a, b in zip(at.tolist(), at[1:].tolist())], np.int64)
+        number: dict[int, int] = {}
+        view = memoryview(raw)
+        names = (xxhash.xxh3_128_intdigest(view[a:b]) for a, b in zip(at.tolist(), at[1:].tolist()))
+        content = np.fromiter((number.setdefault(x, len(number)) for x in names), np.int64, len(doc))
         least = np.full(len(number), np.iinfo(np.int64).max)
         np.minimum.at(least, content, doc)
         later = doc > least[content]
         spans = list(zip(doc[later].tolist(), begin[later].tolist(), (begin + size)[later].tolist()))
-        # contents whose anchor has others beside it may share some of their windows
+        # contents whose anchor has others beside it may share some of their windows; equal windows
+        # have equal anchors, so a few anchors at a time are put into suffix order
         sample = np.full(len(number), -1)
         sample[content[::-1]] = np.arange(len(content))[::-1]
         anchor = own[sample]
         _, inverse, count = np.unique(anchor, return_inverse=True, return_counts=True)
         mixed = np.flatnonzero(count[inverse] > 1)
+        mixed = mixed[np.argsort(anchor[mixed], kind="stable")]
         windows_of = size[sample[mixed]] - self.length + 1
-        starts = np.repeat(at[sample[mixed]] - np.concatenate([[0], np.cumsum(windows_of)[:-1]]), windows_of) + np.arange(windows_of.sum())
-        if len(mixed):
+        fresh = np.flatnonzero(np.concatenate([[True], np.diff(anchor[mixed]) != 0])) if len(mixed) else np.zeros(0, np.int64)
+        runs_of: dict[int, list[tuple[int, int]]] = {}
+        for part in _batches(fresh, np.concatenate([[0], np.cumsum(windows_of)]), len(mixed)):
+            chosen, counts = mixed[part], windows_of[part]
+            edges = np.concatenate([[0], np.cumsum(counts)])
+            starts = np.repeat(at[sample[chosen]] - edges[:-1], counts) + np.arange(edges[-1])
             windows = np.lib.stride_tricks.sliding_window_view(body, self.length)[starts]
-            known = longest_previous(windows, np.repeat(least[mixed], windows_of)) >= self.length
-            edges = np.concatenate([[0], np.cumsum(windows_of)])
-            runs_of: dict[int, list[tuple[int, int]]] = {}
-            for i, c in enumerate(mixed.tolist()):
+            known = longest_previous(windows, np.repeat(least[chosen], counts)) >= self.length
+            for i, c in enumerate(chosen.tolist()):
                 hit = np.flatnonzero(known[edges[i] : edges[i + 1]])
                 if len(hit):
                     cut = np.flatnonzero(np.diff(hit) > 1) + 1
                     runs_of[c] = [(int(x[0]), int(x[-1]) + self.length) for x in np.split(hit, cut)]
-            for row in np.flatnonzero(~later & np.isin(content, list(runs_of))).tolist():
-                for a, b in runs_of[int(content[row])]:
-                    spans.append((int(doc[row]), int(begin[row]) + a, int(begin[row]) + b))
+        for row in np.flatnonzero(~later & np.isin(content, list(runs_of))).tolist():
+            for a, b in runs_of[int(content[row])]:
+                spans.append((int(doc[row]), int(begin[row]) + a, int(begin[row]) + b))
         return self._rows(*self._covers(spans))
 
 
+def _batches(starts: np.ndarray, edges: np.ndarray, total: int, most: int = 200_000) -> Iterator[slice]:
+    """Slices from some of ``starts`` to others, of about ``most`` windows each."""
+    begin = 0
+    for start in [*starts[1:].tolist(), total] if total else []:
+        if edges[start] - edges[begin] >= most or start == total:
+            yield slice(begin, start)
+            begin = start
+
+
 def _five(keys: np.ndarray) -> np.ndarray:
     """The low 40 bits of each key as five bytes."""
     return np.ascontiguousarray((keys & LOW).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]).ravel()
@@ -365,7 +378,7 @@ def remove_repeats(
     )
     total = docs.agg(F.sum(F.octet_length(quoted(text_col)))).first()[0] or 0
     groups = next_prime(max(8, total // GROUP))
-    job = SuffixDedup(length, min(1 << 23, total // (4 * GROUP) + 6), groups)
+    job = SuffixDedup(length, min(1 << 23, total // GROUP + 6), groups)
     kind = "key long, data binary"
 
     sent = slim.select("doc", "text").mapInArrow(lambda b: job.sent_anchors(b), kind)
