@@ -3,6 +3,7 @@
 import pytest
 
 from __spark_entry__ import entry, oracle_sql, queries
+from aquatally.operators import lowrank
 from check import database, difference
 
 SF = "/root/testdata/sf0.001"
@@ -29,3 +30,13 @@ def test_query(spark, db, name):
         assert difference(result, db, SQL[name]) is None
     else:
         assert result.count() > 0
+
+
+@pytest.mark.parametrize(
+    "name", ["refine_rank_one", "refine_whole_rank_one", "impute_scientific_rank_one", "impute_hybrid_by_gaps"]
+)
+def test_no_refinement_is_noticed(spark, db, monkeypatch, name):
+    """These oracles fail if the refinement does nothing."""
+    monkeypatch.setattr(lowrank, "refine_by_meter", lambda df, *args, **options: df)
+    monkeypatch.setattr(lowrank, "refine_whole_table", lambda df, *args, **options: df)
+    assert difference(queries()[name](spark, SF), db, SQL[name]) is not None
