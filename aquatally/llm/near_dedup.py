@@ -18,7 +18,6 @@ UPPER_TO_LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmn
 BRANCHES = 2
 DEPTH = 6
 SKETCH = 128
-STAR_TREES = 2  # trees whose nodes are held against their smallest record
 BLOCK = 512  # records of a node that one block holds
 OUTSIDE = 256  # records outside a node's largest component that meet all of them at once
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
@@ -104,6 +103,7 @@ class NearJoin:
         self.shifts = draws.integers(0, 2**63, functions, np.uint64) * np.uint64(2)
         # of 128 agreements a link at the threshold of 3/4 has 4.2 deviations less once in 75,000
         self.agree = SKETCH * max(0.0, percent / 100 - 0.16)
+        self.likely_agree = SKETCH * max(0.0, percent / 100 - 0.05)
 
     def signatures(self) -> DataFrame:
         """(doc, n_shingles, rec, coords, sketch); rec, the set's fingerprint, is null without words."""
@@ -165,20 +165,6 @@ class NearJoin:
 
         return rows.mapInArrow(run, "node long, tree int, rec long")
 
-    def similar(self, pairs: DataFrame, sketches: DataFrame) -> DataFrame:
-        """Those of the pairs (a, b) whose sketches agree often enough."""
-        agree = self.agree
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                same = (matrix(batch.column(2), "u1") == matrix(batch.column(3), "u1")).sum(axis=1)
-                yield batch.select([0, 1]).filter(pa.array(same >= agree))
-
-        one = sketches.select(F.col("rec").alias("b"), F.col("sketch").alias("sb"))
-        other = sketches.select(F.col("rec").alias("a"), F.col("sketch").alias("sa"))
-        met = pairs.join(one, "b").join(other, "a").select("a", "b", "sa", "sb")
-        return met.mapInArrow(run, "a long, b long")
-
     def _blocks(self, rows: DataFrame, sketches: DataFrame) -> DataFrame:
         """Blocks of about BLOCK members (rec, comp, sketch) of each node; ``rows`` has node, rec, comp, n, alone."""
         blocks = F.ceil(F.col("n") / BLOCK).cast("long")
@@ -189,14 +175,33 @@ class NearJoin:
             .agg(F.sort_array(F.collect_list(F.struct("rec", "comp", "sketch"))).alias("members"), F.max("alone").alias("alone"))
         )
 
-    def with_partners(self, rows: DataFrame, sketches: DataFrame) -> DataFrame:
-        """The records (rec) that are similar to another one of their node, by their sketches."""
+    def likely(self, rows: DataFrame, sketches: DataFrame) -> DataFrame:
+        """Pairs (a, b) of likely links: of each block, with the next one of its node, a spanning
+        forest of the greatest agreements.  A record that is similar to another one without being
+        in the forest comes as a pair with itself.
+        """
+        agree, likely = self.agree, self.likely_agree
 
-        def pick(rx: np.ndarray, ry: np.ndarray, hit: np.ndarray) -> tuple[np.ndarray]:
-            return (np.concatenate([rx[hit.any(axis=1)], ry[hit.any(axis=0)]]),)
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+                for left, right in zip(batch.column(0), batch.column(1)):
+                    rec, _, sketch = _members(left)
+                    if right.is_valid:
+                        more, _, other = _members(right)
+                        rec, sketch = np.concatenate([rec, more]), np.concatenate([sketch, other])
+                    same = _agreements(sketch, sketch)
+                    np.fill_diagonal(same, 0)
+                    alike = rec[(same >= agree).any(axis=1)]
+                    p, q = _forest(same, likely)
+                    a += [alike, np.minimum(rec[p], rec[q])]
+                    b += [alike, np.maximum(rec[p], rec[q])]
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["a", "b"])
 
         blocks = self._blocks(rows.withColumn("comp", F.col("rec")).withColumn("alone", F.lit(False)), sketches)
-        return self._compared(blocks, blocks, pick, ["rec"])
+        after = blocks.select(F.col("node").alias("node2"), (F.col("block") - 1).alias("before"), F.col("members").alias("members2"))
+        met = blocks.join(after, (F.col("node") == F.col("node2")) & (F.col("block") == F.col("before")), "left")
+        return met.select("members", "members2").mapInArrow(run, "a long, b long").distinct()
 
     def crossing(self, rows: DataFrame, sketches: DataFrame) -> DataFrame:
         """Pairs (a, b) of one node and two components whose sketches agree.
@@ -289,10 +294,10 @@ def near_duplicates(
     shared; a component's id is its smallest document id.  Documents with the same set are
     one record.  Records branch along paths of minwise tokens, in independent trees; nodes
     of ``small`` records or fewer are compared exhaustively, larger ones branch on, and what is left
-    after the last level is compared in blocks.  Before that, records are held against the
-    smallest one of their node: those already connected need no pair of their own, so a large
-    group of near copies costs a star and not its square, and a large node with few records
-    outside one component is done when these have met all.  Full sets confirm every link.
+    after the last level is compared in blocks.  Before that, a spanning forest of the likeliest
+    links of each block is confirmed: records already connected need no pair of their own, so
+    a large group of near copies costs a tree and not its square, and a large node with few
+    records outside one component is done when these have met all.  Full sets confirm every link.
 
     Rows without words have n_shingles 0 and stay alone.  Rows that share an id count as one
     document that stays or goes as a whole; rows without an id are kept.  Fewer words than
@@ -307,37 +312,34 @@ def near_duplicates(
         "near-records",
     )
     sketches, values = records.select("rec", "sketch"), records.select("rec", "coords")
-    sets = roots = links = None
-    rows = join.branch(values, 0)
+    rows = written(join.branch(values, 0), "near-rows")
+    live = written(_paired(rows), "near-live")
+    # the likeliest links first: what they connect needs no further pairs
+    likely = written(join.likely(live, sketches), "near-likely")
+    wanted = (
+        likely.select(F.explode(F.array("a", "b")).alias("rec"))
+        .unionByName(live.where(F.col("n") > small).select("rec"))
+        .distinct()
+    )
+    sets = written(join.set_table(wanted.join(records.select("rec", "doc"), "rec")), "near-sets")
+    links = written(join.confirmed(likely.where("a <> b"), sets), "near-links")
+    roots = written(components(links), "near-roots")
+    # pairs between the components that are left of small nodes; larger ones branch on
+    pairs, rows = [], live.select("node", "tree", "rec")
     for depth in range(DEPTH):
-        rows = written(_with_roots(rows if depth == 0 else rows.distinct(), roots), "near-rows")
-        rows = written(_mixed(rows), "near-live")
-        if rows.isEmpty():
-            break
-        # records against the smallest one of their node: what this connects needs no pairs
-        star = rows.where((F.col("rec") != F.col("pivot")) & (F.col("tree") < STAR_TREES)).select(F.col("pivot").alias("a"), F.col("rec").alias("b")).distinct()
-        star = written(join.similar(star, sketches), "near-star")
-        if sets is None:
-            wanted = (
-                star.select(F.explode(F.array("a", "b")).alias("rec"))
-                .unionByName(join.with_partners(rows.where(F.col("n") <= small), sketches))
-                .unionByName(rows.where(F.col("n") > small).select("rec"))
-                .distinct()
-            )
-            sets = written(join.set_table(wanted.join(records.select("rec", "doc"), "rec")), "near-sets")
-        found = join.confirmed(star, sets)
-        links = written(found if links is None else found.unionByName(links), "near-links")
-        roots = _roots(roots, links)
-        rows = written(_ranked(_with_roots(rows.select("node", "tree", "rec"), roots), small), "near-mixed")
-        # pairs between the components that are left of small nodes; larger ones branch on
+        rows = written(_ranked(_with_roots(rows, roots), small), "near-mixed")
         last = depth == DEPTH - 1
-        links = written(join.confirmed(join.crossing(rows if last else rows.where("done"), sketches), sets), "near-links")
+        pairs.append(written(join.crossing(rows if last else rows.where("done"), sketches), "near-pairs"))
         rows = rows.where("not done")
         if last or rows.isEmpty():
             break
-        rows = join.branch(rows.join(values, "rec").select("node", "tree", "rec", "coords"), depth + 1)
-    if links is not None:
-        roots = _roots(roots, links)
+        rows = join.branch(rows.join(values, "rec").select("node", "tree", "rec", "coords"), depth + 1).distinct()
+    every = pairs[0]
+    for part in pairs[1:]:
+        every = every.unionByName(part)
+    crossing = join.confirmed(every.distinct() if len(pairs) > 1 else every, sets)
+    links = crossing.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b")))
+    roots = written(components(written(links, "near-links")), "near-roots")
     groups = _with_roots(records.select("rec", "doc"), roots)
     least = groups.groupBy("comp").agg(F.min("doc").alias("component_id"))
     classes = groups.join(least, "comp").select(F.col("rec").alias("r"), "component_id")
@@ -358,29 +360,51 @@ def _members(block: pa.ListScalar) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def _agreements(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """In how many places each sketch of one block agrees with each one of another."""
+    if len(x) * len(y) <= 4096:
+        return (x[:, None, :] == y[None]).sum(axis=2, dtype=np.uint8)
     out = np.zeros((len(x), len(y)), np.uint8)
     for a, b in zip(x.T, y.T):
         out += a[:, None] == b[None]
     return out
 
 
-def _roots(roots: DataFrame | None, links: DataFrame) -> DataFrame:
-    """Components of what was known, each a star by now, and the new links."""
-    if roots is not None:
-        links = links.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b")))
-    return written(components(links), "near-roots")
-
-
-def _with_roots(rows: DataFrame, roots: DataFrame | None) -> DataFrame:
-    if roots is None:
-        return rows.withColumn("comp", F.col("rec"))
+def _forest(same: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Edges of the spanning forest of greatest agreements, none below ``least``."""
+    n = len(same)
+    if n == 2:
+        return (np.array([0]), np.array([1])) if same[0, 1] >= least else (np.zeros(0, int), np.zeros(0, int))
+    best, parent = same[0].astype(np.int64), np.zeros(n, np.int64)
+    best[0] = -1
+    out = np.zeros(n, bool)
+    out[0] = True
+    p, q = [], []
+    for _ in range(n - 1):
+        i = int(best.argmax())
+        if best[i] < least:  # nothing near what is there: the next tree begins
+            rest = np.flatnonzero(~out)
+            if not (same[rest].max(axis=1) >= least).any():
+                break
+            i = int(rest[0])
+        else:
+            p.append(int(parent[i]))
+            q.append(i)
+        out[i] = True
+        best[i] = -1
+        nearer = (same[i] > best) & ~out
+        best[nearer] = same[i][nearer]
+        parent[nearer] = i
+    return np.array(p, np.int64), np.array(q, np.int64)
+
+
+def _with_roots(rows: DataFrame, roots: DataFrame) -> DataFrame:
+    """Rows with the component of their record; a record without links is its own."""
     met = rows.join(roots.withColumnRenamed("node", "__node"), F.col("rec") == F.col("__node"), "left")
     return met.withColumn("comp", F.coalesce("root", "rec")).drop("__node", "root")
 
 
 def _ranked(rows: DataFrame, small: int) -> DataFrame:
-    """As ``_mixed``, with the node's largest component ``top``; ``alone`` if few records are outside
-    it in a large node, ``done`` if the node can be compared now."""
+    """Rows of nodes that hold two components or more, with the node's size and largest component
+    ``top``; ``alone`` if few records are outside it in a large node, ``done`` if it can be compared now."""
     parts = rows.groupBy("node", "comp").agg(F.count(F.lit(1)).alias("c"))
     nodes = parts.groupBy("node").agg(
         F.sum("c").alias("n"), F.max(F.struct("c", "comp")).alias("top"), F.count(F.lit(1)).alias("parts")
@@ -392,12 +416,10 @@ def _ranked(rows: DataFrame, small: int) -> DataFrame:
     return rows.join(nodes, "node")
 
 
-def _mixed(rows: DataFrame) -> DataFrame:
-    """Rows of nodes that hold two components or more, with the node's size and smallest record."""
-    nodes = rows.groupBy("node").agg(
-        F.count(F.lit(1)).alias("n"), F.min("rec").alias("pivot"), F.min("comp").alias("least"), F.max("comp").alias("most")
-    )
-    return rows.join(nodes.where("least <> most").drop("least", "most"), "node")
+def _paired(rows: DataFrame) -> DataFrame:
+    """Rows of nodes that hold two records or more, with the node's size."""
+    nodes = rows.groupBy("node").agg(F.count(F.lit(1)).alias("n"))
+    return rows.join(nodes.where("n > 1"), "node")
 
 
 def without_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
