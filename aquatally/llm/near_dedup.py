@@ -17,7 +17,7 @@ from aquatally.llm.util import as_bytes, quoted, small_batches, written
 UPPER_TO_LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 BRANCHES = 2
 DEPTH = 6
-SKETCH = 128
+SKETCH = 192
 BLOCK = 512  # records of a node that one block holds
 OUTSIDE = 256  # records outside a node's largest component that meet all of them at once
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
@@ -101,8 +101,8 @@ class NearJoin:
         draws = np.random.default_rng(20)
         self.factors = draws.integers(1, 2**63, functions, np.uint64) * np.uint64(2) + np.uint64(1)
         self.shifts = draws.integers(0, 2**63, functions, np.uint64) * np.uint64(2)
-        # of 128 agreements a link at the threshold of 3/4 has 4.2 deviations less once in 75,000
-        self.agree = SKETCH * max(0.0, percent / 100 - 0.16)
+        # of 192 agreements a link at the threshold of 3/4 has 3.7 deviations less once in 10,000
+        self.agree = SKETCH * max(0.0, percent / 100 - 0.116)
         self.likely_agree = SKETCH * max(0.0, percent / 100 - 0.05)
 
     def signatures(self) -> DataFrame:
