@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,8 +16,7 @@ from aquatally.llm.util import arrow_rows, quoted, written
 PROJECTIONS = 128
 COLLISIONS = 0.6  # share of the projections in which a vector must collide to be verified
 VERIFIED = 0.2  # share of a block that is verified at least, and 20 * k vectors anyway
-FIRST_WINDOW = 0.5  # mean share of a block that the first counted windows hold
-GROWTH = 1.1  # each virtual rehash widens all windows by this factor
+GROWTH = 1.05  # each virtual rehash widens all windows by this factor
 BLOCK, QUERIES = 8192, 256
 
 
@@ -104,22 +104,25 @@ class Block:
         enough = min(len(self.ids), max(20 * k, int(np.ceil(VERIFIED * len(self.ids)))))
         radius = np.full(len(own), 0.1 * longest)
         waiting = np.arange(len(own))
-        first = np.ones(len(own), bool)
         while len(waiting):
             low, width = self.windows(h[waiting], radius[waiting])
-            share = width.mean(axis=0) / len(self.ids)
+            # by their widths alone, how many vectors should collide often enough
+            share = width / len(self.ids)
+            mean, spread = share.sum(axis=0), np.sqrt((share * (1 - share)).sum(axis=0)) + 1e-9
+            short = (COLLISIONS * PROJECTIONS - 0.5 - mean) / spread / math.sqrt(2)
             left = []
             for at, q in enumerate(waiting.tolist()):
-                whole = share[at] >= 1.0
-                if share[at] >= FIRST_WINDOW:
+                whole = mean[at] >= PROJECTIONS
+                expected = 0.5 * math.erfc(short[at]) * len(self.ids)
+                if whole or expected >= enough:
                     count = self.collisions(low[:, at], width[:, at])
                     hit = np.flatnonzero(count >= COLLISIONS * PROJECTIONS)
                     if len(hit) >= enough or whole:
                         yield int(own[q]), *nearest(self.ids[hit], self.vectors[hit], own[q], queries[q], k)
                         continue
                 left.append(q)
+                radius[q] *= GROWTH if expected > enough / 20 else 1.25  # in long steps while far off
             waiting = np.array(left, np.int64)
-            radius[waiting] *= GROWTH
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
