@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from aquatally.functions.dayvec import bind
 from aquatally.llm.util import running_sum, written
 
 # Fixed values of the template.
@@ -110,15 +111,18 @@ def format_conversations(paths: DataFrame, learn: str = "assistant") -> DataFram
     turns = paths.groupBy("tree_key", "path").agg(F.first("tree").alias("tree"), F.sort_array(F.collect_list(turn)).alias("turns"))
     ends = running_sum(F.transform("turns", lambda t: F.char_length(t["piece"]).cast("long")))
 
-    def span(t: Column, i: Column) -> Column:
-        start = F.get(F.col("ends"), i) - F.char_length(t["piece"]) + t["from"]
-        return F.when(t["learnt"], F.struct(start.alias("start"), (start + t["length"]).alias("end")))
+    def spans(ends: Column) -> Column:
+        def span(t: Column, i: Column) -> Column:
+            start = F.get(ends, i) - F.char_length(t["piece"]) + t["from"]
+            return F.when(t["learnt"], F.struct(start.alias("start"), (start + t["length"]).alias("end")))
 
-    return turns.withColumn("ends", ends).select(
+        return F.transform("turns", span)
+
+    return turns.select(
         "tree",
         "path",
         F.array_join(F.transform("turns", lambda t: t["piece"]), "").alias("formatted"),
-        F.transform("turns", span).alias("loss"),
+        bind(ends, spans).alias("loss"),
     )
 
 
@@ -136,15 +140,15 @@ def read_back(formatted: DataFrame) -> DataFrame:
             unescape_role(F.substr(body, F.lit(1), cut - 1)).alias("role"), unescape(F.substr(body, cut + 1)).alias("text")
         )
 
-    def masked(piece: Column, i: Column) -> Column:
-        span = F.get(F.col("loss"), i)
-        begin = F.get(F.col("ends"), i) - F.char_length(piece) - size
-        under = F.substr(piece, (span["start"] - begin + 1).cast("int"), (span["end"] - span["start"]).cast("int"))
-        return F.when(span.isNotNull(), unescape(under)).otherwise("")
-
-    return (
-        out.withColumn("ends", ends)
-        .withColumn("learnt", F.array_join(F.transform("pieces", masked), ""))
-        .withColumn("turns", F.transform("pieces", turn))
-        .drop("pieces", "ends")
-    )
+    def learnt(bound: Column) -> Column:
+        def masked(piece: Column, i: Column) -> Column:
+            span = F.get(bound["loss"], i)
+            begin = F.get(bound["ends"], i) - F.char_length(piece) - size
+            under = F.substr(piece, (span["start"] - begin + 1).cast("int"), (span["end"] - span["start"]).cast("int"))
+            return F.when(span.isNotNull(), unescape(under)).otherwise("")
+
+        return F.array_join(F.transform("pieces", masked), "")
+
+    # bound, so that a long conversation computes them once and not for every turn
+    masks = F.struct(F.col("loss").alias("loss"), ends.alias("ends"))
+    return out.withColumn("learnt", bind(masks, learnt)).withColumn("turns", F.transform("pieces", turn)).drop("pieces")

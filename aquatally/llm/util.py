@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from aquatally.functions.dayvec import bind
 from aquatally.sources import scratch
 
 
@@ -94,15 +95,22 @@ def running_sum(values: Column, block: int = 64) -> Column:
     """Running sums of an array, by blocks, so that long arrays cost little more than their length."""
     none = F.lit(0).cast("long")
     total = lambda a: F.aggregate(a, none, lambda s, x: s + x)
-    last = F.floor((F.size(values) - 1) / block).cast("int")
-    blocks = F.transform(F.sequence(F.lit(0), last), lambda k: F.slice(values, k * block + 1, block))
-    sums = F.transform(blocks, total)
-    return F.flatten(
-        F.transform(
-            blocks,
-            lambda own, k: F.transform(own, lambda _, i: total(F.slice(sums, 1, k)) + total(F.slice(own, 1, i + 1))),
-        )
-    )
+
+    def over_blocks(blocks: Column) -> Column:
+        def over_sums(sums: Column) -> Column:
+            def sums_of(own: Column, k: Column) -> Column:
+                head = total(F.slice(sums, F.lit(1), k))
+                return bind(head, lambda h: F.transform(own, lambda _, i: h + total(F.slice(own, F.lit(1), i + 1))))
+
+            return F.flatten(F.transform(blocks, sums_of))
+
+        return bind(F.transform(blocks, total), over_sums)
+
+    def over_values(bound: Column) -> Column:
+        last = F.floor((F.size(bound) - 1) / block).cast("int")
+        return bind(F.transform(F.sequence(F.lit(0), last), lambda k: F.slice(bound, k * block + 1, F.lit(block))), over_blocks)
+
+    return bind(values, over_values)
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
