@@ -337,6 +337,11 @@ def near_duplicates(
     every = pairs[0]
     for part in pairs[1:]:
         every = every.unionByName(part)
+    # blocks that are no neighbours meet only here: what their records need is read now
+    ends = every.select(F.explode(F.array("a", "b")).alias("rec")).distinct()
+    missing = written(ends.join(sets.select("rec"), "rec", "left_anti").join(records.select("rec", "doc"), "rec"), "near-missing")
+    if not missing.isEmpty():
+        sets = sets.unionByName(written(join.set_table(missing), "near-sets"))
     crossing = join.confirmed(every.distinct() if len(pairs) > 1 else every, sets)
     links = crossing.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b")))
     roots = written(components(written(links, "near-links")), "near-roots")

@@ -198,3 +198,27 @@ def test_threshold_is_exact(spark):
     got = {r.doc_id: r.component_id for r in near_dedup.near_duplicates(spark.createDataFrame(rows, DOCS)).collect()}
     assert got == {1: 1, 2: 1, 3: 3, 4: 4}
     assert near_dedup.trees_for(0.9999, 0.75) == 5
+
+
+def test_links_between_blocks_far_apart_are_confirmed(spark):
+    # a family of unlike texts with one template fills nodes of 1,025 to 2,048 records; pairs are planted in it
+    r = random.Random(8)
+    own = lambda n: [f"o{r.randrange(10**9)}" for _ in range(n)]
+    template = own(64)
+    texts = []
+    for _ in range(900):
+        shared = template + own(18)
+        texts += [" ".join(shared + own(12)) for _ in range(2)]
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in map(str.split, texts)]
+    number = {}
+    places = [[number.setdefault(x, len(number)) for x in s] for s in sets]
+    held = np.zeros((len(texts), len(number)), np.float32)
+    for row, own_places in zip(held, places):
+        row[own_places] = 1
+    held = held[:, held.sum(axis=0) > 1]
+    shared, sizes = held @ held.T, np.array(list(map(len, sets)))
+    linked = 100 * shared >= 75 * (sizes[:, None] + sizes[None] - shared)
+    assert all(np.flatnonzero(row).tolist() == [i - i % 2, i - i % 2 + 1] for i, row in enumerate(linked))
+    docs = spark.createDataFrame([(i, t, "h") for i, t in enumerate(texts)], DOCS).repartition(4)
+    got = {x.doc_id: x.component_id for x in near_dedup.near_duplicates(docs).collect()}
+    assert [i for i in range(len(texts)) if got[i] != i - i % 2] == []
