@@ -312,3 +312,30 @@ def test_pipeline_stages(spark):
     pieces = corpus_pipeline.packing_stage(spark, docs, SF).collect()
     starts = collections.Counter(r.doc_id for r in pieces if r.start == 0)
     assert starts == times
+
+
+def test_bare_keys_of_the_training_corpus_are_found(spark):
+    texts, keys = findings(2, 1600)
+    # half of the keys stand without a key word, in the corpus that the network learns from
+    for i in range(1, len(texts), 4):
+        for rule in ("password=", "token = ", "secret: "):
+            texts[i] = texts[i].replace(rule, "see ")
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r.doc_id: [texts[r.doc_id][s.start : s.end] for s in r.secrets if s.kind == "model"] for r in secret_scan.find_secrets(docs).collect()}
+    hits = [k in found[i] for i, k in enumerate(keys) if k and not brute.secrets(texts[i])]
+    assert len(hits) > 100 and np.mean(hits) > 0.85, (len(hits), np.mean(hits))
+    assert sum(len(found[i]) for i, k in enumerate(keys) if not k) <= 40
+
+
+def test_what_is_surely_no_key():
+    for run in ("chapter-12-of-the-book", "page0000000000000012", "static/images/2024/header", "release-notes-v12", "2024-01-31T101500Z"):
+        assert secret_scan.ordinary(run), run
+    for run in ("AB12-CD34-EF56-GH78", "a8Kd93jfLq02mXzP7tRw", "550e8400-e29b-41d4-a716-446655440000", "k3/Za9+QwErTy12345xy=="):
+        assert not secret_scan.ordinary(run), run
+
+
+def test_threshold_keeps_the_recall_of_hard_secrets():
+    draw = np.random.default_rng(3)
+    x, y = draw.integers(3, 60, (1000, secret_scan.LENGTH)), (np.arange(1000) % 10 == 0).astype(float)
+    net = secret_scan.train(x, y, rounds=1)  # nothing to learn: scores stay near one tenth
+    assert (net.score(x[y == 1]) >= net.threshold).mean() > 0.9
