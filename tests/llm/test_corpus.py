@@ -339,3 +339,19 @@ def test_threshold_keeps_the_recall_of_hard_secrets():
     x, y = draw.integers(3, 60, (1000, secret_scan.LENGTH)), (np.arange(1000) % 10 == 0).astype(float)
     net = secret_scan.train(x, y, rounds=1)  # nothing to learn: scores stay near one tenth
     assert (net.score(x[y == 1]) >= net.threshold).mean() > 0.9
+
+
+def test_training_sample_holds_distinct_windows_of_both_labels(spark):
+    texts, _ = findings(4, 40)
+    copies = ["password=Zq81kXw02LmPv93rT7"] * 300
+    docs = spark.createDataFrame([(t,) for t in texts + copies], "text string")
+    x, y = secret_scan.labelled_findings(docs, "text", 12)
+    for label in (0, 1):
+        assert len(np.unique(x[y == label], axis=0)) == 12
+    # one secret in 40 is held back, or learnt from, in any order
+    for at in range(0, 42, 2):
+        label = np.zeros(42)
+        label[[at, at + 1]] = 1
+        held, used = secret_scan.held_back(label, np.random.default_rng(0))
+        assert label[held].sum() == 1 and label[used].sum() == 1 and len(held) == 9
+        assert sorted([*held, *used]) == list(range(42))
