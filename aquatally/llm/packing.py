@@ -142,7 +142,7 @@ def pack(
 
         def table(rows: list[tuple], is_open: bool) -> pa.RecordBatch:
             columns = list(zip(*rows)) if rows else [()] * 8
-            arrays = [pa.array(c, pa.int64()) for c in columns[:7]] + [pa.array([is_open] * len(rows))]
+            arrays = [pa.array(c, pa.int64()) for c in columns[:7]] + [pa.array([is_open] * len(rows), pa.bool_())]
             names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "open"]
             if with_ids:
                 arrays.append(pa.array([np.frombuffer(x, "<u4").astype("i8") for x in columns[7]], pa.list_(pa.int64())))
@@ -167,8 +167,11 @@ def pack(
             still = {w for _, w in windows.room}
             for place in [w for w in held if w not in still]:
                 done += held.pop(place)
-            yield table(done, False)
-        yield table([p for pieces in held.values() for p in pieces], True)
+            if done:
+                yield table(done, False)
+        rest = [p for pieces in held.values() for p in pieces]
+        if rest:
+            yield table(rest, True)
 
     small_batches(spark)
     source = docs.select(quoted(id_col).cast("long"), quoted(text_col))

@@ -117,6 +117,21 @@ def test_pack(spark, tokenizer):
     assert packing.pack(docs.limit(0), queries.tokenizer_path()).count() == 0
 
 
+@pytest.mark.parametrize("n", [1, 20, 1000])
+def test_pack_of_short_documents(spark, n):
+    """Partitions without rows, and many batches in which no window closes."""
+    rows = [(i, "a few words only" if i % 3 else None, "h") for i in range(n)]
+    docs = spark.createDataFrame(rows, DOCS)
+    for parts in (docs.coalesce(1), docs.repartition(7)):
+        out = packing.pack(parts, queries.tokenizer_path()).collect()
+        assert sorted(x.doc_id for x in out) == list(range(n))
+        assert len({x.sequence_id for x in out}) <= 1 + sum(x.length for x in out) // 1024
+        ends = collections.Counter()
+        for x in sorted(out, key=lambda x: (x.sequence_id, x.offset)):
+            assert x.offset == ends[x.sequence_id]
+            ends[x.sequence_id] += x.length
+
+
 def test_running_sum(spark):
     values = list(range(300))
     row = spark.createDataFrame([(values,)], "v array<bigint>").select(running_sum(F.col("v")).alias("s")).first()
