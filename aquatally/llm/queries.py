@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from aquatally.llm import ann, chat, line_dedup, mixing, near_dedup, packing, pii, quality_rules, secret_scan, suffix_dedup
+from aquatally.functions.dayvec import bind
+from aquatally.llm import ann, chat, line_dedup, mixing, near_dedup, packing, periodic, pii, quality_rules, secret_scan, suffix_dedup
 from aquatally.llm.util import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -114,5 +115,48 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def looped(doc_id: Column, text: Column) -> Column:
+    """The text, where a tenth of the documents repeat some of their words to the end."""
+    words = F.filter(F.split(text, "[\\x20\\x09-\\x0D]+"), lambda w: w != "")
+    h = F.crc32(doc_id.cast("string"))
+    g = F.floor(h / 10)
+
+    def repeated(bound: Column) -> Column:
+        n = F.size(bound)
+        a = g % n
+        p = 1 + F.floor((n - a) / (3 + g % 8))
+
+        def joined(at: Column) -> Column:
+            word = lambda i: F.get(bound, F.when(i < at["a"], i).otherwise(at["a"] + (i - at["a"]) % at["p"]).cast("int"))
+            return F.array_join(F.transform(F.sequence(F.lit(0), n - 1), word), " ")
+
+        return F.when(n > 0, bind(F.struct(a.alias("a"), p.alias("p")), joined)).otherwise("")
+
+    return F.when(h % 10 == 0, bind(words, repeated)).otherwise(text)
+
+
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", looped(F.col("doc_id"), F.col("text")).alias("text"))
+    found = periodic.with_runs(docs)
+    named = F.transform("runs", lambda r: F.struct(r["length"].alias("n"), (-r["start"]).alias("s"), (-r["period"]).alias("p")))
+    best = F.array_max(named)
+    line = lambda r: F.concat_ws(",", r["start"].cast("string"), r["length"].cast("string"), r["period"].cast("string"))
+    lines = F.array_join(F.transform("runs", lambda r: F.concat(line(r), F.lit("\n"))), "")
+    return found.select("doc_id", "runs", "collapsed", best.alias("best")).select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        (-F.col("best.s")).alias("start"),
+        F.col("best.n").alias("length"),
+        (-F.col("best.p")).alias("period"),
+        F.floor(1000 * F.col("best.n") / -F.col("best.p")).alias("exponent_milli"),
+        F.sha2(lines, 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_quality_rules, op2_suffix_array_dedup, op3_secret_scans, op4_chat_formatting, op5_line_dedup, op6_mixing, op7_packing, op8_nearest_neighbours, op9_minhash_near_dedup, op10_pii)}
+    own = [
+        op1_quality_rules, op2_suffix_array_dedup, op3_secret_scans, op4_chat_formatting, op5_line_dedup,
+        op6_mixing, op7_packing, op8_nearest_neighbours, op9_minhash_near_dedup, op10_pii, op11_periodic_runs,
+    ]
+    return {f.__name__: f for f in own}

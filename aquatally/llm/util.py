@@ -34,11 +34,9 @@ def add_columns(
     small_batches(df.sparkSession)
     new = T.StructType.fromDDL(fields)
     kept = without(df, new.names)
-    source = df.select(
-        *[quoted(c) for c in kept],
-        *[quoted(c).alias(f"__in{i}") for i, c in enumerate(inputs) if c not in kept],
-    )
-    places = [kept.index(c) if c in kept else source.columns.index(f"__in{i}") for i, c in enumerate(inputs)]
+    gone = [c for c in inputs if c not in kept]
+    source = df.select(*[quoted(c) for c in kept], *[quoted(c) for c in gone])
+    places = [(kept + gone).index(c) for c in inputs]
     schema = T.StructType([source.schema[c] for c in kept] + list(new.fields))
     width = len(kept)
     types = [arrow_type(f.dataType) for f in new.fields]

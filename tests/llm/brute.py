@@ -6,6 +6,8 @@ import collections
 import hashlib
 import re
 
+import numpy as np
+
 SPACES = "\t\n\x0b\x0c\r "
 
 
@@ -148,3 +150,20 @@ def targets(sizes, weights=(5, 2, 1), most=3):
             open_.discard(s)
         left -= sum(out[s] for s in over)
     return out
+
+
+def runs(words, shortest=6, repeats=4):
+    """(start, length, period) of every maximal run, by start, then period: all lags, one by one."""
+    names, found = {}, {}
+    own = np.array([names.setdefault(w, len(names)) for w in words])
+    for q in range(len(words) // repeats, 0, -1):
+        edges = np.flatnonzero(np.diff(np.concatenate(([0], own[q:] == own[:-q], [0])).astype(int)))
+        for i, j in zip(edges[::2].tolist(), edges[1::2].tolist()):
+            if j - i + q >= max(shortest, repeats * q):
+                found[i, j - i + q] = q  # smaller periods come later
+    return sorted((s, k, q) for (s, k), q in found.items())
+
+
+def collapsed(words, found):
+    gone = {i for s, k, q in found for i in range(s + q, s + k)}
+    return " ".join(w for i, w in enumerate(words) if i not in gone)
