@@ -171,5 +171,55 @@ FROM sized GROUP BY conv_id
 """
 
 
+#: CRC-32 of a decimal id, bit by bit.
+CRC32 = """
+xor(list_reduce(list_concat([4294967295::BIGINT], list_transform(string_split(coalesce(doc_id::VARCHAR, ''), ''), lambda c: ascii(c)::BIGINT)),
+  lambda c, b: list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: xor(x >> 1, (x & 1) * 3988292384))), 4294967295)
+"""
+
+#: Discounts of counts 1, 2, 3 or more from the numbers n1 to n4 of rare counts.
+DISCOUNTS = """
+SELECT *, n1 / (n1 + 2 * n2) AS y, 1 - 2 * y * n2 / n1 AS a1, 2 - 3 * y * n3 / n2 AS a2, 3 - 4 * y * n4 / n3 AS a3,
+  coalesce(least(n1, n2, n3) > 0 AND a1 BETWEEN 0 AND 1 AND a2 BETWEEN 0 AND 2 AND a3 BETWEEN 0 AND 3, false) AS usable,
+  if(usable, a1, 0.5::DOUBLE) AS d1, if(usable, a2, 1::DOUBLE) AS d2, if(usable, a3, 1.5::DOUBLE) AS d3 FROM (
+  SELECT count(*) FILTER (WHERE {c} = 1)::DOUBLE AS n1, count(*) FILTER (WHERE {c} = 2)::DOUBLE AS n2,
+    count(*) FILTER (WHERE {c} = 3)::DOUBLE AS n3, count(*) FILTER (WHERE {c} = 4)::DOUBLE AS n4,
+    count(*) FILTER (WHERE {c} >= 3)::DOUBLE AS more, sum({c})::DOUBLE AS kinds FROM {table})
+"""
+
+LM_SCORING = f"""
+WITH docs AS (
+  SELECT row_number() OVER () AS r, doc_id, {CRC32} % 7 = 2 AS held_out,
+    list_append(regexp_extract_all(translate(coalesce(text, ''), {LOWER}), '[^ \\t\\n\\x0b\\f\\r]+'), ' ') AS words FROM documents),
+tokens AS MATERIALIZED (
+  SELECT r, held_out, unnest(words) AS w, unnest(list_prepend('  ', words[:-2])) AS h FROM docs),
+pairs AS MATERIALIZED (SELECT h, w, count(*) AS c FROM tokens WHERE NOT held_out GROUP BY h, w),
+words AS MATERIALIZED (SELECT w, sum(c)::BIGINT AS c, count(*) AS kinds FROM pairs GROUP BY w),
+contexts AS MATERIALIZED (
+  SELECT h, sum(c)::BIGINT AS total, count(*) FILTER (WHERE c = 1) AS m1, count(*) FILTER (WHERE c = 2) AS m2,
+    count(*) FILTER (WHERE c >= 3) AS m3 FROM pairs GROUP BY h),
+d AS MATERIALIZED ({DISCOUNTS.format(c="c", table="pairs")}),
+e AS MATERIALIZED ({DISCOUNTS.format(c="kinds", table="words")}),
+sizes AS MATERIALIZED (SELECT coalesce(sum(c), 0)::BIGINT AS n, count(*) AS v FROM words),
+unseen AS MATERIALIZED (
+  SELECT CASE WHEN v > 0 THEN (d1 * n1 + d2 * n2 + d3 * more) / kinds ELSE 1 END / (v + 1) AS u FROM e, sizes),
+alone AS MATERIALIZED (
+  SELECT w, c, (words.kinds - CASE words.kinds WHEN 1 THEN d1 WHEN 2 THEN d2 ELSE d3 END) / e.kinds + u AS p
+  FROM words, e, unseen),
+chances AS (
+  SELECT r, coalesce(a.c, 0) AS c, coalesce(a.p, u) AS p, x.total, coalesce(p.c, 0) AS k, d1, d2, d3, m1, m2, m3, n, v
+  FROM tokens t LEFT JOIN alone a ON t.w = a.w LEFT JOIN contexts x ON t.h = x.h
+  LEFT JOIN pairs p ON t.h = p.h AND t.w = p.w, d, unseen, sizes),
+scored AS (
+  SELECT r, count(*) AS n_tokens, count(*) FILTER (WHERE c > 0) AS n_known, max(n) AS train_tokens,
+    sum(log10((c + 1.0) / (n + v + 1))) AS base_score,
+    sum(log10(CASE WHEN total IS NULL THEN p ELSE
+      (k - CASE k WHEN 0 THEN 0 WHEN 1 THEN d1 WHEN 2 THEN d2 ELSE d3 END) / total + (d1 * m1 + d2 * m2 + d3 * m3) / total * p
+    END)) AS score
+  FROM chances GROUP BY r)
+SELECT doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score FROM docs JOIN scored USING (r)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_quality_rules": QUALITY_RULES, "op2_suffix_array_dedup": SUFFIX_DEDUP, "op4_chat_formatting": CHAT_FORMATTING, "op5_line_dedup": LINE_DEDUP, "op10_pii": _pii()}
+    return {"op12_lm_scoring": LM_SCORING, "op1_quality_rules": QUALITY_RULES, "op2_suffix_array_dedup": SUFFIX_DEDUP, "op4_chat_formatting": CHAT_FORMATTING, "op5_line_dedup": LINE_DEDUP, "op10_pii": _pii()}

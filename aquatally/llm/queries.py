@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from aquatally.functions.dayvec import bind
-from aquatally.llm import ann, chat, line_dedup, mixing, near_dedup, packing, periodic, pii, quality_rules, secret_scan, suffix_dedup
+from aquatally.llm import align, ann, chat, line_dedup, lm, mixing, near_dedup, packing, periodic, pii, quality_rules, secret_scan, suffix_dedup
 from aquatally.llm.util import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -154,9 +154,20 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = lm.train_and_score(documents(spark, sf_dir).select("doc_id", "text"))
+    return scored.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+def op13_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    paths = tokenizer_path("byte_bpe_50k.tiktoken"), tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model")
+    return align.align_documents(documents(spark, sf_dir), *paths)
+
+
 def queries() -> dict[str, Query]:
     own = [
         op1_quality_rules, op2_suffix_array_dedup, op3_secret_scans, op4_chat_formatting, op5_line_dedup,
-        op6_mixing, op7_packing, op8_nearest_neighbours, op9_minhash_near_dedup, op10_pii, op11_periodic_runs,
+        op6_mixing, op7_packing, op8_nearest_neighbours, op9_minhash_near_dedup, op10_pii, op11_periodic_runs, op12_lm_scoring,
+        op13_tokenizer_alignment,
     ]
     return {f.__name__: f for f in own}

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import bisect
 import collections
 import hashlib
+import math
 import re
 
 import numpy as np
@@ -167,3 +169,73 @@ def runs(words, shortest=6, repeats=4):
 def collapsed(words, found):
     gone = {i for s, k, q in found for i in range(s + q, s + k)}
     return " ".join(w for i, w in enumerate(words) if i not in gone)
+
+
+def kneser_ney(train, texts):
+    """(n_tokens, n_known, base_score, score) of each text under a bigram model of the training texts."""
+    cut = lambda t: ["<s>", *words(lower(t or "")), ""]
+    pairs = collections.Counter(p for t in train for p in zip(cut(t), cut(t)[1:]))
+    count = collections.Counter(w for t in train for w in cut(t)[1:])
+    kinds = collections.Counter(w for _, w in pairs)
+    after = collections.defaultdict(list)
+    for (h, _), c in pairs.items():
+        after[h].append(c)
+
+    def discounts(counts):
+        n = [sum(c == k for c in counts) for k in range(5)]
+        if min(n[1:4]) == 0:
+            return [0, 0.5, 1, 1.5]
+        y = n[1] / (n[1] + 2 * n[2])
+        d = [0, 1 - 2 * y * n[2] / n[1], 2 - 3 * y * n[3] / n[2], 3 - 4 * y * n[4] / n[3]]
+        return d if all(0 <= d[k] <= k for k in (1, 2, 3)) else [0, 0.5, 1, 1.5]
+
+    d, e = discounts(list(pairs.values())), discounts(list(kinds.values()))
+    v, n, types = len(count), sum(count.values()), sum(kinds.values())
+    left = sum(e[min(k, 3)] for k in kinds.values()) / types / (v + 1)
+
+    def chance(h, w):
+        alone = (kinds[w] - e[min(kinds[w], 3)]) / types + left
+        if h not in after:
+            return alone
+        total = sum(after[h])
+        return (pairs[h, w] - d[min(pairs[h, w], 3)]) / total + sum(d[min(c, 3)] for c in after[h]) / total * alone
+
+    out = []
+    for t in texts:
+        own = cut(t)
+        base = sum(math.log10((count[w] + 1) / (n + v + 1)) for w in own[1:])
+        known = sum(count[w] > 0 for w in own[1:])
+        out.append((len(own) - 1, known, base, sum(math.log10(chance(h, w)) for h, w in zip(own, own[1:]))))
+    return out
+
+
+def alignment(docs, a_bytes, b_bytes):
+    """docs: (ids of A, ids of B).  The rows of the alignment, token by token."""
+    links, listed = [], []
+    for a, b in docs:
+        spans = []
+        for ids, names in ((a, a_bytes), (b, b_bytes)):
+            at, own = 0, []
+            for i in ids.tolist():
+                own.append((at, at + len(names[i]), i))
+                at += len(names[i])
+            spans.append(own)
+        owner = [[i for i, (s, e, _) in enumerate(own) for _ in range(s, e)] for own in spans]  # token of each byte
+        found = [(int(a[i]), int(b[j])) for i, j in sorted(set(zip(*owner)))]
+        links.append(found)
+        ends = sorted({e for _, e, _ in spans[0]} & {f for _, f, _ in spans[1]})
+        sides = [collections.defaultdict(list), collections.defaultdict(list)]
+        for own, side in zip(spans, sides):
+            for _, e, i in own:
+                side[bisect.bisect_left(ends, e)].append(str(i))
+        listed.append([f"{','.join(sides[0][k])}|{','.join(sides[1][k])}" for k in range(len(ends))])
+    count = collections.Counter(x for found in links for x in found)
+    most = collections.Counter()
+    for (_, j), c in count.items():
+        most[j] = max(most[j], c)
+    out = []
+    for (a, b), found, groups in zip(docs, links, listed):
+        sha = hashlib.sha256(";".join(groups).encode()).hexdigest() if len(a) else ""
+        best = sum(count[x] == most[x[1]] for x in found)
+        out.append((len(a), len(b), len(groups), len(found), best, sum(count[x] for x in found), sha))
+    return out
