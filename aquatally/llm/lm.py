@@ -20,7 +20,8 @@ from aquatally.sources import scratch
 
 UPPER_TO_LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 START, END = np.uint64(0x5374617274), np.uint64(0x456E64)  # a word's hash is these with no greater chance than any other's
-CHUNK_TOKENS = 2_000_000  # tokens that a task holds at once
+CHUNK_TOKENS = 1_500_000  # tokens that a task counts at once
+SCORE_TOKENS = 500_000  # and that it scores at once
 SHARD_BYTES = 16 << 20  # text per shard of the counts
 WORDS_PER_SHARD = 1 << 20
 SCORES = "n_tokens long, n_known long, train_tokens long, base_score double, score double"
@@ -96,8 +97,10 @@ def _before(tokens: np.ndarray, ends: np.ndarray) -> np.ndarray:
     return out
 
 
-def _chunks(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[list[pa.RecordBatch], list[np.ndarray]]]:
-    """Batches and their tokens, about ``CHUNK_TOKENS`` at a time."""
+def _chunks(
+    batches: Iterator[pa.RecordBatch], column: int, most: int
+) -> Iterator[tuple[list[pa.RecordBatch], list[np.ndarray]]]:
+    """Batches and their tokens, about ``most`` at a time."""
     held, tokens, size = [], [], 0
     for batch in batches:
         if batch.num_rows == 0:
@@ -106,7 +109,7 @@ def _chunks(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[li
         held.append(batch)
         tokens += own
         size += n
-        if size >= CHUNK_TOKENS:
+        if size >= most:
             yield held, tokens
             held, tokens, size = [], [], 0
     if held:
@@ -156,7 +159,7 @@ def _frequent(docs: DataFrame, shards: int) -> dict[int, int]:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, tokens in _chunks(batches, 0):
+        for _, tokens in _chunks(batches, 0, CHUNK_TOKENS):
             every = np.concatenate(tokens)
             word, count = np.unique(every, return_counts=True)
             some = count >= len(every) / (4 * shards)
@@ -177,7 +180,7 @@ def _pair_blocks(docs: DataFrame, shards: int, spread: dict[int, int]) -> DataFr
     """(shard, words, lengths, followers, counts): each chunk's distinct pairs, packed by first word."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, tokens in _chunks(batches, 0):
+        for _, tokens in _chunks(batches, 0, CHUNK_TOKENS):
             word = np.concatenate(tokens)
             before = _before(word, np.cumsum([len(t) for t in tokens]))
             keys, first, count = np.unique(pair_keys(before, word), return_index=True, return_counts=True)
@@ -320,15 +323,15 @@ def pair_counts(model: Model, before: np.ndarray, keys: np.ndarray) -> np.ndarra
 
 def probabilities(model: Model, before: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(probability of each word behind the one before it, training count of the word)."""
-    known, at = np.unique(np.concatenate([word, before]), return_inverse=True)
+    known, place = np.unique(np.concatenate([word, before]), return_inverse=True)
     values = word_values(model, known)
-    own, context = values[at[: len(word)]], values[at[len(word) :]]
+    own, context = place[: len(word)], place[len(word) :]
+    chance = np.where(values["total"] > 0, values["weight"], 1.0)[context] * values["alone"][own]
     keys, first, place = np.unique(pair_keys(before, word), return_index=True, return_inverse=True)
-    count = pair_counts(model, before[first], keys)[place]
-    off = np.array([0.0, *model.discounts])[np.minimum(count, 3)]
-    total = context["total"]
-    lower = np.where(total > 0, context["weight"], 1.0) * own["alone"]
-    return (count - off) / np.maximum(1, total) + lower, own["count"]
+    count = pair_counts(model, before[first], keys)
+    seen = count - np.array([0.0, *model.discounts])[np.minimum(count, 3)]
+    chance += seen[place] / np.maximum(1, values["total"])[context]
+    return chance, values["count"][own]
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
@@ -348,7 +351,7 @@ def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     tokens, vocabulary = model.tokens, model.vocabulary
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for held, texts in _chunks(batches, width):
+        for held, texts in _chunks(batches, width, SCORE_TOKENS):
             sizes = np.array([len(t) for t in texts])
             word, ends = np.concatenate(texts), np.cumsum(sizes)
             chance, count = probabilities(model, _before(word, ends), word)

@@ -123,6 +123,7 @@ def lm_rows(n=300):
 @pytest.mark.parametrize("shard_bytes", [1 << 30, 700])
 def test_scores_equal_brute_force(spark, monkeypatch, shard_bytes):
     monkeypatch.setattr(lm, "CHUNK_TOKENS", 1500)
+    monkeypatch.setattr(lm, "SCORE_TOKENS", 700)
     monkeypatch.setattr(lm, "WORDS_PER_SHARD", 90)
     rows = lm_rows()
     docs = spark.createDataFrame(rows, DOCS).repartition(3)
