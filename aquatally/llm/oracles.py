@@ -217,7 +217,8 @@ scored AS (
       (k - CASE k WHEN 0 THEN 0 WHEN 1 THEN d1 WHEN 2 THEN d2 ELSE d3 END) / total + (d1 * m1 + d2 * m2 + d3 * m3) / total * p
     END)) AS score
   FROM chances GROUP BY r)
-SELECT doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score FROM docs JOIN scored USING (r)
+SELECT doc_id, held_out, n_tokens, n_known, train_tokens, round(base_score, 6) AS base_score, round(score, 6) AS score
+FROM docs JOIN scored USING (r)
 """
 
 
