@@ -13,6 +13,7 @@ from aquatally.operators.timeline import (
     Carry,
     block_window,
     by_block,
+    closed,
     earliest,
     latest,
     with_carry,
@@ -95,7 +96,7 @@ def carry_whole_days(df: DataFrame, vec: str = VEC) -> DataFrame:
     so_far = block_window().rowsBetween(Window.unboundedPreceding, Window.currentRow)
     here = latest(F.when(known, F.col(vec))).over(so_far)
     # a meter without any reading keeps its empty days
-    return with_day(rows, vec, F.coalesce(here, "_last", "_first", vec)).drop(BLOCK, "_last", "_first")
+    return closed(with_day(rows, vec, F.coalesce(here, "_last", "_first", vec)), df, "_last", "_first")
 
 
 def clamp_timeline(df: DataFrame, vec: str = VEC) -> DataFrame:
@@ -108,7 +109,7 @@ def clamp_timeline(df: DataFrame, vec: str = VEC) -> DataFrame:
     earlier = block_window().rowsBetween(Window.unboundedPreceding, -1)
     floor = F.greatest(F.max("_top").over(earlier), F.col("_carried"))
     raised = dayvec.raise_to(dayvec.running_max(F.col(vec)), F.col("_floor"))
-    return with_day(rows.withColumn("_floor", floor), vec, raised).drop(BLOCK, "_top", "_carried", "_floor")
+    return closed(with_day(rows.withColumn("_floor", floor), vec, raised), df, "_top", "_carried", "_floor")
 
 
 def interpolate_timeline(df: DataFrame, vec: str = VEC, hours: int | None = None) -> DataFrame:

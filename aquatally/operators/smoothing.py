@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,9 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from aquatally.functions import dayvec, kernels
-from aquatally.operators.filling import clamp_timeline
-from aquatally.operators.timeline import with_neighbours
+from aquatally.functions import blocks, dayvec, kernels
+from aquatally.operators.timeline import BLOCK, BLOCK_KEYS, block_window, by_block, closed, whole_row
 from aquatally.schema import DAY, METER, VEC, day_width, fitting, require, with_day
 
 
@@ -104,29 +102,39 @@ def smooth_imputed(
     return clamp_gap_days(work, original, vec) if preserve_monotonicity else work
 
 
-def _beside(days: str) -> Column:
-    return F.filter(days, lambda d: d.isNotNull())
+ENDS = f"{METER} string, {BLOCK} date, _size long, _head array<double>, _tail array<double>, _inside double"
+MARGINS = f"{METER} string, {BLOCK} date, _left array<double>, _right array<double>, _floor double, _short boolean"
 
 
-def _average_along(df: DataFrame, width: int, vec: str, hours: int, into: str) -> DataFrame:
-    """Centred mean over the hours of the timeline, with ``_short`` marking meters
-    that have fewer cells than the window."""
+def _ends(rows: DataFrame, width: int, hours: int) -> DataFrame:
+    """One row per block: its number of cells, its first and last ones that windows of other blocks
+    reach, and the greatest mean of a window that stays inside."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, starts in blocks.whole_blocks(batches, BLOCK_KEYS):
+            size, heads, tails, lengths, inside = blocks.block_ends(blocks.cells(table.column("_cells"), hours), starts, width)
+            keys = [table.column(k).combine_chunks().take(pa.array(starts)) for k in BLOCK_KEYS]
+            lists = [blocks.as_lists(x, lengths) for x in (heads, tails)]
+            arrays = [*keys, pa.array(size.astype(np.int64)), *lists, pa.array(inside)]
+            yield pa.RecordBatch.from_arrays(arrays, names=[*BLOCK_KEYS, "_size", "_head", "_tail", "_inside"])
+
+    return rows.select(*BLOCK_KEYS, "_cells", "_rn", whole_row(rows).alias("_row")).mapInArrow(run, ENDS)
+
+
+def _margins(ends: DataFrame, width: int) -> DataFrame:
+    """What each block needs of the others; a meter has one row per calendar block here."""
     before, after = dayvec.frame(width)
-    reach = max(1, math.ceil(before / max(1, hours)))
-    rows = with_neighbours(df, reach, vec=vec)
-    nothing = F.lit(None).cast("double")
-    left = F.concat(F.array_repeat(nothing, before), F.flatten(F.reverse(_beside("_before"))))
-    right = F.concat(F.flatten(_beside("_after")), F.array_repeat(nothing, after))
-    rows = rows.withColumn("_left", left).withColumn("_right", right)
-    # exactly the cells the windows of this day reach, null beyond the ends of the series
-    context = F.concat(
-        F.slice("_left", F.size("_left") - before + 1, F.lit(before)),
-        vec,
-        F.slice("_right", F.lit(1), F.lit(after)),
-    )
-    rows = rows.withColumn("_short", F.col("_days") * hours < width)
-    mean = F.when(F.col("_short"), F.col(vec)).otherwise(dayvec.window_means(context, width))
-    return rows.withColumn(into, mean).drop("_before", "_after", "_left", "_right", "_days")
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by(BLOCK)
+        columns = [table.column(c).to_pylist() for c in ("_size", "_head", "_tail", "_inside")]
+        lefts, rights, floors, short = blocks.meter_margins(*columns, before, after)
+        n = table.num_rows
+        lists = [blocks.as_lists(np.concatenate(x), np.full(n, k)) for x, k in ((lefts, before), (rights, after))]
+        arrays = [table.column(METER), table.column(BLOCK), *lists, pa.array(floors, pa.float64()), pa.array([short] * n, pa.bool_())]
+        return pa.Table.from_arrays(arrays, names=[*BLOCK_KEYS, "_left", "_right", "_floor", "_short"])
+
+    return ends.groupBy(METER).applyInArrow(run, MARGINS)
 
 
 def smooth_timeline(
@@ -138,15 +146,41 @@ def smooth_timeline(
 ) -> DataFrame:
     """Moving average along each meter's timeline; observed cells are averaged too.
 
-    A meter with fewer cells than the window stays as it is.
+    A meter with fewer cells than the window stays as it is.  Rows are spread by block once.  One summary per
+    block carries both what the windows of its neighbours reach and the greatest mean so far, so the means
+    and the clamp are one pass over whole blocks.  A day shorter than the others ends in missing cells.
     """
     require(df, METER, DAY, vec)
     hours = day_width(df, vec, hours)
-    rows = _average_along(df, width, vec, hours, "_mean")
-    if preserve_monotonicity:
-        rows = clamp_timeline(rows, "_mean")
-    smoothed = F.when(F.col("_short"), F.col(vec)).otherwise(F.col("_mean"))
-    return with_day(rows, vec, smoothed).drop("_mean", "_short")
+    before, after = dayvec.frame(width)
+    missing = lambda n: F.array_repeat(F.lit(None).cast("double"), n)
+    day = F.coalesce(fitting(vec, hours), missing(hours))
+    rows = by_block(df)
+    cells = F.when(F.size(day) == hours, day).otherwise(F.concat(day, missing(F.greatest(hours - F.size(day), F.lit(0)))))
+    rows = rows.withColumn("_cells", cells).withColumn("_rn", F.row_number().over(block_window()))
+    margins = _margins(_ends(rows, width, hours), width)
+    # a window again, so that the rows come in blocks and in order whatever the join does with them
+    joined = rows.join(margins, list(BLOCK_KEYS)).withColumn("_rn", F.row_number().over(block_window()))
+    kept = [c for c in joined.columns if c not in ("_cells", "_left", "_right", "_floor", "_short", "_rn", vec)]
+    joined = joined.select(*kept, F.size(vec).alias("_size"), "_cells", "_left", "_right", "_floor", "_short", "_rn")
+    schema = T.StructType([*[joined.schema[c] for c in kept], T.StructField("_size", T.IntegerType()), T.StructField("_cells", T.ArrayType(T.DoubleType()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, starts in blocks.whole_blocks(batches, BLOCK_KEYS):
+            days = blocks.cells(table.column("_cells"), hours)
+            first = table.select(["_left", "_right", "_floor"]).take(pa.array(starts))
+            lefts, rights = blocks.cells(first.column("_left"), before), blocks.cells(first.column("_right"), after)
+            floors = first.column("_floor").to_numpy()
+            out = blocks.smoothed(days, starts, lefts, rights, floors, preserve_monotonicity)
+            short = table.column("_short").to_numpy()
+            out[short] = days[short]
+            done = table.select([*kept, "_size"]).append_column("_cells", blocks.as_days(out))
+            yield from done.to_batches()
+
+    out = joined.mapInArrow(run, schema)
+    whole = F.when(F.col("_size") == hours, F.col("_cells")).when(F.col("_size") >= 0, F.slice("_cells", F.lit(1), F.col("_size")))
+    out = out.withColumn(vec, whole.alias(vec, metadata=df.schema[vec].metadata))
+    return closed(out, df, "_cells", "_size").select(*df.columns)
 
 
 def smooth_day_keep_observed(df: DataFrame, original: str, width: int = 25, vec: str = VEC, hours: int | None = None) -> DataFrame:

@@ -45,9 +45,12 @@ def by_block(df: DataFrame, period: str = "month") -> DataFrame:
     """Spread rows by meter and calendar block.
 
     A row without meter or day belongs to no timeline and is left out.  Saying so here
-    also gives every reader of the blocks the same filter, hence the same shuffle.
+    also gives every reader of the blocks the same filter, hence the same shuffle.  A table
+    that has its block column is spread already: a chain of steps spreads its rows once.
     """
     require(df, METER, DAY)
+    if BLOCK in df.columns:
+        return df
     rows = df.withColumn(BLOCK, F.trunc(DAY, period))
     placed = F.col(METER).isNotNull() & F.col(DAY).isNotNull() & F.col(BLOCK).isNotNull()
     return rows.filter(placed).repartition(METER, BLOCK)
@@ -57,7 +60,12 @@ def block_window() -> "Window":
     return Window.partitionBy(*BLOCK_KEYS).orderBy(DAY)
 
 
-def _whole_row(rows: DataFrame) -> Column:
+def closed(rows: DataFrame, df: DataFrame, *scratch: str) -> DataFrame:
+    """``rows`` without the scratch columns, and without the block unless ``df`` came with it."""
+    return rows.drop(*scratch) if BLOCK in df.columns else rows.drop(BLOCK, *scratch)
+
+
+def whole_row(rows: DataFrame) -> Column:
     """A value that needs every column of the row.
 
     A summary and the rows it goes back to come from one blocked table.  If the summary
@@ -70,7 +78,7 @@ def _whole_row(rows: DataFrame) -> Column:
 def with_carry(rows: DataFrame, carries: Mapping[str, Carry]) -> DataFrame:
     """Add, to each row of a blocked table, what the other blocks of its meter carry."""
     summary = rows.groupBy(*BLOCK_KEYS).agg(
-        *[c.per_block.alias(n) for n, c in carries.items()], F.max(_whole_row(rows)).alias("_row")
+        *[c.per_block.alias(n) for n, c in carries.items()], F.max(whole_row(rows)).alias("_row")
     )
     summary = summary.filter(F.col("_row").isNotNull())  # true of every group
     order = Window.partitionBy(METER).orderBy(BLOCK)
@@ -103,7 +111,7 @@ def with_neighbours(df: DataFrame, reach: int = 1, after: bool = True, vec: str
     """
     inside = block_window()
     rows = by_block(df)
-    whole_row = _whole_row(rows).alias("_row")
+    every = whole_row(rows).alias("_row")
     rows = rows.withColumn("_rn", F.row_number().over(inside))
     rows = rows.withColumn("_size", F.count(F.lit(1)).over(Window.partitionBy(*BLOCK_KEYS)))
     rows = rows.withColumn("_back", F.col("_size") - F.col("_rn") + 1)
@@ -111,7 +119,7 @@ def with_neighbours(df: DataFrame, reach: int = 1, after: bool = True, vec: str
     near = range(1, reach + 1)
     along = Window.partitionBy(METER).orderBy(DAY)
     rim = rows.filter((F.col("_rn") <= reach) | (F.col("_back") <= reach)).select(
-        *BLOCK_KEYS, "_rn", "_back", "_size", DAY, vec, whole_row
+        *BLOCK_KEYS, "_rn", "_back", "_size", DAY, vec, every
     )
     first, last = F.col("_rn") == 1, F.col("_back") == 1
     beside = rim.select(

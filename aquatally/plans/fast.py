@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from aquatally.functions import dayvec
-from aquatally.operators import filling
+from aquatally.operators import filling, smoothing
+from aquatally.operators.timeline import BLOCK, by_block
 from aquatally.schema import DAY, METER, VEC, day_width, require, with_day
 
 
@@ -30,7 +31,19 @@ def impute_fast(
     hours = day_width(df, vec, hours)
     placed = F.col(METER).isNotNull() & F.col(DAY).isNotNull()
     rest = impute_days(df.filter(~placed), enforce_monotonicity, empty_days, vec)
-    rows = df.filter(placed)
+    rows = impute_timelines(df.filter(placed), enforce_monotonicity, clamp_timeline, empty_days, vec, hours)
+    return rows.unionByName(rest.select(*rows.columns))
+
+
+def impute_timelines(
+    rows: DataFrame,
+    enforce_monotonicity: bool = True,
+    clamp_timeline: bool = False,
+    empty_days: str = "carry",
+    vec: str = VEC,
+    hours: int | None = None,
+) -> DataFrame:
+    """``impute_fast`` for rows that all have a meter and a day; rows spread by block stay so."""
     if empty_days in ("drop", "interpolate"):
         rows = filling.apply_empty_day_policy(rows, empty_days, vec, hours)
     rows = filling.interpolate_day(rows, vec)
@@ -40,9 +53,23 @@ def impute_fast(
         rows = filling.zero_fill(rows, vec)
     if enforce_monotonicity:
         rows = filling.clamp_day(rows, vec)
-    if clamp_timeline:
-        rows = filling.clamp_timeline(rows, vec)
-    return rows.unionByName(rest.select(*rows.columns))
+    return filling.clamp_timeline(rows, vec) if clamp_timeline else rows
+
+
+def impute_and_smooth(
+    df: DataFrame, width: int = 25, original: str | None = None, vec: str = VEC, hours: int | None = None
+) -> DataFrame:
+    """Fast imputation, then the moving average along each timeline, on rows spread once.
+
+    With ``original`` its observed cells are put back over the smoothed ones.  Rows without a meter or a day
+    belong to no timeline and are left out, as ``smooth_timeline`` does.
+    """
+    require(df, METER, DAY, vec)
+    hours = day_width(df, vec, hours)
+    rows = impute_timelines(by_block(df), vec=vec, hours=hours)
+    if original is None:
+        return smoothing.smooth_timeline(rows, width, True, vec, hours).drop(BLOCK)
+    return smoothing.smooth_timeline_keep_observed(rows, original, width, vec, hours).drop(BLOCK)
 
 
 def impute_days(

@@ -91,7 +91,7 @@ def with_filled(original: DataFrame) -> DataFrame:
 
 
 def smoothed(spark, sf) -> DataFrame:
-    return smoothing.smooth_timeline_keep_observed(with_original(spark, sf), "orig")
+    return fast.impute_and_smooth(days(spark, sf).withColumn("orig", F.col(VEC)), original="orig")
 
 
 def mask(pairs: DataFrame) -> DataFrame:
@@ -513,7 +513,7 @@ def queries() -> dict[str, Query]:
         "smooth_imputed_spline": lambda s, d: cells(
             smoothing.smooth_imputed(with_original(s, d), "orig", "spline")
         ),
-        "smooth_timeline": lambda s, d: cells(smoothing.smooth_timeline(filled(s, d))),
+        "smooth_timeline": lambda s, d: cells(fast.impute_and_smooth(days(s, d))),
         "smooth_day_keep_observed": lambda s, d: cells(
             smoothing.smooth_day_keep_observed(with_original(s, d), "orig")
         ),

@@ -168,6 +168,36 @@ def test_summaries_share_the_row_shuffle(spark):
     assert exchanges(fast.impute_fast(days)) == (4, 1)
 
 
+def test_smoothing_uses_the_spread_of_the_fill(spark):
+    """After the fill one summary moves to its meter and back; no row is moved again."""
+    days = derived.days(spark, "/root/testdata/sf0.001").select("id", "data", "v")
+    for original in (None, "orig"):
+        table = days.withColumn("orig", F.col("v"))
+        new = exchanges(fast.impute_and_smooth(table, original=original))[0] - exchanges(fast.impute_fast(table))[0]
+        assert new <= 2, (original, new)
+
+
+@pytest.mark.parametrize("width", [1, 2, 25, 60, 200])
+def test_chained_smoothing_equals_its_steps(spark, frame, width):
+    """Blocks of one row, windows over several blocks, duplicate days' columns and missing cells."""
+    thin = frame[[d.day in (1, 28) or i % 2 == 0 for i, d in enumerate(frame["data"])]].reset_index(drop=True)
+    days = to_days(spark, thin).withColumn("calibre", F.lit(15))
+
+    def steps(m):
+        mean = rolling_mean(m.ravel(), width) if m.size >= width else m.ravel()
+        top = running_max(mean).reshape(m.shape) if m.size >= width else m
+        return np.where(np.isnan(mean.reshape(m.shape)), np.nan, top)
+
+    got = smoothing.smooth_timeline(days, width)
+    assert got.columns == days.columns
+    same_days(got, per_meter(thin, steps))
+    chained = fast.impute_and_smooth(days, width)
+    filled = smoothing.smooth_timeline(fast.impute_fast(days), width)
+    ours, theirs = matrix_of(chained), matrix_of(filled)
+    assert ours[0] == theirs[0]
+    np.testing.assert_allclose(ours[1], theirs[1])
+
+
 def test_in_day_steps_do_not_shuffle(spark):
     days = derived.days(spark, "/root/testdata/sf0.001").select("id", "data", "v")
     made = exchanges(days)[0]
