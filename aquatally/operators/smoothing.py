@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 
 from aquatally.functions import blocks, dayvec, kernels
 from aquatally.operators.timeline import BLOCK, BLOCK_KEYS, block_window, by_block, closed, whole_row
-from aquatally.schema import DAY, METER, VEC, day_width, fitting, require, with_day
+from aquatally.schema import DAY, METER, VEC, day_width, fitting, require, whole_day, with_day
 
 
 def average_day(df: DataFrame, width: int = 11, vec: str = VEC) -> DataFrame:
@@ -153,11 +153,7 @@ def smooth_timeline(
     require(df, METER, DAY, vec)
     hours = day_width(df, vec, hours)
     before, after = dayvec.frame(width)
-    missing = lambda n: F.array_repeat(F.lit(None).cast("double"), n)
-    day = F.coalesce(fitting(vec, hours), missing(hours))
-    rows = by_block(df)
-    cells = F.when(F.size(day) == hours, day).otherwise(F.concat(day, missing(F.greatest(hours - F.size(day), F.lit(0)))))
-    rows = rows.withColumn("_cells", cells).withColumn("_rn", F.row_number().over(block_window()))
+    rows = by_block(df).withColumn("_cells", whole_day(vec, hours)).withColumn("_rn", F.row_number().over(block_window()))
     margins = _margins(_ends(rows, width, hours), width)
     # a window again, so that the rows come in blocks and in order whatever the join does with them
     joined = rows.join(margins, list(BLOCK_KEYS)).withColumn("_rn", F.row_number().over(block_window()))

@@ -65,6 +65,14 @@ def fitting(vec: str, hours: int) -> Column:
     return F.when(F.size(vec) > hours, longer.cast("array<double>")).otherwise(F.col(vec))
 
 
+def whole_day(c: str, hours: int) -> Column:
+    """The day column with exactly ``hours`` cells: a shorter or absent day ends in missing cells."""
+    day = fitting(c, hours)
+    missing = lambda n: F.array_repeat(F.lit(None).cast("double"), n)
+    lacking = F.greatest(hours - F.size(day), F.lit(0))
+    return F.when(F.size(day) == hours, day).otherwise(F.concat(F.coalesce(day, missing(0)), F.when(day.isNull(), missing(hours)).otherwise(missing(lacking))))
+
+
 def readings_schema(hours: int) -> T.StructType:
     """Explicit schema of the wide input, so no scan has to infer types."""
     fields = [

@@ -35,3 +35,10 @@ def settle(df: DataFrame) -> DataFrame:
     """Cut the lineage by a reliable checkpoint in the shared folder."""
     shared_folder(df.sparkSession)
     return df.checkpoint()
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as a columnar table in the shared folder: lineage ends there, and readers take only their columns."""
+    path = new_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
