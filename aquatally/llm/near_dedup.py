@@ -12,13 +12,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from aquatally.llm.graph import components
-from aquatally.llm.util import as_bytes, quoted, small_batches, written
+from aquatally.llm.util import arrow_rows, as_bytes, quoted, small_batches, written
 
 UPPER_TO_LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 BRANCHES = 2
 DEPTH = 6
 SKETCH = 192
 BLOCK = 512  # records of a node that one block holds
+DENSE = 4  # candidates for each record of two blocks from which the blocks' sets are compared as a whole
+SET_BYTES = 4 << 20  # hashes that a block with sets holds
+DEVIATIONS = 4.3  # how far below the threshold a sketch may estimate a link
 OUTSIDE = 256  # records outside a node's largest component that meet all of them at once
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 SPREAD = np.uint64(0xD6E8FEB86659FD93)
@@ -28,12 +31,16 @@ def trees_for(recall: float, similarity: float) -> int:
     """Trees after which a pair at the threshold has met with the probability ``recall``.
 
     A pair stays together along a branch with the probability of its similarity, so the
-    chance that a tree of any depth loses it is the fixed point of (1 - s + s x) ** branches.
+    chance that a tree of any depth loses it is the fixed point of (1 - s + s x) ** branches.  What
+    the sketches lose, in all trees at once, comes off what the trees may lose.
     """
+    sketched = math.erfc(DEVIATIONS / math.sqrt(2)) / 2
+    if 1 - recall <= sketched:
+        raise ValueError(f"the sketches lose {sketched:.1e} of the links at the threshold")
     lost = 0.0
     for _ in range(10_000):
         lost = (1 - similarity + similarity * lost) ** BRANCHES
-    return max(1, math.ceil(math.log(1 - recall) / math.log(lost)))
+    return max(1, math.ceil(math.log(1 - recall - sketched) / math.log(lost)))
 
 
 def shingle_hashes(text: bytes, words: int) -> np.ndarray:
@@ -101,8 +108,8 @@ class NearJoin:
         draws = np.random.default_rng(20)
         self.factors = draws.integers(1, 2**63, functions, np.uint64) * np.uint64(2) + np.uint64(1)
         self.shifts = draws.integers(0, 2**63, functions, np.uint64) * np.uint64(2)
-        # of 192 agreements a link at the threshold of 3/4 has 3.7 deviations less once in 10,000
-        self.agree = SKETCH * max(0.0, percent / 100 - 0.116)
+        share = percent / 100
+        self.agree = SKETCH * max(0.0, share - DEVIATIONS * math.sqrt(share * (1 - share) / SKETCH))
         self.likely_agree = SKETCH * max(0.0, percent / 100 - 0.05)
 
     def signatures(self) -> DataFrame:
@@ -166,13 +173,13 @@ class NearJoin:
         return rows.mapInArrow(run, "node long, tree int, rec long")
 
     def _blocks(self, rows: DataFrame, sketches: DataFrame) -> DataFrame:
-        """Blocks of about BLOCK members (rec, comp, sketch) of each node; ``rows`` has node, rec, comp, n, alone."""
+        """Blocks of about BLOCK members (rec, comp, size, sketch) of each node; ``rows`` has node, rec, comp, n, alone."""
         blocks = F.ceil(F.col("n") / BLOCK).cast("long")
         return (
             rows.join(sketches, "rec")
             .withColumn("block", F.pmod(F.xxhash64("rec"), blocks))
             .groupBy("node", "block")
-            .agg(F.sort_array(F.collect_list(F.struct("rec", "comp", "sketch"))).alias("members"), F.max("alone").alias("alone"))
+            .agg(F.sort_array(F.collect_list(F.struct("rec", "comp", "size", "sketch"))).alias("members"), F.max("alone").alias("alone"))
         )
 
     def likely(self, rows: DataFrame, sketches: DataFrame) -> DataFrame:
@@ -180,17 +187,17 @@ class NearJoin:
         forest of the greatest agreements.  A record that is similar to another one without being
         in the forest comes as a pair with itself.
         """
-        agree, likely = self.agree, self.likely_agree
+        agree, likely, percent = self.agree, self.likely_agree, self.percent
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
                 for left, right in zip(batch.column(0), batch.column(1)):
-                    rec, _, sketch = _members(left)
+                    rec, _, size, sketch = _members(left)
                     if right.is_valid:
-                        more, _, other = _members(right)
-                        rec, sketch = np.concatenate([rec, more]), np.concatenate([sketch, other])
-                    same = _agreements(sketch, sketch)
+                        more, _, sizes, other = _members(right)
+                        rec, size, sketch = (np.concatenate(x) for x in ([rec, more], [size, sizes], [sketch, other]))
+                    same = _agreements(sketch, sketch) * _fitting(size, size, percent)
                     np.fill_diagonal(same, 0)
                     alike = rec[(same >= agree).any(axis=1)]
                     p, q = _forest(same, likely)
@@ -204,37 +211,74 @@ class NearJoin:
         return met.select("members", "members2").mapInArrow(run, "a long, b long").distinct()
 
     def crossing(self, rows: DataFrame, sketches: DataFrame) -> DataFrame:
-        """Pairs (a, b) of one node and two components whose sketches agree.
+        """(a, b, dense): pairs of one node and two components whose sketches agree.
 
         With ``alone`` set, a node's rows are compared with those outside its largest component only.
+        Two blocks with many such pairs for each record give links to one record of each connected part, ``dense``, in
+        place of the pairs: so the rows grow with the records of the blocks and not with their square.
         """
+        agree, percent = self.agree, self.percent
 
-        def pick(rx: np.ndarray, ry: np.ndarray, hit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-            p, q = np.nonzero(hit)
-            return np.minimum(rx[p], ry[q]), np.maximum(rx[p], ry[q])
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                a, b, dense = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, bool)]
+                for left, right in zip(batch.column(0), batch.column(1)):
+                    (rx, cx, nx, sx), (ry, cy, ny, sy) = _members(left), _members(right)
+                    hit = (_agreements(sx, sy) >= agree) & (cx[:, None] != cy[None]) & _fitting(nx, ny, percent)
+                    p, q = np.nonzero(hit)
+                    one, other = np.minimum(rx[p], ry[q]), np.maximum(rx[p], ry[q])
+                    many = len(p) > DENSE * (len(np.unique(p)) + len(np.unique(q)))
+                    if many:
+                        one, other = _spanning(one, other)
+                    a.append(one)
+                    b.append(other)
+                    dense.append(np.full(len(one), many))
+                arrays = [pa.array(np.concatenate(x)) for x in (a, b, dense)]
+                yield pa.RecordBatch.from_arrays(arrays, names=["a", "b", "dense"])
 
         every = self._blocks(rows, sketches)
         fewer = self._blocks(rows.where("not alone or comp <> top"), sketches)
-        return self._compared(every, fewer, pick, ["a", "b"]).distinct()
+        others = fewer.select("node", F.col("block").alias("block2"), F.col("members").alias("members2"))
+        met = every.join(others, "node").where("alone or block <= block2")
+        return met.select("members", "members2").mapInArrow(run, "a long, b long, dense boolean").distinct()
 
-    def _compared(self, blocks: DataFrame, others: DataFrame, pick, names: list[str]) -> DataFrame:
-        """What ``pick`` makes of each pair of blocks of a node, and of the pairs in it that agree."""
-        agree = self.agree
+    def within(self, rows: DataFrame, sets: DataFrame) -> DataFrame:
+        """Pairs (a, b) that connect what links between two components of one cluster connect; ``rows`` has node, rec, comp, size.
+
+        The whole sets of a cluster's records meet block by block, so what moves are blocks and not pairs;
+        each two blocks are a task's row of their own.
+        """
+        percent = self.percent
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                found = [tuple(np.zeros(0, np.int64) for _ in names)]
+                a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
                 for left, right in zip(batch.column(0), batch.column(1)):
-                    (rx, cx, sx), (ry, cy, sy) = _members(left), _members(right)
-                    hit = (_agreements(sx, sy) >= agree) & (cx[:, None] != cy[None])
-                    if hit.any():
-                        found.append(pick(rx, ry, hit))
-                arrays = [pa.array(np.concatenate(x)) for x in zip(*found)]
-                yield pa.RecordBatch.from_arrays(arrays, names=names)
+                    (rx, cx, hx), (ry, cy, hy) = _with_sets(left), _with_sets(right)
+                    shared = _shared(hx, hy)
+                    nx, ny = np.array(list(map(len, hx))), np.array(list(map(len, hy)))
+                    linked = (100 * shared >= percent * (nx[:, None] + ny[None] - shared)) & (cx[:, None] != cy[None])
+                    p, q = np.nonzero(linked)
+                    one, other = _spanning(np.minimum(rx[p], ry[q]), np.maximum(rx[p], ry[q]))
+                    a.append(one)
+                    b.append(other)
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["a", "b"])
 
-        others = others.select("node", F.col("block").alias("block2"), F.col("members").alias("members2"))
-        met = blocks.join(others, "node").where("alone or block <= block2")
-        return met.select("members", "members2").mapInArrow(run, ", ".join(f"{n} long" for n in names))
+        bytes_ = F.sum("size") * 6
+        clusters = rows.groupBy("node").agg(F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK, bytes_ / SET_BYTES)).cast("long").alias("blocks"))
+        blocks = (
+            rows.join(clusters, "node")
+            .join(sets, "rec")
+            .withColumn("block", F.pmod(F.xxhash64("rec"), F.col("blocks")))
+            .groupBy("node", "blocks", "block")
+            .agg(F.collect_list(F.struct("rec", "comp", "hashes")).alias("members"))
+        )
+        blocks = written(blocks, "near-blocks")
+        left = blocks.select("node", "block", F.explode(F.sequence("block", F.col("blocks") - 1)).alias("block2"), "members")
+        right = blocks.select("node", F.explode(F.sequence(F.lit(0).cast("long"), "block")).alias("block"), F.col("block").alias("block2"), F.col("members").alias("members2"))
+        met = left.join(right, ["node", "block", "block2"]).select("members", "members2")
+        with arrow_rows(self.spark, 4):  # a row is two blocks of sets
+            return written(met.mapInArrow(run, "a long, b long"), "near-within")
 
     def set_table(self, wanted: DataFrame) -> DataFrame:
         """(rec, hashes) of the wanted records (rec, doc), from whole texts read again."""
@@ -297,7 +341,8 @@ def near_duplicates(
     after the last level is compared in blocks.  Before that, a spanning forest of the likeliest
     links of each block is confirmed: records already connected need no pair of their own, so
     a large group of near copies costs a tree and not its square, and a large node with few
-    records outside one component is done when these have met all.  Full sets confirm every link.
+    records outside one component is done when these have met all.  Full sets confirm every link: pair by
+    pair where records have few candidates, and in blocks of sets where they have many.
 
     Rows without words have n_shingles 0 and stay alone.  Rows that share an id count as one
     document that stays or goes as a whole; rows without an id are kept.  Fewer words than
@@ -308,10 +353,10 @@ def near_duplicates(
     records = written(
         signed.where("rec is not null")
         .groupBy("rec")
-        .agg(F.min("doc").alias("doc"), F.max("coords").alias("coords"), F.max("sketch").alias("sketch")),
+        .agg(F.min("doc").alias("doc"), F.max("n_shingles").alias("size"), F.max("coords").alias("coords"), F.max("sketch").alias("sketch")),
         "near-records",
     )
-    sketches, values = records.select("rec", "sketch"), records.select("rec", "coords")
+    sketches, values = records.select("rec", "size", "sketch"), records.select("rec", "coords")
     rows = written(join.branch(values, 0), "near-rows")
     live = written(_paired(rows), "near-live")
     # the likeliest links first: what they connect needs no further pairs
@@ -337,12 +382,22 @@ def near_duplicates(
     every = pairs[0]
     for part in pairs[1:]:
         every = every.unionByName(part)
+    # records with many candidates each form clusters, whose sets are compared as a whole
+    clusters = written(components(every.where("dense").select("a", "b").distinct()), "near-clusters")
+    grouped = not clusters.isEmpty()
+    every = every.where("not dense").select("a", "b")
+    if grouped:
+        every = _outside(every, clusters)
+    every = written(every.distinct(), "near-open")
     # blocks that are no neighbours meet only here: what their records need is read now
-    ends = every.select(F.explode(F.array("a", "b")).alias("rec")).distinct()
+    ends = every.select(F.explode(F.array("a", "b")).alias("rec")).unionByName(clusters.select(F.col("node").alias("rec"))).distinct()
     missing = written(ends.join(sets.select("rec"), "rec", "left_anti").join(records.select("rec", "doc"), "rec"), "near-missing")
     if not missing.isEmpty():
         sets = sets.unionByName(written(join.set_table(missing), "near-sets"))
-    crossing = join.confirmed(every.distinct() if len(pairs) > 1 else every, sets)
+    crossing = join.confirmed(every, sets)
+    if grouped:
+        own = clusters.select(F.col("node").alias("rec"), F.col("root").alias("cluster")).join(records.select("rec", "size"), "rec")
+        crossing = crossing.unionByName(join.within(_with_roots(own, roots).withColumnRenamed("cluster", "node"), sets))
     links = crossing.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b")))
     roots = written(components(written(links, "near-links")), "near-roots")
     groups = _with_roots(records.select("rec", "doc"), roots)
@@ -358,9 +413,64 @@ def near_duplicates(
     )
 
 
-def _members(block: pa.ListScalar) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _members(block: pa.ListScalar) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     fields = block.values
-    return fields.field("rec").to_numpy(), fields.field("comp").to_numpy(), matrix(fields.field("sketch"), "u1")
+    rec, comp, size = (fields.field(n).to_numpy() for n in ("rec", "comp", "size"))
+    return rec, comp, size, matrix(fields.field("sketch"), "u1")
+
+
+def _with_sets(block: pa.ListScalar) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    fields = block.values
+    return fields.field("rec").to_numpy(), fields.field("comp").to_numpy(), [unpacked(h) for h in fields.field("hashes").to_pylist()]
+
+
+def _fitting(x: np.ndarray, y: np.ndarray, percent: int) -> np.ndarray:
+    """Whether two sets of these sizes can be similar enough."""
+    return 100 * np.minimum(x[:, None], y[None]) >= percent * np.maximum(x[:, None], y[None])
+
+
+def _shared(x: list[np.ndarray], y: list[np.ndarray], columns: int = 4096) -> np.ndarray:
+    """How many hashes each set of one block shares with each one of another."""
+    out = np.zeros((len(x), len(y)))
+    whole = [np.concatenate(sets) for sets in (x, y)]
+    owner = [np.repeat(np.arange(len(sets)), list(map(len, sets))) for sets in (x, y)]
+    common = np.intersect1d(np.unique(whole[0]), np.unique(whole[1]))
+    if len(common) == 0:
+        return out
+    place = [np.minimum(np.searchsorted(common, w), len(common) - 1) for w in whole]
+    held = [common[p] == w for p, w in zip(place, whole)]
+    place, owner = [p[h] for p, h in zip(place, held)], [o[h] for o, h in zip(owner, held)]
+    for at in range(0, len(common), columns):
+        sides = []
+        for p, o, sets in zip(place, owner, (x, y)):
+            mine = (p >= at) & (p < at + columns)
+            grid = np.zeros((len(sets), min(columns, len(common) - at)), np.float32)
+            grid[o[mine], p[mine] - at] = 1
+            sides.append(grid)
+        out += sides[0] @ sides[1].T
+    return out
+
+
+def _spanning(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Links of the smallest node to each other one, for all nodes that the links (a, b) connect."""
+    nodes, place = np.unique(np.concatenate([a, b]), return_inverse=True)
+    near = np.zeros((len(nodes), len(nodes)), bool)
+    near[place[: len(a)], place[len(a) :]] = True
+    near |= near.T
+    fresh = np.ones(len(nodes), bool)
+    p, q = [], []
+    for first in range(len(nodes)):
+        if not fresh[first]:
+            continue
+        fresh[first] = False
+        reached = [first]
+        for i in reached:
+            more = np.flatnonzero(near[i] & fresh)
+            fresh[more] = False
+            reached += more.tolist()
+        p += [first] * (len(reached) - 1)
+        q += reached[1:]
+    return nodes[np.array(p, np.int64)], nodes[np.array(q, np.int64)]
 
 
 def _agreements(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -407,6 +517,13 @@ def _with_roots(rows: DataFrame, roots: DataFrame) -> DataFrame:
     return met.withColumn("comp", F.coalesce("root", "rec")).drop("__node", "root")
 
 
+def _outside(pairs: DataFrame, clusters: DataFrame) -> DataFrame:
+    """Pairs (a, b) that do not lie in one cluster."""
+    for end in ("a", "b"):
+        pairs = pairs.join(clusters.select(F.col("node").alias(end), F.col("root").alias(f"{end}_in")), end, "left")
+    return pairs.where("a_in is null or b_in is null or a_in <> b_in").select("a", "b")
+
+
 def _ranked(rows: DataFrame, small: int) -> DataFrame:
     """Rows of nodes that hold two components or more, with the node's size and largest component
     ``top``; ``alone`` if few records are outside it in a large node, ``done`` if it can be compared now."""

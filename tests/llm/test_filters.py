@@ -222,3 +222,60 @@ def test_links_between_blocks_far_apart_are_confirmed(spark):
     docs = spark.createDataFrame([(i, t, "h") for i, t in enumerate(texts)], DOCS).repartition(4)
     got = {x.doc_id: x.component_id for x in near_dedup.near_duplicates(docs).collect()}
     assert [i for i in range(len(texts)) if got[i] != i - i % 2] == []
+
+
+def alike(m, seed=9):
+    """Texts of one template, any two alike at 0.7; of every ten the first two are linked."""
+    r = random.Random(seed)
+    own = lambda n: [f"o{r.randrange(10**9)}" for _ in range(n)]
+    template, texts, linked = own(80), [], {}
+    for i in range(m):
+        if i % 10 != 1:
+            middle = own(8)
+        else:
+            linked[i] = i - 1
+        texts.append(" ".join(template + middle + own(8)))
+    return texts, linked
+
+
+def test_candidates_grow_with_the_family_and_not_with_its_square(spark, monkeypatch):
+    made = {}
+
+    def counted(df, name):
+        out = util_written(df, name)
+        made[name] = made.get(name, 0) + out.count()
+        return out
+
+    util_written = near_dedup.written
+    monkeypatch.setattr(near_dedup, "written", counted)
+    rows = []
+    for m in (1000, 2000):
+        texts, linked = alike(m)
+        made.clear()
+        docs = spark.createDataFrame([(i, t, "h") for i, t in enumerate(texts)], DOCS).repartition(4)
+        got = {x.doc_id: x.component_id for x in near_dedup.near_duplicates(docs).collect()}
+        assert got == {i: linked.get(i, i) for i in range(m)}
+        assert made["near-clusters"] >= 0.9 * m
+        rows.append(sum(made[n] for n in ("near-likely", "near-pairs", "near-open", "near-blocks", "near-within")))
+    # of 2,000,000 pairs; blocks of 512 records meet, so the rows of a record grow by one with every such block
+    assert rows[1] < 12 * 2000 and rows[1] < 4 * rows[0], rows
+
+
+def test_shared_hashes_and_forests_equal_sets():
+    r = np.random.default_rng(6)
+    sets = [np.unique(r.integers(0, 60, r.integers(1, 50)).astype(np.uint64)) for _ in range(30)]
+    want = [[len(set(a.tolist()) & set(b.tolist())) for b in sets[12:]] for a in sets[:12]]
+    for columns in (7, 4096):
+        assert near_dedup._shared(sets[:12], sets[12:], columns).astype(int).tolist() == want
+    assert near_dedup._shared(sets[:1], [np.array([99], np.uint64)]).tolist() == [[0.0]]
+    a, b = r.integers(0, 40, 30), r.integers(0, 40, 30)
+    p, q = near_dedup._spanning(a, b)
+    assert components_of(p, q) == components_of(a, b) and len(p) <= 39 and (p < q).all()
+
+
+def components_of(a, b):
+    root = {int(x): int(x) for x in [*a, *b]}
+    for _ in root:
+        for x, y in zip(a.tolist(), b.tolist()):
+            root[x] = root[y] = min(root[x], root[y])
+    return {k: v for k, v in root.items() if any(k in (x, y) and x != y for x, y in zip(a.tolist(), b.tolist()))}
