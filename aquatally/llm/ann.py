@@ -140,8 +140,9 @@ def nearest_by_product(
     precision.  On isotropic random vectors, the hardest case, recall is about 0.95.  Each block
     of queries meets each block of the index once; only block-wise best rows move on.
 
-    Vectors that are null, zero, hold null or non-finite components, have no id, or are shorter
-    than the longest take no part, nor do such queries.  Rows with the query's id are its own.
+    Vectors that are null, zero, hold null or non-finite components, have no id, or have another length than most
+    (ties: than the longer) take no part, nor do such queries.  Rows with the query's id are its own; rows
+    that share an id but not the vector are spread over blocks.
     An empty table gives no rows.
     """
     spark = vectors.sparkSession
@@ -156,10 +157,12 @@ def nearest_by_product(
 
     rows, asked = sound(vectors), sound(queries)
     square = F.aggregate("vector", F.lit(0.0), lambda s, x: s + x * x)
-    total, most, longest = rows.agg(F.count(F.lit(1)), F.max(F.size("vector")), F.sqrt(F.max(square))).first()
+    lengths = rows.groupBy(F.size("vector").alias("length")).agg(F.count(F.lit(1)).alias("n"), F.sqrt(F.max(square)).alias("longest"))
+    common = lengths.orderBy(F.col("n").desc(), F.col("length").desc()).first()
     schema = "query_id long, rank int, vec_id long, score double"
-    if not total:
+    if common is None:
         return spark.createDataFrame([], schema)
+    most, total, longest = common
     rows, asked = rows.where(F.size("vector") == most), asked.where(F.size("vector") == most)
     blocks = -(-total // BLOCK)
     groups = max(1, -(-asked.count() // QUERIES))
@@ -202,13 +205,13 @@ def nearest_by_product(
                     )
 
     index = written(
-        rows.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)))
+        rows.withColumn("block", F.pmod(F.xxhash64("id", "vector"), F.lit(blocks)))
         .groupBy("block")
         .applyInArrow(build, "block long, ids binary, vectors binary, values binary, places binary"),
         "ann-index",
     )
     packs = (
-        asked.withColumn("pack", F.pmod(F.xxhash64(F.lit(1), "id"), F.lit(groups)))
+        asked.withColumn("pack", F.pmod(F.xxhash64(F.lit(1), "id", "vector"), F.lit(groups)))
         .groupBy("pack")
         .applyInArrow(gather, "q_ids binary, q_vectors binary")
         .withColumn("to", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
