@@ -8,7 +8,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -123,13 +123,38 @@ def mix(
 ) -> DataFrame:
     """How often each document row is taken so that sources reach their target weights.
 
-    Returns (id, size, source, source_size, target, copies).  A row's expected copies are
+    Returns (id, size, source, source_size, target, copies), one row per document row.  A row's expected copies are
     target / source_size, at most ``most``; the whole part is taken outright, the rest decided by
     a cube flight within groups of about ``group_rows`` rows of one source, then by flights
-    over the few rows each left undecided, and by one landing per source.  Null text has size
-    0, null sources form a source of their own, repeated rows count one by one, and reruns
+    over the few rows each left undecided, and by one landing per source.  Rows alike in id, text and source are one
+    unit, taken as often as all of them, and share that out evenly: so however many there are, they
+    are one row of a group.  Null text has size 0, null sources form a source of their own, and reruns
     agree.  An empty table gives no rows.
     """
+    units = mixed_units(docs, id_col, text_col, source_col, weights, most, group_rows, seed)
+    # a unit of very many rows is spread before it becomes rows again
+    piece = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("rows") - 1) / group_rows))).alias("piece")
+    pieces = units.select("*", piece)
+    pieces = pieces.where(F.col("rows") <= group_rows).unionByName(
+        pieces.where(F.col("rows") > group_rows).repartition("code", "piece")
+    )
+    last = F.least(F.col("rows"), (F.col("piece") + 1) * group_rows) - 1
+    rows = pieces.withColumn("number", F.explode(F.sequence(F.col("piece") * group_rows, last)))
+    return rows.select(
+        F.col("id").alias(id_col), "code", "size", F.col("source").alias(source_col), "source_size", "target", _share().alias("copies")
+    )
+
+
+def _share() -> Column:
+    """What the row ``number`` (from 0) of a unit of ``rows`` gets of the ``taken`` copies."""
+    even = F.floor(F.col("taken") / F.col("rows"))
+    return (even + (F.col("number") < F.col("taken") - even * F.col("rows")).cast("long")).cast("long")
+
+
+def mixed_units(
+    docs: DataFrame, id_col: str, text_col: str, source_col: str, weights: Sequence[int], most: int, group_rows: int, seed: int
+) -> DataFrame:
+    """(id, code, source, size, source_size, target, rows, taken): how often ``rows`` rows alike are taken together."""
     ids = F.struct(F.xxhash64(quoted(id_col), quoted(text_col)).alias("code"), quoted(id_col).alias("id"))
     sized = add_columns(
         docs.select(ids.alias("unit"), quoted(source_col).alias("source"), quoted(text_col).alias("text")),
@@ -138,23 +163,25 @@ def mix(
         count_words,
     ).select("unit.code", "unit.id", "source", "size")
     sized = written(sized, "mix-sizes")
-    per_source = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("rows"))
+    alike = sized.groupBy("code", "source").agg(F.first("id").alias("id"), F.first("size").alias("size"), F.count(F.lit(1)).alias("rows"))
+    per_source = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("all_rows"))
     targets = source_targets(per_source.select("source", "source_size"), weights, most).join(
-        per_source.select(F.col("source").alias("s"), "rows"), F.col("source").eqNullSafe(F.col("s"))
+        per_source.select(F.col("source").alias("s"), "all_rows"), F.col("source").eqNullSafe(F.col("s"))
     ).drop("s")
     targets = written(targets, "mix-targets")
     copies = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    groups = F.ceil(F.col("rows") / group_rows).cast("long")
+    copies = F.least(copies * F.col("rows"), F.lit(float(most)) * F.col("rows"))
+    groups = F.ceil(F.col("all_rows") / group_rows).cast("long")
     units = (
-        sized.join(targets.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s")))
+        alike.join(targets.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s")))
         .drop("s")
         .withColumn("id", F.col("id").cast("string"))  # pandas has no nulls in integers
         .withColumn("whole", F.floor(copies).cast("long"))
         .withColumn("chance", copies - F.floor(copies))
         .withColumn("place", F.pmod(F.xxhash64(F.lit(seed), "code"), groups))
-        .drop("rows")
+        .drop("all_rows")
     )
-    schema = "id string, code long, source string, size long, source_size long, target double, whole long, chance double, place long"
+    schema = "id string, code long, source string, size long, rows long, source_size long, target double, whole long, chance double, place long"
     units = written(units.groupBy("source", "place").applyInPandas(_flights(seed), schema), "mix-flight-0")
     decided = [units.where("chance = 0 or chance = 1")]
     rest, level = units.where("chance > 0 and chance < 1"), 0
@@ -173,34 +200,49 @@ def mix(
     for part in decided[1:]:
         out = out.unionByName(part)
     return out.select(
-        F.col("id").cast(sized.schema["id"].dataType).alias(id_col),
-        "code",
-        "size",
-        F.col("source").alias(source_col),
-        "source_size",
-        "target",
-        (F.col("whole") + F.col("chance").cast("long")).alias("copies"),
-    )
+        F.col("id").cast(sized.schema["id"].dataType).alias("id"),
+        "code", "source", "size", "source_size", "target", "rows",
+        (F.col("whole") + F.col("chance").cast("long")).alias("taken"),
+    )
 
 
-def mixed_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+def mixed_rows(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    source_col: str = "source",
+    weights: Sequence[int] = (5, 2, 1),
+    most: int = 3,
+    group_rows: int = 8192,
+    seed: int = 0,
+) -> DataFrame:
     """The rows of ``docs``, each repeated as often as ``mix`` takes it.
 
-    Rows alike in id and text share out their counts in the order of their other columns.
+    Rows alike in id, text and source share out their copies evenly.  They are numbered part by part: each task of a
+    written table numbers its own, and a sum over the parts' counts tells where a part begins.
     """
-    taken = mix(docs, id_col, text_col, **options).groupBy("code").agg(F.collect_list("copies").alias("__copies"))
-    taken = taken.withColumn("__copies", F.sort_array("__copies")).withColumnRenamed("code", "__code")
-    code = F.xxhash64(quoted(id_col), quoted(text_col))
-    row = F.xxhash64(*[quoted(c) for c in docs.columns])
-    return (
-        docs.withColumn("__code", code)
-        .join(taken, "__code")
-        .withColumn("__turn", F.row_number().over(W.partitionBy("__code").orderBy(row)))
-        .withColumn("__copies", F.element_at("__copies", F.col("__turn")))
-        .where("__copies > 0")
-        .withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int"))))
-        .select(*[quoted(c) for c in docs.columns])
+    own = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])  # so that no name clashes
+    col = lambda name: f"c{docs.columns.index(name)}"
+    units = mixed_units(own, col(id_col), col(text_col), col(source_col), weights, most, group_rows, seed)
+    units = units.where("taken > 0").select("code", F.col("source").alias("of"), "rows", "taken")
+    met = own.withColumn("own", F.xxhash64(col(id_col), col(text_col))).join(
+        units, (F.col("own") == F.col("code")) & F.col(col(source_col)).eqNullSafe(F.col("of"))
+    )
+    single = met.where("rows = 1").withColumn("copies", F.col("taken"))
+    several = written(met.where("rows > 1").withColumn("part", F.spark_partition_id()).withColumn("row", F.monotonically_increasing_id()), "mix-alike")
+    unit = [F.col("code"), F.col("of")]
+    before = (
+        several.groupBy(*unit, "part")
+        .agg(F.count(F.lit(1)).alias("n"))
+        .withColumn("before", F.sum("n").over(W.partitionBy(*unit).orderBy("part")) - F.col("n"))
+        .select(F.col("code").alias("k"), F.col("of").alias("s"), F.col("part").alias("p"), "before")
     )
+    local = several.withColumn("local", F.row_number().over(W.partitionBy(*unit, "part").orderBy("row")) - 1)
+    numbered = local.join(before, (F.col("code") == F.col("k")) & F.col("of").eqNullSafe(F.col("s")) & (F.col("part") == F.col("p")))
+    numbered = numbered.withColumn("number", F.col("local") + F.col("before")).withColumn("copies", _share())
+    out = single.select(*own.columns, "copies").unionByName(numbered.select(*own.columns, "copies")).where("copies > 0")
+    again = out.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
+    return again.select(*own.columns).toDF(*docs.columns)
 
 
 def _flights(seed: int, last: bool = False):

@@ -58,6 +58,42 @@ def test_mix(spark):
     assert mixing.mix(docs.limit(0)).count() == 0
 
 
+def test_a_third_of_all_rows_alike(spark):
+    rows = [(i, " ".join(["w"] * (1 + i % 50)), f"s{i % 3}") for i in range(2000)] + [(5, "hot text of the corpus", "s1")] * 900 + [(6, "hot", None)] * 90
+    docs = spark.createDataFrame(rows, DOCS).repartition(6).withColumn("rows", F.monotonically_increasing_id()).withColumn("__code", F.lit(1))
+    units = mixing.mixed_units(docs, "doc_id", "text", "source", (5, 2, 1), 3, 100, 0)
+    assert units.count() == 2002 and units.agg(F.sum("rows")).first()[0] == len(rows)
+    out = mixing.mix(docs, group_rows=100).collect()
+    assert len(out) == len(rows)
+    taken, size = collections.Counter(), collections.Counter()
+    for x in out:
+        assert 0 <= x.copies <= 3
+        taken[x.source] += x.copies * x.size
+        size[x.source] += x.size
+    for k, want in brute.targets(size).items():
+        assert abs(taken[k] - want) <= 60
+    hot = sorted(x.copies for x in out if x.doc_id == 5 and x.size == 5)
+    assert len(hot) == 900 and hot[-1] - hot[0] <= 1
+    mixed = mixing.mixed_rows(docs, group_rows=100)
+    assert mixed.columns == docs.columns
+    times = collections.Counter((r.doc_id, r.text, r.source, r["rows"]) for r in mixed.collect())
+    assert max(times.values()) <= 3
+    together = collections.Counter()
+    for (d, t, s, _), n in times.items():
+        together[d, t, s] += n
+    assert together == +by_text(rows, out)
+    assert sorted(n for (d, t, _, _), n in times.items() if t.startswith("hot text")) == [n for n in hot if n]
+
+
+def by_text(rows, out):
+    """How often each (id, text, source) is taken, by its id, size and source."""
+    texts = {(d, len(t.split()), s): t for d, t, s in rows}
+    found = collections.Counter()
+    for x in out:
+        found[x.doc_id, texts[x.doc_id, x.size, x.source], x.source] += x.copies
+    return found
+
+
 def test_flight_keeps_both_sums():
     draws = np.random.default_rng(0)
     chances, sizes = draws.random(500), draws.integers(1, 3000, 500).astype(float)
@@ -282,6 +318,8 @@ def test_neighbours(spark):
         assert [(-s, v) for _, v, s in found] == sorted((-s, v) for _, v, s in found)
         hits += len(set(best.tolist()) & {v for _, v, _ in found})
     assert hits / 20 / len(out) > 0.95
+    odd = table.unionByName(spark.createDataFrame([(9000, [9.0] * 25), (9020, [9.0] * 25)], "vec_id long, embedding array<double>").withColumn("score", F.lit("clash")))
+    assert {r.query_id for r in ann.nearest_by_product(odd, odd.where("vec_id % 20 = 0")).collect()} == set(out)  # too long, not too many
     few = table.where("vec_id < 5")
     assert ann.nearest_by_product(few, few.where("vec_id = 0")).count() == 4
     assert ann.nearest_by_product(table.limit(0), table.limit(0)).count() == 0
