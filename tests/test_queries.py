@@ -39,4 +39,8 @@ def test_no_refinement_is_noticed(spark, db, monkeypatch, name):
     """These oracles fail if the refinement does nothing."""
     monkeypatch.setattr(lowrank, "refine_by_meter", lambda df, *args, **options: df)
     monkeypatch.setattr(lowrank, "refine_whole_table", lambda df, *args, **options: df)
-    assert difference(queries()[name](spark, SF), db, SQL[name]) is not None
+    if name == "impute_hybrid_by_gaps":  # no meter of the smallest table has a large gap
+        db, table = database("/root/testdata/sf0.01"), "/root/testdata/sf0.01"
+    else:
+        table = SF
+    assert difference(queries()[name](spark, table), db, SQL[name]) is not None
