@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from aquatally.functions import dayvec
-from aquatally.operators.pairing import attach_original, meters_in_both, pair_days, rows_of_meters
+from aquatally.operators.pairing import attach_original, join_meters, meters_in_both, pair_days, rows_of_meters
 from aquatally.operators.reshape import explode_hours, hour_ts, to_long
 from aquatally.operators.select import imputed_cells
 from aquatally.schema import DAY, METER, VEC
@@ -147,7 +147,7 @@ def quality_violations(result: DataFrame, original: DataFrame, vec: str = VEC) -
     def outside(x: Column) -> Column:
         return F.when(F.col("_lo").isNull(), x != 0).otherwise((x < F.col("_lo")) | (x > F.col("_hi")))
 
-    rows = result.select(METER, vec).join(seen, METER, "left")
+    rows = join_meters(result.select(METER, DAY, vec), seen, "left")
     return rows.groupBy(METER).agg(
         F.sum(dayvec.missing_count(F.col(vec))).alias("nulls_left"),
         F.sum(F.size(F.filter(vec, outside))).alias("out_of_range"),

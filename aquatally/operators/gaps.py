@@ -2,19 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from aquatally.functions import dayvec
 from aquatally.operators.reshape import explode_hours, hour_ts
-from aquatally.operators.timeline import (
-    BLOCK_KEYS,
-    Carry,
-    by_block,
-    with_carry,
-    with_neighbours,
-    with_ordinal,
-)
+from aquatally.operators.timeline import BLOCK, BLOCK_KEYS, by_block, with_ordinal
 from aquatally.operators.pairing import pair_days
 from aquatally.schema import DAY, METER, VEC, day_width
 
@@ -74,68 +69,108 @@ def stats_by_day(df: DataFrame, vec: str = VEC) -> DataFrame:
     )
 
 
-def timeline_gaps(df: DataFrame, vec: str = VEC) -> DataFrame:
-    """One row per run of missing hours along each meter's timeline, across days.
+def _day_parts(df: DataFrame, vec: str) -> DataFrame:
+    """Every row as a part of its timeline: its number of cells and its runs of missing ones."""
+    runs = F.transform(
+        dayvec.gap_runs(F.col(vec)),
+        lambda g: F.struct(
+            hour_ts(F.col(DAY), g["start"]).alias("begin"),
+            g["len"].cast("bigint").alias("len"),
+            (g["start"] == 0).alias("head"),
+            g["trailing"].alias("tail"),
+        ),
+    )
+    keys = [c for c in (METER, DAY, BLOCK) if c in df.columns]
+    return by_block(df.select(*keys, F.coalesce(F.size(vec), F.lit(0)).cast("bigint").alias("_cells"), runs.alias("_runs")))
+
 
-    Runs are found inside each row.  A run at the start of a row continues the one at
-    the end of the row before; it takes the start of the last run that continues
-    nothing, which is carried between blocks like any other running maximum.
+def _merged(parts: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
+    """Runs that go on from part to part become one, kept by the part they start in.
+
+    A part has ``_cells`` and ``_runs``; of a run, ``head`` and ``tail`` say whether it touches the ends of its part, and in the
+    result whether it touches the ends of all parts with the same keys.  A run at the end of a part goes on as far as
+    the next part with a reading: to that part's first one.
     """
-    rows = with_neighbours(df.select(METER, DAY, vec), 1, vec=vec)
-    before, behind = F.get("_before", F.lit(0)), F.get("_after", F.lit(0))
+    line = Window.partitionBy(*keys).orderBy(order)
+
+    def length(end: str) -> Column:
+        own = F.filter("_runs", lambda r: r[end])
+        return F.coalesce(F.aggregate(own, F.lit(0).cast("bigint"), lambda s, r: s + r["len"]), F.lit(0).cast("bigint"))
+
+    some = F.col("_cells") > 0
+    rows = parts.withColumn("_head", length("head")).withColumn("_tail", length("tail"))
+    rows = rows.withColumn("_upto", F.sum("_cells").over(line.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    reading = F.when(some & (F.col("_head") < F.col("_cells")), F.col("_upto") - F.col("_cells") + F.col("_head"))
+    rows = rows.withColumn("_reading", reading)
     rows = rows.select(
-        METER,
-        DAY,
-        (before.isNotNull() & F.get(before, F.size(before) - 1).isNull()).alias("_open_start"),
-        behind.isNull().alias("_last_row"),
-        dayvec.gap_runs(F.col(vec)).alias("_runs"),
+        *parts.columns,
+        "_upto",
+        F.last(F.when(some, F.col("_tail") > 0), ignorenulls=True).over(line.rowsBetween(Window.unboundedPreceding, -1)).alias("_open"),
+        F.first("_reading", ignorenulls=True).over(line.rowsBetween(1, Window.unboundedFollowing)).alias("_next"),
+        F.sum("_cells").over(Window.partitionBy(*keys)).alias("_all"),
     )
-    rows = explode_hours(rows, "_runs", ("_n", "g"), METER, DAY, "_open_start", "_last_row")
-    continues = F.col("_open_start") & (F.col("g.start") == 0)
-    pieces = rows.select(
-        METER,
-        DAY,
-        F.col("g.start").alias("_start"),
-        F.col("g.len").alias("_len"),
-        (F.col("g.trailing") & F.col("_last_row")).alias("_trailing"),
-        F.when(~continues, hour_ts(F.col(DAY), F.col("g.start"))).alias("_begin"),
+    goes_on = F.coalesce("_next", "_all") - F.col("_upto")
+    own = F.filter("_runs", lambda r: ~(r["head"] & F.coalesce("_open", F.lit(False))))
+    runs = F.transform(
+        own,
+        lambda r: F.struct(
+            r["begin"].alias("begin"),
+            F.when(r["tail"], r["len"] + goes_on).otherwise(r["len"]).alias("len"),
+            (r["head"] & F.col("_open").isNull()).alias("head"),
+            (r["tail"] & F.col("_next").isNull()).alias("tail"),
+        ),
     )
-    pieces = with_carry(by_block(pieces), {"_carried": Carry(F.max("_begin"), F.max)})
-    so_far = (
-        Window.partitionBy(*BLOCK_KEYS)
-        .orderBy(DAY, "_start")
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    )
-    begin = F.coalesce(F.max("_begin").over(so_far), F.col("_carried"))
-    return (
-        pieces.withColumn("gap_start", begin)
-        .groupBy(METER, "gap_start")
-        .agg(F.sum("_len").alias("gap_len"), F.bool_or("_trailing").alias("is_trailing"))
+    return rows.select(*[runs.alias(c) if c == "_runs" else F.col(c) for c in parts.columns])
+
+
+def _line_parts(df: DataFrame, vec: str) -> DataFrame:
+    """One row per meter and block with ``_cells`` and the runs along the timeline that start in it.
+
+    Only runs move, not readings: once to their block, and as one row per block to their meter, of
+    which a calendar has few.
+    """
+    days = _merged(_day_parts(df, vec), BLOCK_KEYS, DAY)
+    blocks = days.groupBy(*BLOCK_KEYS).agg(F.sum("_cells").alias("_cells"), F.flatten(F.collect_list("_runs")).alias("_runs"))
+    return _merged(blocks, [METER], BLOCK)
+
+
+def timeline_gaps(df: DataFrame, vec: str = VEC) -> DataFrame:
+    """One row per run of missing hours along each meter's timeline, across days."""
+    runs = explode_hours(_line_parts(df, vec), "_runs", ("_n", "g"), METER)
+    return runs.select(
+        METER, F.col("g.begin").alias("gap_start"), F.col("g.len").alias("gap_len"), F.col("g.tail").alias("is_trailing")
     )
 
 
 def stats_by_meter(df: DataFrame, vec: str = VEC) -> DataFrame:
     """The same statistics per meter, over gaps that may span days."""
-    cells = df.groupBy(METER).agg(F.sum(F.size(vec)).alias("_cells"))
-    gaps = timeline_gaps(df, vec).groupBy(METER).agg(
-        F.sum("gap_len").alias("missing_count"),
-        F.count(F.lit(1)).alias("num_gaps"),
-        F.max("gap_len").alias("max_gap_size"),
-        F.avg("gap_len").alias("avg_gap_size"),
-        F.percentile("gap_len", F.lit(0.5)).alias("median_gap_size"),
-    )
-    missing = F.coalesce("missing_count", F.lit(0))
-    return cells.join(gaps, METER, "left").select(
+    runs = _line_parts(df, vec).select(METER, "_cells", F.posexplode_outer("_runs").alias("_n", "g"))
+    size = F.col("g.len")
+    figures = runs.groupBy(METER).agg(
+        F.sum(F.when(F.coalesce("_n", F.lit(0)) == 0, F.col("_cells"))).alias("_cells"),  # once per block
+        F.coalesce(F.sum(size), F.lit(0)).alias("missing_count"),
+        F.count("g").alias("num_gaps"),
+        F.coalesce(F.max(size), F.lit(0)).alias("max_gap_size"),
+        F.coalesce(F.avg(size), F.lit(0.0)).alias("avg_gap_size"),
+        F.coalesce(F.percentile(size, F.lit(0.5)), F.lit(0.0)).alias("median_gap_size"),
+    )
+    return figures.select(
         METER,
-        missing.alias("missing_count"),
-        _pct(missing, F.col("_cells")).alias("missing_pct"),
-        F.coalesce("num_gaps", F.lit(0)).alias("num_gaps"),
-        F.coalesce("max_gap_size", F.lit(0)).alias("max_gap_size"),
-        F.coalesce("avg_gap_size", F.lit(0.0)).alias("avg_gap_size"),
-        F.coalesce("median_gap_size", F.lit(0.0)).alias("median_gap_size"),
+        "missing_count",
+        _pct(F.col("missing_count"), F.col("_cells")).alias("missing_pct"),
+        "num_gaps",
+        "max_gap_size",
+        "avg_gap_size",
+        "median_gap_size",
     )
 
 
+def large_gap_blocks(df: DataFrame, threshold_hours: int = 72, vec: str = VEC) -> DataFrame:
+    """Every block of every meter, with ``large``: whether the meter has a closed gap above the threshold, in any block."""
+    large = F.exists("_runs", lambda r: ~r["tail"] & (r["len"] > threshold_hours))
+    return _line_parts(df, vec).select(*BLOCK_KEYS, F.bool_or(large).over(Window.partitionBy(METER)).alias("large"))
+
+
 def distribution(stats: DataFrame) -> DataFrame:
     """How many rows miss nothing, up to 10 %, up to 50 %, more, and everything.
 

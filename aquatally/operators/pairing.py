@@ -29,9 +29,23 @@ def pair_series(left: DataFrame, right: DataFrame, on: Sequence[str] = (DAY, "ho
     return left.join(right, list(on), "inner")
 
 
+SPREAD = 16  # parts into which the rows of a meter go where they meet what is known of the meter
+
+
+def join_meters(df: DataFrame, meters: DataFrame, how: str = "inner") -> DataFrame:
+    """Join of rows with a table of one row per meter, or of a few.
+
+    A meter's rows go to ``SPREAD`` parts by their day, and the thin table to each of them: so a meter
+    with very many rows is no task of its own.
+    """
+    part = F.pmod(F.xxhash64(*([DAY] if DAY in df.columns else df.columns)), F.lit(SPREAD)).cast("int")
+    spread = meters.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))))
+    return df.withColumn("_part", part).join(spread, [METER, "_part"], how).drop("_part")
+
+
 def rows_of_meters(df: DataFrame, meters: DataFrame) -> DataFrame:
     """Rows of the chosen meters."""
-    return df.join(meters.select(METER), METER, "left_semi")
+    return join_meters(df, meters.select(METER).distinct(), "left_semi").select(*df.columns)
 
 
 def meters_in_both(df: DataFrame, other: DataFrame) -> DataFrame:

@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 
 from aquatally.functions import dayvec
 from aquatally.operators import cleaning, filling, lowrank, smoothing
-from aquatally.operators.gaps import gap_classes_by_meter
+from aquatally.operators.gaps import large_gap_blocks
 from aquatally.operators.pairing import KEYS, attach_original, first_load
-from aquatally.plans.fast import impute_fast
+from aquatally.operators.timeline import BLOCK, BLOCK_KEYS, by_block
+from aquatally.plans.fast import impute_days, impute_timelines
 from aquatally.schema import DAY, METER, VEC, day_width, require, with_day
 from aquatally.sources.scratch import settle
 
@@ -141,12 +142,14 @@ def impute_hybrid(
 
     if force_lowrank:
         return scientific(df)
-    # settled, since both halves ask it: one row per meter instead of the gap search twice
-    classes = gap_classes_by_meter(df, gap_threshold_hours, vec)
-    large = settle(classes.filter(F.col("large_gaps") > 0).select(METER))
-    easy = impute_fast(df.join(large, METER, "left_anti"), vec=vec).select(*df.columns)
-    hard = scientific(df.join(large, METER, "left_semi")).select(*df.columns)
-    return easy.unionByName(hard)
+    # settled, since both halves ask it: one row per meter and block instead of the gap search twice; joined by
+    # block, so that a meter with very many rows is no task of its own
+    routes = settle(large_gap_blocks(df, gap_threshold_hours, vec))
+    placed = by_block(df).join(routes, list(BLOCK_KEYS))
+    easy = impute_timelines(placed.filter(~F.col("large")).select(*df.columns, BLOCK), vec=vec)
+    hard = scientific(placed.filter("large").select(*df.columns))
+    unplaced = impute_days(df.filter(F.col(METER).isNull() | F.col(DAY).isNull()), vec=vec)
+    return easy.select(*df.columns).unionByName(hard.select(*df.columns)).unionByName(unplaced.select(*df.columns))
 
 
 def align_and_smooth(

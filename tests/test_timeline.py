@@ -5,7 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from aquatally.operators import cleaning, consumption, filling, gaps, select, smoothing
+from aquatally.operators import cleaning, comparison, consumption, filling, gaps, pairing, select, smoothing
 from aquatally.operators.timeline import BLOCK, by_block, with_ordinal
 from aquatally.plans import fast, scientific
 from aquatally.schema import VEC
@@ -16,6 +16,7 @@ from tests.util import (
     in_day,
     matrix_of,
     per_meter,
+    plan,
     random_days,
     rolling_mean,
     running_max,
@@ -143,6 +144,97 @@ def test_timeline_gaps(days, frame):
     assert len(rows) == len(expected)
 
 
+def runs_of(line):
+    """(position, length, reaches the end) of the missing cells' runs."""
+    out, start = [], None
+    for i, missing in enumerate([*line, False]):
+        if missing and start is None:
+            start = i
+        elif not missing and start is not None:
+            out.append((start, i - start, i == len(line)))
+            start = None
+    return out
+
+
+def test_gaps_over_whole_months_and_days_without_cells(spark):
+    """Outages of months, meters that begin or end in one, days without an array or with an empty one."""
+    rng = np.random.default_rng(11)
+    rows, lines = [], {}
+    for m in range(12):
+        line, at = [], []
+        for d in pd.date_range("2024-01-20", periods=130).date:
+            kind = rng.random()
+            cells = np.where(rng.random(4) < 0.3, None, 1.0).tolist()
+            if m % 3 == 0 and d.month in (3, 4) or m % 4 == 1 and d.month in (1, 5) or m == 11:
+                cells = [None] * 4
+            if kind < 0.1:
+                cells = [] if kind < 0.05 else None
+            elif kind < 0.2:
+                continue
+            rows.append((f"M{m}", d, cells))
+            for h, x in enumerate(cells or []):
+                line.append(x is None)
+                at.append(pd.Timestamp(d) + pd.Timedelta(hours=h))
+        lines[f"M{m}"] = line, at
+    rows.append((None, rows[0][1], [None]))
+    table = spark.createDataFrame(rows, "id string, data date, v array<double>").repartition(5)
+    want = {(m, at[s].to_pydatetime(), n, end) for m, (line, at) in lines.items() for s, n, end in runs_of(line)}
+    got = [tuple(r) for r in gaps.timeline_gaps(table).select("id", "gap_start", "gap_len", "is_trailing").collect()]
+    assert set(got) == want and len(got) == len(want)
+    for r in gaps.stats_by_meter(table).collect():
+        line = lines[r["id"]][0]
+        sizes = [n for _, n, _ in runs_of(line)]
+        assert (r["missing_count"], r["num_gaps"], r["max_gap_size"]) == (sum(line), len(sizes), max(sizes))
+        assert r["avg_gap_size"] == pytest.approx(np.mean(sizes)) and r["median_gap_size"] == np.median(sizes)
+        assert r["missing_pct"] == pytest.approx(100 * np.mean(line))
+    large = {m for m, (line, _) in lines.items() if any(n > 72 and not end for _, n, end in runs_of(line))}
+    routes = gaps.large_gap_blocks(table).collect()
+    assert {r["id"] for r in routes if r["large"]} == large and len(large) > 2
+    assert {r["id"] for r in routes if not r["large"]} == set(lines) - large
+    assert gaps.timeline_gaps(table.limit(0)).count() == 0
+
+
+def test_gap_summaries_merge(spark):
+    """Runs move to their block, and one row per block to its meter: no piece of a run is moved again."""
+    days = derived.days(spark, "/root/testdata/sf0.001").select("id", "data", "v")
+    made = exchanges(days)[0]
+    assert exchanges(gaps.timeline_gaps(days))[0] - made == 2
+    assert exchanges(gaps.stats_by_meter(days))[0] - made == 2
+    assert exchanges(gaps.gap_classes_by_meter(days))[0] - made == 2
+    assert exchanges(gaps.gap_classes(days, along="timeline"))[0] - made == 3
+
+
+def test_rows_meet_meters_by_parts(spark):
+    """Half of the rows are of one meter, and no join deals them by the meter alone."""
+    rows = [("A" if i % 2 else f"M{i % 40}", pd.Timestamp("2024-01-01").date() + pd.Timedelta(days=i), [float(i), None]) for i in range(600)]
+    table = spark.createDataFrame(rows, "id string, data date, v array<double>")
+    chosen = spark.createDataFrame([("A",), ("M2",), ("M2",), (None,)], "id string")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        met = pairing.rows_of_meters(table, chosen)
+        assert met.columns == table.columns
+        assert met.count() == sum(r[0] in ("A", "M2") for r in rows)
+        part = F.pmod(F.xxhash64("data"), F.lit(pairing.SPREAD))
+        assert table.filter("id = 'A'").groupBy(part).count().agg(F.max("count")).first()[0] < 60
+        for result in (met, comparison.quality_violations(table, table)):
+            joins = [line for line in plan(result).split("\n") if "SortMergeJoin" in line]
+            assert joins and all("_part" in line for line in joins)
+        routed = scientific.impute_hybrid(table, force_lowrank=False)
+        joins = [line for line in plan(routed).split("\n") if "SortMergeJoin" in line]
+        # the low rank joins one row per block by meter; rows of days meet their route by block
+        assert any("_block" in line for line in joins) and not any("LeftAnti" in x or "LeftSemi" in x for x in joins)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_hybrid_keeps_rows_of_no_timeline(spark):
+    table = spark.createDataFrame([(None, None, [5.0, None, 3.0]), ("A", None, [None, 2.0, 1.0])], "id string, data date, v array<double>")
+    table = table.withColumn("data", F.col("data").cast("date"))
+    rows = {r["id"]: r["v"] for r in scientific.impute_hybrid(table, force_lowrank=False).collect()}
+    fast_rows = {r["id"]: r["v"] for r in fast.impute_fast(table).collect()}
+    assert rows == fast_rows and len(rows) == 2
+
+
 def test_every_nth_hour(days, frame):
     rows = select.every_nth_hour(days, 72).select("id", "data", "hour").collect()
     expected = set()
