@@ -2,15 +2,45 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import uuid
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from aquatally.operators.reshape import unpack
 from aquatally.schema import DAY, VEC
 
 
+def replacing(spark: SparkSession, path: str, write: Callable[[str], None]) -> None:
+    """Let ``write`` make a table beside ``path``, then put it in the place of what is there.
+
+    The old table stays until the new one is whole: a job that fails leaves it as it was, and it can be read while
+    the new one is made from it.  The swap renames folders, which is a short step on a file system and a
+    copy on an object store.
+    """
+    files = spark.sparkContext._jvm.org.apache.hadoop.fs
+    staged = f"{path.rstrip('/')}.{uuid.uuid4().hex}"
+    place, new, old = (files.Path(p) for p in (path, staged, f"{staged}.old"))
+    system = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    try:
+        write(staged)
+    except BaseException:
+        system.delete(new, True)
+        raise
+    there = system.exists(place)
+    if there and not system.rename(place, old):
+        raise OSError(f"{path} could not be moved aside; the new table is {staged}")
+    if not system.rename(new, place):
+        if there:
+            system.rename(old, place)
+        raise OSError(f"{staged} could not be moved to {path}")
+    if there:
+        system.delete(old, True)
+
+
 def write_readings(df: DataFrame, path: str, fmt: str = "parquet", by_month: bool | None = None) -> None:
-    """Write a table of days in the wide layout, replacing what is there.
+    """Write a table of days in the wide layout, replacing what is there once it is whole.
 
     Parquet is laid out by month, so a date filter prunes folders at the next read;
     rows of a month share files, hence one shuffle before the write.
@@ -18,22 +48,22 @@ def write_readings(df: DataFrame, path: str, fmt: str = "parquet", by_month: boo
     wide = unpack(df) if VEC in df.columns else df
     if by_month is None:
         by_month = fmt == "parquet"
-    writer = wide
-    if by_month:
-        wide = wide.withColumn("month", F.date_format(DAY, "yyyy-MM"))
-        writer = wide.hint("rebalance", "month")
-    out = writer.write.mode("overwrite")
-    if by_month:
-        out = out.partitionBy("month")
-    if fmt == "csv":
-        out.csv(path, header=True)
-    else:
-        out.format(fmt).save(path)
+
+    def write(to: str) -> None:
+        out = wide.write
+        if by_month:
+            out = wide.withColumn("month", F.date_format(DAY, "yyyy-MM")).hint("rebalance", "month").write.partitionBy("month")
+        if fmt == "csv":
+            out.csv(to, header=True)
+        else:
+            out.format(fmt).save(to)
+
+    replacing(df.sparkSession, path, write)
 
 
 def write_json(df: DataFrame, path: str) -> None:
     """One JSON object per row."""
-    df.write.mode("overwrite").json(path)
+    replacing(df.sparkSession, path, df.write.json)
 
 
 def write_lines(report: DataFrame, path: str) -> None:
@@ -41,4 +71,4 @@ def write_lines(report: DataFrame, path: str) -> None:
 
     A report has a fixed number of rows, so one file is bounded.
     """
-    report.orderBy("seq").coalesce(1).select("line").write.mode("overwrite").text(path)
+    replacing(report.sparkSession, path, report.orderBy("seq").coalesce(1).select("line").write.text)

@@ -82,6 +82,27 @@ def test_months_are_pruned_and_filters_pushed(spark, tmp_path):
     assert "index_5" not in text
 
 
+def test_a_failed_write_leaves_the_old_table(spark, tmp_path):
+    days = derived.days(spark, f"{ROOT}/sf0.001")
+    path = str(tmp_path / "kept")
+    sinks.write_readings(days, path)
+    before = sorted(map(str, readings.read_days(spark, path, "parquet").collect()))
+    broken = days.withColumn("v", F.transform("v", lambda x: F.when(F.col("id") == "M00001", F.raise_error(F.lit("broken")).cast("double")).otherwise(x)))
+    for by_month in (True, False):
+        with pytest.raises(Exception, match="broken"):
+            sinks.write_readings(broken, path, by_month=by_month)
+        assert sorted(map(str, readings.read_days(spark, path, "parquet").collect())) == before
+    assert os.listdir(tmp_path) == ["kept"]
+    # a table can be replaced by what is made from it
+    again = readings.read_days(spark, path, "parquet").filter("id = 'M00001'")
+    left = again.count()
+    sinks.write_readings(again.drop("month"), path)
+    assert 0 < readings.read_days(spark, path, "parquet").count() == left < len(before)
+    sinks.write_readings(days, str(tmp_path / "c"), "csv")
+    sinks.write_readings(days.limit(3), str(tmp_path / "c"), "csv")
+    assert readings.read_days(spark, str(tmp_path / "c")).count() == 3 and sorted(os.listdir(tmp_path)) == ["c", "kept"]
+
+
 def test_pair_needs_both(spark, tmp_path):
     assert readings.read_pair(spark, "/nowhere/a", str(tmp_path / "absent"), "parquet") is None
 
