@@ -210,15 +210,96 @@ def rank_one(start: str, known: str, by_meter: bool = True, rounds: int = 2) ->
     return source
 
 
+def low_rank(start: str, known: str, rank: int, rounds: int, squarings: int = 12) -> str:
+    """Refinement per meter at a rank above one.  The projection on a leading vector is a Gram matrix squared again and
+    again over its trace; what it explains is taken off the matrix, and the rest has the next vector."""
+    source = start
+    for _ in range(rounds):
+        steps = ""
+        for r in range(rank):
+            steps += f""", r{r}t AS MATERIALIZED (SELECT m, sum(g) AS t FROM h{r} WHERE i = j GROUP BY m),
+            r{r}q0 AS MATERIALIZED (SELECT h.m, i, j, g / t AS g FROM h{r} h JOIN r{r}t USING (m) WHERE t <> 0)"""
+            for k in range(squarings):
+                steps += f""", r{r}s{k} AS MATERIALIZED (SELECT a.m, a.i, b.j, sum(a.g * b.g) AS g FROM r{r}q{k} a
+                JOIN r{r}q{k} b ON a.m = b.m AND a.j = b.i GROUP BY a.m, a.i, b.j),
+                r{r}q{k + 1} AS MATERIALIZED (SELECT s.m, i, j, g / t AS g FROM r{r}s{k} s
+                  JOIN (SELECT m, sum(g) AS t FROM r{r}s{k} WHERE i = j GROUP BY m) USING (m))"""
+            steps += f""", p{r} AS MATERIALIZED (SELECT * FROM r{r}q{squarings}),
+            h{r + 1} AS MATERIALIZED (SELECT h.m, h.i, h.j, h.g - coalesce(e.t * p.g, 0) AS g FROM h{r} h
+              LEFT JOIN p{r} p ON h.m = p.m AND h.i = p.i AND h.j = p.j
+              LEFT JOIN (SELECT p.m, sum(p.g * h.g) AS t FROM p{r} p JOIN h{r} h ON h.m = p.m AND h.i = p.j AND h.j = p.i
+                GROUP BY p.m) e ON e.m = h.m)"""
+        every = " UNION ALL ".join(f"SELECT * FROM p{r}" for r in range(rank))
+        inner = f"""WITH s AS MATERIALIZED (SELECT *, id AS m FROM {_src(source)}),
+          holes AS MATERIALIZED (SELECT DISTINCT m FROM s WHERE x IS NULL),
+          h0 AS MATERIALIZED (SELECT a.m, a.hour AS i, b.hour AS j, sum(a.x * b.x) AS g
+            FROM s a JOIN s b ON a.id = b.id AND a.data = b.data
+            WHERE a.m NOT IN (SELECT m FROM holes) GROUP BY a.m, a.hour, b.hour){steps},
+          whole AS MATERIALIZED (SELECT m, i, j, sum(g) AS g FROM ({every}) GROUP BY m, i, j),
+          n AS (SELECT s.id, s.data, j AS hour, sum(s.x * g) AS x FROM s
+            JOIN whole w ON w.m = s.m AND w.i = s.hour GROUP BY s.id, s.data, j)
+          SELECT s.id, s.data, s.hour, s.x, n.x AS nx
+          FROM s LEFT JOIN n ON s.id = n.id AND s.data = n.data AND s.hour = n.hour"""
+        source = f"""SELECT s.id, s.data, s.hour, coalesce(k.x, s.nx, s.x) AS x FROM ({inner}) s
+          LEFT JOIN {_src(known)} k ON s.id = k.id AND s.data = k.data AND s.hour = k.hour"""
+    return source
+
+
+def _bending(n: int) -> np.ndarray:
+    """What the natural cubic spline through n values bends: y' K y is the integral of its squared second derivative.
+
+    The second derivatives at the knots solve a tridiagonal system, and between knots they are straight."""
+    second = np.zeros((n, n))
+    rise = np.eye(n)[:-2] - 2 * np.eye(n)[1:-1] + np.eye(n)[2:]
+    second[1:-1] = np.linalg.solve(4 * np.eye(n - 2) + np.eye(n - 2, k=1) + np.eye(n - 2, k=-1), 6 * rise)
+    pieces = np.eye(n) * 2
+    pieces[0, 0] = pieces[-1, -1] = 1
+    return second.T @ (pieces / 3 + (np.eye(n, k=1) + np.eye(n, k=-1)) / 6) @ second
+
+
+def spline(source: str, hours: int = 24, slack: float = 0.1) -> str:
+    """Least-curvature spline of complete days within a squared residual of ``slack`` per hour, by bisection of the
+    penalty's logarithm; on the eigenvectors of the bending the penalised system is diagonal."""
+    values, vectors = np.linalg.eigh(_bending(hours))
+    basis = ", ".join(f"({h}, [{', '.join(repr(float(x)) for x in vectors[h])}])" for h in range(hours))
+    bend = f"[{', '.join(['0.0::DOUBLE'] * 2 + [repr(float(x)) for x in values[2:]])}]"
+    inside = f"range(3, {hours + 1})"
+    middle = "((low + high) / 2)"
+    return f"""WITH RECURSIVE basis(hour, e) AS (VALUES {basis}),
+      parts AS MATERIALIZED (SELECT id, data, list(p ORDER BY k) AS p, {bend} AS w FROM
+        (SELECT s.id, s.data, k, sum(s.x * e[k]) AS p FROM {_src(source)} s JOIN basis ON s.hour = basis.hour,
+          range(1, {hours + 1}) b(k) GROUP BY s.id, s.data, k) GROUP BY id, data),
+      found AS (
+        SELECT *, 0 AS step, CAST(-30 AS DOUBLE) AS low, CAST(30 AS DOUBLE) AS high FROM parts
+        UNION ALL
+        SELECT id, data, p, w, step + 1, CASE WHEN far THEN low ELSE {middle} END, CASE WHEN far THEN {middle} ELSE high END
+        FROM (SELECT *, list_sum([pow(p[k] * exp({middle}) * w[k] / (1 + exp({middle}) * w[k]), 2) for k in {inside}]) > {slack * hours} AS far
+              FROM found WHERE step < 80)),
+      shrunk AS MATERIALIZED (SELECT id, data, [CASE WHEN k < 3 THEN p[k]
+          WHEN list_sum([p[q] * p[q] for q in {inside}]) <= {slack * hours} THEN 0 ELSE p[k] / (1 + exp(low) * w[k]) END
+          for k in range(1, {hours + 1})] AS p FROM found WHERE step = 80)
+      SELECT id, data, hour, list_sum([p[k] * e[k] for k in range(1, {hours + 1})]) AS x FROM shrunk, basis"""
+
+
 def scientific(source: str, smooth: str = "") -> str:
     """The scientific imputation at rank one; ``smooth`` is ``clean`` for a moving average that puts
-    clean readings back, without the clamp along the timeline."""
+    clean readings back, without the clamp along the timeline, ``savgol`` for a moving fit that puts raw ones back."""
     known = clean(source)
     out = clamp(rank_one(carry(interpolate(known)), known))
+    if smooth == "savgol":
+        out = clamp_gap_days(write_back(out, source, fitted(out)), source)
     if smooth == "clean":
         out = clamp_gap_days(write_back(out, known, average(out, 11)), known)
     out = map_x(out, "CASE WHEN x < 0 THEN 0 ELSE x END")
-    return out if smooth else clamp(out, _LINE)
+    return out if smooth == "clean" else clamp(out, _LINE)
+
+
+def scientific_rows(source: str) -> str:
+    """The scientific imputation of a table without meters, at rank one: all rows in the order of day and meter."""
+    keys = "PARTITION BY hour ORDER BY data, id"
+    known = no_drops(no_spikes(no_zeros(source)), keys)
+    out = rank_one(carry(interpolate(known), keys), known, by_meter=False)
+    return map_x(clamp(out), "CASE WHEN x < 0 THEN 0 ELSE x END")
 
 
 def r4_cells(source: str) -> str:
@@ -439,6 +520,11 @@ def oracle_sql() -> dict[str, str]:
         "restore_known": cells(overlay(CLEAN, fast("dirty"))),
         "clip_negative": cells("SELECT id, data, hour, CASE WHEN x - 500 < 0 THEN 0 ELSE x - 500 END AS x FROM days"),
         "refine_rank_one": r4_cells(rank_one(carry(interpolate(CLEAN)), CLEAN)),
+        "refine_rank_three": r4_cells(low_rank(carry(interpolate(CLEAN)), CLEAN, 3, 2)),
+        "impute_scientific_fitted": r4_cells(scientific("dirty", "savgol")),
+        "impute_scientific_rows_rank_one": r4_cells(scientific_rows("dirty")),
+        "spline_day": r4_cells(spline(FAST)),
+        "smooth_imputed_spline": r4_cells(clamp_gap_days(write_back(FAST, "days", spline(FAST)), "days")),
         "refine_whole_rank_one": r4_cells(rank_one(zero(carry(interpolate(CLEAN))), CLEAN, by_meter=False)),
         "impute_scientific_rank_one": r4_cells(scientific("dirty")),
         "impute_scientific_averaged": r4_cells(scientific("dirty", "clean")),

@@ -254,6 +254,12 @@ def refine_rank_one(spark, sf):
     return r4_cells(lowrank.refine_by_meter(start, "known", tolerance=0.0, **RANK_ONE))
 
 
+def refine_rank_three(spark, sf):
+    clean = cleaning.clean(dirty(spark, sf)).withColumn("known", F.col(VEC))
+    start = filling.carry_whole_days(filling.interpolate_day(clean))
+    return r4_cells(lowrank.refine_by_meter(start, "known", 3, 2, 0.0))
+
+
 def refine_whole_rank_one(spark, sf):
     clean = cleaning.clean(dirty(spark, sf)).withColumn("known", F.col(VEC))
     start = filling.zero_fill(filling.carry_whole_days(filling.interpolate_day(clean)))
@@ -479,6 +485,13 @@ def queries() -> dict[str, Query]:
         "refine_low_rank_facts": refine_low_rank_facts,
         "refine_rank_one": refine_rank_one,
         "refine_whole_rank_one": refine_whole_rank_one,
+        "refine_rank_three": refine_rank_three,
+        "impute_scientific_fitted": lambda s, d: r4_cells(
+            scientific.impute_scientific(dirty(s, d), apply_smoothing=True, **RANK_ONE)
+        ),
+        "impute_scientific_rows_rank_one": lambda s, d: r4_cells(
+            scientific.impute_scientific_rows(dirty(s, d), [DAY, METER], tolerance=0.0, **RANK_ONE)
+        ),
         "impute_scientific_rank_one": lambda s, d: r4_cells(scientific.impute_scientific(dirty(s, d), **RANK_ONE)),
         "impute_scientific_averaged": impute_scientific_averaged,
         "impute_hybrid_default": lambda s, d: r4_cells(scientific.impute_hybrid(days(s, d), **RANK_ONE)),
@@ -503,14 +516,14 @@ def queries() -> dict[str, Query]:
         ),
         "average_day": lambda s, d: cells(smoothing.average_day(filled(s, d), 11)),
         "fit_day": lambda s, d: cells(smoothing.fit_day(filled(s, d), 11)),
-        "spline_day": lambda s, d: cells(smoothing.spline_day(filled(s, d))),
+        "spline_day": lambda s, d: r4_cells(smoothing.spline_day(filled(s, d))),
         "write_back": write_back,
         "clamp_gap_days": clamp_gap_days,
         "smooth_imputed_average": lambda s, d: cells(
             smoothing.smooth_imputed(with_original(s, d), "orig", "moving_avg")
         ),
         "smooth_imputed_fit": lambda s, d: cells(smoothing.smooth_imputed(with_original(s, d), "orig", "savgol")),
-        "smooth_imputed_spline": lambda s, d: cells(
+        "smooth_imputed_spline": lambda s, d: r4_cells(
             smoothing.smooth_imputed(with_original(s, d), "orig", "spline")
         ),
         "smooth_timeline": lambda s, d: cells(fast.impute_and_smooth(days(s, d))),
