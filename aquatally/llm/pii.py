@@ -71,11 +71,14 @@ def find_personal_data(docs: DataFrame, text_col: str = "text") -> DataFrame:
     that pass mod 97, and 13 to 15 digits passing Luhn beside a word on cards.  A score grows with
     the check and with context words within 40 characters before or 20 after, as far as the
     neighbouring matches of its kind.  Null or empty
-    text has no spans; a column called ``spans`` is replaced.
+    text has no spans; a column called ``spans`` is replaced, and others pass whatever their names.
     """
+    names = {c: f"c{i}" for i, c in enumerate(docs.columns)}  # so that none clashes with a working column
     kept = without(docs, ["spans"])
     text = F.coalesce(quoted(text_col).cast("string"), F.lit(""))
-    out = docs.select(*[quoted(c) for c in kept], *[_matches(text, k).alias(f"__m_{k}") for k in PATTERNS])
+    own = docs.select(*[quoted(c).alias(names[c]) for c in kept], text.alias("text"))
+    text = F.col("text")
+    out = own.select("*", *[_matches(text, k).alias(f"__m_{k}") for k in PATTERNS])
     # what lies between the matches gives both their places and their context
     gaps = [
         F.when(F.size(f"__m_{k}") > 0, F.split(text, PATTERNS[k], -1)).alias(f"__g_{k}") for k in PATTERNS
@@ -87,7 +90,7 @@ def find_personal_data(docs: DataFrame, text_col: str = "text") -> DataFrame:
         *[F.when(F.col(f"__s_{k}").isNotNull(), running_sum(F.col(f"__s_{k}"))).alias(f"__p_{k}") for k in PATTERNS],
     )
     spans = [_spans(k) for k in PATTERNS]
-    return out.select(*[quoted(c) for c in kept], F.concat(*spans).alias("spans"))
+    return out.select(*[names[c] for c in kept], F.concat(*spans).alias("spans")).toDF(*kept, "spans")
 
 
 def _steps(kind: str) -> Column:

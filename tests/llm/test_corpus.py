@@ -231,6 +231,9 @@ PERSONAL = [
 
 def test_personal_data(spark):
     docs = spark.createDataFrame(list(enumerate(PERSONAL)), "doc_id long, text string").withColumn("spans", F.lit("clash"))
+    docs = docs.withColumn("__m_email", F.lit("kept")).withColumn("__p_ip", F.lit("kept")).withColumn("c0", F.lit("kept"))
+    assert pii.find_personal_data(docs).columns == ["doc_id", "text", "__m_email", "__p_ip", "c0", "spans"]
+    assert pii.find_personal_data(docs).select("__m_email", "__p_ip", "c0").distinct().collect() == [("kept",) * 3]
     out = {x.doc_id: x.spans for x in pii.find_personal_data(docs).collect()}
     for i, text in enumerate(PERSONAL):
         assert [(s.kind, s.start, s.end) for s in out[i] if s.base] == brute.personal(text), text[:80]
