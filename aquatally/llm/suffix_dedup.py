@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,6 +23,10 @@ LOW = np.uint64((1 << 40) - 1)
 POSITION = np.uint64((1 << 23) - 1)
 BLOB = 16 << 20  # bytes of text whose anchors are combined before they move
 GROUP = 8 << 20  # bytes of text that one group of documents holds
+HOT = 1 << 18  # documents that make an anchor hot, in a table of up to HOT << HOT_BITS bytes
+HOT_BITS = 24  # at most 2 ** HOT_BITS anchors are hot
+HOT_ROW = 1 << 62  # the key of rows that name hot anchors
+MOST = 200_000  # windows in suffix order at once, but for equal ones
 
 
 def gram_hashes(data: np.ndarray) -> np.ndarray:
@@ -132,10 +137,14 @@ def _all(blobs: list[bytes], *kinds: type) -> list[np.ndarray]:
 
 
 class SuffixDedup:
-    """The steps for one table; ``key`` is a slice of the anchor space if 0 or more, else ``-1 - group`` of documents."""
+    """The steps for one table; ``key`` is a slice of the anchor space if 0 or more, else ``-1 - group`` of documents.
 
-    def __init__(self, length: int, slices: int, groups: int):
-        self.length, self.slices, self.groups = length, slices, groups
+    An anchor in ``hot_docs`` documents or more is hot: its windows are dealt one by one, by their own bytes.
+    """
+
+    def __init__(self, length: int, slices: int, groups: int, hot_docs: int):
+        self.length, self.slices, self.groups, self.hot_docs = length, slices, groups, hot_docs
+        self.hot = np.zeros(0, np.uint64)
 
     def group_of(self, docs: np.ndarray) -> np.ndarray:
         return docs % self.groups
@@ -179,14 +188,14 @@ class SuffixDedup:
             # in the documents' order, so that equal neighbours compress
             order = np.lexsort((doc[one], key[one] >> np.uint64(40)))
             one_key, one_doc = key[one][order], doc[one][order]
-            many = key[start[count > 1]]
+            many, holders = key[start[count > 1]], count[count > 1].astype(np.uint32)
             one_slice, many_slice = one_key >> np.uint64(40), many >> np.uint64(40)
             present = np.unique(np.concatenate([one_slice, many_slice]))
             one_edges = [np.searchsorted(one_slice, present, side).tolist() for side in ("left", "right")]
             many_edges = [np.searchsorted(many_slice, present, side).tolist() for side in ("left", "right")]
             for s, a, b, c, d in zip(present.tolist(), *one_edges, *many_edges):
                 out_keys.append(s)
-                out_data.append(_pack(np.diff(one_doc[a:b], prepend=0), _five(one_key[a:b]), _five(many[c:d])))
+                out_data.append(_pack(np.diff(one_doc[a:b], prepend=0), _five(one_key[a:b]), _five(many[c:d]), holders[c:d]))
             return self._rows(out_keys, out_data).combine_chunks().to_batches()
 
         for batch in batches:
@@ -203,17 +212,18 @@ class SuffixDedup:
             yield from blob()
 
     def repeated_anchors(self, table: pa.Table) -> pa.Table:
-        """For a slice the anchors of two documents or more, told to the documents that sent them."""
+        """For a slice the anchors of two documents or more, told to the documents that sent them, and the hot ones."""
         key = table.column("key")[0].as_py()
         blobs = table.column("data").to_pylist()
         if key < 0:
             return self._rows([key] * len(blobs), blobs)
-        docs, hashes, shared = [], [], []
+        docs, hashes, shared, holders = [], [], [], []
         for b in blobs:
-            steps, one, many = _unpack(b, np.int64, np.uint8, np.uint8)
+            steps, one, many, count = _unpack(b, np.int64, np.uint8, np.uint8, np.uint32)
             docs.append(np.cumsum(steps))
             hashes.append(_from_five(one))
             shared.append(_from_five(many))
+            holders.append(count)
         doc, own = np.concatenate(docs), np.concatenate(hashes)
         every = np.concatenate([own, *shared])
         every.sort()
@@ -222,14 +232,29 @@ class SuffixDedup:
         again = np.zeros(len(own), bool)
         inside = place < len(twice)
         again[inside] = twice[place[inside]] == own[inside]
-        found = own[again] | (np.uint64(key) << np.uint64(40))
-        return self._rows(*self._by_group(doc[again], found))
+        top = np.uint64(key) << np.uint64(40)
+        keys, data = self._by_group(doc[again], own[again] | top)
+        total = np.bincount(place[again], minlength=len(twice))
+        several, many = np.concatenate([np.zeros(0, np.uint64), *shared]), np.concatenate([np.zeros(0, np.uint32), *holders])
+        # what several blobs or one have by themselves; a key of one blob alone is not among the repeated ones
+        alone, where = np.unique(several, return_inverse=True)
+        sums = np.bincount(where, many, len(alone)).astype(np.int64)
+        at = np.searchsorted(twice, alone)
+        known = at < len(twice)
+        known[known] = twice[at[known]] == alone[known]
+        np.add.at(total, at[known], sums[known])
+        hot = np.concatenate([twice[total >= self.hot_docs], alone[~known & (sums >= self.hot_docs)]])
+        if len(hot):
+            keys.append(HOT_ROW)
+            data.append(_pack(hot | top))
+        return self._rows(keys, data)
 
     def fragments(self, docs: pa.Table, told: pa.Table) -> pa.Table:
         """The surroundings of repeated anchors: bytes of all windows that an anchor serves, by slice.
 
         Of equal ones in this group only those of the smallest document move; the others are
-        removed for certain.
+        removed for certain.  Around a hot anchor the same goes for every single window, which moves
+        to the slice of its own hash.
         """
         doc_of, keys = _all(told.column("data").to_pylist(), np.int64, np.uint64)
         order = np.lexsort((keys, doc_of))
@@ -248,12 +273,23 @@ class SuffixDedup:
             raw = memoryview(text) if text is not None else memoryview(b"")
             hashes, firsts, lasts = anchors(np.frombuffer(raw, np.uint8), self.length)
             own = anchor_keys(hashes, self.slices)
+            hot = np.isin(own, self.hot)
             for i in np.flatnonzero(np.isin(own, keys[a:b])).tolist():
                 begin, end = int(firsts[i]), int(lasts[i]) + self.length
                 part = bytes(raw[begin:end])
                 name = xxhash.xxh3_128_digest(part)
                 if first_doc.setdefault(name, doc) < doc:
                     gone.append((doc, begin, end))
+                elif hot[i]:
+                    for at in range(end - begin - self.length + 1):
+                        one = part[at : at + self.length]
+                        name = xxhash.xxh3_128_digest(one)
+                        if first_doc.setdefault(name, doc) < doc:
+                            gone.append((doc, begin + at, begin + at + self.length))
+                        else:
+                            low, high = struct.unpack("<QQ", name)
+                            key = high % self.slices << 40 | low & int(LOW)
+                            out.setdefault(key >> 40, []).append((doc, begin + at, self.length, key, one))
                 else:
                     key = int(own[i])
                     out.setdefault(key >> 40, []).append((doc, begin, end - begin, key, part))
@@ -304,8 +340,7 @@ class SuffixDedup:
             chosen, counts = mixed[part], windows_of[part]
             edges = np.concatenate([[0], np.cumsum(counts)])
             starts = np.repeat(at[sample[chosen]] - edges[:-1], counts) + np.arange(edges[-1])
-            windows = np.lib.stride_tricks.sliding_window_view(body, self.length)[starts]
-            known = longest_previous(windows, np.repeat(least[chosen], counts)) >= self.length
+            known = self.known(body, starts, np.repeat(least[chosen], counts))
             for i, c in enumerate(chosen.tolist()):
                 hit = np.flatnonzero(known[edges[i] : edges[i + 1]])
                 if len(hit):
@@ -316,8 +351,27 @@ class SuffixDedup:
                 spans.append((int(doc[row]), int(begin[row]) + a, int(begin[row]) + b))
         return self._rows(*self._covers(spans))
 
-
-def _batches(starts: np.ndarray, edges: np.ndarray, total: int, most: int = 200_000) -> Iterator[slice]:
+    def known(self, body: np.ndarray, starts: np.ndarray, docs: np.ndarray) -> np.ndarray:
+        """Which windows a smaller document has.  Many windows are dealt by a hash of their bytes, so that
+        equal ones meet, and put into suffix order one part after the other."""
+        every = np.lib.stride_tricks.sliding_window_view(body, self.length)
+        if len(starts) <= 2 * MOST:
+            return longest_previous(every[starts], docs) >= self.length
+        factors = np.random.default_rng(50).integers(1, 1 << 63, self.length, dtype=np.uint64) | np.uint64(1)
+        names = np.concatenate([every[starts[i : i + MOST]] @ factors for i in range(0, len(starts), MOST)])
+        parts = -(-len(starts) // MOST)
+        part = (names >> np.uint64(32)) % np.uint64(parts)
+        order = np.argsort(part, kind="stable")
+        edges = np.searchsorted(part[order], np.arange(parts + 1, dtype=np.uint64))
+        out = np.zeros(len(starts), bool)
+        for a, b in zip(edges.tolist(), edges[1:].tolist()):
+            own = order[a:b]
+            if len(own):
+                out[own] = longest_previous(every[starts[own]], docs[own]) >= self.length
+        return out
+
+
+def _batches(starts: np.ndarray, edges: np.ndarray, total: int, most: int = MOST) -> Iterator[slice]:
     """Slices from some of ``starts`` to others, of about ``most`` windows each."""
     begin = 0
     for start in [*starts[1:].tolist(), total] if total else []:
@@ -354,7 +408,7 @@ def merged(begin: np.ndarray, end: np.ndarray) -> list[tuple[int, int]]:
 
 
 def remove_repeats(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 50, with_bytes: bool = False
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 50, with_bytes: bool = False, hot_docs: int = HOT
 ) -> DataFrame:
     """Per document row: id, n_bytes, n_removed, spans (removed byte ranges), kept_sha256, and the kept bytes if asked for.
 
@@ -366,7 +420,10 @@ def remove_repeats(
     Anchors sampled from every window tell which places can repeat at all.  Only the surroundings
     of anchors of two documents or more are compared, in suffix order, where the longest
     previous factor of each window decides.  Whatever many documents share is combined before it
-    moves, so no task gets a row for each of them.
+    moves, so no task gets a row for each of them.  A hot anchor (more than a quarter of a million
+    documents, and more than one in 2 ** 24 of all bytes) has its windows dealt one by one, by their own bytes, so that a phrase with
+    different surroundings in every document is spread over all tasks.  At most 2 ** 24 anchors can be hot, as every
+    document that holds one spends a byte of its own on it; their list goes to all tasks.
     """
     spark = docs.sparkSession
     small_batches(spark)
@@ -378,11 +435,14 @@ def remove_repeats(
     )
     total = docs.agg(F.sum(F.octet_length(quoted(text_col)))).first()[0] or 0
     groups = next_prime(max(8, total // GROUP))
-    job = SuffixDedup(length, min(1 << 23, total // GROUP + 6), groups)
+    job = SuffixDedup(length, min(1 << 23, total // GROUP + 6), groups, max(hot_docs, total >> HOT_BITS))
     kind = "key long, data binary"
 
     sent = slim.select("doc", "text").mapInArrow(lambda b: job.sent_anchors(b), kind)
     told = written(sent.groupBy("key").applyInArrow(lambda t: job.repeated_anchors(t), kind), "suffix-anchors")
+    hot = [_unpack(r["data"], np.uint64)[0] for r in told.where(F.col("key") == HOT_ROW).select("data").collect()]
+    job.hot = np.concatenate([job.hot, *hot])
+    told = told.where(F.col("key") < 0)
     by_group = slim.withColumn("key", -1 - F.pmod("doc", F.lit(groups)))
     met = by_group.select("key", "doc", "text").groupBy("key").cogroup(told.groupBy("key"))
     found = met.applyInArrow(lambda d, t: job.fragments(d, t), kind)

@@ -131,6 +131,46 @@ def test_suffix_dedup_ids(spark):
     assert out == [("5", 0), ("5", 0), ("9", n), ("None", n), ("None", n)]
 
 
+@pytest.mark.parametrize("hot_docs", [400, 1 << 18])
+def test_one_phrase_in_a_third_of_all_documents(spark, monkeypatch, hot_docs):
+    """Its surroundings differ everywhere, but for some that two documents share."""
+    r = random.Random(7)
+    word = lambda: "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(r.randrange(3, 9)))
+    phrase = "posted by the editor on a fine day"
+    asides = [(f"{word()} {word()}", f"{word()} {word()}") for _ in range(200)]
+    texts = []
+    for i in range(6000):
+        before, after = r.choice(asides) if i % 9 == 0 else (f"{word()} {word()}", f"{word()} {word()}")
+        texts.append(f"{word()} {before} {phrase} {after} {word()}" if i % 3 == 0 else " ".join(word() for _ in range(14)))
+    texts[0] = f"aa {texts[0]} {texts[0]}"  # repeats within one document remove nothing
+    sizes = []
+    monkeypatch.setattr(suffix_dedup, "GROUP", 1 << 15)
+    docs = spark.createDataFrame([(i, t, "a") for i, t in enumerate(texts)], DOCS).repartition(5)
+    told = suffix_dedup.written
+
+    def seen(df, name):
+        out = told(df, name)
+        if name == "suffix-anchors":
+            sizes.append(out.where(f"key = {suffix_dedup.HOT_ROW}").count())
+        return out
+
+    monkeypatch.setattr(suffix_dedup, "written", seen)
+    want = brute.repeats(list(enumerate(texts)))
+    out = suffix_dedup.remove_repeats(docs, hot_docs=hot_docs).collect()
+    assert {x.doc_id: (x.n_bytes, x.n_removed, len(x.spans), x.kept_sha256) for x in out} == want
+    assert (sizes[0] > 0) == (hot_docs == 400)
+
+
+def test_many_windows_are_dealt_by_their_bytes(monkeypatch):
+    r = np.random.default_rng(5)
+    body = r.integers(97, 99, 3000).astype(np.uint8)
+    starts, docs = r.integers(0, 2950, 4000), r.integers(0, 300, 4000)
+    job = suffix_dedup.SuffixDedup(12, 1, 1, 1)
+    whole = job.known(body, starts, docs)
+    monkeypatch.setattr(suffix_dedup, "MOST", 100)
+    assert whole.any() and not whole.all() and (job.known(body, starts, docs) == whole).all()
+
+
 def test_anchors_depend_on_content_alone():
     r = np.random.default_rng(0)
     data = r.integers(97, 100, 5000).astype(np.uint8)
