@@ -8,10 +8,12 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from aquatally.llm.util import add_columns, as_bytes, quoted, small_batches, written
+from pyspark.sql import types as T
+
+from aquatally.llm.util import add_columns, as_bytes, named, plain, quoted, small_batches, written
 
 UPPER_TO_LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 SPACES = b" \t\n\x0b\x0c\r"
@@ -46,8 +48,25 @@ def line_keys(docs: DataFrame, id_col: str, text_col: str, min_chars: int) -> Da
             )
 
     small_batches(docs.sparkSession)
-    source = docs.select(quoted(id_col).cast("long").alias("doc"), quoted(text_col).alias("text"))
-    return source.mapInArrow(run, "doc long, h1 long, h2 long")
+    source = docs.select(own_id(docs, id_col).alias("doc"), quoted(text_col).alias("text"))
+    half = T.LongType()
+    return source.mapInArrow(run, T.StructType([source.schema["doc"], *[T.StructField(k, half) for k in KEY]]))
+
+
+def own_id(docs: DataFrame, id_col: str) -> Column:
+    """The id as it is compared: whole numbers as long, others as they are."""
+    kind = docs.select(quoted(id_col).alias("id")).schema["id"].dataType
+    return quoted(id_col).cast("long") if isinstance(kind, T.IntegralType) else quoted(id_col)
+
+
+def place(doc: Column, kind: T.DataType) -> Column:
+    """A number that grows with the id or stays: of a text its first seven bytes."""
+    if isinstance(kind, T.NumericType):
+        return doc.cast("double")
+    if isinstance(kind, T.StringType):
+        first = F.hex(F.substring(F.encode(doc, "UTF-8"), 1, 7))
+        return F.conv(F.rpad(first, 14, "0"), 16, 10).cast("double")
+    return F.unix_micros(doc.cast("timestamp")).cast("double")
 
 
 class LineRuns:
@@ -89,14 +108,15 @@ class LineRuns:
     def _save(self, rows: DataFrame, level: int) -> None:
         table = f"{self.name}_{self.made}"
         self.made += 1
-        rows.select(*KEY, "n_docs", "keeper").write.bucketBy(self.buckets, *KEY).sortBy(*KEY).saveAsTable(table)
         while len(self.levels) <= level:
             self.levels.append([])
-        self.levels[level].append(table)
+        self.levels[level].append(table)  # known before it is written, so that a failed write is dropped too
+        rows.select(*KEY, "n_docs", "keeper").write.bucketBy(self.buckets, *KEY).sortBy(*KEY).saveAsTable(table)
 
     def _compact(self, level: int) -> None:
-        old, self.levels[level] = self.levels[level], []
+        old = self.levels[level]
         self._save(self._merged([self.spark.table(t) for t in old]), level + 1)
+        self.levels[level] = []
         for table in old:
             self.spark.sql(f"DROP TABLE IF EXISTS {table}")
 
@@ -136,29 +156,37 @@ def dedup_lines(
     A line's key is the line without surrounding ASCII white space, A-Z lower-cased; keys
     shorter than ``min_chars`` code points are never dropped.  The text becomes what is left
     (null becomes empty); adds ``n_lines`` and ``n_dropped``.  Rows with one id are one document; rows without an id are one
-    document too, the smallest.  Null text is an empty line.  An empty table stays empty.
+    document too, the smallest.  Ids are numbers, texts (by their UTF-8 bytes), dates or times.  Null text is an empty line.
+    An empty table stays empty.  Columns called ``n_lines`` or ``n_dropped`` are replaced, others pass whatever their names.
     """
     spark = docs.sparkSession
-    cuts = docs.stat.approxQuantile(id_col, [i / batches for i in range(1, batches)], 0.01)
+    docs, names = plain(docs)
+    id_col, text_col = names[id_col], names[text_col]
+    # rows with one id are one document: a key counts once for it
+    keys = line_keys(docs, id_col, text_col, min_chars)
+    at = place(F.col("doc"), keys.schema["doc"].dataType)
+    ids = docs.select(place(own_id(docs, id_col), keys.schema["doc"].dataType).alias("at"))
+    cuts = ids.stat.approxQuantile("at", [i / batches for i in range(1, batches)], 0.01)
     number = F.lit(0)
     for cut in cuts:
-        number = number + F.coalesce((F.col("doc") > cut).cast("int"), F.lit(0))
-    # rows with one id are one document: a key counts once for it
-    keys = line_keys(docs, id_col, text_col, min_chars).distinct().withColumn("batch", number)
-    keys = written(keys, "line-keys")
+        number = number + F.coalesce((at > cut).cast("int"), F.lit(0))
+    keys = written(keys.distinct().withColumn("batch", number), "line-keys")
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     runs = LineRuns(spark, max(1, min(partitions, 100_000)), min_docs)
-    for batch in range(len(cuts), -1, -1):
-        runs.add(keys.where(F.col("batch") == batch))
-    frequent = written(runs.frequent(), "line-frequent")
-    runs.drop()
+    try:
+        for batch in range(len(cuts), -1, -1):
+            runs.add(keys.where(F.col("batch") == batch))
+        frequent = written(runs.frequent(), "line-frequent")
+    finally:
+        runs.drop()
     gone = (
         keys.join(frequent, KEY)
         .where(~F.col("doc").eqNullSafe(F.col("keeper")))
         .groupBy("doc")
         .agg(F.collect_list(F.struct(*KEY)).alias("gone"))
     )
-    return _without_lines(docs, gone, id_col, text_col, min_chars)
+    out = _without_lines(docs, gone, id_col, text_col, min_chars)
+    return named(out, names, ["n_lines", "n_dropped"])
 
 
 def _without_lines(docs: DataFrame, gone: DataFrame, id_col: str, text_col: str, min_chars: int) -> DataFrame:
@@ -184,6 +212,6 @@ def _without_lines(docs: DataFrame, gone: DataFrame, id_col: str, text_col: str,
         return pa.array(kept, pa.binary()).cast(pa.string()), n_lines, n_dropped
 
     gone = gone.withColumnRenamed("doc", "__doc").withColumnRenamed("gone", "__gone")
-    joined = docs.join(gone, quoted(id_col).cast("long").eqNullSafe(F.col("__doc")), "left")
+    joined = docs.join(gone, own_id(docs, id_col).eqNullSafe(F.col("__doc")), "left")
     fields = f"`{text_col}` string, n_lines long, n_dropped long"
     return add_columns(joined.drop("__doc"), [text_col, "__gone"], fields, step).drop("__gone")

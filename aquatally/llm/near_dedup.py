@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from aquatally.llm.graph import components
-from aquatally.llm.util import arrow_rows, as_bytes, quoted, small_batches, written
+from aquatally.llm.util import arrow_rows, as_bytes, named, plain, quoted, small_batches, written
 
 UPPER_TO_LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 BRANCHES = 2
@@ -546,6 +546,7 @@ def _paired(rows: DataFrame) -> DataFrame:
 
 def without_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The document rows of ``docs`` that stay: of each group the smallest id."""
-    gone = near_duplicates(docs, id_col, text_col, **options).where("not kept")
-    gone = gone.select(quoted(id_col).alias("__gone")).distinct()
-    return docs.join(gone, quoted(id_col).cast("long") == F.col("__gone"), "left_anti")
+    docs, names = plain(docs)  # so that none of its columns clashes
+    gone = near_duplicates(docs, names[id_col], names[text_col], **options).where("not kept")
+    gone = gone.select(F.col(names[id_col]).alias("gone")).distinct()
+    return named(docs.join(gone, F.col(names[id_col]).cast("long") == F.col("gone"), "left_anti"), names)

@@ -43,18 +43,20 @@ by_word AS (
   FROM marked GROUP BY r),
 lines AS (SELECT r, unnest(string_split(text, chr(10))) AS line FROM docs),
 by_line AS (
-  SELECT r, count(*) - count(DISTINCT line) AS n_dup_lines FROM lines
+  SELECT r, count(*) AS n_lines, count(*) - count(DISTINCT line) AS n_dup_lines FROM lines
   WHERE regexp_matches(line, '[^ \\t\\n\\x0b\\f\\r]') GROUP BY r),
 measured AS (
   SELECT d.r, doc_id, source, coalesce(n_words, 0) AS n_words, coalesce(word_chars, 0)::BIGINT AS word_chars,
     length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS n_symbols,
-    coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words
+    coalesce(n_lines, 0) AS n_lines, coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words
   FROM docs d LEFT JOIN by_word USING (r) LEFT JOIN by_line USING (r)),
-ruled AS (SELECT *, n_words < 10 AS short, 100 * n_repeat_words > 20 * n_words AS repetitive FROM measured),
+ruled AS (SELECT *, n_words < 10 AS short, 100 * n_repeat_words > 20 * n_words AS repetitive,
+  10 * n_symbols > n_words AS symbols, 10 * n_dup_lines > 3 * n_lines AS same_lines,
+  word_chars < 3 * n_words OR word_chars > 10 * n_words AS odd_words FROM measured),
 failures AS (
   SELECT source, rule, count(*)::DOUBLE AS n, sum(failed::INT)::DOUBLE AS k FROM (
-    SELECT source, 'short' AS rule, short AS failed FROM ruled WHERE source IS NOT NULL UNION ALL
-    SELECT source, 'repetitive', repetitive FROM ruled WHERE source IS NOT NULL)
+    SELECT source, unnest(['short', 'repetitive', 'symbols', 'same_lines', 'odd_words']) AS rule,
+      unnest([short, repetitive, symbols, same_lines, odd_words]) AS failed FROM ruled WHERE source IS NOT NULL)
   GROUP BY ALL),
 prior AS (
   SELECT rule, count(*) AS hosts, sum(n) AS docs, sum(k) / sum(n) AS mean, sum(k * (k / n)) / sum(n) AS square
@@ -65,11 +67,18 @@ weighed AS (
     WHEN mean * (1 - mean) <= square - mean * mean - mean * (1 - mean) * hosts / docs THEN 0
     ELSE mean * (1 - mean) / (square - mean * mean - mean * (1 - mean) * hosts / docs) - 1 END) AS weight
   FROM prior),
-failed_hosts AS (
-  SELECT DISTINCT source FROM failures JOIN weighed USING (rule) WHERE (k + mean * weight) / (n + weight) >= 0.9)
+rates AS (
+  SELECT source, rule, mean, (k + mean * weight) / (n + weight) AS rate FROM failures JOIN weighed USING (rule)),
+verdicts AS (
+  SELECT source AS host, bool_or(rate >= 0.9 AND rule IN ('short', 'repetitive')) AS all_of_it,
+    bool_or(rate >= greatest(0.5, 2 * mean) AND rule = 'symbols') AS s,
+    bool_or(rate >= greatest(0.5, 2 * mean) AND rule = 'same_lines') AS l,
+    bool_or(rate >= greatest(0.5, 2 * mean) AND rule = 'odd_words') AS w
+  FROM rates GROUP BY source)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, short OR repetitive AS base_failed,
-  NOT (short OR repetitive) AND source IS DISTINCT FROM f AS kept
-FROM ruled LEFT JOIN (SELECT source AS f FROM failed_hosts) ON source = f
+  NOT (short OR repetitive) AND NOT coalesce(all_of_it, false)
+    AND NOT coalesce(s AND symbols OR l AND same_lines OR w AND odd_words, false) AS kept
+FROM ruled LEFT JOIN verdicts ON source = host
 """
 
 

@@ -3,18 +3,20 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import or_
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from aquatally.llm.util import add_columns, as_bytes, quoted, without, written
+from aquatally.llm.util import add_columns, as_bytes, named, plain, written
 
 SYMBOLS = tuple(bytes([c]) for c in b"#*$%&|<>")
 WINDOW = 5
 SMALL_HOSTS = 100_000
-MEASURES = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long"
+MEASURES = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_lines long"
 
 
 def repeated_words(words: list[bytes]) -> int:
@@ -39,7 +41,7 @@ def repeated_words(words: list[bytes]) -> int:
 
 
 def measure(texts: pa.Array) -> Sequence[list[int]]:
-    n_words, chars, symbols, dup_lines, repeats = [], [], [], [], []
+    n_words, chars, symbols, dup_lines, repeats, n_lines = [], [], [], [], [], []
     for raw in as_bytes(texts):
         raw = raw or b""
         words = raw.split()
@@ -48,29 +50,45 @@ def measure(texts: pa.Array) -> Sequence[list[int]]:
         chars.append(len(solid) if solid.isascii() else len(solid.decode("utf-8", "replace")))
         symbols.append(sum(map(raw.count, SYMBOLS)))
         lines = [x for x in raw.split(b"\n") if x and not x.isspace()]
+        n_lines.append(len(lines))
         dup_lines.append(len(lines) - len(set(lines)))
         repeats.append(repeated_words(words))
-    return n_words, chars, symbols, dup_lines, repeats
+    return n_words, chars, symbols, dup_lines, repeats, n_lines
 
 
 def rules() -> dict[str, Column]:
-    """The rules by name, each true where a document fails it."""
+    """The rules by name, each true where a document fails it and goes for that alone."""
     return {
         "short": F.col("n_words") < 10,
         "repetitive": F.lit(100) * F.col("n_repeat_words") > F.lit(20) * F.col("n_words"),
     }
 
 
+def doubts() -> dict[str, Column]:
+    """Further rules: a document that breaks one goes only if that is the habit of its host.
+
+    More than one symbol to ten words, more than three lines in ten repeated, or words of less than three or
+    more than ten characters on average.
+    """
+    n = F.col("n_words")
+    return {
+        "symbols": F.lit(10) * F.col("n_symbols") > n,
+        "same_lines": F.lit(10) * F.col("n_dup_lines") > F.lit(3) * F.col("n_lines"),
+        "odd_words": (F.col("word_chars") < F.lit(3) * n) | (F.col("word_chars") > F.lit(10) * n),
+    }
+
+
 def host_verdicts(
-    failures: DataFrame, worst_rate: float = 0.9, min_hosts: int = 2, least_weight: float = 20.0
+    failures: DataFrame, worst_rate: float = 0.9, min_hosts: int = 2, least_weight: float = 20.0, habit: float = 0.5
 ) -> DataFrame:
-    """(host, rule, n_docs, n_failed, shrunk_rate, host_failed) from (host, rule, n_docs, n_failed).
+    """(host, rule, n_docs, n_failed, shrunk_rate, host_failed, host_habit) from (host, rule, n_docs, n_failed).
 
     For each rule the hosts' rates get a beta prior, fitted to their mean and variance weighted by
     documents; a host's rate is then (failed + alpha) / (documents + alpha + beta), so that one
     with few documents stays near the mean of all.  Sampling alone spreads rates by
     m (1 - m) / n; only the spread beyond that is the hosts' own.  A host fails if the
-    shrunken rate reaches ``worst_rate``.  If hosts differ no more than chance has it, or there are fewer than
+    shrunken rate reaches ``worst_rate``, and breaking the rule is its habit at ``habit``
+    and twice the mean of all hosts: what most of a corpus does is no fault of one.  If hosts differ no more than chance has it, or there are fewer than
     ``min_hosts``, the prior is the mean with the weight of an average host; it weighs as much as
     ``least_weight`` documents at least, so that no host fails on a handful.
     """
@@ -95,6 +113,7 @@ def host_verdicts(
         failures.join(prior, F.col("rule") == F.col("__rule"))
         .withColumn("shrunk_rate", shrunk)
         .withColumn("host_failed", F.col("shrunk_rate") >= worst_rate)
+        .withColumn("host_habit", F.col("shrunk_rate") >= F.greatest(F.lit(habit), 2 * F.col("mean")))
         .drop("__rule", "mean", "weight")
     )
 
@@ -104,46 +123,56 @@ def apply_rules(
     text_col: str = "text",
     host_col: str = "source",
     worst_rate: float = 0.9,
+    habit: float = 0.5,
+    with_text: bool = True,
 ) -> DataFrame:
-    """``docs`` with the measures, ``base_failed``, ``host_failed`` and ``kept``.
+    """``docs`` with the measures, ``base_failed``, ``host_failed``, ``habit_failed`` and ``kept``.
 
-    A document fails by itself if it breaks a rule, and by its host if the shrunken failure rate
-    of a rule there reaches ``worst_rate``.  Null text counts as empty, which is too short.  Documents without a
-    host are judged by themselves alone.  Repeated rows count one by one.  An empty table
-    stays empty.  Columns that clash with new ones are replaced.
+    A document fails by itself if it breaks one of ``rules``.  It fails by its host if the shrunken failure rate there
+    of one of these reaches ``worst_rate``, and by its host's habit if it raises one of ``doubts`` that half
+    of the host (``habit``) raises too, and twice as often as hosts do: a table full of symbols goes from a
+    host of such tables, but not from a host of prose.  Null text counts as empty, which is too short.  Documents without a host are judged by
+    themselves alone.  Repeated rows count one by one.  An empty table stays empty.  Columns that
+    clash with new ones are replaced, others pass whatever their names.
+
+    Every text is measured once: the rows with their measures are one table, without the texts if
+    ``with_text`` is false, and verdicts join that.
     """
-    broken = rules()
-    slim = docs.select(quoted(host_col).alias("host"), quoted(text_col).alias("text"))
-    measured = add_columns(slim, ["text"], MEASURES, measure).drop("text").where("host is not null")
+    docs, names = plain(docs)
+    text_col, host_col = names[text_col], names[host_col]
+    if not with_text:
+        names = {c: n for c, n in names.items() if n != text_col}
+    broken, doubted = rules(), doubts()
+    flags = {**broken, **doubted}
+    measured = add_columns(docs, [text_col], MEASURES, measure, () if with_text else [text_col])
+    measured = written(measured, "rules-measured")
     failures = (
-        measured.select("host", F.explode(_failed_by_rule(broken)).alias("rule", "failed"))
-        .groupBy("host", "rule")
-        .agg(F.count(F.lit(1)).alias("n_docs"), F.sum(F.col("failed").cast("long")).alias("n_failed"))
+        measured.where(F.col(host_col).isNotNull())
+        .groupBy(F.col(host_col).alias("host"))
+        .agg(F.count(F.lit(1)).alias("n_docs"), *[F.count_if(flag).alias(name) for name, flag in flags.items()])
+        .unpivot(["host", "n_docs"], list(flags), "rule", "n_failed")
     )
-    verdicts = written(host_verdicts(failures, worst_rate), "host-verdicts")
-    failed = verdicts.where("host_failed").select(F.col("host").alias("__host")).distinct()
-    if failed.count() <= SMALL_HOSTS:  # proven small: then no text moves
-        failed = F.broadcast(failed)
-    out = add_columns(docs, [text_col], MEASURES, measure)
-    out = out.select(*[quoted(c) for c in without(out, ["base_failed", "host_failed", "kept"])])
-    base = F.lit(False)
-    for rule in broken.values():
-        base = base | rule
-    return (
-        out.withColumn("base_failed", base)
-        .join(failed, quoted(host_col) == F.col("__host"), "left")
-        .withColumn("host_failed", F.col("__host").isNotNull())
-        .withColumn("kept", ~F.col("base_failed") & ~F.col("host_failed"))
-        .drop("__host")
+    verdicts = written(host_verdicts(failures, worst_rate, habit=habit), "host-verdicts")
+    bad = verdicts.where("host_failed or host_habit").groupBy("host").agg(
+        F.bool_or(F.col("host_failed") & F.col("rule").isin(*broken)).alias("all_of_it"),
+        F.collect_list(F.when(F.col("host_habit"), F.col("rule"))).alias("habits"),
+    )
+    if bad.count() <= SMALL_HOSTS:  # proven small: then no text moves
+        bad = F.broadcast(bad)
+    habits = [F.array_contains("habits", name) & flag for name, flag in doubted.items()]
+    out = (
+        measured.withColumn("base_failed", reduce(or_, broken.values()))
+        .join(bad, F.col(host_col) == F.col("host"), "left")
+        .withColumn("host_failed", F.coalesce("all_of_it", F.lit(False)))
+        .withColumn("habit_failed", F.coalesce(reduce(or_, habits), F.lit(False)))
+        .withColumn("kept", ~F.col("base_failed") & ~F.col("host_failed") & ~F.col("habit_failed"))
     )
+    new = [m.split()[0] for m in MEASURES.split(", ")]
+    return named(out, names, [*new, "base_failed", "host_failed", "habit_failed", "kept"])
 
 
 def passing(docs: DataFrame, text_col: str = "text", host_col: str = "source", **options) -> DataFrame:
     """The rows of ``docs`` that are kept, with their own columns."""
-    names = {c: f"__c{i}" for i, c in enumerate(docs.columns)}  # so that none clashes with a measure
-    ruled = apply_rules(docs.select(*[quoted(c).alias(n) for c, n in names.items()]), names[text_col], names[host_col], **options)
-    return ruled.where("kept").select(*[F.col(n).alias(c) for c, n in names.items()])
-
-
-def _failed_by_rule(broken: dict[str, Column]) -> Column:
-    return F.create_map(*[x for name, rule in broken.items() for x in (F.lit(name), rule)])
+    docs, names = plain(docs)  # so that none clashes with a measure
+    ruled = apply_rules(docs, names[text_col], names[host_col], **options)
+    return named(ruled.where("kept"), names)

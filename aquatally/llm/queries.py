@@ -22,7 +22,7 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ruled = quality_rules.apply_rules(documents(spark, sf_dir).select("doc_id", "text", "source"))
+    ruled = quality_rules.apply_rules(documents(spark, sf_dir).select("doc_id", "text", "source"), with_text=False)
     return ruled.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
     )

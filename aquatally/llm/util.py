@@ -24,16 +24,29 @@ def without(df: DataFrame, names: Sequence[str]) -> list[str]:
     return [c for c in df.columns if c.lower() not in taken]
 
 
+def plain(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """``df`` with columns c0, c1, ... and the new name of each: nothing an operator adds clashes with them."""
+    names = {c: f"c{i}" for i, c in enumerate(df.columns)}
+    return df.select(*[quoted(c).alias(n) for c, n in names.items()]), names
+
+
+def named(df: DataFrame, names: dict[str, str], new: Sequence[str] = ()) -> DataFrame:
+    """Columns of ``plain`` under their old names, and ``new`` ones, which replace old ones of that name."""
+    taken = {n.lower() for n in new}
+    old = [F.col(n).alias(c) for c, n in names.items() if c.lower() not in taken]
+    return df.select(*old, *new)
+
+
 def add_columns(
-    df: DataFrame, inputs: Sequence[str], fields: str, step: Callable[..., Sequence]
+    df: DataFrame, inputs: Sequence[str], fields: str, step: Callable[..., Sequence], spent: Sequence[str] = ()
 ) -> DataFrame:
     """``df`` with the columns that ``step`` computes from Arrow arrays of ``inputs``.
 
-    Other columns pass unchanged; one whose name clashes with a new column is replaced.
+    Other columns pass unchanged, but for inputs that are ``spent``; one whose name clashes with a new column is replaced.
     """
     small_batches(df.sparkSession)
     new = T.StructType.fromDDL(fields)
-    kept = without(df, new.names)
+    kept = without(df, [*new.names, *spent])
     gone = [c for c in inputs if c not in kept]
     source = df.select(*[quoted(c) for c in kept], *[quoted(c) for c in gone])
     places = [(kept + gone).index(c) for c in inputs]
@@ -52,7 +65,10 @@ def add_columns(
 
 
 def small_batches(spark: SparkSession, rows: int = 256) -> None:
-    """Texts go to Python few at a time: a batch counts rows, and a row may be a long document."""
+    """Texts go to Python few at a time: a batch counts rows, and a row may be a long document.
+
+    The setting stays in the session, as plans are run after they are made.
+    """
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     now = int(spark.conf.get(key))
     if now <= 0 or now > rows:

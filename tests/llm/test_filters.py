@@ -50,7 +50,7 @@ def test_measures_equal_the_rules(spark):
         n, chars, symbols, dup, again = brute.quality(row.text)
         assert (row.n_words, row.word_chars, row.n_symbols, row.n_dup_lines, row.n_repeat_words) == (n, chars, symbols, dup, again)
         assert row.base_failed == (n < 10 or 100 * again > 20 * n)
-        assert row.kept == (not row.base_failed and not row.host_failed)
+        assert row.kept == (not row.base_failed and not row.host_failed and not row.habit_failed)
 
 
 def test_bad_host_takes_its_documents_along(spark):
@@ -109,6 +109,83 @@ def test_line_runs_compact_and_count(spark):
     runs.drop()
 
 
+def test_habit_of_a_host_takes_its_doubtful_documents_along(spark):
+    prose, table_text = " ".join(f"word{i}" for i in range(30)), " ".join(f"a|b|{i}" for i in range(30))
+    lines = "\n".join([f"the same line over again {i // 5}" for i in range(10)] + [f"own{i} line{i} of{i} text{i}" for i in range(20)])
+    rows = [(i, table_text if i % 4 else prose, "tables") for i in range(400)]
+    rows += [(1000 + i, prose if i % 20 else table_text, f"host{i % 7}") for i in range(1400)]
+    rows += [(5000, table_text, None), (5001, "long" * 20 + " " + " ".join(["supercalifragilistic"] * 3 + [f"extraordinarily{i}" for i in range(9)]), "host1")]
+    rows += [(6000 + i, lines, "host2") for i in range(3)]
+    got = {r.doc_id: r for r in quality_rules.apply_rules(spark.createDataFrame(rows, DOCS)).collect()}
+    assert all(not r.base_failed for r in got.values() if r.doc_id < 6000)
+    assert all(r.kept == (r.text == prose) and not r.host_failed for r in got.values() if r.source == "tables")
+    assert all(r.kept for r in got.values() if r.source != "tables" and r.doc_id < 6000)  # a doubt alone is no verdict
+    slim = quality_rules.apply_rules(spark.createDataFrame(rows, DOCS), with_text=False)
+    assert "text" not in slim.columns and slim.where("kept").count() == sum(r.kept for r in got.values())
+
+
+def test_rules_equal_sql_where_hosts_have_habits(spark, tmp_path):
+    duckdb = pytest.importorskip("duckdb")
+    from aquatally.llm import oracles, queries
+
+    r = random.Random(3)
+    def text(host):
+        words = [r.choice(["Wald", "a", "b|c", "#x", "niño", "some", "longer", "words"]) + str(r.randrange(50)) for _ in range(r.randrange(4, 40))]
+        if host % 4 == 0:
+            words = [w + "|" for w in words]
+        if host % 4 == 1:
+            words = words + ["\nthe line\n"] * r.randrange(6)
+        if host % 4 == 2:
+            words = [w * 4 for w in words]
+        return " ".join(words)
+    rows = [(i, text(i % 11) if i % 50 else None, f"h{i % 11}" if i % 13 else None) for i in range(900)]
+    spark.createDataFrame(rows, DOCS).write.parquet(f"{tmp_path}/documents.parquet")
+    out = queries.op1_quality_rules(spark, str(tmp_path))
+    got = sorted(map(tuple, out.collect()))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    want = con.execute(oracles.QUALITY_RULES)
+    assert [d[0] for d in want.description] == out.columns
+    assert got == sorted(want.fetchall())
+    assert sum(not r[-1] and not r[-2] for r in got) > 100
+
+
+def test_columns_of_the_caller_pass_whatever_their_names(spark):
+    texts = odd_texts(4, 30)
+    odd = ["__doc", "__gone", "__host", "gone", "doc", "host", "c0", "c1", "id.with.dot", "h1", "habits", "keeper", "N_Lines"]
+    docs = table(spark, texts)
+    for name in odd:
+        docs = docs.withColumn(name, F.concat(F.lit(name), F.col("doc_id")))
+    for step, new in ((line_dedup.dedup_lines, {"n_lines"}), (quality_rules.apply_rules, {"n_lines"}), (near_dedup.without_near_duplicates, set())):
+        out = step(docs)
+        left = [c for c in odd if c.lower() not in new]
+        rows = out.select("doc_id", *[F.col(f"`{c}`") for c in left]).collect()
+        assert rows and all(r[c] == f"{c}{r.doc_id}" for r in rows for c in left)
+    assert near_dedup.without_near_duplicates(docs).columns == docs.columns
+
+
+def test_line_dedup_of_text_ids(spark):
+    texts = odd_texts(6)
+    names = ["", "ä", "a", "a0", "Z", "abcdefgh1", "abcdefgh2", "漢"]
+    rows = [(names[i] if i < len(names) else f"doc-{i * 7919 % 1000:04d}", t) for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "`the.id` string, text string").repartition(3)
+    got = sorted(map(str, ((r["the.id"], r.n_lines, r.n_dropped, r.text) for r in line_dedup.dedup_lines(docs, "the.id").collect())))
+    order = {n: i for i, n in enumerate(sorted((n for n, _ in rows), key=str.encode))}
+    back = {i: n for n, i in order.items()}
+    want = brute.line_dedup([(order[n], t) for n, t in rows])
+    assert got == sorted(str((back[d], *rest)) for d, *rest in want)
+
+
+def test_a_failed_run_leaves_no_tables(spark, monkeypatch):
+    def fails(self):
+        raise ValueError("lost")
+
+    monkeypatch.setattr(line_dedup.LineRuns, "frequent", fails)
+    with pytest.raises(ValueError, match="lost"):
+        line_dedup.dedup_lines(table(spark, odd_texts(n=20)))
+    assert not [t.name for t in spark.catalog.listTables() if t.name.startswith("line_runs_")]
+
+
 def test_suffix_dedup(spark):
     texts = odd_texts(2)
     out = suffix_dedup.remove_repeats(table(spark, texts), with_bytes=True).collect()
