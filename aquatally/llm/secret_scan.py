@@ -9,10 +9,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from aquatally.llm.util import add_columns, quoted, small_batches
+from aquatally.llm.util import add_columns, quoted, small_batches, written
 
 # The base rules.
 ASSIGN = re.compile(
@@ -89,8 +90,9 @@ def longest_word(text: str) -> int:
     return max(map(len, text.split()), default=0)
 
 
-def examples(text: str) -> Iterator[tuple[int, np.ndarray]]:
-    """Labelled windows of one text; the key word before an assigned secret is blanked.
+def labelled(text: str) -> Iterator[tuple[int, int, int, int]]:
+    """(label, start, end, shown) of the labelled findings of one text; ``shown`` characters before a finding
+    are the key word of an assignment, which the window blanks.
 
     Of the other candidates only those that are surely no key are labelled: the rest may be keys
     without a key word, which the network is to judge.
@@ -98,18 +100,130 @@ def examples(text: str) -> Iterator[tuple[int, np.ndarray]]:
     longest = longest_word(text)
     spans = base_matches(text, longest)
     for start, end, kind, secret in spans:
-        found = window(text, secret, end)
-        if kind == "assign":
-            shown = min(WIDTH, secret - start)
-            found[WIDTH - shown : WIDTH] = 0
-        yield 1, found
+        yield 1, secret, end, min(WIDTH, secret - start) if kind == "assign" else 0
     for start, end in other_candidates(text, longest, spans):
         if ordinary(text[start:end]):
-            yield 0, window(text, start, end)
+            yield 0, start, end, 0
     if longest >= 12:
-        for m in list(LONG_WORD.finditer(text))[:: max(1, len(text) // 500)]:
-            if not any(s[0] < m.end() and m.start() < s[1] for s in spans):
-                yield 0, window(text, *m.span())
+        at = 0
+        for m in LONG_WORD.finditer(text):
+            while at < len(spans) and spans[at][1] <= m.start():
+                at += 1
+            if not any(s[0] < m.end() and m.start() < s[1] for s in spans[at:]):
+                yield 0, *m.span(), 0
+
+
+def examples(text: str) -> Iterator[tuple[int, np.ndarray]]:
+    """Labelled windows of one text; the key word before an assigned secret is blanked."""
+    for label, start, end, shown in labelled(text):
+        found = window(text, start, end)
+        found[WIDTH - shown : WIDTH] = 0
+        yield label, found
+
+
+class Sample:
+    """Of all labelled findings told so far the ``most`` distinct ones of each label with the smallest hash."""
+
+    def __init__(self, most: int):
+        self.most = most
+        self.kept: list[dict[int, np.ndarray]] = [{}, {}]
+        self.edge = [1 << 64, 1 << 64]
+
+    def add(self, text: str) -> None:
+        for label, start, end, shown in labelled(text):
+            # what the window shows, cheaply: of a long candidate both ends
+            core = text[start:end] if end - start <= CORE else text[start : start + CORE // 2] + text[end - CORE // 2 : end]
+            around = text[max(0, start - WIDTH) : start - shown], core, text[end : end + WIDTH]
+            name = xxhash.xxh3_64_intdigest("\0".join([*around, str(shown)]).encode("utf-8", "surrogatepass"))
+            kept = self.kept[label]
+            if name >= self.edge[label] or name in kept:
+                continue
+            found = window(text, start, end)
+            found[WIDTH - shown : WIDTH] = 0
+            kept[name] = found.astype(np.uint8)
+            if len(kept) >= 2 * self.most:
+                names = sorted(kept)[: self.most]
+                self.kept[label] = {n: kept[n] for n in names}
+                self.edge[label] = names[-1] + 1
+
+    def rows(self) -> Iterator[tuple[int, bytes]]:
+        for label, kept in enumerate(self.kept):
+            for name in sorted(kept)[: self.most]:
+                yield label, kept[name].tobytes()
+
+
+UPPER, LOWER, DIGITS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789"
+#: Alphabets that keys are written in.
+ALPHABETS = (
+    UPPER + LOWER + DIGITS, UPPER + LOWER + DIGITS, UPPER + LOWER + DIGITS + "+/", UPPER + LOWER + DIGITS + "-_",
+    LOWER + DIGITS, UPPER + DIGITS, DIGITS + "abcdef", DIGITS + "abcdef", DIGITS + "ABCDEF", DIGITS + "ABCDEF",
+)
+HEXADECIMAL = DIGITS + "abcdef"
+
+
+def _text(draw: np.random.Generator, alphabet: str, n: int) -> str:
+    return "".join(alphabet[i] for i in draw.integers(0, len(alphabet), n))
+
+
+def key_like(draw: np.random.Generator) -> str:
+    """A random key, of any usual alphabet and length."""
+    while True:
+        body = _text(draw, ALPHABETS[draw.integers(len(ALPHABETS))], int(draw.integers(20, 65)))
+        ends = ("", "", "", "=", "==")[draw.integers(5)] if "+" in body or "/" in body else ""
+        lead = ("", "", "", "", "sk_live_", "ghp_", "xoxb-", "pk-")[draw.integers(8)]
+        if any(c.isdigit() for c in body) and any(c.isalpha() for c in body):
+            return lead + body + ends
+
+
+def look_alike(draw: np.random.Generator) -> str:
+    """A long run with digits that is no key: a UUID, an order or book number, a date, a version, a path."""
+    n = lambda k: _text(draw, DIGITS, k)
+    pick = lambda *words: words[draw.integers(len(words))]
+    word = lambda: "".join(_text(draw, "bcdfghklmnprstvw", 1) + _text(draw, "aeiou", 1) for _ in range(draw.integers(2, 5)))
+    day = f"{draw.integers(1980, 2040)}-{draw.integers(1, 13):02d}-{draw.integers(1, 29):02d}"
+    mark = pick("-", "-", "_", "/")
+    case = pick(str, str, str.upper)
+    kind = draw.integers(8)
+    if kind == 0:
+        digits = pick(HEXADECIMAL, HEXADECIMAL.upper())
+        return "-".join(_text(draw, digits, k) for k in (8, 4, 4, 4, 12))
+    if kind == 1:
+        lead = pick("ORD", "ORDER", "INV", "PO", "RMA", "SKU", "TICKET", "CASE", "REF", "TRK", case(word()), _text(draw, UPPER, int(draw.integers(2, 5))))
+        return mark.join([lead, pick(day[:4], n(4), n(6)), *[n(int(draw.integers(3, 8))) for _ in range(draw.integers(1, 3))]]).ljust(16, "0")
+    if kind == 2:
+        return pick("ISBN-", "ISBN", "isbn-", "ISBN-13-", "ISSN-", "EAN") + "-".join([pick("978", "979"), n(1), n(int(draw.integers(2, 5))), n(int(draw.integers(3, 6))), pick(n(1), "X")])
+    if kind == 3:
+        clock = pick("T" + n(6) + "Z", "T" + n(4), "T" + n(2) + "-" + n(2) + "-" + n(2) + "Z")
+        return pick(day, day.replace("-", "")) + clock + pick("", "", mark + word())
+    if kind == 4:
+        return mark.join([word(), word(), pick("v", "r", "release-", "build") + n(1), n(int(draw.integers(1, 3))), pick(n(1), "rc" + n(1), "beta" + n(1))])
+    if kind == 5:
+        return mark.join([case(word()) for _ in range(draw.integers(2, 4))] + [pick(n(2), n(4), day)])
+    if kind == 6:
+        return pick("item", "page", "user", "id", "IMG_", "DSC", "tel", case(word())) + n(int(draw.integers(12, 20)))
+    return "-".join([_text(draw, UPPER, int(draw.integers(1, 4))) + n(int(draw.integers(2, 5))) for _ in range(draw.integers(4, 6))])
+
+
+def varied(x: np.ndarray, y: np.ndarray, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """For each finding one more of its label with another core, and often in other surroundings.
+
+    A corpus shows few forms of keys, and hardly any number that looks like one.  Surroundings are those
+    of findings of either label, so that they tell nothing about the new core.
+    """
+    draw = np.random.default_rng(seed + 1)
+    many = max(len(x) // 2, 2000)
+    truth = (np.arange(2 * many) % 2).astype(float)
+    new = x[draw.integers(0, len(x), 2 * many)].copy()
+    for row, label in zip(new, truth.tolist()):
+        core = key_like(draw) if label else look_alike(draw)
+        edges = " ", " "
+        if draw.random() < 0.5:
+            edges = (" ", " "), ("(", ")"), ('"', '"'), (" ", "."), (" ", ","), (":", " "), ("\n", "\n"), ("=", "&")
+            edges = edges[draw.integers(len(edges))]
+        shown = window(edges[0] + core + edges[1], 1, 1 + len(core))
+        row[WIDTH : WIDTH + CORE] = shown[WIDTH : WIDTH + CORE]
+        row[WIDTH - 1], row[WIDTH + CORE] = shown[WIDTH - 1], shown[WIDTH + CORE]
+    return np.concatenate([x, new]), np.concatenate([y, truth])
 
 
 def codes(text: str) -> np.ndarray:
@@ -253,24 +367,24 @@ def labelled_findings(docs: DataFrame, text_col: str, most: int) -> tuple[np.nda
     Findings of the base rules are secrets; their key word is blanked in the window, so that the
     network learns the form of the secret and not the rule.  Ordinary candidates (slugs, paths,
     versions, dates, numbered words) are not, and neither are long words.  Other candidates have
-    no label.  The bound is on the training sample alone.
+    no label.  The bound is on the training sample alone.  Texts are read once: each task keeps the findings
+    with the smallest hashes, and of these the sample is taken.
     """
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sample = Sample(most)
         for batch in batches:
-            labels, windows = [], []
             for text in batch.column(0).to_pylist():
-                for label, found in examples(text or ""):
-                    labels.append(label)
-                    windows.append(found.astype(np.uint8).tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(labels, pa.int32()), pa.array(windows, pa.binary())], names=["label", "window"])
+                sample.add(text or "")
+        labels, windows = zip(*sample.rows()) if any(sample.kept) else ((), ())
+        yield pa.RecordBatch.from_arrays([pa.array(labels, pa.int32()), pa.array(windows, pa.binary())], names=["label", "window"])
 
     found = docs.select(quoted(text_col).alias("text")).mapInArrow(run, "label int, window binary")
-    order = F.xxhash64("window")
+    found = written(found.distinct().withColumn("o", F.xxhash64("window")), "secret-findings")
     x, y = [], []
     for label in (0, 1):
-        rows = found.where(F.col("label") == label).select("window").distinct().select("window", order.alias("o")).orderBy("o", "window").limit(most).collect()
+        rows = found.where(F.col("label") == label).orderBy("o", "window").limit(most).collect()
         x += [np.frombuffer(r["window"], np.uint8) for r in rows]
         y += [label] * len(rows)
     return np.array(x, np.int64).reshape(-1, LENGTH), np.array(y, float)
@@ -284,7 +398,8 @@ def find_secrets(
     Spans come by start, then kind (assign, access, hex, model).  Base findings always stay; the
     network scores them and every other long run of letters and digits, and adds those of
     the latter that reach its threshold.  Without a ``network`` one is trained on at most ``findings``
-    labelled findings of either label; its threshold finds ``recall`` of the held-back secrets.  Null or
+    labelled findings of either label, and as many made ones: random keys of usual alphabets and lengths, and numbers that look like
+    keys, in the surroundings of findings.  Its threshold finds ``recall`` of the held-back secrets.  Null or
     empty text has none.  Nothing is added if there are fewer than ten distinct labelled
     findings, none of one label, or a single secret, which leaves none to hold back.  A column called
     ``secrets`` is replaced.
@@ -324,4 +439,4 @@ def fitted(docs: DataFrame, text_col: str = "text", findings: int = 4000, recall
         net = Network.fresh(0)
         net.threshold = 1.1  # above every score
         return net
-    return train(x, y, recall=recall)
+    return train(*varied(x, y), recall=recall)

@@ -1,7 +1,9 @@
 """Mixing, packing, chat, personal data, secrets, neighbours and the pipeline."""
 
 import collections
+import hashlib
 import random
+import uuid
 import zlib
 
 import numpy as np
@@ -411,3 +413,51 @@ def test_training_sample_holds_distinct_windows_of_both_labels(spark):
         held, used = secret_scan.held_back(label, np.random.default_rng(0))
         assert label[held].sum() == 1 and label[used].sum() == 1 and len(held) == 9
         assert sorted([*held, *used]) == list(range(42))
+
+
+def in_prose(r, texts, core):
+    words = r.choice(texts).split(" ")
+    place = r.randrange(len(words) + 1)
+    before = " ".join(words[:place])[-60:] + " "
+    return secret_scan.window(before + core + " " + " ".join(words[place:])[:60], len(before), len(before) + len(core))
+
+
+def test_network_of_a_given_table_finds_bare_keys_and_spares_look_alikes(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").where("text is not null")  # smaller ones hold few secrets
+    net = secret_scan.fitted(docs)
+    texts = [x.text for x in docs.limit(300).collect()]
+    r = random.Random(11)
+    some = lambda alphabet, n: "".join(r.choice(alphabet) for _ in range(n))
+    digits, mixed = "0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    keys = [lambda: some(mixed, 32), lambda: some(mixed, 24), lambda: some("0123456789abcdef", 40), lambda: some("0123456789ABCDEF", 32), lambda: some(mixed + "+/", 43) + "="]
+    others = {
+        "order": lambda: f"ORD-2023-{some(digits, 8)}",
+        "isbn": lambda: f"ISBN-978-{some(digits, 1)}-{some(digits, 4)}-{some(digits, 4)}-{some(digits, 1)}",
+        "uuid": lambda: str(uuid.UUID(int=r.getrandbits(128), version=4)),
+        "date": lambda: f"20{some(digits, 2)}-0{r.randrange(1, 9)}-1{r.randrange(9)}T{some('012', 6)}Z",
+        "version": lambda: f"package-name-{r.randrange(9)}-{r.randrange(20)}-rc{r.randrange(9)}",
+    }
+    found = lambda make: float((net.score(np.array([in_prose(r, texts, make()) for _ in range(200)])) >= net.threshold).mean())
+    assert np.mean([found(k) for k in keys]) >= 0.85
+    assert all(found(make) <= 0.05 for make in others.values())
+
+
+def test_secrets_query_equals_brute_force(spark):
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    out = queries.op3_secret_scans(spark, SF).collect()
+    assert sorted(r.doc_id for r in out) == sorted(texts)
+    for r in out:
+        base = brute.secrets(texts[r.doc_id])
+        named = [f"{k}:{a}:{b}" for k, a, b in base]
+        assert r.base_sha256 == hashlib.sha256(",".join(named).encode()).hexdigest()
+        assert [r.n_assign, r.n_access, r.n_hex] == [sum(k == kind for k, _, _ in base) for kind in ("assign", "access", "hex")]
+        spans = r.spans.split(",") if r.spans else []
+        assert [s for s in spans if not s.startswith("model:")] == named
+        assert spans == sorted(spans, key=lambda s: (int(s.split(":")[1]), secret_scan.KINDS.index(s.split(":")[0])))
+
+
+def test_made_findings_are_candidates():
+    draw = np.random.default_rng(0)
+    for make in (secret_scan.key_like, secret_scan.look_alike):
+        made = [make(draw) for _ in range(400)]
+        assert len(set(made)) > 390 and all(any(c.isdigit() for c in m) and any(c.isalpha() for c in m) for m in made if m[0].isalpha())
