@@ -124,7 +124,14 @@ def smoothing_difference(
 ) -> DataFrame:
     """How far smoothing moved the readings, and whether it did anything at all."""
     pairs = pair_days(imputed, smoothed, ("_a", "_b"))
-    moved = explode_hours(pairs, F.zip_with("_a", "_b", lambda a, b: F.abs(a - b)), ("hour", "d"))
+    return smoothing_difference_rows(pairs, "_a", "_b", changed_above, idle_below)
+
+
+def smoothing_difference_rows(
+    df: DataFrame, imputed: str, smoothed: str = VEC, changed_above: float = 0.01, idle_below: float = 0.001
+) -> DataFrame:
+    """``smoothing_difference`` of rows that carry the readings before and after: the fill runs once, nothing is joined."""
+    moved = explode_hours(df, F.zip_with(imputed, smoothed, lambda a, b: F.abs(a - b)), ("hour", "d"))
     figures = moved.agg(
         F.avg("d").alias("mean_abs_diff"),
         F.max("d").alias("max_abs_diff"),

@@ -24,22 +24,32 @@ def valid_consumption(df: DataFrame, used: str = "used") -> DataFrame:
 
 
 def network_mean(df: DataFrame, into: str = "mean_m3h", vec: str = VEC, hours: int | None = None) -> DataFrame:
-    """Mean consumption over all meters per day and hour; 0 when no meter has a valid one.
+    """Mean consumption over all meters per day and hour; 0 when no meter has a valid one."""
+    return network_means(df, {into: vec}, hours)
+
+
+def network_means(df: DataFrame, series: dict[str, str], hours: int | None = None) -> DataFrame:
+    """``network_mean`` of several columns of readings at once: ``series`` names the column behind each mean.
 
     Each day row feeds an average per step that combine before the shuffle by date, so the
-    readings are never exploded and a crowded date is no hot group.
+    readings are never exploded and a crowded date is no hot group.  If days differ in width
+    from column to column, the hours that all have are compared.
     """
+    widths = []
+    for vec in series.values():
+        widths.append(day_width(df, vec, hours))
+        df = with_day(df, vec, fitting(vec, widths[-1]))
 
-    hours = day_width(df, vec, hours)
-    df = with_day(df, vec, fitting(vec, hours))
-
-    def mean(h: int) -> str:
+    def mean(into: str, vec: str, h: int) -> str:
         step = f"get({vec}, {h + 1}) - get({vec}, {h})"
-        return f"coalesce(avg(if({step} >= 0, {step}, null)), 0D)"
+        return f"coalesce(avg(if({step} >= 0, {step}, null)), 0D) as {into}"
 
-    means = F.expr(f"array({', '.join(mean(h) for h in range(hours - 1))})")
+    def point(h: int) -> str:
+        return f"struct({', '.join(mean(into, vec, h) for into, vec in series.items())})"
+
+    means = F.expr(f"array({', '.join(point(h) for h in range(min(widths) - 1))})")
     by_date = df.groupBy(DAY).agg(means.alias("_means"))
-    return by_date.select(DAY, F.posexplode("_means").alias("hour", into))
+    return by_date.select(DAY, F.posexplode("_means").alias("hour", "_point")).select(DAY, "hour", "_point.*")
 
 
 def compare_network(original: DataFrame, imputed: DataFrame) -> DataFrame:
@@ -48,6 +58,15 @@ def compare_network(original: DataFrame, imputed: DataFrame) -> DataFrame:
     return compare_series(both).withColumn("ts", hour_ts(F.col(DAY), F.col("hour")))
 
 
+def compare_network_rows(df: DataFrame, original: str, imputed: str = VEC, hours: int | None = None) -> DataFrame:
+    """``compare_network`` of rows that carry both readings: one scan and one shuffle by date, no join.
+
+    Rows without a day have no date to compare on.
+    """
+    both = network_means(df.filter(F.col(DAY).isNotNull()), {"orig_m3h": original, "imp_m3h": imputed}, hours)
+    return compare_series(both).withColumn("ts", hour_ts(F.col(DAY), F.col("hour")))
+
+
 def compare_series(both: DataFrame) -> DataFrame:
     """Difference and relative difference; the divisor is kept off zero."""
     difference = F.col("imp_m3h") - F.col("orig_m3h")

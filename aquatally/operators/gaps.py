@@ -24,15 +24,19 @@ def _count_if(condition: Column) -> Column:
 
 def global_stats(df: DataFrame, vec: str = VEC) -> DataFrame:
     """Rows, hours, cells and missing cells of the whole table, in one row."""
+    return df.agg(*_totals(vec))
+
+
+def _totals(vec: str) -> list[Column]:
     missing = F.sum(dayvec.missing_count(F.col(vec)))
     cells = F.sum(F.size(vec))
-    return df.agg(
+    return [
         F.count(F.lit(1)).alias("total_meters"),
         F.max(F.size(vec)).alias("total_timestamps"),
         cells.alias("total_values"),
         missing.alias("missing_count"),
         _pct(missing, cells).alias("missing_pct"),
-    )
+    ]
 
 
 def day_gaps(df: DataFrame, vec: str = VEC) -> DataFrame:
@@ -221,14 +225,23 @@ def recommendation(df: DataFrame, stats: DataFrame, vec: str = VEC) -> DataFrame
     table = df.agg(share.alias("missing_pct"), F.lit(1).alias("_one"))
     longest = stats.agg(F.max("max_gap_size").alias("max_gap"), F.lit(1).alias("_one"))
     one = table.join(longest, "_one")  # one row each
+    return one.select("missing_pct", "max_gap", *_advice())
+
+
+def _advice() -> list[Column]:
     quality = (
         F.when(F.col("missing_pct") < EXCELLENT_BELOW_PCT, "excellent")
         .when(F.col("missing_pct") < GOOD_BELOW_PCT, "good")
         .otherwise("moderate")
     )
-    return one.select(
-        "missing_pct", "max_gap", quality.alias("quality"), (F.col("max_gap") > LONG_GAP_HOURS).alias("long_gaps")
-    )
+    return [quality.alias("quality"), (F.col("max_gap") > LONG_GAP_HOURS).alias("long_gaps")]
+
+
+def totals_and_advice(df: DataFrame, vec: str = VEC) -> DataFrame:
+    """``global_stats`` and the ``recommendation`` by day in one row, from one aggregate."""
+    longest = F.coalesce(F.array_max(F.transform(dayvec.gap_runs(F.col(vec)), lambda r: r["len"])), F.lit(0))
+    table = df.agg(*_totals(vec), F.max(longest).cast("bigint").alias("max_gap"))
+    return table.select("*", *_advice())
 
 
 def heatmap(df: DataFrame, sample_size: int = 500, vec: str = VEC, hours: int | None = None) -> DataFrame:

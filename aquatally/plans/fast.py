@@ -57,16 +57,24 @@ def impute_timelines(
 
 
 def impute_and_smooth(
-    df: DataFrame, width: int = 25, original: str | None = None, vec: str = VEC, hours: int | None = None
+    df: DataFrame,
+    width: int = 25,
+    original: str | None = None,
+    vec: str = VEC,
+    hours: int | None = None,
+    filled: str | None = None,
 ) -> DataFrame:
     """Fast imputation, then the moving average along each timeline, on rows spread once.
 
-    With ``original`` its observed cells are put back over the smoothed ones.  Rows without a meter or a day
+    With ``original`` its observed cells are put back over the smoothed ones; ``filled`` names a column
+    that keeps the readings as they were before smoothing.  Rows without a meter or a day
     belong to no timeline and are left out, as ``smooth_timeline`` does.
     """
     require(df, METER, DAY, vec)
     hours = day_width(df, vec, hours)
     rows = impute_timelines(by_block(df), vec=vec, hours=hours)
+    if filled is not None:
+        rows = rows.withColumn(filled, F.col(vec))
     if original is None:
         return smoothing.smooth_timeline(rows, width, True, vec, hours).drop(BLOCK)
     return smoothing.smooth_timeline_keep_observed(rows, original, width, vec, hours).drop(BLOCK)

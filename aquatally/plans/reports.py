@@ -11,10 +11,13 @@ from aquatally.sources import sinks
 
 
 def gap_report(df: DataFrame, top: int = 10, vec: str = VEC) -> DataFrame:
-    """Totals, the worst days and the recommendation as numbered lines."""
-    stats = gaps.stats_by_day(df, vec)
+    """Totals, the worst days and the recommendation as numbered lines.
+
+    The table is read twice: for one aggregate with all its figures, and for the worst days.
+    """
     present = F.col("total_values") - F.col("missing_count")
-    totals = gaps.global_stats(df, vec).select(
+    advice = F.format_string("quality: %s, gaps above a week: %s", F.col("quality"), F.col("long_gaps").cast("string"))
+    figures = gaps.totals_and_advice(df, vec).select(
         F.explode(
             F.array(
                 F.struct(F.lit(1).alias("seq"), F.format_string("rows: %d", "total_meters").alias("line")),
@@ -24,11 +27,12 @@ def gap_report(df: DataFrame, top: int = 10, vec: str = VEC) -> DataFrame:
                 F.struct(
                     F.lit(5).alias("seq"), F.format_string("missing pct: %.2f", "missing_pct").alias("line")
                 ),
+                F.struct(F.lit(top + 6).alias("seq"), advice.alias("line")),
             )
         ).alias("r")
     ).select("r.seq", "r.line")
     # the worst days are at most ``top`` rows, numbered by their order
-    ranked = gaps.worst(stats, top).agg(
+    ranked = gaps.worst(gaps.stats_by_day(df, vec), top).agg(
         F.array_sort(
             F.collect_list(
                 F.struct(
@@ -48,13 +52,7 @@ def gap_report(df: DataFrame, top: int = 10, vec: str = VEC) -> DataFrame:
             F.col("w.max_gap_size"),
         ).alias("line"),
     )
-    advice = gaps.recommendation(df, stats, vec).select(
-        F.lit(top + 6).alias("seq"),
-        F.format_string("quality: %s, gaps above a week: %s", F.col("quality"), F.col("long_gaps").cast("string")).alias(
-            "line"
-        ),
-    )
-    return totals.unionByName(worst).unionByName(advice)
+    return figures.unionByName(worst)
 
 
 def gap_metrics(df: DataFrame, vec: str = VEC) -> DataFrame:

@@ -194,10 +194,8 @@ def parse_dates(spark, sf):
 
 def network_pair(spark, sf) -> DataFrame:
     """Network series of the originals and the filled readings, to six digits."""
-    both = pairing.pair_series(
-        consumption.network_mean(days(spark, sf), "orig_m3h"),
-        consumption.network_mean(filled(spark, sf), "imp_m3h"),
-    )
+    rows = with_original(spark, sf).filter(F.col(DAY).isNotNull())
+    both = consumption.network_means(rows, {"orig_m3h": "orig", "imp_m3h": VEC})
     both = both.withColumn("orig_m3h", r6("orig_m3h")).withColumn("imp_m3h", r6("imp_m3h"))
     return consumption.compare_series(both).withColumn("ts", reshape.hour_ts(F.col(DAY), F.col("hour")))
 
@@ -216,7 +214,7 @@ def attach_original(spark, sf):
 
 
 def common_dates(spark, sf):
-    both = consumption.compare_network(days(spark, sf), filled(spark, sf))
+    both = consumption.compare_network_rows(with_original(spark, sf), "orig")
     return points(both)
 
 
@@ -422,7 +420,9 @@ def dashboard(table: DataFrame) -> DataFrame:
 
 
 def smoothing_difference(spark, sf, changed_above=0.01, idle_below=0.001):
-    figures = comparison.smoothing_difference(filled(spark, sf), smoothed(spark, sf), changed_above, idle_below)
+    table = days(spark, sf).withColumn("orig", F.col(VEC))
+    rows = fast.impute_and_smooth(table, original="orig", filled="filled")
+    figures = comparison.smoothing_difference_rows(rows, "filled", VEC, changed_above, idle_below)
     return shown(figures, "mean_abs_diff", "max_abs_diff")
 
 

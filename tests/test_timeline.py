@@ -326,3 +326,45 @@ def test_hybrid_routes_by_timeline_gaps(days):
     theirs = matrix_of(fast.impute_fast(days).filter(F.col("id").isin(*easy)))
     assert ours[0] == theirs[0]
     np.testing.assert_allclose(ours[1], theirs[1])
+
+
+def test_row_forms_equal_the_forms_of_two_tables(spark, frame):
+    """Rows that carry both readings give what two tables paired by key give, gaps and lone rows included."""
+    odd = spark.createDataFrame([(None, None), ("M9", None)], "id string, data date")
+    width = len([c for c in frame.columns if c.startswith("h")]) or 24
+    odd = odd.withColumn("v", F.array(*[F.lit(float(i)) for i in range(width)]))
+    table = to_days(spark, frame).select("id", "data", "v").unionByName(odd).withColumn("orig", F.col("v"))
+    filled = fast.impute_fast(table)
+
+    def network(df):
+        rows = df.select("ts", "orig_m3h", "imp_m3h", "diff_m3h").orderBy("ts").collect()
+        return [r.ts for r in rows], np.array([r[1:] for r in rows], float)
+
+    ours = network(consumption.compare_network_rows(filled, "orig"))
+    theirs = network(consumption.compare_network(table, filled.drop("orig")))
+    assert ours[0] == theirs[0] and len(ours[0]) > 0
+    np.testing.assert_allclose(ours[1], theirs[1])
+
+    chained = fast.impute_and_smooth(table, original="orig", filled="before")
+    moved = comparison.smoothing_difference_rows(chained, "before").first()
+    pair = comparison.smoothing_difference(filled, fast.impute_and_smooth(table, original="orig")).first()
+    assert (moved.changed, moved.cells, moved.verdict) == (pair.changed, pair.cells, pair.verdict)
+    assert moved.changed > 0
+    np.testing.assert_allclose([moved[0], moved[1]], [pair[0], pair[1]])
+
+
+def test_report_figures_come_from_one_aggregate(spark, days):
+    one = gaps.totals_and_advice(days).first().asDict()
+    apart = {**gaps.global_stats(days).first().asDict(), **gaps.recommendation(days, gaps.stats_by_day(days)).first().asDict()}
+    assert one == apart
+    nothing = gaps.totals_and_advice(days.limit(0)).first()
+    assert nothing.total_meters == 0 and nothing.missing_pct is None and nothing.max_gap is None
+
+
+def test_comparisons_shuffle_once_after_the_fill(spark):
+    """Network means move by date, and what smoothing moved is one aggregate over the rows as they lie."""
+    days = derived.days(spark, "/root/testdata/sf0.001").select("id", "data", "v").withColumn("orig", F.col("v"))
+    filled = fast.impute_fast(days)
+    assert exchanges(consumption.compare_network_rows(filled, "orig"))[0] == exchanges(filled)[0] + 1
+    chained = fast.impute_and_smooth(days, original="orig", filled="before")
+    assert exchanges(comparison.smoothing_difference_rows(chained, "before"))[0] <= exchanges(chained)[0] + 1
