@@ -383,7 +383,7 @@ def near_duplicates(
     for part in pairs[1:]:
         every = every.unionByName(part)
     # records with many candidates each form clusters, whose sets are compared as a whole
-    clusters = written(components(every.where("dense").select("a", "b").distinct()), "near-clusters")
+    clusters = written(components(every.where("dense").select("a", "b")), "near-clusters")
     grouped = not clusters.isEmpty()
     every = every.where("not dense").select("a", "b")
     if grouped:

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from aquatally.llm import line_dedup, near_dedup, quality_rules, suffix_dedup
+from aquatally.llm import graph, line_dedup, near_dedup, quality_rules, suffix_dedup
 from tests.llm import brute
 
 DOCS = "doc_id long, text string, source string"
@@ -396,3 +396,37 @@ def components_of(a, b):
         for x, y in zip(a.tolist(), b.tolist()):
             root[x] = root[y] = min(root[x], root[y])
     return {k: v for k, v in root.items() if any(k in (x, y) and x != y for x, y in zip(a.tolist(), b.tolist()))}
+
+
+def test_components_of_few_links_need_no_rounds(spark, monkeypatch):
+    # 200 nodes in a row, named in no order, take rounds of joins only where one task does not hold their links
+    r = random.Random(11)
+    names = r.sample(range(10**6), 200)
+    chain = [*zip(names, names[1:]), (7, 7), (10**7, 10**7 + 1)]
+    many = [(r.randrange(4000), r.randrange(4000)) for _ in range(3000)]
+    made = []
+
+    def counted(df, name):
+        made.append(name)
+        return util_written(df, name)
+
+    util_written = graph.written
+    monkeypatch.setattr(graph, "written", counted)
+    for links, most in ((chain, graph.EDGES), (many, graph.EDGES), (many, 64)):
+        made.clear()
+        table = spark.createDataFrame(links, "a long, b long").repartition(5)
+        got = graph.components(table, most).collect()
+        root = {x: x for link in links for x in link}
+
+        def top(x):
+            while root[x] != x:
+                x = root[x]
+            return x
+
+        for a, b in links:
+            least, other = sorted((top(a), top(b)))
+            root[other] = least
+        linked = {x for a, b in links if a != b for x in (a, b)}
+        assert sorted((x.node, x.root) for x in got) == sorted((x, top(x)) for x in linked)
+        assert (len(made) == 1) == (most == graph.EDGES)
+    assert graph.components(spark.createDataFrame([], "a long, b long")).count() == 0
