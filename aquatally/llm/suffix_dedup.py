@@ -131,6 +131,13 @@ def _unpack(data: bytes, *kinds: type) -> list[np.ndarray]:
     return out
 
 
+def _texts(table: pa.Table) -> tuple[np.ndarray, np.ndarray, list[memoryview]]:
+    """(ids, nameless, texts) of the documents in the rows of ``sent_texts``."""
+    ids, sizes, nameless, body = _all(table.column("data").to_pylist(), np.int64, np.int64, np.uint8, np.uint8)
+    edges, view = np.concatenate([[0], np.cumsum(sizes)]).tolist(), memoryview(body)
+    return ids, nameless.astype(bool), [view[a:b] for a, b in zip(edges, edges[1:])]
+
+
 def _all(blobs: list[bytes], *kinds: type) -> list[np.ndarray]:
     parts = [_unpack(b, *kinds) for b in blobs]
     return [np.concatenate([p[i] for p in parts]) if parts else np.zeros(0, k) for i, k in enumerate(kinds)]
@@ -166,6 +173,33 @@ class SuffixDedup:
                 data.append(_pack(docs[part], *(x[part] for x in arrays)))
         return keys, data
 
+    def sent_texts(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Of every blob of documents (doc, text, nameless) the whole texts, compressed together by group."""
+        held: list[tuple[int, bytes, bool]] = []
+        size = 0
+
+        def blob() -> list[pa.RecordBatch]:
+            doc, mark = np.array([x[0] for x in held], np.int64), np.array([x[2] for x in held], np.uint8)
+            groups = self.group_of(doc)
+            order = np.argsort(groups, kind="stable")
+            keys, data = [], []
+            for part in np.split(order, np.flatnonzero(np.diff(groups[order])) + 1):
+                texts = [held[i][1] for i in part.tolist()]
+                sizes = np.array(list(map(len, texts)), np.int64)
+                keys.append(-1 - int(groups[part[0]]))
+                data.append(_pack(doc[part], sizes, mark[part], np.frombuffer(b"".join(texts), np.uint8)))
+            return self._rows(keys, data).combine_chunks().to_batches()
+
+        for batch in batches:
+            for doc, text, nameless in zip(batch.column(0).to_pylist(), as_bytes(batch.column(1)), batch.column(2).to_pylist()):
+                held.append((doc, text or b"", nameless))
+                size += len(text or b"")
+                if size >= BLOB:
+                    yield from blob()
+                    held, size = [], 0
+        if held:
+            yield from blob()
+
     def sent_anchors(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Of every blob of documents its distinct anchors, by slice: those of one document with it, and
         those of several, which these documents need not hear of again, without."""
@@ -259,8 +293,7 @@ class SuffixDedup:
         doc_of, keys = _all(told.column("data").to_pylist(), np.int64, np.uint64)
         order = np.lexsort((keys, doc_of))
         doc_of, keys = doc_of[order], keys[order]
-        ids = docs.column("doc").to_numpy()
-        texts = docs.column("text").combine_chunks()
+        ids, _, texts = _texts(docs)
         first_doc: dict[bytes, int] = {}
         out: dict[int, list[tuple]] = {}
         gone: list[tuple[int, int, int]] = []
@@ -269,8 +302,7 @@ class SuffixDedup:
             a, b = np.searchsorted(doc_of, [doc, doc + 1])
             if a == b:
                 continue
-            text = texts[row].as_buffer()
-            raw = memoryview(text) if text is not None else memoryview(b"")
+            raw = texts[row]
             hashes, firsts, lasts = anchors(np.frombuffer(raw, np.uint8), self.length)
             own = anchor_keys(hashes, self.slices)
             hot = np.isin(own, self.hot)
@@ -443,8 +475,8 @@ def remove_repeats(
     hot = [_unpack(r["data"], np.uint64)[0] for r in told.where(F.col("key") == HOT_ROW).select("data").collect()]
     job.hot = np.concatenate([job.hot, *hot])
     told = told.where(F.col("key") < 0)
-    by_group = slim.withColumn("key", -1 - F.pmod("doc", F.lit(groups)))
-    met = by_group.select("key", "doc", "text").groupBy("key").cogroup(told.groupBy("key"))
+    by_group = slim.mapInArrow(lambda b: job.sent_texts(b), kind)
+    met = by_group.groupBy("key").cogroup(told.groupBy("key"))
     found = met.applyInArrow(lambda d, t: job.fragments(d, t), kind)
     covers = written(found.groupBy("key").applyInArrow(lambda t: job.covered(t), kind), "suffix-covers")
 
@@ -452,9 +484,10 @@ def remove_repeats(
         doc, begin, end = _all(ranges.column("data").to_pylist(), np.int64, np.int64, np.int64)
         order = np.argsort(doc, kind="stable")
         doc, begin, end = doc[order], begin[order], end[order]
-        ids = texts.column("doc").to_numpy()
+        ids, nameless, bodies = _texts(texts)
         rows: list[tuple] = []
-        for row, text in enumerate(texts.column("text").to_pylist()):
+        for row, body in enumerate(bodies):
+            text = body.tobytes()
             a, b = np.searchsorted(doc, ids[row], "left"), np.searchsorted(doc, ids[row], "right")
             runs = merged(begin[a:b], end[a:b]) if a < b else []
             if runs:
@@ -466,8 +499,7 @@ def remove_repeats(
             rows.append((len(text), len(text) - len(kept), spans, hashlib.sha256(kept).hexdigest(), kept if with_bytes else None))
         columns = list(zip(*rows)) if rows else [()] * 5
         span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-        named = texts.column("nameless").combine_chunks()
-        id_array = pa.array(ids, pa.int64(), mask=named.to_numpy(zero_copy_only=False))
+        id_array = pa.array(ids, pa.int64(), mask=nameless)
         out = {
             "id": id_array,
             "n_bytes": pa.array(columns[0], pa.int64()),

@@ -4,6 +4,8 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 from pyspark.sql import functions as F
 
@@ -430,3 +432,25 @@ def test_components_of_few_links_need_no_rounds(spark, monkeypatch):
         assert sorted((x.node, x.root) for x in got) == sorted((x, top(x)) for x in linked)
         assert (len(made) == 1) == (most == graph.EDGES)
     assert graph.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_texts_move_compressed_by_group(monkeypatch):
+    # what the two moves of op2's texts put on disk
+    r = random.Random(12)
+    words = [f"word{r.randrange(300)}" for _ in range(300)]
+    docs = [(r.randrange(-50, 50), " ".join(r.choices(words, k=400)).encode(), i % 9 == 0) for i in range(200)]
+    docs += [(3, b"", False), (3, None, False), (1 << 62, "é".encode(), True)]
+    columns = [pa.array(c, t) for c, t in zip(zip(*docs), (pa.int64(), pa.binary(), pa.bool_()))]
+    batches = pa.Table.from_arrays(columns, ["doc", "text", "nameless"]).to_batches(max_chunksize=20)
+    job = suffix_dedup.SuffixDedup(50, 4, 7, 1000)
+    raw = sum(len(t or b"") for _, t, _ in docs)
+    for blob in (suffix_dedup.BLOB, raw // 4):
+        monkeypatch.setattr(suffix_dedup, "BLOB", blob)
+        sent = pa.Table.from_batches(list(job.sent_texts(iter(batches))))
+        got = []
+        for key in set(sent.column("key").to_pylist()):
+            ids, nameless, texts = suffix_dedup._texts(sent.filter(pc.equal(sent.column("key"), key)))
+            assert (-1 - ids % 7 == key).all()
+            got += zip(ids.tolist(), map(bytes, texts), nameless.tolist())
+        assert sorted(got) == sorted((d, t or b"", n) for d, t, n in docs)
+        assert sum(map(len, sent.column("data").to_pylist())) < 0.5 * raw
