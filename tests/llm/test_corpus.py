@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from aquatally.llm import ann, chat, mixing, packing, pii, queries, secret_scan
-from aquatally.llm.util import running_sum
+from aquatally.llm.util import running_sum, written
 from tests.llm import brute
 from tests.llm.test_filters import DOCS, odd_texts
 
@@ -343,6 +343,42 @@ def test_recall_on_isotropic_vectors():
     assert hits / 20 / 50 > 0.93
 
 
+def test_neighbours_move_in_small_rows(spark, monkeypatch):
+    draw = np.random.default_rng(2)
+    x = draw.normal(size=(20000, 16)).astype(np.float32)
+    x[:300] = x[0]  # a common vector
+    table = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<float>")
+    asked = np.arange(0, 20000, 20)
+    wide = x.astype(float)
+    longest = float(np.sqrt((wide**2).sum(axis=1).max()))
+    dealt = table.select(F.pmod(F.xxhash64("vec_id", F.col("embedding").cast("array<double>")), F.lit(3)).alias("b")).collect()
+    block_of = np.array([r.b for r in dealt])
+    best = collections.defaultdict(list)
+    for b in range(3):
+        own = np.flatnonzero(block_of == b)
+        for q, ids, scores in ann.Block.build(own, wide[own], longest).search(asked, wide[asked], longest, 20):
+            best[q] += zip((-scores).tolist(), ids.tolist())
+    want = [(q, i + 1, v, -s) for q in asked.tolist() for i, (s, v) in enumerate(sorted(best[q])[:20])]
+    seen = {}
+    monkeypatch.setattr(ann, "written", lambda df, name: seen.setdefault(name, written(df, name)))
+    for least in (1, 1000):  # twelve cells, or one
+        monkeypatch.setattr(ann, "LEAST", least)
+        seen.clear()
+        out = ann.nearest_by_product(table, table.where("vec_id % 20 = 0")).collect()
+        assert sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in out) == want
+        for df in seen.values():  # no row holds a whole block, whose arrays are many times its vectors
+            size = sum([F.length(c) for c, kind in df.dtypes if kind == "binary"], F.lit(0))
+            assert df.agg(F.max(size)).first()[0] < 1 << 20
+        assert seen["ann-found"].count() == 20 * len(asked) * (3 if least == 1 else 1)  # a span of blocks brings its best rows
+
+
+def test_cells_of_neighbours_are_bounded():
+    for blocks, packs in ((1, 1), (2, 2), (7, 11), (76, 121), (1831, 2930)):
+        span, tile = ann.cell(blocks, packs, 100, 36)
+        assert 1 <= span <= ann.SPAN and 1 <= tile <= 100
+        assert -(-blocks // span) * -(-packs // tile) >= min(36, blocks * packs // ann.LEAST)
+
+
 def test_pipeline_stages(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     columns = docs.columns
